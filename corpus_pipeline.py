@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkdetect.llm import decontamination, language, pieces, secrets
+from sparkdetect.llm import decontamination, language, near_duplicates, pieces, secrets
 from sparkdetect.llm.common import documents, stored
 
 #: Below this share the language of a text is not taken as known.
@@ -18,6 +18,15 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return language.identify(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
 
 
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least doc_id of each class; of rows that share it, the one with the least text."""
+    classes = near_duplicates.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id")))
+    digest = F.md5("text")
+    first = classes.groupBy("class_id").agg(F.min(F.coalesce(digest, F.lit("")))).toDF("_id", "_digest")
+    kept = classes.join(first, F.col("class_id").eqNullSafe(F.col("_id")) & (F.coalesce(digest, F.lit("")) == F.col("_digest")))
+    return kept.select(docs.columns).dropDuplicates(["doc_id"])
+
+
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark passage."""
     found = decontamination.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("_id")).distinct()
@@ -39,6 +48,7 @@ def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("language", keep_known_language),
+    ("near copies", keep_one_of_near_copies),
     ("decontamination", drop_contaminated),
     ("secrets", redact_secrets),
     ("pieces", to_pieces),

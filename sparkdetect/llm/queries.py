@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language, media, pieces, secrets, sharding, urls
+from . import decontamination, language, media, near_duplicates, pieces, secrets, sharding, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": sharding.op1_sharding,
         "op3_decontamination": decontamination.op3_decontamination,
+        "op4_near_dedup": near_duplicates.op4_near_dedup,
         "op5_url_filters": urls.op5_url_filters,
         "op7_language_id": language.op7_language_id,
         "op8_media_columns": media.op8_media_columns,
