@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language, media, near_duplicates, pieces, secrets, sharding, urls
+from . import decontamination, language, media, near_duplicates, pieces, secrets, sharding, substrings, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_decontamination": decontamination.op3_decontamination,
         "op4_near_dedup": near_duplicates.op4_near_dedup,
         "op5_url_filters": urls.op5_url_filters,
+        "op6_substring_dedup": substrings.op6_substring_dedup,
         "op7_language_id": language.op7_language_id,
         "op8_media_columns": media.op8_media_columns,
         "op9_sentencepiece": pieces.op9_sentencepiece,
