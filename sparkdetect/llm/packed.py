@@ -34,8 +34,8 @@ def unsqueeze(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
-def chunks(docs: DataFrame) -> DataFrame:
-    """(chunk, ids, nulls, ends, data, n_bytes, n_words): documents as they come, in rows of ``CHUNK`` bytes of text.
+def chunks(docs: DataFrame, size: int = CHUNK) -> DataFrame:
+    """(chunk, ids, nulls, ends, data, n_bytes, n_words): documents as they come, in rows of ``size`` bytes of text.
 
     Inside a chunk documents are in order of doc_id, nulls last, then text. Null texts are empty.
     """
@@ -54,7 +54,7 @@ def chunks(docs: DataFrame) -> DataFrame:
         for b in batches:
             for i, t in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
                 raw = t.as_py().encode() if t.is_valid else b""
-                if held and total + len(raw) > CHUNK:
+                if held and total + len(raw) > size:
                     yield row(held, k)
                     held, total, k = [], 0, k + 1
                 held.append((i, raw))
@@ -143,7 +143,7 @@ def answered(questions: DataFrame, answer: Callable[[list[int], list[np.ndarray]
 
     def run(table: pa.Table) -> pa.Table:
         chunk = table.column("chunk").to_pylist()
-        keys = [unpack(unsqueeze(k.as_py())) for k in table.column("keys")]
+        keys = [unpack(unsqueeze(k)) if k else np.zeros(0, np.uint64) for k in table.column("keys").to_pylist()]
         out = answer(chunk, keys, [unsqueeze(n.as_py()) for n in table.column("notes")])
         return pa.table([pa.array(chunk, pa.int64()), table.column("bucket").combine_chunks(), pa.array([squeeze(a.astype(np.uint8).tobytes()) for a in out], pa.binary())], schema=schema)
 

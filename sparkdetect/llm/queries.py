@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language, media, near_duplicates, pieces, secrets, sharding, substrings, urls
+from . import decontamination, language, media, near_duplicates, pieces, secrets, sharding, substrings, suffixes, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": sharding.op1_sharding,
+        "op2_suffix_dedup": suffixes.op2_suffix_dedup,
         "op3_decontamination": decontamination.op3_decontamination,
         "op4_near_dedup": near_duplicates.op4_near_dedup,
         "op5_url_filters": urls.op5_url_filters,

@@ -126,7 +126,7 @@ def covered(starts: np.ndarray, width: int, n: int) -> np.ndarray:
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
 
 
-def without_repeats(docs: DataFrame, texts: bool = True) -> DataFrame:
+def without_repeats(docs: DataFrame, texts: bool = True, chunk_bytes: int = packed.CHUNK) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, kept) for each row of ``docs`` (doc_id, text).
 
     Words are runs without space, tab, line feed to carriage return. A word goes if a window of 20 words that covers it
@@ -138,7 +138,7 @@ def without_repeats(docs: DataFrame, texts: bool = True) -> DataFrame:
     Where all runs of a window are elsewhere too and one hits a block, the hit extends to the window; the
     windows so found, a small part of all, then ask for their first place by the hash of all their words.
     """
-    table = stored(packed.chunks(docs))
+    table = stored(packed.chunks(docs, chunk_bytes))
     total = table.agg(F.sum("n_words")).first()[0] or 0
     bits, buckets = packed.bits_for(total), packed.buckets_for(total)
     blocks = packed.asked(table, lambda c: _ask_blocks(c, bits, buckets))
