@@ -50,7 +50,8 @@ def alert_risk() -> Column:
     table = F.lit(0.0)
     for s, r in SEVERITY_RISK.items():
         table = F.when(F.col("severity") == s, r).otherwise(table)
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("risk_score").cast("double"))), table)
+    own = F.col("risk_score").cast("double")
+    return F.when(own.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(100.0), own))).otherwise(table)
 
 
 def tactic_table(mapping: dict[str, str] | None = None) -> Column:
