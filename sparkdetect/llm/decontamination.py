@@ -34,46 +34,41 @@ def _seeds(rows: DataFrame, tokens: str, masks: tuple[str, ...]) -> DataFrame:
 
 
 def _verified(window: int, share: int) -> Column:
-    """Is there a window of the passage, laid over the document with the seed in place, of which ``share`` hundredths agree?
+    """Is there a window of the passage, laid over the document at offset ``off``, of which ``share`` hundredths agree?
 
-    The window has ``window`` tokens, or all of a shorter passage, holds the seed's first token, and lies
-    within both texts.
+    The window has ``window`` tokens, or all of a shorter passage, and lies within both texts.
     """
     width = f"least({window}, size(item))"
-    equal = f"transform(sequence(0, size(item) - 1), k -> if(at - item_at + k >= 0 AND get(tok, at - item_at + k) = item[k], 1, 0))"
-    low = f"greatest(item_at - {width} + 1, 0, item_at - at)"
-    high = f"least(item_at, size(item) - {width}, size(tok) - {width} - at + item_at)"
-    return F.expr(
-        f"if({low} > {high}, false, exists(sequence({low}, {high}), s -> "
-        f"aggregate(slice({equal}, s + 1, {width}), 0, (a, x) -> a + x) * 100 >= {share} * {width}))"
-    )
+    equal = "transform(sequence(0, size(item) - 1), k -> if(off + k >= 0 AND get(tok, off + k) = item[k], 1, 0))"
+    low, high = "greatest(0, -off)", f"least(size(item), size(tok) - off) - {width}"
+    return F.expr(f"if({low} > {high}, false, exists(sequence({low}, {high}), s -> aggregate(slice({equal}, s + 1, {width}), 0, (a, x) -> a + x) * 100 >= {share} * {width}))")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, window: int = 20, share: int = 80, bound: int = BROADCAST_BYTES) -> DataFrame:
     """(doc_id, item_id) for each document that holds a passage of ``items`` (item_id, text).
 
     A document holds a passage if ``window`` consecutive tokens of it (the whole passage, if shorter) agree
-    in ``share`` hundredths of the tokens, position by position, around a common seed; so substituted
-    tokens do no harm. Passages shorter than a mask are sought by a seed of all their tokens. Null and
-    empty texts hold nothing. Equal doc_ids are one document; a null doc_id is a document too.
+    in ``share`` hundredths of the tokens, position by position, at an offset at which a seed agrees; so
+    substituted tokens do no harm. Passages shorter than a mask are sought by a seed of all their tokens.
+    Null and empty texts hold nothing. Equal doc_ids are one document; a null doc_id is a document too.
+
+    Only ids and seeds meet in the join; the whole texts come back for documents with a hit.
     """
     tests = items.select("item_id", token_hashes(F.col("text")).alias("item")).where(F.size("item") > 0)
     short = [r[0] for r in tests.where(F.size("item") < SPAN).select(F.size("item")).distinct().collect()]  # below SPAN values
-    masks = MASKS + tuple("1" * n for n in sorted(short))
-    seeds = _seeds(tests, "item", MASKS)
+    seeds = _seeds(tests, "item", MASKS).select("seed", "item_id", "at")
     for n in short:  # the one seed of all n tokens
-        seeds = seeds.union(_seeds(tests.where(F.size("item") == n), "item", ("1" * n,)).where("at = 0"))
-    seeds = seeds.select("seed", "item_id", F.col("at").alias("item_at"), "item")
-    weight = seeds.agg(F.sum(F.size("item") * 8 + 64)).first()[0] or 0
-    tokens = docs.select("doc_id", token_hashes(F.col("text")).alias("tok")).where(F.size("tok") > 0)
-    if weight <= bound:
-        hits = _seeds(tokens, "tok", masks).join(F.broadcast(seeds), "seed")
-    else:
-        # the seeds meet in a shuffle; then each pair of texts and offset meets once
-        met = _seeds(tokens, "tok", masks).select("doc_id", "at", "seed").join(seeds.select("seed", "item_id", "item_at"), "seed")
-        met = met.groupBy("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("off"), "item_at").agg(F.min("at").alias("at"))
-        hits = met.join(tests, "item_id").join(tokens.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")))
-    return hits.where(_verified(window, share)).select("doc_id", "item_id").distinct()
+        seeds = seeds.union(_seeds(tests.where(F.size("item") == n), "item", ("1" * n,)).where("at = 0").select("seed", "item_id", "at"))
+    seeds = seeds.withColumnRenamed("at", "item_at")
+    small = (items.agg(F.sum(F.octet_length("text") + 100)).first()[0] or 0) * 8 <= bound
+    own = docs.select("doc_id", "text").where("text IS NOT NULL").withColumn("row", F.xxhash64("text"))
+    tokens = own.select("doc_id", "row", token_hashes(F.col("text")).alias("tok"))
+    asked = _seeds(tokens, "tok", MASKS + tuple("1" * n for n in sorted(short))).select("doc_id", "row", "at", "seed")
+    met = asked.join(F.broadcast(seeds) if small else seeds, "seed").select("doc_id", "row", "item_id", (F.col("at") - F.col("item_at")).alias("off")).distinct()
+    hits = met.groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).agg(F.collect_list(F.struct("item_id", "off")).alias("hits"))
+    back = own.join(hits, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")))
+    back = back.select("doc_id", token_hashes(F.col("text")).alias("tok"), F.explode("hits").alias("hit")).select("doc_id", "tok", "hit.item_id", "hit.off")
+    return back.join(F.broadcast(tests) if small else tests, "item_id").where(_verified(window, share)).select("doc_id", "item_id").distinct()
 
 
 def mark_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
@@ -108,9 +103,10 @@ tests AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{
 ), iseeds AS ({_sql_seeds('tests', 'item', 'item_id, item')}
 ), dseeds AS ({_sql_seeds('toks', 'tok', 'doc_id, tok')}
 ), met AS (SELECT doc_id, tok, item_id, item, d.pos, i.pos AS item_pos, least({window}, len(item)) AS width FROM dseeds d JOIN iseeds i USING (m, seed)
-), starts AS (SELECT *, unnest(range(greatest(item_pos - width + 1, 0, item_pos - pos), least(item_pos, len(item) - width, len(tok) - width - pos + item_pos) + 1)) AS s FROM met
+), offs AS (SELECT DISTINCT doc_id, tok, item_id, item, pos - item_pos AS off, width FROM met
+), starts AS (SELECT *, unnest(range(greatest(0, -off), least(len(item), len(tok) - off) - width + 1)) AS s FROM offs
 ), leaks AS (SELECT DISTINCT doc_id, item_id FROM starts
-  WHERE len(list_filter(range(s, s + width), lambda k: tok[pos - item_pos + k + 1] = item[k + 1])) * 100 >= {share} * width)"""
+  WHERE len(list_filter(range(s, s + width), lambda k: tok[off + k + 1] = item[k + 1])) * 100 >= {share} * width)"""
 
 
 ORACLE = f"""WITH {oracle_parts()}
