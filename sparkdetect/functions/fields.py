@@ -31,6 +31,12 @@ class Field:
         """The value as a number, null where it is none."""
         return self.value.cast("double") if self.kind in ("number", "bool") else number(self.text)
 
+    @property
+    def known(self) -> Column:
+        """Is it there, and not null?"""
+        some = ~F.coalesce(F.is_variant_null(self.value), F.lit(True)) if self.kind == "variant" else self.value.isNotNull()
+        return self.present & some
+
     @property
     def is_bool(self) -> Column:
         if self.kind == "variant":

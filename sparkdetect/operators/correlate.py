@@ -77,12 +77,12 @@ def correlate_one(events: DataFrame, rule: Correlation, fields: Callable[[str],
     key = fields(rule.group_by)
     if key is None:
         raise RuleError(f"{rule.rule_id}: no field {rule.group_by}")
-    shown = base.withColumn("key", F.when(key.present & key.value.isNotNull(), key.text)).withColumn("event", event_struct(base))
+    shown = base.withColumn("key", F.when(key.known, key.text)).withColumn("event", event_struct(base))
     if rule.kind == "sequence":
         found = _sequences(shown, rule, fields)
     else:
         own = fields(rule.distinct_field) if rule.distinct_field else None
-        value = F.when(own.present & own.value.isNotNull(), own.text) if own else F.lit(None).cast("string")
+        value = F.when(own.known, own.text) if own else F.lit(None).cast("string")
         relevant = shown.where(selection(rule.select, fields)).withColumn("value", value).where("key IS NOT NULL")
         sessions = _sessions(relevant, rule, [F.col("value")])
         hits = _counted(rule, sessions.schema["items"].dataType.elementType)

@@ -28,7 +28,7 @@ def correlate_stream(events: DataFrame, rule: Correlation, fields: Callable[[str
     """Alerts of a correlation in append mode.
 
     A session is judged when it is closed: the rule's window plus ``lateness`` after its last event, which gives what a
-    batch gives. Later rows are dropped. The last session of a key stays open until the watermark has passed it.
+    batch gives. Spark filters before it takes the time, so rows that the rule selects move the watermark. Later rows are dropped. The last session of a key stays open until the watermark has passed it.
     """
     return correlate_one(events.withWatermark("ts", lateness), rule, fields)
 
