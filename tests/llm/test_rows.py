@@ -1,0 +1,233 @@
+"""Operators that judge each row, shards, urls, benchmark passages, and the pipeline."""
+
+import base64
+import gzip
+import hashlib
+import re
+import struct
+import urllib.parse
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from sparkdetect.llm import decontamination, language, media, pieces, secrets, sharding, urls
+
+SF = "/root/testdata/sf0.001"
+RAW = {
+    "assign": (re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 6), "access": (re.compile(r"AKIA[A-Z0-9]+"), 0, 20), "hex": (re.compile(r"[0-9a-f]+"), 0, 24),
+}
+
+
+def plain_spans(text):
+    found = [(k, *m.span()) for k, (p, g, n) in RAW.items() for m in p.finditer(text) if len(m[g]) >= n]
+    return sorted(found, key=lambda s: (s[1], list(RAW).index(s[0])))
+
+
+@pytest.mark.parametrize("text", ["", "Password: 'abcdef' token=short token=longer1", "AKIA" + "A" * 16 + " AKIAAKIA" + "B" * 14, "f" * 24 + "g" + "0" * 23, "api_key=xxAKIA" + "Z" * 20, "toKen = " + "a" * 40, "ſecret=abcdef1", "é" * 5 + "secret:abcdefg" + "é"])
+def test_base_spans(text):
+    assert secrets.base_spans(text) == plain_spans(text)
+
+
+INNER = 'password = "hunter2secret"'
+
+
+@pytest.mark.parametrize("wrap", [
+    lambda s: urllib.parse.quote(s, safe=""), lambda s: base64.b64encode(s.encode()).decode(), lambda s: base64.b64encode(zlib.compress(s.encode() * 3)).decode(), lambda s: base64.b64encode(gzip.compress(s.encode() * 3)).decode(),
+    lambda s: "".join(f"\\u{ord(c):04x}" for c in s), lambda s: "".join(f"&#{ord(c)};" for c in s), lambda s: urllib.parse.quote(base64.b64encode(urllib.parse.quote(s, safe="").encode()).decode(), safe=""),
+])
+def test_layers(wrap):
+    text = "ä " + wrap(INNER) + " end"
+    spans = secrets.all_spans(text)
+    assert any(k == "assign" and 2 <= a < b <= len(text) - 4 for k, a, b in spans)
+    assert secrets.redacted(text, spans).startswith("ä ") and "[SECRET]" in secrets.redacted(text, spans)
+    assert secrets.all_spans("".join(secrets.redacted(text, spans).split("[SECRET]"))) == []
+
+
+def test_layers_end():
+    for text in ("%25252541", "AAAAAAAAAAAAAAAAAAAAAAAA" * 50, "%41" * 400, "&#37;34&#49;", base64.b64encode(b"x" * 3000).decode()):
+        secrets.all_spans(text)
+    broken = base64.b64encode(zlib.compress(b"password=abcdefgh" * 9)[:-4]).decode()
+    assert secrets.all_spans(broken) == secrets.base_spans(broken)
+
+
+def test_scan(spark, odd, empty):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for r in secrets.scan(docs).collect():
+        want = plain_spans(r["text"] or "")
+        assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(s[0] == k for s in want) for k in RAW)
+        assert r["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in want).encode()).hexdigest()
+        assert {f"{k}:{a}:{b}" for k, a, b in want} <= set(filter(None, r["spans"].split(",")))
+    assert secrets.scan(odd).count() == odd.count() and secrets.scan(empty).count() == 0
+    assert secrets.scan(odd, redact=True).where("text IS NULL").count() == 2
+
+
+def test_language(spark, odd, empty):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = language.held_out()
+    own = language.identify(docs, language.fit(docs.where(~held))).where(held).select("lang", "lang_pred", "score").collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in own) > 0.97 * len(own) and all(0 <= r["score"] <= 1 for r in own)
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify(odd, language.fit(docs)).where("text IS NULL OR doc_id IN (4, 5)").collect()}
+    assert set(got.values()) == {"und"}
+    none = language.identify(odd, language.fit(empty)).select("lang_pred", "score").distinct().collect()
+    assert [tuple(r) for r in none] == [("und", 0.0)]
+    assert language.fit(docs, max_rows=100)["langs"]
+    assert spark.createDataFrame([(None,)], "doc_id long").select(held).first()[0] is False
+
+
+def test_unseen_words_fall_back(spark):
+    rows = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate([("weisheit freiheit kleinheit", "de"), ("nation station ration", "fr")] * 3)], "doc_id long, text string, lang string")
+    scorer = language.Scorer(language.fit(rows))
+    assert scorer.predict("einheit")[0] == "de" and scorer.predict("potion lotion")[0] == "fr" and scorer.predict("123 !")[0] == "und"
+
+
+def best_score(p, text):
+    """The largest sum of scores over all segmentations, by plain dynamic programming."""
+    s = pieces.MARK + text.replace(" ", pieces.MARK)
+    best = [0.0] + [-float("inf")] * len(s)
+    for e in range(1, len(s) + 1):
+        for b in range(e):
+            if (v := p.auto.get(s[b:e], None)) and best[b] + v[2] > best[e]:
+                best[e] = best[b] + v[2]
+        if s[e - 1] not in p.single and best[e - 1] + p.other > best[e]:
+            best[e] = best[e - 1] + p.other
+    return best[-1]
+
+
+def test_pieces(spark, odd, empty):
+    model = pieces.read_model(pieces.default_model())
+    p = pieces.Pieces(model)
+    score = {v[0]: v[2] for v in p.auto.values()}
+    for text in ("The quick brown fox", "  two  spaces ", "é ñ 日本 😀 ﬁ", "a\nb\tc", "aaaaaaaaaaaa", "x" * 70 + " y", "▁mark", "-"):
+        ids = p.encode(text).tolist()
+        assert p.decode(ids) == text.replace(pieces.MARK, " ")
+        known = sum(score.get(i, 0.0) for i in ids)
+        alone = sum(1 for c in text.replace(" ", pieces.MARK) if c not in p.single)
+        assert known + alone * p.other == pytest.approx(best_score(p, text))
+    rows = pieces.decode(pieces.encode(odd, model), model).collect()
+    assert all(r["decoded"] == (r["text"] or "") for r in rows) and pieces.encode(empty, model).count() == 0
+    assert [r["ids"] for r in pieces.encode(odd, model).where("text IS NULL").collect()] == [[], []]
+    out = pieces.op9_sentencepiece(spark, SF)
+    assert out.where("NOT round_trip").count() == 0 and out.count() == spark.read.parquet(f"{SF}/documents.parquet").count()
+
+
+def png():
+    chunk = lambda k, d: struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 1, 1, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"\0\0")) + chunk(b"IEND", b"")
+
+
+GIF = b"GIF89a\x01\x00\x01\x00\x80\x00\x00\x00\x00\x00\xff\xff\xff,\x00\x00\x00\x00\x01\x00\x01\x00\x00\x02\x02D\x01\x00;"
+JPEG = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xda\x00\x04cd\x12\xff\x00\x34\xff\xd0\x56\xff\xd9"
+BMP = b"BM" + struct.pack("<IHHI", 58, 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, 1, 1, 1, 24, 0, 4, 0, 0, 0, 0) + b"\0\0\0\0"
+
+
+def test_sniffing(spark, odd, empty):
+    whole = {"image/png": png(), "image/gif": GIF, "image/jpeg": JPEG, "image/bmp": BMP, "audio/wav": media.wav(b"abc"), "application/gzip": gzip.compress(b"x" * 99), "application/pdf": b"%PDF-1.4 x startxref 0 %%EOF"}
+    for kind, data in whole.items():
+        assert media.sniff(data)[0] == (kind, 0, len(data))
+        assert (kind, 3, len(data)) in media.sniff(b"xyz" + data + b"tail")
+        if kind not in ("image/gif",):
+            assert all(f[1] or f[0] != kind for f in media.sniff(data[:-1])), kind
+    assert media.sniff(b"BM and RIFF and PK\x03\x04 in a text \xff\xd8\xff") == [] == media.sniff(b"")
+    inside = media.wav(b"ab" + png())
+    df = spark.createDataFrame([(1, bytearray(inside), "image/png"), (2, bytearray(png()), "image/png"), (3, None, "x"), (4, bytearray(b"text"), "text/plain")], "id long, media binary, declared string")
+    got = {r["id"]: (r["detected"], r["corrected"], [(e["kind"], e["start"], e["length"]) for e in r["embedded"]]) for r in media.sniffed(df).collect()}
+    assert got == {1: ("audio/wav", True, [("image/png", 46, len(png()))]), 2: ("image/png", False, []), 3: ("x", False, []), 4: ("text/plain", False, [])}
+
+
+def test_media_columns(spark, odd, empty):
+    for df in (odd, spark.read.parquet(f"{SF}/documents.parquet")):
+        texts = sorted((r["text"] or "" for r in df.collect()))
+        got = media.features(media.sniffed(media.stored_as_samples(df))).collect()
+        want = []
+        for t in texts:
+            raw = t.encode()
+            full = raw + b"\xff" * (max(576, -(-len(raw) // 576) * 576) - len(raw))
+            want.append((len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-32:])))
+        assert sorted(tuple(r)[1:5] for r in got) == sorted(want) and all(r["media_bytes"] == r["payload_bytes"] + 44 for r in got)
+    assert media.features(media.sniffed(media.stored_as_samples(empty))).count() == 0
+
+
+def test_shards(spark, odd, empty):
+    for df in (odd, spark.read.parquet("/root/testdata/sf0.01/documents.parquet")):
+        rows = sharding.shard_by_bytes(sharding.sized(df), 8, order=("doc_id", "size", "text_crc32")).collect()
+        texts = {(r["doc_id"], len((r["text"] or "").encode()) + 1, zlib.crc32((r["text"] or "").encode())) for r in df.collect()}
+        assert {(r["doc_id"], r["size"], r["text_crc32"]) for r in rows} == texts and len(rows) == df.count()
+        rows.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["size"], r["text_crc32"]))
+        total, at = sum(r["size"] for r in rows), 0
+        for r in rows:
+            assert r["shard"] == min(7, (2 * at + r["size"]) * 8 // (2 * total))
+            at += r["size"]
+        for k in {r["shard"] for r in rows}:
+            assert sorted(r["slot"] for r in rows if r["shard"] == k) == list(range(sum(r["shard"] == k for r in rows)))
+    assert sharding.shard_by_bytes(sharding.sized(empty), 8).count() == 0
+
+
+@pytest.mark.parametrize(("url", "host", "path", "rule", "verdict"), [
+    ("http://a.com/x", "a.com", "/x", "com/", "allow"), ("https://WWW.Example.COM/en/1?q", "www.example.com", "/en/1", "www.example.com/en/", "allow"), ("http://m.example.com/en/1#top", "m.example.com", "/en/1", "example.com/en/", "block"),
+    ("http://x.net/es/1", "x.net", "/es/1", "net/es/", "block"), ("http://notcom/x", "notcom", "/x", None, "allow"), ("http://a.com?x=/", "a.com", "", None, "allow"), (None, "", "", None, "allow"), ("nothing", "", "", None, "allow"), ("x://h://y", "h:", "//y", None, "allow"),
+])
+def test_url_rules(spark, url, host, path, rule, verdict):
+    row = urls.judge_urls(spark.createDataFrame([(1, url, None)], "page_id long, url string, html string")).first()
+    assert (row["host"], row["path"], row["rule"], row["verdict"]) == (host, path, rule, verdict)
+
+
+def test_distrust_flows_back_over_links(spark):
+    pages = [(1, "http://bad.example.net/fr/1", ""), (2, "http://a.org/", '<a href="http://bad.example.net/fr/1">'), (3, "http://b.org/", "<a HREF='//good.com/x'>"), (4, "http://good.com/", '<a href=http://c.org/>'), (5, "http://c.org/", None), (6, "http://d.org/", '<img src="http://a.org/">')]
+    got = {r["page_id"]: r["verdict"] for r in urls.judge_urls(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow", 6: "block"}
+    assert urls.judge_urls(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def items(spark, *texts):
+    return spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+
+
+def test_passages(spark, odd, empty):
+    passage = [f"tok{i}" for i in range(30)]
+    swap = lambda *at: " ".join("zz" if i in at else w for i, w in enumerate(passage))
+    docs = [(1, "lead " + swap() + " tail"), (2, swap(3, 9, 15, 21)), (3, swap(*range(0, 30, 3))), (4, "other words " * 40), (5, " ".join(passage[:19])), (6, "x " + " ".join(passage[5:26]) + " y"), (7, "only alpha beta here"), (8, None), (9, "ALPHA, Beta!")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    tests = items(spark, " ".join(passage), "alpha beta", "", None)
+    want = {1: "0", 2: "0", 3: "", 4: "", 5: "", 6: "0", 7: "1", 8: "", 9: "1"}
+    for bound in (1 << 30, 0):
+        got = {r["doc_id"]: (r["contaminated"], r["n_items"], r["item_ids"]) for r in decontamination.mark_contaminated(df, tests, bound=bound).collect()}
+        assert got == {k: (bool(v), len(v), v) for k, v in want.items()}
+    assert decontamination.mark_contaminated(odd, tests).count() == odd.count()
+    assert decontamination.mark_contaminated(empty, tests).count() == 0
+    assert decontamination.contaminated(df, tests.where("false")).count() == 0
+
+
+def test_pipeline(spark):
+    """Each stage against what its parts say, on the whole small table."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    assert names == ["language", "near copies", "decontamination", "secrets", "pieces"]
+    at, kept = docs, {}
+    for name, stage in corpus_pipeline.STAGES:
+        at = spark.createDataFrame(stage(spark, at, SF).collect(), stage(spark, at, SF).schema)
+        kept[name] = at
+        if name != "pieces":
+            assert at.schema.names == docs.schema.names
+    from test_dedup import brute_classes
+
+    rows = [(r["doc_id"], r["text"]) for r in kept["language"].collect()]
+    assert sorted(r["doc_id"] for r in kept["near copies"].collect()) == sorted({c for _, c in brute_classes(rows)})
+    leaks = {r["doc_id"] for r in decontamination.contaminated(docs, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
+    assert {r["doc_id"] for r in kept["decontamination"].collect()} == {r["doc_id"] for r in kept["near copies"].collect()} - leaks
+    for r in kept["secrets"].collect():
+        assert r["n_chars"] == len(r["text"]) and secrets.base_spans(r["text"]) == []
+    last = {r["doc_id"]: r for r in kept["pieces"].collect()}
+    assert set(last) == {r["doc_id"] for r in kept["secrets"].collect()} and all(r["round_trip"] and r["n_tokens"] == len(r["ids"]) for r in last.values())
+    assert corpus_pipeline.run(spark, SF).count() == len(last)
+
+
+def test_pipeline_on_awkward_rows(spark, odd, tmp_path):
+    docs = odd.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    items(spark, "nothing of this kind").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+    docs.where("false").write.parquet(str(tmp_path / "e" / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "e" / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "e")).count() == 0
