@@ -85,12 +85,26 @@ MUTATIONS: dict[str, Rewrite] = {
 IDENTITY = ("binary_rename",)
 
 
+def _in_map(fields: str, keys: tuple[str, ...], rewrite: Rewrite, key: Callable[[str], Column]) -> Column:
+    """The map with the texts under ``keys`` rewritten."""
+    new = {name: rewrite(F.try_variant_get(F.try_element_at(fields, F.lit(name)), "$", "string"), key(name)).cast("variant") for name in keys}
+
+    def value(k: Column, v: Column) -> Column:
+        out = v
+        for name, column in new.items():
+            out = F.when((k == name) & (F.schema_of_variant(v) == "STRING"), column).otherwise(out)
+        return out
+
+    return F.transform_values(fields, value)
+
+
 def evaluate(
-    events: DataFrame, rules: Iterable[Rule], columns: tuple[str, ...], fields: Callable[[str], Field | None], mutations: Iterable[str] | None = None, seed: int = 0, rewrites: dict[str, Rewrite] = MUTATIONS
+    events: DataFrame, rules: Iterable[Rule], columns: tuple[str, ...], fields: Callable[[str], Field | None], mutations: Iterable[str] | None = None, seed: int = 0, rewrites: dict[str, Rewrite] = MUTATIONS, within: str | None = None
 ) -> DataFrame:
     """(rule_id, rule_title, event_id, technique_id, mutation, detected_mutated) for malicious events that a rule matched.
 
-    ``columns`` are the text columns that are rewritten, all else stays. Choices follow from the event's id, so
+    ``columns`` are the text columns that are rewritten, or with ``within`` the keys of that map of variants whose
+    texts are; all else stays. Choices follow from the event's id, so
     results do not depend on order. Only matched rows are multiplied by the mutations; conditions are evaluated in the same pass.
     """
     names = list(mutations if mutations is not None else rewrites)
@@ -101,9 +115,9 @@ def evaluate(
     variants = []
     for n in names:
         key = lambda c, n=n: F.concat_ws(":", F.lit(str(seed)), F.col("event_id").cast("string"), F.lit(c), F.lit(n))
-        variants.append(F.struct(F.lit(n).alias("mutation"), *[rewrites[n](F.col(c), key(c)).alias(c) for c in columns]))
+        variants.append(F.struct(F.lit(n).alias("mutation"), *([_in_map(within, columns, rewrites[n], key).alias(within)] if within else [rewrites[n](F.col(c), key(c)).alias(c) for c in columns])))
     spread = first.withColumn("_m", F.explode(F.array(*variants)))
-    rewritten = spread.withColumns({"mutation": F.col("_m.mutation"), **{c: F.col(f"_m.{c}") for c in columns}})
+    rewritten = spread.withColumns({"mutation": F.col("_m.mutation"), **{c: F.col(f"_m.{c}") for c in ((within,) if within else columns)}})
     again = F.array_compact(F.array(*[F.when(c, F.lit(i)) for i, (_, c) in enumerate(good)]))
     head = F.array(*[F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.title).alias("rule_title")) for r, _ in good])
     out = rewritten.withColumn("_again", again).withColumn("_i", F.explode("_hit"))

@@ -118,6 +118,14 @@ def test_rewrites_can_be_undone(spark):
     assert by[texts[5]]["binary_rename"] == "remote_admin.exe -x"
 
 
+def test_rewrites_inside_maps(spark):
+    df = events(spark, [(0, "h", "u", "t", {"process.command_line": "vssadmin delete shadows", "n": 3}, "T1490"), (1, "h", "u", "t", {"process.command_line": 5}, "T1490")])
+    rules = [Rule("loose", {"s": {"process.command_line|contains": "shadows"}}, "s"), Rule("exact", {"s": {"process.command_line": "vssadmin delete shadows", "n": 3}}, "s")]
+    got = robustness.evaluate(df, rules, ("process.command_line", "process.name"), MapFields(), within="fields")
+    out = {(r["rule_id"], r["mutation"]): r["detected_mutated"] for r in got.collect()}
+    assert out["exact", "case_flip"] and not out["exact", "whitespace_padding"] and not out["exact", "caret_escape"] and out["loose", "binary_rename"] and len(out) == 14
+
+
 def test_unknown_rewrite(spark):
     df = spark.createDataFrame([("1", "x", "T1")], "event_id string, text string, technique_id string")
     with pytest.raises(ValueError):
