@@ -11,14 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import documents, mix, powers, prefix_hash, rolling_hash, span_hash, stored, words
+from .common import documents, mix, powers, prefix_hash, rolling_hash, sliced, span_hash, stored, words
 
 WORDS, SIMILARITY = 5, 0.8
 #: 24 bands of 6 components: a pair at 0.8 meets in a band with a chance above 0.999.
 BANDS, DEPTH = 24, 6
 SIZE = BANDS * DEPTH
-#: Members of a bucket that one task compares with as many others.
-BLOCK = 512
+#: Members of a bucket, and bytes of their shingles, that one task compares with as many others.
+BLOCK, BLOCK_BYTES = 2048, 8 << 20
 #: Text that one vectorised step takes up at most, beyond a single longer document.
 _STEP = 1 << 20
 
@@ -93,7 +93,7 @@ def _steps(items: list[tuple], size) -> Iterator[list[tuple]]:
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """(node, doc_id, keys, brief) of each distinct text with a word: its digest, a document that has it, band keys, and 16 bits of each component."""
+    """(node, doc_id, keys, brief, n_bytes) of each distinct text with a word: its digest, a document that has it, band keys, 16 bits of each component, and the bytes of its shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()  # copies in this task; forgotten now and then, as the shuffle below drops the rest
@@ -108,13 +108,14 @@ def sketched(docs: DataFrame) -> DataFrame:
             for step in _steps(fresh, lambda x: len(x[2])):
                 own, value, count = shingles([x[2] for x in step])
                 sig = signatures(own, value, 1 + np.log(count), len(step))
-                has = np.bincount(own, minlength=len(step)) > 0
+                held = np.bincount(own, minlength=len(step))
+                has = held > 0
                 keys, brief = _band_keys(sig)[has], (sig[has] & np.uint64(0xFFFF)).astype("<u2")
                 keys = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
                 at = np.flatnonzero(has)
-                yield pa.RecordBatch.from_arrays([pa.array([step[i][0] for i in at], pa.string()), pa.array([step[i][1] for i in at], pa.int64()), keys, pa.array([r.tobytes() for r in brief], pa.binary())], names=["node", "doc_id", "keys", "brief"])
+                yield pa.RecordBatch.from_arrays([pa.array([step[i][0] for i in at], pa.string()), pa.array([step[i][1] for i in at], pa.int64()), keys, pa.array([r.tobytes() for r in brief], pa.binary()), pa.array(held[has] * 8, pa.int64())], names=["node", "doc_id", "keys", "brief", "n_bytes"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "node string, doc_id long, keys array<long>, brief binary").dropDuplicates(["node"])
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "node string, doc_id long, keys array<long>, brief binary, n_bytes long").dropDuplicates(["node"])
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -134,47 +135,96 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY)
             for i, node in enumerate(ids):
                 if node != last:
                     last, have = node, shingles([batch.column("tb")[i].as_py().lower().encode()])[1]
-                own = shingles([texts_a[i].as_py().lower().encode()])[1]
-                low = min(len(own), len(have))
-                both = len(np.intersect1d(own, have, assume_unique=True)) if low >= similarity * max(len(own), len(have)) else 0
-                keep.append(both > 0 and both >= similarity * (len(own) + len(have) - both) - 1e-9)
+                keep.append(_alike(shingles([texts_a[i].as_py().lower().encode()])[1], have, similarity))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return rows.select("a", "b", "ta", "tb").mapInArrow(run, "a string, b string")
 
 
-def _across(members: DataFrame, similarity: float) -> DataFrame:
-    """Distinct pairs (a, b) of members of a bucket with different labels whose signatures agree well enough to be worth verifying.
+def shingle_sets(texts: DataFrame) -> DataFrame:
+    """(node, shingles): the sorted hashes of each text's distinct shingles."""
 
-    Members of the bucket's largest label are not compared among themselves, nor are those of any label.
-    A bucket is dealt into blocks, and each pair of blocks is a group of its own: a group is bounded, and
-    a task returns pairs across labels alone. The bound lies four standard errors below ``similarity``.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches, "text"):
+            raw = [t.lower().encode() for t in b.column("text").to_pylist()]
+            own, value, _ = shingles(raw)
+            cut = np.searchsorted(own, np.arange(len(raw) + 1))
+            out = [value[s:e].tobytes() for s, e in zip(cut, cut[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(out, pa.binary())], names=["node", "shingles"])
+
+    return texts.select("node", "text").mapInArrow(run, "node string, shingles binary")
+
+
+def _alike(own: np.ndarray, have: np.ndarray, similarity: float) -> bool:
+    """Do two sets of shingles have a Jaccard similarity of ``similarity`` or more?"""
+    if not len(own) or min(len(own), len(have)) < similarity * max(len(own), len(have)):
+        return False
+    both = len(np.intersect1d(own, have, assume_unique=True))
+    return both >= similarity * (len(own) + len(have) - both) - 1e-9
+
+
+def _passing(table: pa.Table, similarity: float) -> tuple[np.ndarray, Iterator[tuple[int, np.ndarray]]]:
+    """(labels as numbers, pairs): each member of a pair of blocks with those of other labels that its signature does not rule out.
+
+    A pair counts in the first band in which it meets, and the bound lies four standard errors below ``similarity``.
     """
     least = int(SIZE * (similarity - 4 * (similarity * (1 - similarity) / SIZE) ** 0.5))
-    n = members.groupBy("key").agg(F.count("*").alias("n"))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    placed = members.join(n, "key").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "brief")
+    _, label = np.unique(np.array(table.column("label").to_pylist(), object), return_inverse=True)
+    sig = np.frombuffer(b"".join(table.column("brief").to_pylist()), "<u2").reshape(len(label), SIZE)
+    own, (i, j, band) = np.array(table.column("own").to_pylist()), (table.column(c)[0].as_py() for c in ("i", "j", "band"))
+    left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
 
-    def run(table: pa.Table) -> pa.Table:
-        node, label = np.array(table.column("node").to_pylist(), object), np.array(table.column("label").to_pylist(), object)
-        _, label = np.unique(label, return_inverse=True)
-        sig = np.frombuffer(b"".join(table.column("brief").to_pylist()), "<u2").reshape(len(node), SIZE)
-        own, i, j = np.array(table.column("own").to_pylist()), table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        a, b = [], []
+    def pairs() -> Iterator[tuple[int, np.ndarray]]:
         for x in left:
             to = right[label[right] != label[x]]
-            if i == j:
-                to = to[to > x]
-            to = to[(sig[to] == sig[x]).sum(1) >= least]
-            a.extend([node[x]] * len(to))
-            b.extend(node[to])
+            to = to[to > x] if i == j else to
+            same = sig[to] == sig[x]
+            yield x, to[(same.sum(1) >= least) & (same.reshape(-1, BANDS, DEPTH).all(2).argmax(1) == band)]
+
+    return label, pairs()
+
+
+def _needed(members: DataFrame, similarity: float) -> DataFrame:
+    """Members of a bucket (key, band, node, label, brief, n_bytes) that have a passing pair, by pair of blocks.
+
+    A bucket is dealt into blocks of bounded members and bytes of shingles, and each pair of blocks is a group.
+    """
+    n = members.groupBy("key").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("bytes"))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
+    placed = members.join(n.select("key", blocks.alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    spread = spread.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "band", "node", "label", "brief")
+
+    def run(table: pa.Table) -> pa.Table:
+        label, pairs = _passing(table, similarity)
+        use = np.zeros(len(label), bool)
+        for x, to in pairs:
+            use[to] = True
+            use[x] |= len(to) > 0
+        return table.filter(pa.array(use))
+
+    return spread.groupBy("key", "i", "j").applyInArrow(run, spread.schema)
+
+
+def _linked(needed: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) among passing pairs of each pair of blocks, by their shingles.
+
+    A link makes two labels one, so a group returns fewer links than it has members, however many pairs are alike.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        label, pairs = _passing(table, similarity)
+        node, sets = table.column("node").to_pylist(), [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
+        root, a, b = np.arange(label.max(initial=0) + 1), [], []
+        for x, to in pairs:
+            for y in to:
+                if root[label[x]] != root[label[y]] and _alike(sets[x], sets[y], similarity):
+                    a.append(node[x])
+                    b.append(node[y])
+                    root[root == root[label[y]]] = root[label[x]]
         return pa.table({"a": pa.array(a, pa.string()), "b": pa.array(b, pa.string())})
 
-    pairs = spread.groupBy("key", "i", "j").applyInArrow(run, "a string, b string")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return needed.groupBy("key", "i", "j").applyInArrow(run, "a string, b string")
 
 
 def links(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -185,7 +235,7 @@ def links(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     meet each other in blocks. No bucket is capped.
     """
     sketches = stored(sketched(docs))
-    at = sketches.select("node", F.explode("keys").alias("key"))
+    at = sketches.select("node", F.posexplode("keys").alias("band", "key"))
     shared = at.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = stored(at.join(shared, "key"))
     score = members.groupBy("node").agg(F.sum("n").alias("score"))
@@ -197,11 +247,12 @@ def links(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     texts = stored(own.join(met, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.md5("text") == F.col("node"))).select("node", "text").dropDuplicates(["node"]))
     found = stored(verified(pairs, texts, similarity))
     labels = components(found, "a", "b")
-    labelled = members.select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labelled = members.select("key", "band", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    rest = stored(labelled.join(mixed, "key").join(sketches.select("node", "brief"), "node"))
-    tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = stored(verified(stored(_across(rest, similarity).join(tried, ["a", "b"], "left_anti")), texts, similarity))
+    rest = labelled.join(mixed, "key").join(sketches.select("node", "brief", "n_bytes"), "node")
+    needed = stored(_needed(rest, similarity))
+    sets = shingle_sets(texts.join(needed.select("node").distinct(), "node"))
+    more = stored(_linked(needed.join(sets, "node"), similarity))
     return found.union(more)
 
 
