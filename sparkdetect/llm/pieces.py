@@ -15,7 +15,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, extended
+from .common import documents, extended, sliced
 
 #: The mark that stands for a space in pieces.
 MARK = "▁"
@@ -74,21 +74,18 @@ class Pieces:
         """Ids of ``s``, in which spaces are marks already."""
         best: list[float] = [0.0] + [-np.inf] * len(s)
         back: list[tuple[int, int]] = [(0, -1)] * (len(s) + 1)
-        done, single, other = 0, self.single, self.other
-
-        def alone(upto: int) -> None:
-            nonlocal done
-            while done < upto:
-                done += 1
-                if s[done - 1] not in single:
-                    best[done], back[done] = best[done - 1] + other, (done - 1, -1)
-
+        # ends of characters that are no piece and may stand alone
+        alone = [i for i, c in enumerate(s, 1) if c not in self.single]
+        alone.reverse()
         for end, (i, n, score) in self.auto.iter(s):
             end += 1
-            alone(end)
+            while alone and alone[-1] <= end:
+                k = alone.pop()
+                best[k], back[k] = best[k - 1] + self.other, (k - 1, -1)
             if (total := best[end - n] + score) > best[end]:
                 best[end], back[end] = total, (end - n, i)
-        alone(len(s))
+        for k in reversed(alone):
+            best[k], back[k] = best[k - 1] + self.other, (k - 1, -1)
         out: list[int] = []
         at = len(s)
         while at:
@@ -113,7 +110,7 @@ class Pieces:
         segments = _SEGMENT.findall(s) if self.apart else [s]
         return np.frombuffer(b"".join([known.get(x) or solve(x) for x in segments]), np.int32)
 
-    def decode(self, ids: np.ndarray) -> str:
+    def decode(self, ids: list[int]) -> str:
         """The text of ``ids``; control pieces are empty, the space in front goes, broken bytes become U+FFFD."""
         surface = self.surface
         out = b"".join([surface[i] for i in ids]).decode("utf-8", "replace")
@@ -125,23 +122,26 @@ def _pieces(model: bytes) -> Pieces:
     return Pieces(model)
 
 
-def encode(docs: DataFrame, model: bytes, text: str = "text", out: str = "ids") -> DataFrame:
-    """Add ``out``, the ids of each whole text; empty for a null or empty text. A column of that name is replaced.
+def encode(docs: DataFrame, model: bytes, text: str = "text", out: str = "ids", decoded: str | None = None) -> DataFrame:
+    """Add ``out``, the ids of each whole text; empty for a null or empty text. Columns of the new names are replaced.
 
-    Each row is encoded alone; the model (under a MB, read once by the driver) goes to tasks as a broadcast.
+    With ``decoded`` the ids are decoded again in the same pass, into a column of that name. Each row is
+    encoded alone, a few MB of text at a time; the model (under a MB, read once by the driver) goes to tasks as a broadcast.
     """
-    docs = docs.drop(out)
+    docs = docs.drop(out, *([decoded] if decoded else []))
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(sent.value)
-        for b in batches:
+        for b in sliced(batches, text):
             ids = [pieces.encode(t or "") for t in b.column(text).to_pylist()]
             ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-            column = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
-            yield pa.RecordBatch.from_arrays([*b.columns, column], names=[*b.schema.names, out])
+            columns = [*b.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))]
+            if decoded:
+                columns.append(pa.array([pieces.decode(i.tolist()) for i in ids], pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, names=[*b.schema.names, out, *([decoded] if decoded else [])])
 
-    return docs.mapInArrow(run, extended(docs, **{out: "array<int>"}))
+    return docs.mapInArrow(run, extended(docs, **{out: "array<int>"} | ({decoded: "string"} if decoded else {})))
 
 
 def decode(rows: DataFrame, model: bytes, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -153,8 +153,8 @@ def decode(rows: DataFrame, model: bytes, ids: str = "ids", out: str = "decoded"
         pieces = _pieces(sent.value)
         for b in batches:
             column = b.column(b.schema.get_field_index(ids))
-            flat, ends = column.values.to_numpy(zero_copy_only=False).tolist(), column.offsets.to_pylist()
-            texts = [pieces.decode(flat[s:e]) for s, e in zip(ends, ends[1:], strict=False)]
+            # a row at a time: a list of all numbers of a batch would take ten times their bytes
+            texts = [pieces.decode(row.values.to_numpy(zero_copy_only=False).tolist() if row.is_valid else []) for row in column]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, out])
 
     return rows.mapInArrow(run, extended(rows, **{out: "string"}))
@@ -163,6 +163,6 @@ def decode(rows: DataFrame, model: bytes, ids: str = "ids", out: str = "decoded"
 def op9_sentencepiece(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     """All documents: ids, their number and hash, the decoded text's digest, and whether it is the text again (with marks as spaces)."""
     model = read_model(path or default_model())
-    rows = decode(encode(documents(spark, sf_dir).select("doc_id", "text"), model), model)
+    rows = encode(documents(spark, sf_dir).select("doc_id", "text"), model, decoded="decoded")
     same = F.translate(F.coalesce("text", F.lit("")), MARK, " ") == F.col("decoded")
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.xxhash64("ids").alias("ids_hash"), F.sha2("decoded", 256).alias("decoded_sha256"), same.alias("round_trip"))
