@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import documents, extended
 
 #: Rows that the model learns from at most, about: a sample by a hash of the id. Bounds the model with LEAST.
-TRAIN_ROWS = 4000
+TRAIN_ROWS = 2000
 #: A word or n-gram seen less often is dropped.
 LEAST = 2
 LONGEST = 5
@@ -62,7 +62,7 @@ def fit(rows: DataFrame, max_rows: int = TRAIN_ROWS, least: int = LEAST) -> dict
                 yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(counts), pa.string()), "kind": pa.array([kind] * len(counts), pa.string()), "part": pa.array(list(counts), pa.string()), "n": pa.array(list(counts.values()), pa.int64())})
 
     counts = rows.mapInArrow(count, "lang string, kind string, part string, n long").groupBy("lang", "kind", "part").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    got = counts.toPandas()
+    got = counts.toArrow().to_pandas()
     langs = sorted(got["lang"].unique())
     model: dict = {"langs": langs}
     for kind in "wg":
@@ -90,9 +90,10 @@ class Scorer:
         self.langs = model["langs"]
         self.words, table = model["w"]
         self.grams, self.gram_table = model["g"]
-        self.table = [*table]
         self.index = dict(self.words)
         self.known = len(self.index)
+        self.table = np.zeros((self.known + _KEPT, len(self.langs)), np.float32)
+        self.table[: self.known] = table
 
     def _backoff(self, word: str) -> np.ndarray:
         """The mean over the longest n-grams of ``word`` that the model knows; zeros if it knows none."""
@@ -100,21 +101,20 @@ class Scorer:
         for n in range(LONGEST, 0, -1):
             at = [self.grams[g] for i in range(len(padded) - n + 1) if (g := padded[i : i + n]) in self.grams]
             if at:
-                return self.gram_table[at].mean(0)
+                return np.add.reduce(self.gram_table[at]) / len(at)
         return np.zeros(len(self.langs), np.float32)
 
     def vectors(self, words: list[str]) -> np.ndarray:
         """A row for each word."""
-        out = []
-        for w in words:
-            at = self.index.get(w)
-            if at is None:
-                if len(self.index) - self.known >= _KEPT:
-                    self.index, self.table = dict(self.words), self.table[: self.known]
-                at = self.index[w] = len(self.table)
-                self.table.append(self._backoff(w))
-            out.append(self.table[at])
-        return np.asarray(out)
+        if len(self.index) + len(words) > len(self.table) or len(words) > _KEPT:
+            self.index = dict(self.words)
+        if len(words) > _KEPT:
+            return np.concatenate([self.vectors(words[i : i + _KEPT]) for i in range(0, len(words), _KEPT)])
+        at = list(map(self.index.get, words))
+        for i in [i for i, k in enumerate(at) if k is None]:
+            at[i] = self.index[words[i]] = len(self.index)
+            self.table[at[i]] = self._backoff(words[i])
+        return self.table[at]
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """(language, score); ``und`` and 0.0 for a text that is null or without letters, and for a model without languages.
