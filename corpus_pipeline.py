@@ -20,11 +20,13 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least doc_id of each class; of rows that share it, the one with the least text."""
-    classes = near_duplicates.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    digest = F.md5("text")
-    first = classes.groupBy("class_id").agg(F.min(F.coalesce(digest, F.lit("")))).toDF("_id", "_digest")
-    kept = classes.join(first, F.col("class_id").eqNullSafe(F.col("_id")) & (F.coalesce(digest, F.lit("")) == F.col("_digest")))
-    return kept.select(docs.columns).dropDuplicates(["doc_id"])
+    digest = F.coalesce(F.md5("text"), F.lit(""))
+    key = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "digest").alias("_key")
+    # the choice is made on ids and digests; whole texts move once, to the rows that stay
+    marked = near_duplicates.near_duplicates(docs.select("doc_id", "text", digest.alias("digest"))).select("doc_id", "class_id", "digest")
+    first = marked.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id").agg(F.min("digest").alias("digest")).select(key)
+    rows = docs.withColumn("digest", digest).select(*docs.columns, key)
+    return rows.join(first, "_key").dropDuplicates(["_key"]).select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
