@@ -20,6 +20,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sliced
+
 #: Bytes of text in a chunk, beyond a single longer document.
 CHUNK = 2 << 20
 #: Entries that a bucket holds, about.
@@ -51,7 +53,7 @@ def chunks(docs: DataFrame, size: int = CHUNK) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total, k = [], 0, 0
-        for b in batches:
+        for b in sliced(batches, "text"):
             for i, t in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
                 raw = t.as_py().encode() if t.is_valid else b""
                 if held and total + len(raw) > size:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import packed
-from .common import documents, prefix_hash, rolling_hash, stored
+from .common import documents, prefix_hash, rolling_hash, span_hash, stored
 from .packed import Chunk
 from .substrings import ORDER, covered, order_of
 
@@ -22,7 +22,11 @@ SPREAD = WIDTH - GRAM + 1
 #: Chunks with an anchor from which on its strings must show that they repeat, before they are sent.
 HOT = 32
 #: Anchors that a bucket of the merge has, about, repeated or not.
-MERGED = 1 << 18
+MERGED = 1 << 17
+#: Bytes of text in a chunk: small enough for rows of half a MB.
+CHUNK = 1 << 20
+#: Bytes that are hashed at a time, beyond a longer document.
+PART = 1 << 18
 _PLACE = np.uint64((1 << 28) - 1)
 
 
@@ -39,24 +43,54 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
+def _parts(c: Chunk) -> Iterator[tuple[int, int]]:
+    """Runs of whole documents, of ``PART`` bytes or one longer document, as (first, past the last) document."""
+    first = 0
+    for d in range(1, len(c.ends) + 1):
+        if d == len(c.ends) or c.ends[d] - c.starts[first] > PART:
+            yield first, d
+            first = d
+
+
 class Runs:
-    """A chunk's anchors, each with the strings of WIDTH bytes that have it: they start at low to high."""
+    """A chunk's anchors, each with the strings of WIDTH bytes that have it: they start at low to high.
+
+    The chunk is taken in parts of whole documents, so that all intermediate arrays stay small.
+    """
 
     def __init__(self, c: Chunk):
-        self.chunk = c
-        if len(c.data) > int(_PLACE):
-            raise ValueError("a document of more than 256 MB")
-        self.prefix = prefix_hash(c.data)
-        grams = rolling_hash(self.prefix, GRAM)
-        # the least hash, then the first place; places grow along the chunk, so equal strings agree on their anchor
-        least = _least((grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64), SPREAD)
-        start = np.concatenate([np.arange(s, e - WIDTH + 1) for s, e in zip(c.starts, c.ends, strict=True) if e - s >= WIDTH] or [np.zeros(0, int)])
-        anchor = (least[start] & _PLACE).astype(np.int64)
-        doc = np.searchsorted(c.ends, start, "right")
-        new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])])) if len(start) else start
-        last = np.append(new[1:], len(start)) - 1 if len(start) else start
-        self.at, self.low, self.high, self.doc = anchor[new], start[new], start[last], doc[new]
-        self.hash = grams[self.at]
+        self.chunk, self.begin, self.prefix, found = c, [], [], [[] for _ in range(5)]
+        for first, past in _parts(c):
+            begin, end = int(c.starts[first]), int(c.ends[past - 1])
+            if end - begin > int(_PLACE):
+                raise ValueError("a document of more than 256 MB")
+            prefix = prefix_hash(c.data[begin:end])
+            self.begin.append(begin)
+            self.prefix.append(prefix)
+            grams = rolling_hash(prefix, GRAM)
+            # the least hash, then the first place; places grow along the text, so equal strings agree on their anchor
+            least = _least((grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64), SPREAD)
+            own = [(s - begin, e - begin - WIDTH + 1) for s, e in zip(c.starts[first:past].tolist(), c.ends[first:past].tolist(), strict=True)]
+            start = np.concatenate([np.arange(s, e) for s, e in own if e > s] or [np.zeros(0, int)])
+            if not len(start):
+                continue
+            anchor = (least[start] & _PLACE).astype(np.int64)
+            doc = np.searchsorted(c.ends, start + begin, "right")
+            new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])]))
+            last = np.append(new[1:], len(start)) - 1
+            for k, x in enumerate((anchor[new] + begin, start[new] + begin, start[last] + begin, doc[new], grams[anchor[new]])):
+                found[k].append(x)
+        empty = np.zeros(0, np.int64)
+        self.at, self.low, self.high, self.doc, self.hash = (np.concatenate(x) if x else empty.astype(np.uint64) if k == 4 else empty for k, x in enumerate(found))
+
+    def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of the bytes from start to end, each inside one document."""
+        part = np.searchsorted(self.begin, start, "right") - 1
+        out = np.zeros(len(start), np.uint64)
+        for k in np.unique(part):
+            of = part == k
+            out[of] = span_hash(self.prefix[k], start[of] - self.begin[k], end[of] - self.begin[k])
+        return out
 
 
 def _ask_anchors(c: Chunk, bits: int, buckets: int) -> Iterator[dict]:
@@ -80,7 +114,7 @@ def _hot(r: Runs, said: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray,
     """Strings with an anchor that is in many chunks: their starts, distinct keys, which each has, how many have it."""
     at = np.flatnonzero(said == 2)
     start = np.concatenate([np.arange(a, b + 1) for a, b in zip(r.low[at], r.high[at], strict=True)] or [np.zeros(0, int)])
-    hashed = rolling_hash(r.prefix, WIDTH)[start] if len(start) else np.zeros(0, np.uint64)
+    hashed = r.hashes(start, start + WIDTH)
     return start, *np.unique(hashed >> np.uint64(64 - bits), return_inverse=True, return_counts=True)
 
 
@@ -93,47 +127,48 @@ def _answer_twice(chunk: list[int], keys: list[np.ndarray], notes: list[bytes])
 class Records:
     """A chunk's candidate suffixes: the text from the anchor on, what stands before it, and the strings they make up.
 
-    One record stands for equal ones in the chunk, at the first place. Records are sorted by bucket and suffix.
+    One record stands for equal ones in the chunk (by two hashes of 64 bits), at the first place. Answers come
+    by bucket and place, so a chunk that takes them needs no text.
     """
 
     def __init__(self, r: Runs, low: np.ndarray, high: np.ndarray, of: np.ndarray, buckets: int):
-        raw = r.chunk.data.tobytes()
         self.low, self.high, self.of = low, high, of
-        bucket = ((r.hash >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(int)
-        first: dict[tuple, int] = {}
+        at, end = r.at[of], high + WIDTH
+        key = np.zeros(len(low), [("right", "<u8"), ("left", "<u8"), ("before", "<i8")])
+        key["right"], key["left"], key["before"] = r.hashes(at, end), r.hashes(low, at), at - low
+        by = np.argsort(low, kind="stable")
+        _, first, which = np.unique(key[by], return_index=True, return_inverse=True)
         self.first = np.zeros(len(low), int)
-        for i, (a, b, k) in enumerate(zip(low.tolist(), high.tolist(), of.tolist(), strict=True)):
-            at = int(r.at[k])
-            self.first[i] = first.setdefault((int(bucket[k]), raw[at : b + WIDTH], raw[a:at]), i)
-        self.sorted = sorted(first.items())
-        #: Where a record's answers start among those of its chunk.
-        self.place = np.zeros(len(low) + 1, int)
-        at = 0
-        for _, i in self.sorted:
-            self.place[i] = at
-            at += int(high[i] - low[i]) + 1
+        self.first[by] = by[first[which.ravel()]]
+        own = np.flatnonzero(self.first == np.arange(len(low)))
+        self.bucket = ((r.hash[of] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(int)
+        #: Records that stand for others, by bucket and place; and where their answers start.
+        self.sent = own[np.lexsort((low[own], self.bucket[own]))]
+        size = high[self.sent] - low[self.sent] + 1
+        self.place = np.zeros(len(low), int)
+        self.place[self.sent] = np.cumsum(size) - size
 
     def questions(self, r: Runs) -> Iterator[dict]:
         """A sorted, front-coded run for each bucket: the length shared with the suffix before it, and the rest."""
-        done = 0
-        while done < len(self.sorted):
-            bucket = self.sorted[done][0][0]
-            end = done
-            while end < len(self.sorted) and self.sorted[end][0][0] == bucket:
-                end += 1
-            part = self.sorted[done:end]
+        raw, bucket = r.chunk.data.tobytes(), self.bucket[self.sent]
+        cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+        for s, e in zip(cuts, cuts[1:], strict=False):
+            if e == s:
+                continue
+            own = self.sent[s:e]
+            ends, starts, lows = (self.high[own] + WIDTH).tolist(), r.at[self.of[own]].tolist(), self.low[own].tolist()
+            part = sorted((raw[a:z], raw[x:a], k) for a, z, x, k in zip(starts, ends, lows, own.tolist(), strict=True))
             last, shared, rest = b"", [], []
-            for (_, suffix, _), _ in part:
+            for suffix, _, _ in part:
                 n = shared_length(last, suffix, 0)
                 shared.append(n)
                 rest.append(suffix[n:])
                 last = suffix
-            i = np.array([i for _, i in part])
-            sizes = np.array([shared, [len(x) for x in rest], [len(x[2]) for x, _ in part], self.high[i] - self.low[i] + 1], "<u2")
+            i = np.array([k for *_, k in part])
+            sizes = np.array([shared, [len(x) for x in rest], [len(x) for _, x, _ in part], self.high[i] - self.low[i] + 1], "<u2")
             places = np.concatenate([order_of(r.chunk, r.doc[self.of[i]]).view(np.uint8), self.low[i].astype("<u4").view(np.uint8)])
-            notes = len(part).to_bytes(4, "little") + sizes.tobytes() + places.tobytes() + b"".join(rest) + b"".join(x[2] for x, _ in part)
-            yield {"bucket": bucket, "chunk": r.chunk.chunk, "keys": b"", "notes": packed.squeeze(notes, 5)}
-            done = end
+            notes = len(part).to_bytes(4, "little") + sizes.tobytes() + places.tobytes() + b"".join(rest) + b"".join(x for _, x, _ in part)
+            yield {"bucket": int(bucket[s]), "chunk": r.chunk.chunk, "keys": b"", "notes": packed.squeeze(notes, 3)}
 
 
 def shared_length(a: bytes, b: bytes, known: int) -> int:
@@ -248,8 +283,8 @@ def _merge(chunk: list[int], keys: list[np.ndarray], notes: list[bytes]) -> list
     if group:
         _settle(group, runs, keep)
     out: list = [None] * len(runs)
-    for i, k in zip(order, keep, strict=True):
-        out[i] = np.concatenate(k)
+    for i, run, k in zip(order, runs, keep, strict=True):
+        out[i] = np.concatenate([k[j] for j in sorted(range(len(run)), key=lambda j: run[j][4][3])])
     return out
 
 
@@ -275,7 +310,7 @@ def _records(row: pa.Table, answers: pa.Table, bits: int, wide: int, buckets: in
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
-def without_repeats(docs: DataFrame, texts: bool = True, chunk_bytes: int = packed.CHUNK, hot: int = HOT) -> DataFrame:
+def without_repeats(docs: DataFrame, texts: bool = True, chunk_bytes: int = CHUNK, hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) for each row of ``docs`` (doc_id, text).
 
     A byte of a text's UTF-8 goes if a string of 100 bytes that covers it stands at an earlier place too: in a
@@ -327,11 +362,12 @@ def without_repeats(docs: DataFrame, texts: bool = True, chunk_bytes: int = pack
             return pa.Table.from_pylist([], schema=kind)
         r, records = _records(row, answers, bits, wide, merge)
         c, keep = packed.joined(row, answers.filter(pa.array(answers.column("kind").to_numpy() == 2)))
-        gone = []
-        for i, (low, high) in enumerate(zip(records.low.tolist(), records.high.tolist(), strict=True)):
-            starts, at = np.arange(low, high + 1), records.place[i]
-            gone.append(starts[keep[at : at + len(starts)] == 0] if records.first[i] == i else starts)
-        lost = covered(np.concatenate([*gone, np.zeros(0, int)]), WIDTH, len(c.data))
+        size = records.high - records.low + 1
+        nth = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        starts, own = np.repeat(records.low, size) + nth, np.repeat(records.first == np.arange(len(size)), size)
+        stays = np.zeros(len(starts), bool)
+        stays[own] = keep[(np.repeat(records.place, size) + nth)[own]] > 0
+        lost = covered(starts[~stays], WIDTH, len(c.data))
         out = []
         for d, (s, e) in enumerate(zip(c.starts, c.ends, strict=True)):
             left, own = c.data[s:e][~lost[s:e]].tobytes(), lost[s:e]
