@@ -19,20 +19,24 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each class; of rows that share it, the one with the least text."""
-    digest = F.coalesce(F.md5("text"), F.lit(""))
-    key = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "digest").alias("_key")
+    """Of each class the row with the least doc_id, nulls last, and of rows that share it the one with the least digest.
+
+    Classes are told apart by their label, as unrelated texts may share a doc_id or have none. Rows with a null text are
+    classes of their own and all stay.
+    """
     # the choice is made on ids and digests; whole texts move once, to the rows that stay
-    marked = near_duplicates.near_duplicates(docs.select("doc_id", "text", digest.alias("digest"))).select("doc_id", "class_id", "digest")
-    first = marked.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id").agg(F.min("digest").alias("digest")).select(key)
-    rows = docs.withColumn("digest", digest).select(*docs.columns, key)
-    return rows.join(first, "_key").dropDuplicates(["_key"]).select(docs.columns)
+    nodes = near_duplicates.labelled(docs.select("doc_id", "text"))
+    first = nodes.groupBy("label").agg(F.min(F.struct(F.col("low").isNull().alias("none"), "low", "node")).alias("_first")).select("_first.low", "_first.node")
+    key = lambda i, digest: F.concat_ws("|", F.coalesce(F.col(i).cast("string"), F.lit("null")), digest).alias("_key")  # noqa: E731  (one column, so that the join's shuffle also serves what follows)
+    rows = docs.where("text IS NOT NULL").select(*docs.columns, key("doc_id", F.md5("text")))
+    kept = rows.join(first.select(key("low", F.col("node"))), "_key").dropDuplicates(["_key"])
+    return kept.select(docs.columns).union(docs.where("text IS NULL"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark passage."""
-    found = decontamination.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    """Documents that hold no benchmark passage; each text is judged alone, whatever rows share its doc_id."""
+    found = decontamination.contaminated_texts(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("_id"), "digest").distinct()
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.md5("text") == F.col("digest")), "left_anti")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

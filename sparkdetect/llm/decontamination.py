@@ -44,13 +44,18 @@ def _verified(window: int, share: int) -> Column:
     return F.expr(f"if({low} > {high}, false, exists(sequence({low}, {high}), s -> aggregate(slice({equal}, s + 1, {width}), 0, (a, x) -> a + x) * 100 >= {share} * {width}))")
 
 
-def contaminated(docs: DataFrame, items: DataFrame, window: int = 20, share: int = 80, bound: int = BROADCAST_BYTES) -> DataFrame:
-    """(doc_id, item_id) for each document that holds a passage of ``items`` (item_id, text).
+def contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
+    """(doc_id, item_id) for each document that holds a passage of ``items``; equal doc_ids are one document, null is one too."""
+    return contaminated_texts(docs, items, **options).select("doc_id", "item_id").distinct()
+
+
+def contaminated_texts(docs: DataFrame, items: DataFrame, window: int = 20, share: int = 80, bound: int = BROADCAST_BYTES) -> DataFrame:
+    """(doc_id, digest, item_id) for each doc_id and text that hold a passage of ``items`` (item_id, text); digest is the text's md5.
 
     A document holds a passage if ``window`` consecutive tokens of it (the whole passage, if shorter) agree
     in ``share`` hundredths of the tokens, position by position, at an offset at which a seed agrees; so
     substituted tokens do no harm. Passages shorter than a mask are sought by a seed of all their tokens.
-    Null and empty texts hold nothing. Equal doc_ids are one document; a null doc_id is a document too.
+    Null and empty texts hold nothing. Texts that share a doc_id, null too, are judged apart.
 
     Only ids and seeds meet in the join; the whole texts come back for documents with a hit.
     """
@@ -67,8 +72,8 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = 20, share: int
     met = asked.join(F.broadcast(seeds) if small else seeds, "seed").select("doc_id", "row", "item_id", (F.col("at") - F.col("item_at")).alias("off")).distinct()
     hits = met.groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).agg(F.collect_list(F.struct("item_id", "off")).alias("hits"))
     back = own.join(hits, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")))
-    back = back.select("doc_id", token_hashes(F.col("text")).alias("tok"), F.explode("hits").alias("hit")).select("doc_id", "tok", "hit.item_id", "hit.off")
-    return back.join(F.broadcast(tests) if small else tests, "item_id").where(_verified(window, share)).select("doc_id", "item_id").distinct()
+    back = back.select("doc_id", F.md5("text").alias("digest"), token_hashes(F.col("text")).alias("tok"), F.explode("hits").alias("hit")).select("doc_id", "digest", "tok", "hit.item_id", "hit.off")
+    return back.join(F.broadcast(tests) if small else tests, "item_id").where(_verified(window, share)).select("doc_id", "digest", "item_id").distinct()
 
 
 def mark_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:

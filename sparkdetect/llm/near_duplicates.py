@@ -247,15 +247,25 @@ def links(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     texts = stored(own.join(met, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.md5("text") == F.col("node"))).select("node", "text").dropDuplicates(["node"]))
     found = stored(verified(pairs, texts, similarity))
     labels = components(found, "a", "b")
-    labelled = members.select("key", "band", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    rest = labelled.join(mixed, "key").join(sketches.select("node", "brief", "n_bytes"), "node")
+    named = members.select("key", "band", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+    rest = named.join(mixed, "key").join(sketches.select("node", "brief", "n_bytes"), "node")
     needed = stored(_needed(rest, similarity))
     sets = shingle_sets(texts.join(needed.select("node").distinct(), "node"))
     more = stored(_linked(needed.join(sets, "node"), similarity))
     return found.union(more)
 
 
+def labelled(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(node, low, label) of each distinct text: its digest, the least doc_id of its rows (null if none has one) and its class.
+
+    The label is the least digest of the class, so classes stay apart whatever their doc_ids are.
+    """
+    labels = components(links(docs, similarity), "a", "b")
+    nodes = docs.select("doc_id", F.md5("text").alias("node")).where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("low"))
+    return nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Add class_id, the least doc_id of the row's class, to ``docs`` (doc_id, text); columns named class_id are replaced.
 
@@ -265,14 +275,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     Signatures weigh a shingle by 1 + ln(count). Copies are grouped before anything else is done with them.
     """
     docs = docs.drop("class_id")
-    edges = links(docs, similarity)
-    labels = components(edges, "a", "b")
-    keyed = docs.withColumn("_node", F.md5("text"))
-    nodes = keyed.where("_node IS NOT NULL").groupBy(F.col("_node").alias("node")).agg(F.min("doc_id").alias("low"))
-    nodes = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    nodes = labelled(docs, similarity)
     # a component of many nodes is summed before its shuffle; a row for each component comes back
     least = nodes.groupBy("label").agg(F.min("low").alias("class_id"))
     classes = stored(nodes.join(least, "label").select(F.col("node").alias("_node"), "class_id"))
+    keyed = docs.withColumn("_node", F.md5("text"))
     return keyed.join(classes, "_node", "left").withColumn("class_id", F.coalesce("class_id", "doc_id")).drop("_node")
 
 

@@ -231,3 +231,16 @@ def test_pipeline_on_awkward_rows(spark, odd, tmp_path):
     docs.where("false").write.parquet(str(tmp_path / "e" / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "e" / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path / "e")).count() == 0
+
+
+def test_rows_that_share_an_id_are_judged_apart(spark, tmp_path):
+    """Unrelated texts with one doc_id, or with none, are classes of their own and leak on their own."""
+    text = lambda name: " ".join(f"{name}{i}" for i in range(30))
+    rows = [(5, text("a")), (7, text("a")), (5, text("b")), (9, text("b")), (None, text("c")), (None, text("d")), (None, text("d")), (8, text("d")), (None, text("e")), (3, None), (None, None), (None, None)]
+    docs = spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, lang string")
+    kept = corpus_pipeline.keep_one_of_near_copies(spark, docs, "")
+    want = [(5, text("a")), (5, text("b")), (None, text("c")), (8, text("d")), (None, text("e")), (3, None), (None, None), (None, None)]
+    assert kept.columns == docs.columns and sorted((tuple(r)[:2] for r in kept.collect()), key=str) == sorted(want, key=str)
+    items(spark, text("a"), text("c")).write.parquet(str(tmp_path / "benchmark.parquet"))
+    clean = corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path))
+    assert sorted((tuple(r)[:2] for r in clean.collect()), key=str) == sorted((r for r in rows if r[1] not in (text("a"), text("c"))), key=str)
