@@ -8,6 +8,7 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +27,10 @@ _UNICODE = re.compile(r"[^\s\"'<>]*(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#[0-9
 _ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])")
 _URLSAFE = str.maketrans("-_", "+/")
+#: Control characters and bytes that are no UTF-8 (as surrogates); ASCII as UTF-16; the shortest secret, "token=" and six characters.
+_BREAKS = re.compile("([\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\udc80-\\udcff]+)")
+_UTF16_LE, _UTF16_BE = re.compile(rb"(?:[\t\n\r\x20-\x7e]\0){12,}"), re.compile(rb"(?:\0[\t\n\r\x20-\x7e]){12,}")
+_LEAST = 12
 #: A compressed layer that unpacks to more is left alone: a guard against archives made to fill memory.
 UNPACKED_BYTES = 64 << 20
 
@@ -49,24 +54,33 @@ def _sorted(spans: list[Span]) -> list[Span]:
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
-def _decoded(data: bytes, starts: list[int], ends: list[int]) -> Layer | None:
-    """Bytes with the source of each byte as a text with the source of each character; None if they are no UTF-8 text."""
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    if any(ord(c) < 32 and c not in "\t\n\r" for c in text):
-        return None
-    low, high, at = [], [], 0
-    for c in text:
-        n = len(c.encode("utf-8"))
-        low.append(starts[at])
-        high.append(ends[at + n - 1])
+def _stretches(data: bytes) -> Iterator[tuple[str, list[int], list[int]]]:
+    """The printable stretches of ``data`` with the byte at which each character starts and ends: UTF-8, and UTF-16 of ASCII.
+
+    What is no UTF-8 or a control character ends a stretch, and no pattern crosses one. Stretches under ``_LEAST``
+    characters hold neither a secret nor a layer with one.
+    """
+    at, text = 0, data.decode("utf-8", "surrogateescape")
+    for part in _BREAKS.split(text):  # breaks are kept, at odd places; each of their characters is one byte
+        n = len(part) if part.isascii() else len(part.encode("utf-8", "surrogateescape"))
+        if len(part) >= _LEAST and not _BREAKS.match(part):
+            size = [1] * n if len(part) == n else [len(c.encode("utf-8")) for c in part]
+            ends = list(accumulate(size, initial=at))
+            yield part, ends[:-1], ends[1:]
         at += n
-    return text, low, high
+    for pattern, first in ((_UTF16_LE, 0), (_UTF16_BE, 1)):
+        for m in pattern.finditer(data):
+            low = range(m.start(), m.end(), 2)
+            yield m[0][first::2].decode("ascii"), list(low), [i + 2 for i in low]
 
 
-def _percent(part: str, at: int) -> Layer | None:
+def _decoded(data: bytes, starts: list[int], ends: list[int]) -> Iterator[Layer]:
+    """The printable stretches of bytes, of which each has its source, with the source of each character."""
+    for text, low, high in _stretches(data):
+        yield text, [starts[i] for i in low], [ends[i - 1] for i in high]
+
+
+def _percent(part: str, at: int) -> Iterator[Layer]:
     data, low, high, i = bytearray(), [], [], 0
     while i < len(part):
         n = 3 if part[i] == "%" and re.fullmatch("[0-9A-Fa-f]{2}", part[i + 1 : i + 3]) else 1
@@ -75,10 +89,10 @@ def _percent(part: str, at: int) -> Layer | None:
         low += [at + i] * len(got)
         high += [at + i + n] * len(got)
         i += n
-    return _decoded(bytes(data), low, high)
+    yield from _decoded(bytes(data), low, high)
 
 
-def _escaped(part: str, at: int) -> Layer | None:
+def _escaped(part: str, at: int) -> Layer:
     out, low, high, last = [], [], [], 0
 
     def plain(a: int, b: int) -> None:
@@ -113,27 +127,29 @@ def _unpacked(data: bytes) -> bytes | None:
         return None
 
 
-def _base64(part: str, at: int) -> Layer | None:
+def _base64(part: str, at: int) -> Iterator[Layer]:
     body = part.rstrip("=").translate(_URLSAFE)
     if len(body) % 4 == 1:
-        return None
+        return
     try:
         data = base64.b64decode(body + "=" * (-len(body) % 4))
     except (binascii.Error, ValueError):
-        return None
+        return
     low, high = [at + j * 8 // 6 for j in range(len(data))], [at + j * 8 // 6 + 2 for j in range(len(data))]
     while (inner := _unpacked(data)) is not None and inner != data:
         data, low, high = inner, [at] * len(inner), [at + len(part)] * len(inner)
-    return _decoded(data, low, high)
+    yield from _decoded(data, low, high)
 
 
 def _layers(text: str) -> Iterator[Layer]:
     """What the parts of ``text`` hold one layer down, with positions in ``text``."""
     if "%" in text:
-        yield from filter(None, (_percent(m[0], m.start()) for m in _PERCENT.finditer(text)))
+        for m in _PERCENT.finditer(text):
+            yield from _percent(m[0], m.start())
     if "\\" in text or "&#" in text:
-        yield from filter(None, (_escaped(m[0], m.start()) for m in _UNICODE.finditer(text)))
-    yield from filter(None, (_base64(m[0], m.start()) for m in _BASE64.finditer(text)))
+        yield from (_escaped(m[0], m.start()) for m in _UNICODE.finditer(text))
+    for m in _BASE64.finditer(text):
+        yield from _base64(m[0], m.start())
 
 
 def all_spans(text: str, base: list[Span] | None = None) -> list[Span]:

@@ -244,3 +244,17 @@ def test_rows_that_share_an_id_are_judged_apart(spark, tmp_path):
     items(spark, text("a"), text("c")).write.parquet(str(tmp_path / "benchmark.parquet"))
     clean = corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path))
     assert sorted((tuple(r)[:2] for r in clean.collect()), key=str) == sorted((r for r in rows if r[1] not in (text("a"), text("c"))), key=str)
+
+
+def found_in(text, part):
+    """Does a secret of ``text`` lie within ``part`` of it?"""
+    at = text.index(part)
+    return any(k == "assign" and at <= a < b <= at + len(part) for k, a, b in secrets.all_spans(text))
+
+
+@pytest.mark.parametrize("part", [
+    "/a?n=caf%E9&password%3Dhunter22x", "x=%00&password%3Dhunter22x", "password%3Dhunter22x%00%FF", base64.b64encode(INNER.encode("utf-16-le")).decode(), base64.b64encode(INNER.encode("utf-16-be")).decode(), base64.b64encode(INNER.encode("utf-16")).decode(),
+    base64.b64encode(b"\x00\xff\x90" + INNER.encode() + b"\x01\xfe").decode(), base64.b64encode(gzip.compress(b"\xff\x00" + INNER.encode())).decode(), base64.b64encode("é日\x02".encode() + urllib.parse.quote(INNER, safe="").encode() + b"\xe9").decode(),
+])
+def test_layers_with_bytes_that_are_no_text(part):
+    assert found_in(f"ä {part} end", part)
