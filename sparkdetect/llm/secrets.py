@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import base64
-import binascii
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Iterator, Sequence
 from itertools import accumulate
 
 import pyarrow as pa
@@ -25,7 +25,10 @@ _NAMES = re.compile(r"passw|secret|token|api_?key")
 _PERCENT = re.compile(r"[^\s\"'<>]*%[0-9A-Fa-f]{2}[^\s\"'<>]*")
 _UNICODE = re.compile(r"[^\s\"'<>]*(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)[^\s\"'<>]*")
 _ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])")
+#: A run of base64 characters, also one that goes on over line ends; and what may stand before a blob within a run.
+_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:[\x20\t]*\r?\n[\x20\t]*[A-Za-z0-9+/_-]+)*(?:[\x20\t]*\r?\n[\x20\t]*(?==))?={0,2}")
+_BEFORE = re.compile(r"[+/_-]")
+_INNER = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _URLSAFE = str.maketrans("-_", "+/")
 #: Control characters and bytes that are no UTF-8 (as surrogates); ASCII as UTF-16; the shortest secret, "token=" and six characters.
 _BREAKS = re.compile("([\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\udc80-\\udcff]+)")
@@ -115,30 +118,55 @@ def _escaped(part: str, at: int) -> Layer:
     return "".join(out), low, high
 
 
-def _unpacked(data: bytes) -> bytes | None:
-    """What a zlib or gzip stream holds; None if it is none or larger than the guard allows."""
-    if data[:2] != b"\x1f\x8b" and not (data[:1] == b"\x78" and len(data) > 2 and int.from_bytes(data[:2], "big") % 31 == 0):
+def _unpacked(data: bytes, at: int = 0) -> bytes | None:
+    """What a zlib or gzip stream at ``at`` holds; None if it is none or larger than the guard allows."""
+    head = data[at : at + 2]
+    if head != b"\x1f\x8b" and not (head[:1] == b"\x78" and len(data) > at + 2 and int.from_bytes(head, "big") % 31 == 0):
         return None
     try:
         worker = zlib.decompressobj(47)
-        out = worker.decompress(data, UNPACKED_BYTES)
+        out = worker.decompress(memoryview(data)[at:], UNPACKED_BYTES)
         return out if worker.eof else None
     except zlib.error:
         return None
 
 
 def _base64(part: str, at: int) -> Iterator[Layer]:
-    body = part.rstrip("=").translate(_URLSAFE)
-    if len(body) % 4 == 1:
-        return
-    try:
-        data = base64.b64decode(body + "=" * (-len(body) % 4))
-    except (binascii.Error, ValueError):
-        return
-    low, high = [at + j * 8 // 6 for j in range(len(data))], [at + j * 8 // 6 + 2 for j in range(len(data))]
-    while (inner := _unpacked(data)) is not None and inner != data:
-        data, low, high = inner, [at] * len(inner), [at + len(part)] * len(inner)
-    yield from _decoded(data, low, high)
+    """What a run of base64 characters holds from its start, from after each separator in it and from each of its lines on.
+
+    Starts that lie a multiple of four characters apart are decoded at once, as each holds the end of the one before;
+    what is rubbish before a blob, or after it, ends at a break or does no harm. A compressed layer is sought at each start.
+    """
+    lines, places = [], []
+    for m in re.finditer(r"[^\s=]+", part):
+        lines.append(lines[-1] + len(places[-1]) if lines else 0)
+        places.append(range(at + m.start(), at + m.end()))
+    where: Sequence[int] = places[0] if len(places) == 1 else [i for p in places for i in p]
+    body = "".join(part[p.start - at : p.stop - at] for p in places)
+    starts = sorted({*lines, *(m.end() for m in _BEFORE.finditer(body))})
+    body, end = body.translate(_URLSAFE), at + len(part)
+    for phase in range(4):
+        own = [s for s in starts if s % 4 == phase and s <= len(body) - 16]
+        if not own:
+            continue
+        raw = body[own[0] : len(body) - ((len(body) - phase) % 4 == 1)]
+        data = base64.b64decode(raw + "=" * (-len(raw) % 4))
+        for s in own:
+            inner = _unpacked(data, (s - own[0]) // 4 * 3)
+            while inner is not None:
+                yield from ((text, [where[s]] * len(text), [end] * len(text)) for text, _, _ in _stretches(inner))
+                inner = None if (more := _unpacked(inner)) == inner else more
+        for text, first, last in _stretches(data):
+            low, high = [where[own[0] + j * 4 // 3] for j in first], [where[min(own[0] + (j - 1) * 4 // 3 + 1, len(where) - 1)] + 1 for j in last]
+            yield text, low, high
+            # rubbish that touches a start would shift what is encoded again
+            for s in own[bisect_left(own, own[0] + first[0] * 4 // 3 + 1) :]:
+                j = (s - own[0]) // 4 * 3
+                if j > first[-1]:
+                    break
+                i = bisect_left(first, j)
+                if first[i] == j and i and _INNER.match(text, i - 1) and (m := _INNER.match(text, i)):
+                    yield m[0], low[i : m.end()], high[i : m.end()]
 
 
 def _layers(text: str) -> Iterator[Layer]:

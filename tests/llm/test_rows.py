@@ -258,3 +258,27 @@ def found_in(text, part):
 ])
 def test_layers_with_bytes_that_are_no_text(part):
     assert found_in(f"ä {part} end", part)
+
+
+BLOBS = [base64.b64encode(INNER.encode()).decode(), base64.b64encode(zlib.compress(INNER.encode())).decode(), base64.b64encode(base64.b64encode(INNER.encode())).decode(), base64.urlsafe_b64encode((INNER + "???>>>").encode()).decode().rstrip("=")]
+
+
+@pytest.mark.parametrize("around", ["data={}", "?cfg={}&y=1", "a_long_enough_name_here={}", "https://h/a/{}", "https://host.example/some/path-of/v_1/{}?x", "https://h/abc/{}/tail", "id-{}", "pre_{}", "{}=x", "data={}={}"])
+@pytest.mark.parametrize("blob", BLOBS)
+def test_blobs_where_they_commonly_stand(around, blob):
+    text = around.replace("{}", blob)
+    assert found_in(text, text)
+    assert INNER not in text and found_in("ä " + text + " end", text)
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\n   "])
+@pytest.mark.parametrize("lead", ["", "data=", "internationalization\n"])
+def test_blobs_wrapped_over_lines(lead, end):
+    noise = hashlib.sha512(b"noise").digest()
+    for raw in (b"x" * 50 + b" " + INNER.encode() + b" y" * 40, gzip.compress(noise + INNER.encode() + noise)):
+        blob = base64.b64encode(raw).decode()
+        for width in (64, 24):
+            wrapped = end.join(blob[i : i + width] for i in range(0, len(blob), width))
+            assert found_in(f"ä {lead}{wrapped}\n. end", wrapped)
+    spans = secrets.all_spans(text := "ä " + end.join([blob[:20], blob[20:]]) + " end")
+    assert secrets.redacted(text, spans) == "ä [SECRET] end"
