@@ -14,7 +14,7 @@ from ..operators.graph import components
 from .common import documents, mix, powers, prefix_hash, rolling_hash, sliced, span_hash, stored, words
 
 WORDS, SIMILARITY = 5, 0.8
-#: 24 bands of 6 components: a pair at 0.8 meets in a band with a chance above 0.999.
+#: 24 bands of 6 components: a pair at 0.8 meets in a band of the signatures of sets with a chance above 0.999.
 BANDS, DEPTH = 24, 6
 SIZE = BANDS * DEPTH
 #: Members of a bucket, and bytes of their shingles, that one task compares with as many others.
@@ -80,6 +80,18 @@ def _band_keys(signature: np.ndarray) -> np.ndarray:
     return mix(parts.sum(2, dtype=np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)).view(np.int64)
 
 
+def _both_signatures(own: np.ndarray, value: np.ndarray, count: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures with weights of 1, which agree with the Jaccard similarity of sets, and with weights of 1 + ln(count).
+
+    Texts without a repeated shingle have the same for both.
+    """
+    sets = signatures(own, value, np.ones(len(own)), texts)
+    more = np.bincount(own[count > 1], minlength=texts) > 0
+    weighted, use = sets.copy(), more[own]
+    weighted[more] = signatures((np.cumsum(more) - 1)[own[use]], value[use], 1 + np.log(count[use]), int(more.sum()))
+    return sets, weighted
+
+
 def _steps(items: list[tuple], size) -> Iterator[list[tuple]]:
     step, total = [], 0
     for item in items:
@@ -93,7 +105,10 @@ def _steps(items: list[tuple], size) -> Iterator[list[tuple]]:
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """(node, doc_id, keys, brief, n_bytes) of each distinct text with a word: its digest, a document that has it, band keys, 16 bits of each component, and the bytes of its shingles."""
+    """(node, doc_id, keys, brief, n_bytes) of each distinct text with a word: its digest, a document that has it, band keys, 16 bits of each component, and the bytes of its shingles.
+
+    Keys and components are those of the set; where the weighted signature differs they follow, with null for an equal key.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()  # copies in this task; forgotten now and then, as the shuffle below drops the rest
@@ -107,13 +122,18 @@ def sketched(docs: DataFrame) -> DataFrame:
                 seen.clear()
             for step in _steps(fresh, lambda x: len(x[2])):
                 own, value, count = shingles([x[2] for x in step])
-                sig = signatures(own, value, 1 + np.log(count), len(step))
+                sets, weighted = _both_signatures(own, value, count, len(step))
                 held = np.bincount(own, minlength=len(step))
                 has = held > 0
-                keys, brief = _band_keys(sig)[has], (sig[has] & np.uint64(0xFFFF)).astype("<u2")
-                keys = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
+                sets, weighted = sets[has], weighted[has]
+                keys, more = _band_keys(sets), _band_keys(weighted)
+                differs = (keys != more).any(1)
+                take = np.concatenate([np.ones(keys.shape, bool), np.repeat(differs[:, None], BANDS, 1)], 1)
+                null = np.concatenate([np.zeros(keys.shape, bool), keys == more], 1)[take]
+                keys = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(take.sum(1))).astype(np.int32)), pa.array(np.concatenate([keys, more], 1)[take], mask=null))
+                brief = [(np.concatenate([x, y]) if d else x).astype("<u2").tobytes() for x, y, d in zip(sets & np.uint64(0xFFFF), weighted & np.uint64(0xFFFF), differs, strict=True)]
                 at = np.flatnonzero(has)
-                yield pa.RecordBatch.from_arrays([pa.array([step[i][0] for i in at], pa.string()), pa.array([step[i][1] for i in at], pa.int64()), keys, pa.array([r.tobytes() for r in brief], pa.binary()), pa.array(held[has] * 8, pa.int64())], names=["node", "doc_id", "keys", "brief", "n_bytes"])
+                yield pa.RecordBatch.from_arrays([pa.array([step[i][0] for i in at], pa.string()), pa.array([step[i][1] for i in at], pa.int64()), keys, pa.array(brief, pa.binary()), pa.array(held[has] * 8, pa.int64())], names=["node", "doc_id", "keys", "brief", "n_bytes"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "node string, doc_id long, keys array<long>, brief binary, n_bytes long").dropDuplicates(["node"])
 
@@ -166,11 +186,13 @@ def _alike(own: np.ndarray, have: np.ndarray, similarity: float) -> bool:
 def _passing(table: pa.Table, similarity: float) -> tuple[np.ndarray, Iterator[tuple[int, np.ndarray]]]:
     """(labels as numbers, pairs): each member of a pair of blocks with those of other labels that its signature does not rule out.
 
-    A pair counts in the first band in which it meets, and the bound lies four standard errors below ``similarity``.
+    A pair counts in the first band in which it meets, by either signature, and the bound on the agreement of the
+    signatures of sets lies four standard errors below ``similarity``.
     """
     least = int(SIZE * (similarity - 4 * (similarity * (1 - similarity) / SIZE) ** 0.5))
     _, label = np.unique(np.array(table.column("label").to_pylist(), object), return_inverse=True)
-    sig = np.frombuffer(b"".join(table.column("brief").to_pylist()), "<u2").reshape(len(label), SIZE)
+    brief = table.column("brief").to_pylist()
+    sig, weighted = (np.frombuffer(b"".join(part), "<u2").reshape(len(label), SIZE) for part in ([x[: 2 * SIZE] for x in brief], [x[-2 * SIZE :] for x in brief]))
     own, (i, j, band) = np.array(table.column("own").to_pylist()), (table.column(c)[0].as_py() for c in ("i", "j", "band"))
     left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
 
@@ -178,8 +200,12 @@ def _passing(table: pa.Table, similarity: float) -> tuple[np.ndarray, Iterator[t
         for x in left:
             to = right[label[right] != label[x]]
             to = to[to > x] if i == j else to
-            same = sig[to] == sig[x]
-            yield x, to[(same.sum(1) >= least) & (same.reshape(-1, BANDS, DEPTH).all(2).argmax(1) == band)]
+            to = to[(sig[to] == sig[x]).sum(1) >= least]
+            meets = np.zeros((len(to), BANDS), bool)
+            for mine in (sig, weighted):
+                for other in (sig, weighted):
+                    meets |= (other[to] == mine[x]).reshape(-1, BANDS, DEPTH).all(2)
+            yield x, to[meets.argmax(1) == band]
 
     return label, pairs()
 
@@ -235,7 +261,8 @@ def links(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     meet each other in blocks. No bucket is capped.
     """
     sketches = stored(sketched(docs))
-    at = sketches.select("node", F.posexplode("keys").alias("band", "key"))
+    # a key is that of a band's components, whichever signature they are from
+    at = sketches.select("node", F.posexplode("keys").alias("band", "key")).where("key IS NOT NULL").withColumn("band", F.col("band") % BANDS)
     shared = at.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = stored(at.join(shared, "key"))
     score = members.groupBy("node").agg(F.sum("n").alias("score"))
@@ -272,7 +299,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     Rows with equal texts are one class, and classes whose texts are linked are one: linked are texts whose
     sets of five-word shingles (lower case, split at white space) have a Jaccard similarity of ``similarity``
     or more. A row with a null text is a class of its own. Null doc_ids count only where a class has no other.
-    Signatures weigh a shingle by 1 + ln(count). Copies are grouped before anything else is done with them.
+    Texts meet by signatures of their sets, and by others that weigh a shingle by 1 + ln(count). Copies are grouped before anything else is done with them.
     """
     docs = docs.drop("class_id")
     nodes = labelled(docs, similarity)

@@ -172,3 +172,19 @@ def test_queries_return_a_row_for_each_document(spark, docs):
     n = docs.count()
     for f in (substrings.op6_substring_dedup, suffixes.op2_suffix_dedup, near_duplicates.op4_near_dedup):
         assert f(spark, SF).count() == n
+
+
+def test_texts_that_differ_by_a_repeated_line_meet(spark):
+    """The relation is that of sets, however often a shingle occurs."""
+    texts = []
+    for k in range(16):
+        text = " ".join(f"t{k}w{i}" for i in range(100))
+        texts += [text, text + f" {' '.join(f'line{k}x{i}' for i in range(12))}" * (20 if k % 2 else 200)]
+    rows = list(enumerate(texts))
+    got = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = sorted(brute_classes(rows))
+    assert sorted((r["doc_id"], r["class_id"]) for r in got.collect()) == want and {c for _, c in want} == set(range(0, 32, 2))
+    # nor does the bound on agreeing components rule out such pairs
+    own, value, count = near_duplicates.shingles([t.encode() for t in texts])
+    sets, weighted = near_duplicates._both_signatures(own, value, count, len(texts))
+    assert all((sets[i] == sets[i + 1]).sum() >= 96 for i in range(0, 32, 2)) and any((weighted[i] == weighted[i + 1]).sum() < 95 for i in range(0, 32, 2))
