@@ -63,7 +63,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
+def byte_table(seed: int = 0) -> np.ndarray:
+    """A value for each byte; other seeds give other hashes."""
+    return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03) + np.uint64(seed))
+
+
+_BYTES = byte_table()
 
 
 def prefix_hash(data: np.ndarray, table: np.ndarray | None = _BYTES) -> np.ndarray:

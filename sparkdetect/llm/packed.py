@@ -1,10 +1,10 @@
 """Packed chunks of documents, and questions about hashes that chunks ask each other.
 
 Operators that look at every position of the corpus would shuffle a row for each. Here documents are
-packed into chunks of a few MB, written once. A chunk asks about its distinct hashes in packed, sorted
+packed into chunks of several MB, written once. A chunk asks about its distinct hashes in packed, sorted
 runs, one for each bucket of the hash range; a bucket answers each run with a byte for each hash, in the
 same order, so that neither positions nor hashes travel back. A hash that is in every document costs one
-entry for each chunk.
+entry for each chunk, and there are never more rows than hashes.
 """
 
 from __future__ import annotations
@@ -20,12 +20,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced
+from .common import partitions, sliced
 
-#: Bytes of text in a chunk, beyond a single longer document.
-CHUNK = 2 << 20
-#: Entries that a bucket holds, about.
-BUCKET = 1 << 20
+#: Bytes of text in a chunk and in a part of it, each beyond a single longer document.
+CHUNK, PART = 8 << 20, 1 << 20
+#: Entries that a bucket holds, about, and buckets in a task.
+BUCKET, TOGETHER = 1 << 20, 4
 
 
 def squeeze(data: bytes, level: int = 1) -> bytes:
@@ -36,20 +36,32 @@ def unsqueeze(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
-def chunks(docs: DataFrame, size: int = CHUNK) -> DataFrame:
-    """(chunk, ids, nulls, ends, data, n_bytes, n_words): documents as they come, in rows of ``size`` bytes of text.
+SCHEMA = "chunk long, ids binary, nulls binary, ends binary, firsts binary, data array<binary>, n_bytes long, n_words long"
+ARROW = pa.schema([("chunk", pa.int64()), ("ids", pa.binary()), ("nulls", pa.binary()), ("ends", pa.binary()), ("firsts", pa.binary()), ("data", pa.list_(pa.binary())), ("n_bytes", pa.int64()), ("n_words", pa.int64())])
 
-    Inside a chunk documents are in order of doc_id, nulls last, then text. Null texts are empty.
+
+def chunks(docs: DataFrame, size: int = CHUNK, part: int = PART) -> DataFrame:
+    """(chunk, ids, nulls, ends, firsts, data, n_bytes, n_words): documents as they come, in rows of ``size`` bytes of text.
+
+    Inside a chunk documents are in order of doc_id, nulls last, then text, and ``data`` holds them in parts of whole
+    documents. Null texts are empty.
     """
 
     def row(docs: list[tuple[int | None, bytes]], k: int) -> pa.RecordBatch:
         docs.sort(key=lambda d: (d[0] is None, d[0] or 0, d[1]))
-        data = b"".join(t for _, t in docs)
-        ids = np.array([d[0] or 0 for d in docs], np.int64).tobytes()
-        nulls = np.array([d[0] is None for d in docs], np.uint8).tobytes()
-        ends = np.cumsum([len(t) for _, t in docs]).astype(np.int64).tobytes()
-        chunk = TaskContext.get().partitionId() << 32 | k
-        return pa.RecordBatch.from_pylist([{"chunk": chunk, "ids": ids, "nulls": nulls, "ends": ends, "data": squeeze(data, 3), "n_bytes": len(data), "n_words": len(data.split())}], schema=ARROW)
+        firsts, total = [0], 0
+        for i, (_, t) in enumerate(docs):
+            if i > firsts[-1] and total + len(t) > part:
+                firsts.append(i)
+                total = 0
+            total += len(t)
+        data = [squeeze(b"".join(t for _, t in docs[s:e]), 3) for s, e in zip(firsts, [*firsts[1:], len(docs)], strict=True)]
+        ends = np.cumsum([len(t) for _, t in docs]).astype(np.int64)
+        whole = {
+            "chunk": TaskContext.get().partitionId() << 32 | k, "ids": np.array([d[0] or 0 for d in docs], np.int64).tobytes(), "nulls": np.array([d[0] is None for d in docs], np.uint8).tobytes(),
+            "ends": ends.tobytes(), "firsts": np.array(firsts, np.int64).tobytes(), "data": data, "n_bytes": int(ends[-1]), "n_words": sum(len(t.split()) for _, t in docs),
+        }
+        return pa.RecordBatch.from_pylist([whole], schema=ARROW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total, k = [], 0, 0
@@ -67,31 +79,37 @@ def chunks(docs: DataFrame, size: int = CHUNK) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
 
 
-SCHEMA = "chunk long, ids binary, nulls binary, ends binary, data binary, n_bytes long, n_words long"
-ARROW = pa.schema([("chunk", pa.int64()), ("ids", pa.binary()), ("nulls", pa.binary()), ("ends", pa.binary()), ("data", pa.binary()), ("n_bytes", pa.int64()), ("n_words", pa.int64())])
-
-
 @dataclass
 class Chunk:
-    """A chunk's documents: ids, whether an id is null, and where texts start and end in the bytes."""
+    """A chunk's documents: ids, whether an id is null, where texts start and end, and the parts with their first documents."""
 
     chunk: int
     ids: np.ndarray
     nulls: np.ndarray
     starts: np.ndarray
     ends: np.ndarray
-    data: np.ndarray
+    firsts: list[int]
+    packed: list[bytes]
 
     @classmethod
     def of(cls, row: dict) -> Chunk:
         ends = np.frombuffer(row["ends"], np.int64)
-        return cls(row["chunk"], np.frombuffer(row["ids"], np.int64), np.frombuffer(row["nulls"], np.uint8) > 0, np.concatenate([[0], ends[:-1]]), ends, np.frombuffer(unsqueeze(row["data"]), np.uint8))
+        firsts = np.frombuffer(row["firsts"], np.int64).tolist()
+        return cls(row["chunk"], np.frombuffer(row["ids"], np.int64), np.frombuffer(row["nulls"], np.uint8) > 0, np.concatenate([[0], ends[:-1]]), ends, firsts, row["data"])
+
+    def parts(self) -> Iterator[tuple[int, int, int, bytes]]:
+        """(first document, past the last, place of the first byte, bytes) of each part."""
+        for first, past, data in zip(self.firsts, [*self.firsts[1:], len(self.ends)], self.packed, strict=True):
+            yield first, past, int(self.starts[first]), unsqueeze(data)
+
+
+_FIELDS = ("chunk", "ids", "nulls", "ends", "firsts", "data")
 
 
 def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
     for b in batches:
         for i in range(b.num_rows):
-            yield Chunk.of({n: b.column(n)[i].as_py() for n in ("chunk", "ids", "nulls", "ends", "data")})
+            yield Chunk.of({n: b.column(n)[i].as_py() for n in _FIELDS})
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -115,6 +133,7 @@ def buckets_for(entries: int) -> int:
 
 
 ASKED = "bucket int, chunk long, keys binary, notes binary"
+ASKED_ARROW = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("notes", pa.binary())])
 ANSWERED = "chunk long, bucket int, answer binary"
 
 
@@ -129,40 +148,47 @@ def questions(chunk: int, keys: np.ndarray, notes: list[np.ndarray], bits: int,
 
 def asked(table: DataFrame, ask: Callable[[Chunk], Iterator[dict]]) -> DataFrame:
     """The questions of all chunks."""
-    schema = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("notes", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in opened(batches):
             if rows := list(ask(c)):
-                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                yield pa.RecordBatch.from_pylist(rows, schema=ASKED_ARROW)
 
     return table.mapInArrow(run, ASKED)
 
 
-def answered(questions: DataFrame, answer: Callable[[list[int], list[np.ndarray], list[bytes]], list[np.ndarray]]) -> DataFrame:
+def dealt(rows: DataFrame, key: str, groups: int, together: int = TOGETHER) -> DataFrame:
+    """``rows`` by ``key`` in so many partitions that one has about ``together`` of all groups, however large the input."""
+    return rows.repartition(max(partitions(rows.sparkSession), -(-groups // together)), key)
+
+
+def answered(questions: DataFrame, answer: Callable[[list[int], list[np.ndarray], list[bytes]], list[np.ndarray]], buckets: int) -> DataFrame:
     """``answer`` gets a bucket's chunks, keys and notes, and returns a byte for each key of each chunk."""
     schema = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("answer", pa.binary())])
 
     def run(table: pa.Table) -> pa.Table:
         chunk = table.column("chunk").to_pylist()
-        keys = [unpack(unsqueeze(k)) if k else np.zeros(0, np.uint64) for k in table.column("keys").to_pylist()]
+        keys = [unpack(unsqueeze(k)) for k in table.column("keys").to_pylist()]
         out = answer(chunk, keys, [unsqueeze(n.as_py()) for n in table.column("notes")])
         return pa.table([pa.array(chunk, pa.int64()), table.column("bucket").combine_chunks(), pa.array([squeeze(a.astype(np.uint8).tobytes()) for a in out], pa.binary())], schema=schema)
 
-    return questions.groupBy("bucket").applyInArrow(run, ANSWERED)
+    return dealt(questions, "bucket", buckets).groupBy("bucket").applyInArrow(run, ANSWERED)
 
 
-def joined(row: pa.Table, answers: pa.Table) -> tuple[Chunk, np.ndarray]:
-    """A chunk and its answers in the order of its keys."""
-    c = Chunk.of(row.slice(0, 1).to_pylist()[0])
+def replies(answers: pa.Table) -> np.ndarray:
+    """A chunk's answers in the order of its keys."""
     got = sorted(zip(answers.column("bucket").to_pylist(), answers.column("answer").to_pylist(), strict=True))
-    return c, np.frombuffer(b"".join(unsqueeze(a) for _, a in got), np.uint8)
+    return np.frombuffer(b"".join(unsqueeze(a) for _, a in got), np.uint8)
+
+
+def chunk_of(row: pa.Table) -> Chunk:
+    return Chunk.of(row.select(list(_FIELDS)).slice(0, 1).to_pylist()[0])
 
 
-def counted(keys: list[np.ndarray], notes: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All keys of a bucket as one sorted array of distinct keys, their number of chunks, and the OR of their notes' bytes; see ``np.searchsorted``."""
+def counted(keys: list[np.ndarray], notes: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A bucket's distinct keys, sorted; how many chunks have each; the OR and the sum of its notes' bytes."""
     flat, note = np.concatenate(keys), np.frombuffer(b"".join(notes), np.uint8)
     order = np.argsort(flat, kind="stable")
     flat, note = flat[order], note[order]
     at = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
-    return flat[at], np.diff(np.append(at, len(flat))), np.bitwise_or.reduceat(note, at)
+    return flat[at], np.diff(np.append(at, len(flat))), np.bitwise_or.reduceat(note, at), np.add.reduceat(note.astype(np.int64), at)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
@@ -11,23 +13,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import packed
-from .common import documents, prefix_hash, rolling_hash, span_hash, stored
+from .common import documents, prefix_hash, rolling_hash, stored
 from .packed import Chunk
-from .substrings import ORDER, covered, order_of
 
 WIDTH = 100
-#: Bytes of an anchor. Every string of WIDTH bytes holds WIDTH - GRAM + 1 of them; the one of least hash is its anchor.
-GRAM = 36
-SPREAD = WIDTH - GRAM + 1
-#: Chunks with an anchor from which on its strings must show that they repeat, before they are sent.
-HOT = 32
-#: Anchors that a bucket of the merge has, about, repeated or not.
-MERGED = 1 << 17
-#: Bytes of text in a chunk: small enough for rows of half a MB.
-CHUNK = 1 << 20
-#: Bytes that are hashed at a time, beyond a longer document.
-PART = 1 << 18
+#: Strings of WIDTH bytes that hold a given place of an anchor: their keep flags fill one long.
+SPREAD = 64
+#: Bytes of an anchor. Every string of WIDTH bytes holds SPREAD runs of so many bytes; the one of least hash is its anchor.
+GRAM = WIDTH - SPREAD + 1
+#: Places of an anchor from which on its strings must show that they repeat, before they are sent.
+HOT = 1000
+#: Suffixes that a range has, about; chunks whose runs are merged at once; ranges that have a bound of their own at most.
+MERGED, FAN, BOUNDS = 1 << 16, 64, 4096
+#: Anchors whose text is looked at for the bounds of the ranges, about: a sample by their hash.
+SAMPLED = 1 << 16
+#: Bytes that are hashed at a time.
+PIECE = 1 << 20
 _PLACE = np.uint64((1 << 28) - 1)
+_ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
@@ -35,7 +38,7 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     n = len(values) - width + 1
     if n <= 0:
         return values[:0]
-    full = np.full(-(-len(values) // width) * width, np.iinfo(np.uint64).max, np.uint64)
+    full = np.full(-(-len(values) // width) * width, _ALL, np.uint64)
     full[: len(values)] = values
     rows = full.reshape(-1, width)
     ahead = np.minimum.accumulate(rows, 1).ravel()
@@ -43,132 +46,221 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def _parts(c: Chunk) -> Iterator[tuple[int, int]]:
-    """Runs of whole documents, of ``PART`` bytes or one longer document, as (first, past the last) document."""
-    first = 0
-    for d in range(1, len(c.ends) + 1):
-        if d == len(c.ends) or c.ends[d] - c.starts[first] > PART:
-            yield first, d
-            first = d
+def _pieces(c: Chunk) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(place, bytes, starts, documents): pieces that overlap, with the strings of WIDTH bytes in one document that start in each."""
+    for _, _, begin, raw in c.parts():
+        data = np.frombuffer(raw, np.uint8)
+        for s in range(0, len(data), PIECE):
+            piece = data[s : s + PIECE + WIDTH - 1]
+            start = np.arange(min(PIECE, len(data) - s))
+            doc = np.searchsorted(c.ends, start + (begin + s), "right")
+            whole = np.flatnonzero(c.ends[doc] - start - (begin + s) >= WIDTH)
+            if len(whole):
+                yield begin + s, piece, whole, doc[whole]
+
+
+@dataclass
+class Anchors:
+    """A chunk's anchors: place, first and last string that has it, document, hash, and where each piece's anchors start."""
+
+    at: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    doc: np.ndarray
+    hash: np.ndarray
+    cuts: list[int]
+
+
+def anchors(c: Chunk) -> Anchors:
+    found: list[list[np.ndarray]] = [[], [], [], [], []]
+    cuts = [0]
+    for begin, data, start, doc in _pieces(c):
+        grams = rolling_hash(prefix_hash(data), GRAM)
+        # the least hash, then the first place; places grow along the text, so equal strings agree on their anchor
+        least = _least((grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64), SPREAD)
+        anchor = (least[start] & _PLACE).astype(np.int64)
+        new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])]))
+        last = np.append(new[1:], len(start)) - 1
+        for out, x in zip(found, (anchor[new] + begin, start[new] + begin, start[last] + begin, doc[new], grams[anchor[new]]), strict=True):
+            out.append(x)
+        cuts.append(cuts[-1] + len(new))
+    empty = np.zeros(0, np.int64)
+    return Anchors(*(np.concatenate(x) if x else empty.astype(np.uint64) if k == 4 else empty for k, x in enumerate(found)), cuts)
+
+
+def _ask_anchors(c: Chunk, bits: int, buckets: int, rate: float) -> Iterator[dict]:
+    """Bucket -1 takes the text of sampled anchors, all places of an anchor or none."""
+    a = anchors(c)
+    keys, first, count = np.unique(a.hash >> np.uint64(64 - bits), return_index=True, return_counts=True)
+    yield from packed.questions(c.chunk, keys, [np.minimum(count, 255).astype(np.uint8)], bits, buckets)
+    # the lower bits are as good as random, while keys and places of least hashes lean towards 0
+    low = (a.hash[first] & np.uint64(0xFFFFFFF)).astype(float) / (1 << 28) < rate
+    if low.any():
+        at, count = a.at[first[low]], np.minimum(count[low], 255).astype(np.uint8)
+        raw = b"".join(p for *_, p in c.parts())
+        yield {"bucket": -1, "chunk": c.chunk, "keys": b"".join(raw[i : i + GRAM] for i in at.tolist()), "notes": count.tobytes()}
+
+
+def _answer_anchors(keys: list[np.ndarray], notes: list[bytes], hot: int) -> list[np.ndarray]:
+    """0: once in all; 1: repeated; 2: at ``hot`` places or more."""
+    known, _, _, places = packed.counted(keys, notes)
+    said = np.where(places >= hot, 2, (places > 1).astype(int))
+    return [said[np.searchsorted(known, k)] for k in keys]
+
+
+def _said(a: Anchors, answers: np.ndarray, bits: int) -> np.ndarray:
+    _, which = np.unique(a.hash >> np.uint64(64 - bits), return_inverse=True)
+    return answers[which] if len(which) else np.zeros(0, np.uint8)
+
+
+def _hot(c: Chunk, a: Anchors, said: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Strings whose anchor is hot: the anchor's number and the string's hash; anchor by anchor, from low to high."""
+    numbers, hashed = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for (begin, data, _, _), s, e in zip(_pieces(c), a.cuts, a.cuts[1:], strict=False):
+        of = s + np.flatnonzero(said[s:e] == 2)
+        if len(of):
+            size = a.high[of] - a.low[of] + 1
+            nth = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            numbers.append(np.repeat(of, size))
+            hashed.append(rolling_hash(prefix_hash(data), WIDTH)[np.repeat(a.low[of] - begin, size) + nth] >> np.uint64(64 - bits))
+    return np.concatenate(numbers), np.concatenate(hashed)
+
 
+def _answer_twice(keys: list[np.ndarray], notes: list[bytes]) -> list[np.ndarray]:
+    known, _, _, places = packed.counted(keys, notes)
+    return [(places > 1)[np.searchsorted(known, k)] for k in keys]
 
-class Runs:
-    """A chunk's anchors, each with the strings of WIDTH bytes that have it: they start at low to high.
 
-    The chunk is taken in parts of whole documents, so that all intermediate arrays stay small.
+@dataclass
+class Suffixes:
+    """Suffixes at anchors: the text from the anchor on (``right``), what stands before it backwards (``left``), both with their lengths, and the place.
+
+    Lefts and rights are rows of bytes, zeros past their ends. The place is: no id, id, a hash of the text, chunk, anchor.
     """
 
-    def __init__(self, c: Chunk):
-        self.chunk, self.begin, self.prefix, found = c, [], [], [[] for _ in range(5)]
-        for first, past in _parts(c):
-            begin, end = int(c.starts[first]), int(c.ends[past - 1])
-            if end - begin > int(_PLACE):
-                raise ValueError("a document of more than 256 MB")
-            prefix = prefix_hash(c.data[begin:end])
-            self.begin.append(begin)
-            self.prefix.append(prefix)
-            grams = rolling_hash(prefix, GRAM)
-            # the least hash, then the first place; places grow along the text, so equal strings agree on their anchor
-            least = _least((grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64), SPREAD)
-            own = [(s - begin, e - begin - WIDTH + 1) for s, e in zip(c.starts[first:past].tolist(), c.ends[first:past].tolist(), strict=True)]
-            start = np.concatenate([np.arange(s, e) for s, e in own if e > s] or [np.zeros(0, int)])
-            if not len(start):
-                continue
-            anchor = (least[start] & _PLACE).astype(np.int64)
-            doc = np.searchsorted(c.ends, start + begin, "right")
-            new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])]))
-            last = np.append(new[1:], len(start)) - 1
-            for k, x in enumerate((anchor[new] + begin, start[new] + begin, start[last] + begin, doc[new], grams[anchor[new]])):
-                found[k].append(x)
-        empty = np.zeros(0, np.int64)
-        self.at, self.low, self.high, self.doc, self.hash = (np.concatenate(x) if x else empty.astype(np.uint64) if k == 4 else empty for k, x in enumerate(found))
-
-    def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Hashes of the bytes from start to end, each inside one document."""
-        part = np.searchsorted(self.begin, start, "right") - 1
-        out = np.zeros(len(start), np.uint64)
-        for k in np.unique(part):
-            of = part == k
-            out[of] = span_hash(self.prefix[k], start[of] - self.begin[k], end[of] - self.begin[k])
+    right: np.ndarray
+    right_n: np.ndarray
+    left: np.ndarray
+    left_n: np.ndarray
+    null: np.ndarray
+    id: np.ndarray
+    text: np.ndarray
+    chunk: np.ndarray
+    at: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.at)
+
+    def take(self, i: np.ndarray) -> Suffixes:
+        return Suffixes(*(getattr(self, f.name)[i] for f in fields(self)))
+
+    def rank(self) -> np.ndarray:
+        """Numbers in the order of places."""
+        out = np.empty(len(self), np.int64)
+        out[np.lexsort((self.at, self.chunk, self.text, self.id, self.null))] = np.arange(len(self))
         return out
 
+    @staticmethod
+    def joined(parts: list[Suffixes]) -> Suffixes:
+        return Suffixes(*(np.concatenate([getattr(p, f.name) for p in parts]) for f in fields(Suffixes)))
 
-def _ask_anchors(c: Chunk, bits: int, buckets: int) -> Iterator[dict]:
-    keys, count = np.unique(Runs(c).hash >> np.uint64(64 - bits), return_counts=True)
-    return packed.questions(c.chunk, keys, [np.where(count > 1, 2, 0).astype(np.uint8)], bits, buckets)
 
+def _strings(rows: np.ndarray) -> np.ndarray:
+    """Rows of bytes as values that numpy compares; those of equal value differ in their lengths alone."""
+    return np.ascontiguousarray(rows).view(f"S{rows.shape[1]}").ravel()
 
-def _answer_anchors(chunk: list[int], keys: list[np.ndarray], notes: list[bytes], hot: int) -> list[np.ndarray]:
-    """0: once in all; 1: repeated; 2: in ``hot`` chunks or more."""
-    known, chunks, note = packed.counted(keys, notes)
-    said = np.where(chunks >= hot, 2, ((chunks > 1) | (note > 0)).astype(int))
-    return [said[np.searchsorted(known, k)] for k in keys]
 
+def _shared(rows: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The length that each row shares with the one before."""
+    out = np.zeros(len(rows), np.int64)
+    if len(rows) > 1:
+        differs = np.concatenate([rows[1:] != rows[:-1], np.ones((len(rows) - 1, 1), bool)], 1).argmax(1)
+        out[1:] = np.minimum(differs, np.minimum(n[1:], n[:-1]))
+    return out
 
-def _said(r: Runs, answers: np.ndarray, bits: int) -> np.ndarray:
-    _, which = np.unique(r.hash >> np.uint64(64 - bits), return_inverse=True)
-    return answers[which] if len(which) else np.zeros(0, np.uint8)
 
+def _ragged(rows: np.ndarray, low: np.ndarray, high: np.ndarray) -> bytes:
+    """The bytes of each row from low to high, one row after the other."""
+    place = np.arange(rows.shape[1])
+    return rows[(place >= low[:, None]) & (place < high[:, None])].tobytes()
 
-def _hot(r: Runs, said: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Strings with an anchor that is in many chunks: their starts, distinct keys, which each has, how many have it."""
-    at = np.flatnonzero(said == 2)
-    start = np.concatenate([np.arange(a, b + 1) for a, b in zip(r.low[at], r.high[at], strict=True)] or [np.zeros(0, int)])
-    hashed = r.hashes(start, start + WIDTH)
-    return start, *np.unique(hashed >> np.uint64(64 - bits), return_inverse=True, return_counts=True)
 
+def text_hash(raw: bytes) -> int:
+    return int.from_bytes(hashlib.md5(raw).digest()[:4], "big")
 
-def _answer_twice(chunk: list[int], keys: list[np.ndarray], notes: list[bytes]) -> list[np.ndarray]:
-    known, chunks, note = packed.counted(keys, notes)
-    said = (chunks > 1) | (note > 0)
-    return [said[np.searchsorted(known, k)] for k in keys]
 
+def suffixes(c: Chunk, a: Anchors, low: np.ndarray, high: np.ndarray, of: np.ndarray) -> Suffixes:
+    """Those that hold the strings from low to high, with anchor ``of``."""
+    left = np.zeros((len(of), SPREAD - 1), np.uint8)
+    right = np.zeros((len(of), WIDTH), np.uint8)
+    at = a.at[of]
+    left_n, right_n = (at - low).astype(np.uint8), (high + WIDTH - at).astype(np.uint8)
+    digest = np.zeros(len(c.ends), np.uint32)
+    cut = np.searchsorted(at, [int(c.starts[f]) for f in c.firsts] + [int(c.ends[-1]) + 1]) if len(c.ends) else []
+    for (first, past, begin, raw), s, e in zip(c.parts(), cut, cut[1:], strict=False):
+        for d in np.unique(a.doc[of[s:e]]).tolist():
+            digest[d] = text_hash(raw[c.starts[d] - begin : c.ends[d] - begin])
+        # zeros on both sides, so that a row of fixed length can be taken at each place
+        data = np.zeros(len(raw) + WIDTH + SPREAD, np.uint8)
+        data[SPREAD : SPREAD + len(raw)] = np.frombuffer(raw, np.uint8)
+        here = at[s:e] - begin + SPREAD
+        right[s:e] = np.lib.stride_tricks.sliding_window_view(data, WIDTH)[here]
+        left[s:e] = np.lib.stride_tricks.sliding_window_view(data, SPREAD - 1)[here - (SPREAD - 1)][:, ::-1]
+    right[np.arange(WIDTH) >= right_n[:, None]] = 0
+    left[np.arange(SPREAD - 1) >= left_n[:, None]] = 0
+    doc = a.doc[of]
+    return Suffixes(right, right_n, left, left_n, c.nulls[doc].astype(np.uint8), c.ids[doc], digest[doc], np.full(len(of), c.chunk, np.int64), at)
 
-class Records:
-    """A chunk's candidate suffixes: the text from the anchor on, what stands before it, and the strings they make up.
 
-    One record stands for equal ones in the chunk (by two hashes of 64 bits), at the first place. Answers come
-    by bucket and place, so a chunk that takes them needs no text.
-    """
+def _in_order(s: Suffixes) -> np.ndarray:
+    """By suffix, what stands before it, and place."""
+    return np.lexsort((s.rank(), s.left_n, _strings(s.left), s.right_n, _strings(s.right)))
 
-    def __init__(self, r: Runs, low: np.ndarray, high: np.ndarray, of: np.ndarray, buckets: int):
-        self.low, self.high, self.of = low, high, of
-        at, end = r.at[of], high + WIDTH
-        key = np.zeros(len(low), [("right", "<u8"), ("left", "<u8"), ("before", "<i8")])
-        key["right"], key["left"], key["before"] = r.hashes(at, end), r.hashes(low, at), at - low
-        by = np.argsort(low, kind="stable")
-        _, first, which = np.unique(key[by], return_index=True, return_inverse=True)
-        self.first = np.zeros(len(low), int)
-        self.first[by] = by[first[which.ravel()]]
-        own = np.flatnonzero(self.first == np.arange(len(low)))
-        self.bucket = ((r.hash[of] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(int)
-        #: Records that stand for others, by bucket and place; and where their answers start.
-        self.sent = own[np.lexsort((low[own], self.bucket[own]))]
-        size = high[self.sent] - low[self.sent] + 1
-        self.place = np.zeros(len(low), int)
-        self.place[self.sent] = np.cumsum(size) - size
-
-    def questions(self, r: Runs) -> Iterator[dict]:
-        """A sorted, front-coded run for each bucket: the length shared with the suffix before it, and the rest."""
-        raw, bucket = r.chunk.data.tobytes(), self.bucket[self.sent]
-        cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
-        for s, e in zip(cuts, cuts[1:], strict=False):
-            if e == s:
-                continue
-            own = self.sent[s:e]
-            ends, starts, lows = (self.high[own] + WIDTH).tolist(), r.at[self.of[own]].tolist(), self.low[own].tolist()
-            part = sorted((raw[a:z], raw[x:a], k) for a, z, x, k in zip(starts, ends, lows, own.tolist(), strict=True))
-            last, shared, rest = b"", [], []
-            for suffix, _, _ in part:
-                n = shared_length(last, suffix, 0)
-                shared.append(n)
-                rest.append(suffix[n:])
-                last = suffix
-            i = np.array([k for *_, k in part])
-            sizes = np.array([shared, [len(x) for x in rest], [len(x) for _, x, _ in part], self.high[i] - self.low[i] + 1], "<u2")
-            places = np.concatenate([order_of(r.chunk, r.doc[self.of[i]]).view(np.uint8), self.low[i].astype("<u4").view(np.uint8)])
-            notes = len(part).to_bytes(4, "little") + sizes.tobytes() + places.tobytes() + b"".join(rest) + b"".join(x for _, x, _ in part)
-            yield {"bucket": int(bucket[s]), "chunk": r.chunk.chunk, "keys": b"", "notes": packed.squeeze(notes, 3)}
+
+def _copies(s: Suffixes) -> np.ndarray:
+    """Which of sorted ``s`` equal the one before: all of their strings stand at an earlier place."""
+    same = np.zeros(len(s), bool)
+    same[1:] = (s.right_n[1:] == s.right_n[:-1]) & (s.left_n[1:] == s.left_n[:-1]) & (s.right[1:] == s.right[:-1]).all(1) & (s.left[1:] == s.left[:-1]).all(1)
+    return same
+
+
+_PLACES = (("null", "u1"), ("id", "<i8"), ("text", "<u4"), ("chunk", "<i8"), ("at", "<i8"))
+
+
+def write_run(s: Suffixes) -> bytes:
+    """Sorted suffixes, front-coded: the length shared with the suffix before, and the rest."""
+    shared = _shared(s.right, s.right_n.astype(np.int64))
+    head = [len(s).to_bytes(4, "little"), shared.astype(np.uint8).tobytes(), s.right_n.tobytes(), s.left_n.tobytes(), *(getattr(s, n).astype(t).tobytes() for n, t in _PLACES)]
+    return packed.squeeze(b"".join([*head, _ragged(s.right, shared, s.right_n.astype(np.int64)), _ragged(s.left, np.zeros(len(s), np.int64), s.left_n.astype(np.int64))]), 3)
+
+
+@dataclass
+class Run:
+    """A run as written: suffixes, the length each shares with the one before, lefts with their lengths, and places."""
+
+    suffixes: list[bytes]
+    shared: list[int]
+    left: np.ndarray
+    left_n: np.ndarray
+    places: dict[str, np.ndarray]
+
+
+def read_run(data: bytes) -> Run:
+    raw = packed.unsqueeze(data)
+    n, at = int.from_bytes(raw[:4], "little"), 4
+    columns = []
+    for kind in ("u1", "u1", "u1", *(t for _, t in _PLACES)):
+        columns.append(np.frombuffer(raw, kind, n, at))
+        at += columns[-1].nbytes
+    shared, right_n, left_n, *places = columns
+    last, out = b"", []
+    for s, m in zip(shared.tolist(), right_n.tolist(), strict=True):
+        last = last[:s] + raw[at : at + m - s]
+        at += m - s
+        out.append(last)
+    left = np.zeros((n, SPREAD - 1), np.uint8)
+    left[np.arange(SPREAD - 1) < left_n[:, None]] = np.frombuffer(raw, np.uint8, offset=at)
+    return Run(out, shared.tolist(), left, left_n, {name: x for (name, _), x in zip(_PLACES, places, strict=True)})
 
 
 def shared_length(a: bytes, b: bytes, known: int) -> int:
@@ -180,23 +272,8 @@ def shared_length(a: bytes, b: bytes, known: int) -> int:
     return n - ((int.from_bytes(x, "big") ^ int.from_bytes(y, "big")).bit_length() + 7) // 8
 
 
-def read_run(notes: bytes) -> list[tuple[int, bytes, bytes, int, tuple]]:
-    """(length shared with the suffix before, suffix, what stands before, strings, order) of each record."""
-    n = int.from_bytes(notes[:4], "little")
-    sizes = np.frombuffer(notes, "<u2", 4 * n, 4).reshape(4, n).tolist()
-    order = np.frombuffer(notes, ORDER, n, 4 + 8 * n).tolist()
-    low = np.frombuffer(notes, "<u4", n, 4 + 8 * n + ORDER.itemsize * n).tolist()
-    at = 4 + 8 * n + (ORDER.itemsize + 4) * n
-    before, out, last = at + sum(sizes[1]), [], b""
-    for shared, rest, left, strings, doc, place in zip(*sizes, order, low, strict=True):
-        last = last[:shared] + notes[at : at + rest]
-        out.append((shared, last, notes[before : before + left], strings, (*doc, place)))
-        at, before = at + rest, before + left
-    return out
-
-
-def merged(runs: list[list]) -> Iterator[tuple[int, int, int]]:
-    """(run, index, length shared with the suffix before) of all records in order of their suffixes.
+def merged(runs: list[tuple[list[bytes], list[int]]]) -> Iterator[tuple[int, int, int]]:
+    """(run, index, length shared with the suffix before) of all suffixes in order; a run is its suffixes and their shared lengths.
 
     A loser tree. Each run's next suffix knows how much it shares with the last one put out. Of two, the
     one that shares more comes first, without a look at the bytes; if they share the same, bytes are compared
@@ -205,7 +282,7 @@ def merged(runs: list[list]) -> Iterator[tuple[int, int, int]]:
     k = 1
     while k < len(runs):
         k *= 2
-    heads: list[bytes | None] = [run[0][1] if run else None for run in runs] + [None] * (k - len(runs))
+    heads: list[bytes | None] = [texts[0] if texts else None for texts, _ in runs] + [None] * (k - len(runs))
     known, index, tree = [0] * k, [0] * k, [0] * k
 
     def play(a: int, b: int) -> tuple[int, int]:
@@ -232,9 +309,9 @@ def merged(runs: list[list]) -> Iterator[tuple[int, int, int]]:
     while heads[top] is not None:
         yield top, index[top], known[top]
         index[top] += 1
-        run = runs[top]
-        if index[top] < len(run):
-            known[top], heads[top] = run[index[top]][0], run[index[top]][1]
+        texts, shared = runs[top]
+        if index[top] < len(texts):
+            known[top], heads[top] = shared[index[top]], texts[index[top]]
         else:
             heads[top] = None
         node = (top + k) // 2
@@ -243,140 +320,242 @@ def merged(runs: list[list]) -> Iterator[tuple[int, int, int]]:
             node //= 2
 
 
-def _settle(group: list[tuple[int, int]], runs: list[list], keep: list[list]) -> None:
-    """Which strings of the records of one anchor are at their first place; sets ``keep`` for each record."""
-    first: dict[tuple[bytes, bytes], tuple] = {}
-    for r, i in group:
-        _, suffix, left, _, order = runs[r][i]
-        place = (order[:3], r, order[3], i)
-        key = (suffix, left)
-        if key not in first or place < first[key]:
-            first[key] = place
-    for r, i in group:
-        keep[r][i] = np.zeros(runs[r][i][3], np.uint8)
-    if len(first) == 1:
-        _, r, _, i = next(iter(first.values()))
-        keep[r][i][:] = 1
-        return
-    seen: dict[bytes, tuple] = {}
-    for (suffix, left), (order, r, place, i) in first.items():
-        text = left + suffix
-        for j in range(runs[r][i][3]):
-            string, at = text[j : j + WIDTH], (order, r, place + j, i, j)
-            if string not in seen or at < seen[string]:
-                seen[string] = at
-    for _, r, _, i, j in seen.values():
-        keep[r][i][j] = 1
-
-
-def _merge(chunk: list[int], keys: list[np.ndarray], notes: list[bytes]) -> list[np.ndarray]:
-    """1 for each string at its first place. Runs are taken in order of their chunks, so ties between documents agree everywhere."""
-    order = np.argsort(chunk)
-    runs = [read_run(notes[i]) for i in order]
-    keep: list[list] = [[None] * len(r) for r in runs]
-    group: list[tuple[int, int]] = []
-    for r, i, shared in merged(runs):
-        if group and shared < GRAM:
-            _settle(group, runs, keep)
-            group = []
-        group.append((r, i))
-    if group:
-        _settle(group, runs, keep)
-    out: list = [None] * len(runs)
-    for i, run, k in zip(order, runs, keep, strict=True):
-        out[i] = np.concatenate([k[j] for j in sorted(range(len(run)), key=lambda j: run[j][4][3])])
+def merge(runs: list[Run]) -> tuple[Suffixes, np.ndarray]:
+    """All suffixes in order, and the length that each shares with the one before."""
+    order = list(merged([(r.suffixes, r.shared) for r in runs]))
+    which, index, shared = (np.array(x, np.int64) for x in zip(*order, strict=True)) if order else [np.zeros(0, np.int64)] * 3
+    begin = np.cumsum([0, *(len(r.suffixes) for r in runs)])[which] + index
+    texts = [runs[r].suffixes[i] for r, i, _ in order]
+    right_n = np.array([len(t) for t in texts], np.uint8)
+    right = np.zeros((len(texts), WIDTH), np.uint8)
+    right[np.arange(WIDTH) < right_n[:, None]] = np.frombuffer(b"".join(texts), np.uint8)
+    left, left_n = (np.concatenate([getattr(r, n) for r in runs])[begin] for n in ("left", "left_n"))
+    return Suffixes(right, right_n, left, left_n, *(np.concatenate([r.places[n] for r in runs])[begin] for n, _ in _PLACES)), shared
+
+
+def repeated(s: Suffixes, shared: np.ndarray) -> np.ndarray:
+    """For each of sorted ``s`` the strings that stand at an earlier place too, as bits from the first string on.
+
+    A string is d bytes before the anchor and WIDTH - d from it on. Suffixes next to each other that share WIDTH - d
+    or more are one class on the right; of an anchor's lefts in order, those that share d are one on the left.
+    Strings of both classes alike are equal, and all but the first place are repeats.
+    """
+    out = np.zeros(len(s), np.uint64)
+    anchor = np.cumsum(shared < GRAM)
+    alone = np.bincount(anchor, minlength=1)[anchor] < 2
+    use = np.flatnonzero(~alone)
+    if not len(use):
+        return out
+    # an anchor that is alone separates nothing that shares its GRAM bytes, so the shared lengths of the others stay
+    s, shared, anchor, rank = s.take(use), shared[use], anchor[use], s.rank()[use]
+    left_n, right_n = s.left_n.astype(np.int64), s.right_n.astype(np.int64)
+    by = np.lexsort((left_n, _strings(s.left), anchor))
+    before = _shared(s.left[by], left_n[by])
+    other = np.concatenate([[True], anchor[by][1:] != anchor[by][:-1]])
+    n, ranked = len(use) + 1, np.argsort(rank)
+    mask, class_left = np.zeros(len(use), np.uint64), np.empty(len(use), np.int64)
+    for d in range(SPREAD):
+        has = ranked[(left_n[ranked] >= d) & (right_n[ranked] >= WIDTH - d)]
+        if not len(has):
+            continue
+        class_left[by] = np.cumsum(other | (before < d))
+        key = np.cumsum(shared < WIDTH - d)[has] * n + class_left[has]
+        _, first = np.unique(key, return_index=True)
+        later = np.ones(len(has), bool)
+        later[first] = False
+        has = has[later]
+        mask[has] |= np.uint64(1) << (left_n[has] - d).astype(np.uint64)
+    out[use] = mask
     return out
 
 
-def _records(row: pa.Table, answers: pa.Table, bits: int, wide: int, buckets: int) -> tuple[Runs, Records]:
-    """A chunk's candidates after the answers of kind 0 (anchors) and 1 (strings of hot anchors)."""
+#: kind 0: a run for the next merge; kind 1: a chunk's strings that are repeats.
+MOVED = "kind int, bucket int, chunk long, data binary"
+MOVED_ARROW = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("chunk", pa.int64()), ("data", pa.binary())])
+
+
+def _answers(s: Suffixes, mask: np.ndarray) -> Iterator[dict]:
+    """By chunk: first strings and bits."""
+    use = np.flatnonzero(mask)
+    use = use[np.argsort(s.chunk[use], kind="stable")]
+    cuts = np.flatnonzero(np.diff(s.chunk[use], prepend=-1, append=-1)) if len(use) else []
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        i = use[a:b]
+        yield {"kind": 1, "bucket": 0, "chunk": int(s.chunk[i[0]]), "data": packed.squeeze((s.at[i] - s.left_n[i]).astype("<i8").tobytes() + mask[i].tobytes())}
+
+
+def _whole(s: Suffixes) -> np.ndarray:
+    """Bits of all strings."""
+    n = s.left_n.astype(np.uint64) + s.right_n.astype(np.uint64) - np.uint64(WIDTH) + np.uint64(1)
+    return _ALL >> (np.uint64(SPREAD) - n)
+
+
+def _moved(rows: Iterator[dict]) -> pa.Table:
+    return pa.Table.from_pylist(list(rows), schema=MOVED_ARROW)
+
+
+def _without_copies(s: Suffixes) -> tuple[Suffixes, list[dict]]:
+    """Sorted ``s`` with one suffix of equal ones, and answers for the rest."""
+    copies = _copies(s)
+    gone = s.take(np.flatnonzero(copies))
+    return s.take(np.flatnonzero(~copies)), list(_answers(gone, _whole(gone)))
+
+
+def _runs(s: Suffixes, chunk: int, bounds: list[bytes], deep: int) -> Iterator[dict]:
+    """A run for each range of suffixes; beyond ``BOUNDS`` ranges a range is dealt into ``deep`` by the anchor."""
+    heads = s.right[:, :GRAM]
+    cut = np.searchsorted(np.array(bounds, f"S{GRAM}"), _strings(heads), "right") if bounds else np.zeros(len(s), np.int64)
+    if deep > 1:
+        with np.errstate(over="ignore"):
+            cut = cut * deep + (heads.astype(np.uint64) * np.arange(1, 2 * GRAM, 2, dtype=np.uint64) ** np.uint64(7)).sum(1).astype(np.int64) % deep
+    by = np.argsort(cut, kind="stable")
+    edge = [0, *(np.flatnonzero(np.diff(cut[by])) + 1).tolist(), len(by)]
+    for a, b in zip(edge, edge[1:], strict=False):
+        if b > a:
+            yield {"kind": 0, "bucket": int(cut[by[a]]), "chunk": chunk, "data": write_run(s.take(by[a:b]))}
+
+
+def _candidates(c: Chunk, answers: pa.Table, bits: int, wide: int) -> Suffixes:
+    """A chunk's suffixes after the answers of kind 0 (anchors) and 1 (strings of hot anchors), sorted."""
     kind = answers.column("kind").to_numpy()
-    c, said = packed.joined(row, answers.filter(pa.array(kind == 0)))
-    r = Runs(c)
-    said = _said(r, said, bits)
-    plain = np.flatnonzero(said == 1)
-    low, high, of = r.low[plain], r.high[plain], plain
+    a = anchors(c)
+    said = _said(a, packed.replies(answers.filter(pa.array(kind == 0))), bits)
+    of = np.flatnonzero(said == 1)
+    low, high = a.low[of], a.high[of]
     if (said == 2).any():
-        _, twice = packed.joined(row, answers.filter(pa.array(kind == 1)))
-        start, _, which, _ = _hot(r, said, wide)
-        again = np.flatnonzero(twice[which] > 0)
-        start, own = start[again], np.repeat(np.flatnonzero(said == 2), (r.high - r.low + 1)[said == 2])[again]
-        cut = np.flatnonzero(np.concatenate([[True], (np.diff(start) > 1) | (np.diff(own) > 0)])) if len(start) else start
-        end = np.append(cut[1:], len(start)) - 1 if len(start) else start
-        low, high, of = np.concatenate([low, start[cut]]), np.concatenate([high, start[end]]), np.concatenate([of, own[cut]])
-    return r, Records(r, low, high, of, buckets)
+        number, hashed = _hot(c, a, said, wide)
+        twice = packed.replies(answers.filter(pa.array(kind == 1)))[np.unique(hashed, return_inverse=True)[1]] > 0
+        new = np.concatenate([[True], number[1:] != number[:-1]])
+        start = a.low[number] + np.arange(len(number)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+        number, start = number[twice], start[twice]
+        cut = np.flatnonzero(np.concatenate([[True], (np.diff(start) > 1) | (np.diff(number) > 0)])) if len(start) else np.zeros(0, np.int64)
+        end = start[np.append(cut[1:], len(start)) - 1] if len(start) else start
+        of, low, high = np.concatenate([of, number[cut]]), np.concatenate([low, start[cut]]), np.concatenate([high, end])
+        by = np.lexsort((low, a.at[of]))
+        of, low, high = of[by], low[by], high[by]
+    s = suffixes(c, a, low, high, of)
+    return s.take(_in_order(s))
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-
-
-def without_repeats(docs: DataFrame, texts: bool = True, chunk_bytes: int = CHUNK, hot: int = HOT) -> DataFrame:
+_RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
+
+
+def _cut(c: Chunk, found: list[bytes], texts: bool) -> Iterator[dict]:
+    """A chunk's documents without what the answers say."""
+    repeats = np.zeros(int(c.ends[-1]) + 1 if len(c.ends) else 1, np.uint8)
+    for data in found:
+        raw = packed.unsqueeze(data)
+        low, mask = np.frombuffer(raw, "<i8", len(raw) // 16), np.frombuffer(raw, "<u8", offset=len(raw) // 2)
+        for j in range(SPREAD):
+            repeats[low[(mask >> np.uint64(j)) & np.uint64(1) > 0] + j] = 1
+    for first, past, begin, raw in c.parts():
+        data = np.frombuffer(raw, np.uint8)
+        upto = np.cumsum(np.concatenate([np.zeros(WIDTH, np.uint8), repeats[begin : begin + len(data)]]), dtype=np.int32)
+        lost = upto[WIDTH:] > upto[:-WIDTH]
+        for d in range(first, past):
+            own = slice(int(c.starts[d]) - begin, int(c.ends[d]) - begin)
+            left, gone = data[own][~lost[own]].tobytes(), lost[own]
+            spans = int(gone[:1].sum() + np.count_nonzero(gone[1:] & ~gone[:-1]))
+            yield {"doc_id": None if c.nulls[d] else int(c.ids[d]), "n_bytes": len(gone), "n_removed": int(gone.sum()), "n_spans": spans, "kept_sha256": hashlib.sha256(left).hexdigest(), "kept": left if texts else None}
+
+
+def _bounds(heads: DataFrame, rate: float) -> tuple[list[bytes], int]:
+    """Bounds between ranges with about ``MERGED`` suffixes each, from the sampled anchors that repeat; and into how many a range is dealt beyond ``BOUNDS``."""
+
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for keys, notes in zip(b.column("keys").to_pylist(), b.column("notes").to_pylist(), strict=True):
+                head = [keys[i : i + GRAM] for i in range(0, len(keys), GRAM)]
+                yield pa.RecordBatch.from_arrays([pa.array(head, pa.binary()), pa.array(np.frombuffer(notes, np.uint8).astype(np.int64))], names=["head", "n"])
+
+    # bounded by the sample: a row for each distinct anchor in it
+    got = heads.mapInArrow(single, "head binary, n long").groupBy("head").agg(F.sum("n").alias("n"), F.count("*").alias("chunks")).where("n > 1").collect()
+    got = sorted((bytes(r["head"]), r["chunks"]) for r in got)
+    upto = np.cumsum([n for _, n in got]) / max(rate, 1e-9)
+    ranges = int(-(-(upto[-1] if len(upto) else 0) // MERGED)) or 1
+    cuts = min(ranges, BOUNDS)
+    at = {bisect_right(upto.tolist(), upto[-1] * k / cuts) for k in range(1, cuts)} if len(upto) else set()
+    return sorted({got[i][0] for i in at if i < len(got)}), -(-ranges // cuts)
+
+
+def without_repeats(docs: DataFrame, texts: bool = True, chunk_bytes: int = packed.CHUNK, hot: int = HOT, fan: int = FAN) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) for each row of ``docs`` (doc_id, text).
 
     A byte of a text's UTF-8 goes if a string of 100 bytes that covers it stands at an earlier place too: in a
     document of smaller doc_id, or earlier in the same. Null ids come last; rows of one id are ordered by a
     hash of their text, and equal rows one after the other. Null texts are empty. Strings do not cross
-    documents. ``texts=False`` leaves ``kept`` null.
+    documents. ``texts=False`` leaves ``kept`` null. Other columns than doc_id and text are left aside.
 
-    Sorting all suffixes would move a hundred times the corpus. Of every string of 100 bytes one anchor of 36 is
+    Sorting all suffixes would move a hundred times the corpus. Of every string of 100 bytes one anchor of 37 is
     kept, the one of least hash, and equal strings have equal anchors. Anchors that no other place shares
-    drop out by their hash, which never drops a repeat. The suffixes at the others go out as sorted,
-    front-coded runs, with what stands before them; a loser tree merges the runs, and strings are
-    compared as bytes. Anchors in many chunks (a line that many documents share) send only strings that
-    are found twice, so what differs around such a line doesn't meet in one task.
+    drop out by their hash, which never drops a repeat. The suffixes at the others are sorted in each chunk and
+    go out as front-coded runs, one for each range of the global order; loser trees merge a range's runs, and the
+    lengths that neighbours share, of suffixes and of what stands before them, say which strings are equal.
+    Equal suffixes are one in a run, and runs of many chunks are merged ``fan`` at a time. Anchors at
+    ``hot`` places or more (a line that many documents share) send only strings that are found twice by their
+    hash, so what differs around such a line doesn't meet in one task.
     """
     table = stored(packed.chunks(docs, chunk_bytes))
-    total = table.agg(F.sum("n_bytes")).first()[0] or 0
-    anchors = total * 2 // (SPREAD + 1)
-    bits, wide, buckets = packed.bits_for(anchors), packed.bits_for(total), packed.buckets_for(anchors)
-    merge = max(1, -(-anchors // MERGED))
-    chunk, many = table.groupBy("chunk"), hot
-    schema = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("notes", pa.binary())])
-    zero = stored(packed.answered(packed.asked(table, lambda c: _ask_anchors(c, bits, buckets)), lambda *q: _answer_anchors(*q, many)).withColumn("kind", F.lit(0)))
+    total, runs_left = table.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.count("*")).first()
+    expected = total * 2 // (SPREAD + 1)
+    bits, wide, buckets = packed.bits_for(expected), packed.bits_for(total), packed.buckets_for(expected)
+    rate, n_chunks = min(1.0, SAMPLED / max(expected, 1)), runs_left
+    chunk_rows = packed.dealt(table, "chunk", n_chunks)
+    asked = stored(packed.asked(table, lambda c: _ask_anchors(c, bits, buckets, rate)))
+    bounds, deep = _bounds(asked.where("bucket < 0").select("keys", "notes"), rate)
+    zero = stored(packed.answered(asked.where("bucket >= 0"), lambda _, keys, notes: _answer_anchors(keys, notes, hot), buckets).withColumn("kind", F.lit(0)))
+
+    def both(answers: DataFrame, run, schema: str) -> DataFrame:
+        return chunk_rows.groupBy("chunk").cogroup(packed.dealt(answers, "chunk", n_chunks).groupBy("chunk")).applyInArrow(run, schema)
 
     def ask_hot(row: pa.Table, answers: pa.Table) -> pa.Table:
         out: list[dict] = []
-        if row.num_rows:
-            c, said = packed.joined(row, answers)
-            r = Runs(c)
-            _, keys, _, count = _hot(r, _said(r, said, bits), wide)
-            out = list(packed.questions(c.chunk, keys, [np.where(count > 1, 2, 0).astype(np.uint8)], wide, buckets))
-        return pa.Table.from_pylist(out, schema=schema)
-
-    strings = chunk.cogroup(zero.groupBy("chunk")).applyInArrow(ask_hot, packed.ASKED)
-    first = zero.union(stored(packed.answered(strings, _answer_twice).withColumn("kind", F.lit(1))))
-
-    def ask_suffixes(row: pa.Table, answers: pa.Table) -> pa.Table:
-        out: list[dict] = []
-        if row.num_rows:
-            r, records = _records(row, answers, bits, wide, merge)
-            out = list(records.questions(r))
-        return pa.Table.from_pylist(out, schema=schema)
-
-    sent = chunk.cogroup(first.groupBy("chunk")).applyInArrow(ask_suffixes, packed.ASKED)
-    both = first.union(packed.answered(sent, _merge).withColumn("kind", F.lit(2)))
-    kind = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
+        if row.num_rows and answers.num_rows:
+            c = packed.chunk_of(row)
+            a = anchors(c)
+            _, hashed = _hot(c, a, _said(a, packed.replies(answers), bits), wide)
+            keys, count = np.unique(hashed, return_counts=True)
+            out = list(packed.questions(c.chunk, keys, [np.minimum(count, 255).astype(np.uint8)], wide, buckets))
+        return pa.Table.from_pylist(out, schema=packed.ASKED_ARROW)
+
+    first = zero.union(stored(packed.answered(both(zero, ask_hot, packed.ASKED), lambda _, keys, notes: _answer_twice(keys, notes), buckets).withColumn("kind", F.lit(1))))
+
+    def send(row: pa.Table, answers: pa.Table) -> pa.Table:
+        if not (row.num_rows and answers.num_rows):
+            return _moved(iter(()))
+        c = packed.chunk_of(row)
+        s, said = _without_copies(_candidates(c, answers, bits, wide))
+        return _moved([*said, *_runs(s, c.chunk, bounds, deep)])
+
+    moved = stored(both(first, send, MOVED))
+    ranges, found = (len(bounds) + 1) * deep, [moved.where("kind = 1")]
+
+    def halfway(table: pa.Table) -> pa.Table:
+        s, _ = merge([read_run(d) for d in table.column("data").to_pylist()])
+        s, said = _without_copies(s.take(_in_order(s)))
+        return _moved([*said, {"kind": 0, "bucket": table.column("bucket")[0].as_py(), "chunk": min(table.column("chunk").to_pylist()), "data": write_run(s)}])
+
+    def last(table: pa.Table) -> pa.Table:
+        s, shared = merge([read_run(d) for d in table.column("data").to_pylist()])
+        return _moved(_answers(s, repeated(s, shared)))
+
+    while runs_left > fan:
+        runs_left = -(-runs_left // fan)
+        group = F.pmod(F.xxhash64("chunk"), F.lit(runs_left)).alias("part")
+        sent = moved.where("kind = 0").select("kind", "bucket", "chunk", "data", group).repartition(max(1, -(-ranges * runs_left // packed.TOGETHER)), "bucket", "part")
+        moved = stored(sent.groupBy("bucket", "part").applyInArrow(halfway, MOVED))
+        found.append(moved.where("kind = 1"))
+    ended = packed.dealt(moved.where("kind = 0"), "bucket", ranges, 1).groupBy("bucket").applyInArrow(last, MOVED)
+    for more in found:
+        ended = ended.union(more)
 
     def cut(row: pa.Table, answers: pa.Table) -> pa.Table:
-        if not row.num_rows:
-            return pa.Table.from_pylist([], schema=kind)
-        r, records = _records(row, answers, bits, wide, merge)
-        c, keep = packed.joined(row, answers.filter(pa.array(answers.column("kind").to_numpy() == 2)))
-        size = records.high - records.low + 1
-        nth = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        starts, own = np.repeat(records.low, size) + nth, np.repeat(records.first == np.arange(len(size)), size)
-        stays = np.zeros(len(starts), bool)
-        stays[own] = keep[(np.repeat(records.place, size) + nth)[own]] > 0
-        lost = covered(starts[~stays], WIDTH, len(c.data))
-        out = []
-        for d, (s, e) in enumerate(zip(c.starts, c.ends, strict=True)):
-            left, own = c.data[s:e][~lost[s:e]].tobytes(), lost[s:e]
-            spans = int(own[:1].sum() + np.count_nonzero(own[1:] & ~own[:-1]))
-            out.append({"doc_id": None if c.nulls[d] else int(c.ids[d]), "n_bytes": int(e - s), "n_removed": int(own.sum()), "n_spans": spans, "kept_sha256": hashlib.sha256(left).hexdigest(), "kept": left if texts else None})
-        return pa.Table.from_pylist(out, schema=kind)
-
-    return chunk.cogroup(both.groupBy("chunk")).applyInArrow(cut, RESULT)
+        return pa.Table.from_pylist(list(_cut(packed.chunk_of(row), answers.column("data").to_pylist(), texts)) if row.num_rows else [], schema=_RESULT)
+
+    return both(ended.select("chunk", "data"), cut, RESULT)
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents by their bytes, nothing kept back; see ``without_repeats``."""
     return without_repeats(documents(spark, sf_dir), texts=False).drop("kept")

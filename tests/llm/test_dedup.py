@@ -62,13 +62,34 @@ def test_repeated_words(spark, docs, size):
     assert sorted((tuple(r)[:4] for r in got.collect()), key=str) == want
 
 
-@pytest.mark.parametrize(("size", "hot"), [(2 << 20, 32), (20_000, 32), (20_000, 3)])
-def test_repeated_bytes(spark, docs, size, hot):
+@pytest.mark.parametrize("bits", [64, 24])
+def test_words_are_compared(spark, docs, bits):
+    """With 24 bits of a hash different windows meet; they are told apart by their words and ask again."""
+    want = brute_words([tuple(r) for r in docs.collect()])
+    got = substrings.without_repeats(docs.repartition(3), False, 50_000, bits)
+    assert sorted((tuple(r)[:4] for r in got.collect()), key=str) == want
+
+
+@pytest.mark.parametrize(("size", "hot", "fan"), [(2 << 20, 1000, 64), (20_000, 1000, 4), (20_000, 3, 64)])
+def test_repeated_bytes(spark, docs, size, hot, fan, monkeypatch):
+    monkeypatch.setattr(suffixes, "MERGED", 500)  # many ranges
     want = brute_bytes([tuple(r) for r in docs.collect()])
-    got = suffixes.without_repeats(docs.repartition(3), False, size, hot)
+    got = suffixes.without_repeats(docs.repartition(3), False, size, hot, fan)
     assert sorted((tuple(r)[:5] for r in got.collect()), key=str) == want
 
 
+def test_strings_with_zeros_and_ends(spark):
+    """Zero bytes, strings at the ends of documents, runs of one byte and lines that many documents share."""
+    rng = np.random.default_rng(5)
+    line = "".join(chr(97 + x) for x in rng.integers(0, 26, 180))
+    texts = ["\0" * 300, "\0" * 99, "a" * 250, "b\0" * 120, line, line[:100], line[80:], line[:99]]
+    texts += ["".join(chr(97 + x) for x in rng.integers(0, 3, rng.integers(0, 150))) + line[rng.integers(0, 60) : rng.integers(120, 181)] + "\0" * int(rng.integers(0, 3)) for _ in range(60)]
+    rows = [(int(i), t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for hot in (1000, 5):
+        assert sorted((tuple(r)[:5] for r in suffixes.without_repeats(df, False, 2000, hot, 3).collect()), key=str) == brute_bytes(rows)
+
+
 def test_repeats_on_awkward_rows(spark, odd, empty):
     rows = [tuple(r) for r in odd.select("doc_id", "text").collect()]
     assert sorted((tuple(r)[:4] for r in substrings.without_repeats(odd, False, 50_000).collect()), key=str) == brute_words(rows)
@@ -90,9 +111,9 @@ def test_loser_tree_merges_in_order():
     for _ in range(7):
         texts = sorted(bytes(rng.integers(97, 99, rng.integers(0, 9)).astype(np.uint8)) for _ in range(rng.integers(0, 30)))
         shared = [suffixes.shared_length(a, b, 0) for a, b in zip([b"", *texts], texts, strict=False)]
-        runs.append([(n, t, b"", 1, ()) for n, t in zip(shared, texts, strict=True)])
-    out = [(runs[r][i][1], n) for r, i, n in suffixes.merged(runs)]
-    assert [t for t, _ in out] == sorted(t for run in runs for _, t, *_ in run)
+        runs.append((texts, shared))
+    out = [(runs[r][0][i], n) for r, i, n in suffixes.merged(runs)]
+    assert [t for t, _ in out] == sorted(t for texts, _ in runs for t in texts)
     assert [n for _, n in out[1:]] == [suffixes.shared_length(a[0], b[0], 0) for a, b in zip(out, out[1:], strict=False)]
 
 
