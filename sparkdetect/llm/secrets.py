@@ -6,14 +6,14 @@ import base64
 import hashlib
 import re
 import zlib
-from bisect import bisect_left
-from collections.abc import Iterator, Sequence
-from itertools import accumulate
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents, extended
+from .common import documents, extended, sliced
 
 KINDS = ("assign", "access", "hex")
 #: Fixed patterns: kind, pattern, group that is measured, its least length.
@@ -21,25 +21,26 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # as AKIA[A-Z0-9]+ of 20 characters or more
 _HEX = re.compile(r"[0-9a-f]{24,}")  # as [0-9a-f]+ of 24 or more
 _NAMES = re.compile(r"passw|secret|token|api_?key")
-#: Parts that may hold another layer.
-_PERCENT = re.compile(r"[^\s\"'<>]*%[0-9A-Fa-f]{2}[^\s\"'<>]*")
-_UNICODE = re.compile(r"[^\s\"'<>]*(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)[^\s\"'<>]*")
+#: Parts that may hold another layer: runs without blanks and quotes, and what is escaped in them.
+_RUN = re.compile(r"[^\s\"'<>]+")
 _ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
+_PERCENT = re.compile(r"%[0-9A-Fa-f]{2}")
 #: A run of base64 characters, also one that goes on over line ends; and what may stand before a blob within a run.
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:[\x20\t]*\r?\n[\x20\t]*[A-Za-z0-9+/_-]+)*(?:[\x20\t]*\r?\n[\x20\t]*(?==))?={0,2}")
 _BEFORE = re.compile(r"[+/_-]")
-_INNER = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _URLSAFE = str.maketrans("-_", "+/")
 #: Control characters and bytes that are no UTF-8 (as surrogates); ASCII as UTF-16; the shortest secret, "token=" and six characters.
 _BREAKS = re.compile("([\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\udc80-\\udcff]+)")
 _UTF16_LE, _UTF16_BE = re.compile(rb"(?:[\t\n\r\x20-\x7e]\0){12,}"), re.compile(rb"(?:\0[\t\n\r\x20-\x7e]){12,}")
 _LEAST = 12
-#: A compressed layer that unpacks to more is left alone: a guard against archives made to fill memory.
-UNPACKED_BYTES = 64 << 20
+#: Bytes of an unpacked stream that are looked at together; what the next look sees again; streams inside streams.
+STEP, AGAIN, DEEP = 4 << 20, 256, 64
+_HEX_VALUE = np.full(256, 255, np.uint8)
+_HEX_VALUE[np.frombuffer(b"0123456789abcdefABCDEF", np.uint8)] = [*range(16), *range(10, 16)]
 
 Span = tuple[str, int, int]
 #: A decoded text and, for each of its characters, where its source starts and ends.
-Layer = tuple[str, list[int], list[int]]
+Layer = tuple[str, np.ndarray, np.ndarray]
 
 
 def base_spans(text: str) -> list[Span]:
@@ -57,7 +58,13 @@ def _sorted(spans: list[Span]) -> list[Span]:
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
-def _stretches(data: bytes) -> Iterator[tuple[str, list[int], list[int]]]:
+def _sizes(text: str) -> np.ndarray:
+    """Bytes of each character in UTF-8."""
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    return 1 + (code > 0x7F).astype(np.int64) + (code > 0x7FF) + (code > 0xFFFF)
+
+
+def _stretches(data: bytes) -> Iterator[Layer]:
     """The printable stretches of ``data`` with the byte at which each character starts and ends: UTF-8, and UTF-16 of ASCII.
 
     What is no UTF-8 or a control character ends a stretch, and no pattern crosses one. Stretches under ``_LEAST``
@@ -67,115 +74,142 @@ def _stretches(data: bytes) -> Iterator[tuple[str, list[int], list[int]]]:
     for part in _BREAKS.split(text):  # breaks are kept, at odd places; each of their characters is one byte
         n = len(part) if part.isascii() else len(part.encode("utf-8", "surrogateescape"))
         if len(part) >= _LEAST and not _BREAKS.match(part):
-            size = [1] * n if len(part) == n else [len(c.encode("utf-8")) for c in part]
-            ends = list(accumulate(size, initial=at))
-            yield part, ends[:-1], ends[1:]
+            ends = at + np.cumsum(_sizes(part))
+            yield part, np.concatenate([[at], ends[:-1]]), ends
         at += n
     for pattern, first in ((_UTF16_LE, 0), (_UTF16_BE, 1)):
         for m in pattern.finditer(data):
-            low = range(m.start(), m.end(), 2)
-            yield m[0][first::2].decode("ascii"), list(low), [i + 2 for i in low]
+            low = np.arange(m.start(), m.end(), 2)
+            yield m[0][first::2].decode("ascii"), low, low + 2
 
 
-def _decoded(data: bytes, starts: list[int], ends: list[int]) -> Iterator[Layer]:
-    """The printable stretches of bytes, of which each has its source, with the source of each character."""
-    for text, low, high in _stretches(data):
-        yield text, [starts[i] for i in low], [ends[i - 1] for i in high]
+def _through(layers: Iterable[Layer], starts: np.ndarray, ends: np.ndarray) -> Iterator[Layer]:
+    """``layers`` of a text whose characters have their source at starts to ends."""
+    for text, low, high in layers:
+        yield text, starts[low], ends[high - 1]
 
 
 def _percent(part: str, at: int) -> Iterator[Layer]:
-    data, low, high, i = bytearray(), [], [], 0
-    while i < len(part):
-        n = 3 if part[i] == "%" and re.fullmatch("[0-9A-Fa-f]{2}", part[i + 1 : i + 3]) else 1
-        got = bytes.fromhex(part[i + 1 : i + 3]) if n == 3 else part[i].encode("utf-8", "surrogatepass")
-        data += got
-        low += [at + i] * len(got)
-        high += [at + i + n] * len(got)
-        i += n
-    yield from _decoded(bytes(data), low, high)
+    raw = np.frombuffer(part.encode("utf-8", "surrogatepass") + b"  ", np.uint8)
+    char = np.repeat(np.arange(len(part)), _sizes(part)) + at
+    high, low = _HEX_VALUE[raw[1:-1]], _HEX_VALUE[raw[2:]]
+    hit = (raw[:-2] == 0x25) & (high < 16) & (low < 16)
+    value = np.where(hit, high * 16 + low, raw[:-2]).astype(np.uint8)
+    stay = ~hit
+    stay[1:] &= ~hit[:-1]
+    stay[2:] &= ~hit[:-2]
+    stay |= hit
+    return _through(_stretches(value[stay].tobytes()), char[stay], (char + np.where(hit, 3, 1))[stay])
 
 
 def _escaped(part: str, at: int) -> Layer:
     out, low, high, last = [], [], [], 0
-
-    def plain(a: int, b: int) -> None:
-        for i in range(a, b):
-            out.append(part[i])
-            low.append(at + i)
-            high.append(at + i + 1)
-
     for m in _ESCAPE.finditer(part):
-        plain(last, m.start())
         code = int(m[1] or m[2] or m[4], 16) if m[3] is None else int(m[3])
         if code > 0x10FFFF or 0xD800 <= code < 0xE000:
-            plain(m.start(), m.end())
-        else:
-            out.append(chr(code))
-            low.append(at + m.start())
-            high.append(at + m.end())
+            continue
+        out += [part[last : m.start()], chr(code)]
+        low += [np.arange(last, m.start()), [m.start()]]
+        high += [np.arange(last + 1, m.start() + 1), [m.end()]]
         last = m.end()
-    plain(last, len(part))
-    return "".join(out), low, high
+    out.append(part[last:])
+    low.append(np.arange(last, len(part)))
+    high.append(np.arange(last + 1, len(part) + 1))
+    return "".join(out), at + np.concatenate(low).astype(np.int64), at + np.concatenate(high).astype(np.int64)
 
 
-def _unpacked(data: bytes, at: int = 0) -> bytes | None:
-    """What a zlib or gzip stream at ``at`` holds; None if it is none or larger than the guard allows."""
-    head = data[at : at + 2]
-    if head != b"\x1f\x8b" and not (head[:1] == b"\x78" and len(data) > at + 2 and int.from_bytes(head, "big") % 31 == 0):
-        return None
+def _is_packed(head: bytes) -> bool:
+    """Does a zlib or gzip stream start so?"""
+    return head[:2] == b"\x1f\x8b" or head[:1] == b"\x78" and len(head) > 2 and int.from_bytes(head[:2], "big") % 31 == 0
+
+
+def _inflated(source: Iterator[bytes]) -> Iterator[bytes]:
+    """What a zlib or gzip stream holds, at most ``STEP`` bytes at a time, up to its end or to where it breaks."""
+    worker = zlib.decompressobj(47)
     try:
-        worker = zlib.decompressobj(47)
-        out = worker.decompress(memoryview(data)[at:], UNPACKED_BYTES)
-        return out if worker.eof else None
+        for data in source:
+            while data and not worker.eof:
+                yield worker.decompress(data, STEP)
+                data = worker.unconsumed_tail
     except zlib.error:
-        return None
+        return
+
+
+def _begun(source: Iterator[bytes]) -> tuple[bytes, Iterator[bytes]]:
+    """The first bytes of ``source``, and all of it."""
+    head = b""
+    for more in source:
+        head += more
+        if len(head) > 2:
+            break
+    return head, chain([head], source)
+
+
+def _unpacked(data: memoryview) -> Iterator[bytes]:
+    """What a stream of compressed bytes holds, streams in it unpacked too, in pieces cut at blanks where there are any.
+
+    Pieces overlap a little, so that no secret is cut. A run without blanks longer than ``STEP`` is cut as it comes, a
+    multiple of four from its start, so that base64 goes on in step.
+    """
+    source, deep = iter([bytes(data)]), 0
+    head, source = _begun(source)
+    while deep < DEEP and _is_packed(head):
+        inner, rest = _begun(_inflated(source))
+        if not inner:
+            source = iter([head])
+            break
+        head, source, deep = inner, rest, deep + 1
+    if not deep:
+        return
+    held = b""
+    for more in source:
+        held += more
+        while len(held) > 2 * STEP:
+            cut = max(held.rfind(b"\n", STEP, 2 * STEP), held.rfind(b" ", STEP, 2 * STEP)) + 1 or 2 * STEP
+            yield held[:cut]
+            held = held[cut - AGAIN :]
+    yield held
 
 
 def _base64(part: str, at: int) -> Iterator[Layer]:
-    """What a run of base64 characters holds from its start, from after each separator in it and from each of its lines on.
+    """What a run of base64 characters holds, read from each of its first four characters on.
 
-    Starts that lie a multiple of four characters apart are decoded at once, as each holds the end of the one before;
-    what is rubbish before a blob, or after it, ends at a break or does no harm. A compressed layer is sought at each start.
+    So whatever stands before a blob in the run, one of the four reads it in step; what is rubbish before a blob, or after
+    it, ends at a break or does no harm. A compressed layer is sought at the start of the run and of its lines and after
+    each separator; its characters have the whole blob as their source.
     """
     lines, places = [], []
     for m in re.finditer(r"[^\s=]+", part):
         lines.append(lines[-1] + len(places[-1]) if lines else 0)
-        places.append(range(at + m.start(), at + m.end()))
-    where: Sequence[int] = places[0] if len(places) == 1 else [i for p in places for i in p]
-    body = "".join(part[p.start - at : p.stop - at] for p in places)
+        places.append(np.arange(at + m.start(), at + m.end()))
+    where = np.concatenate(places)
+    body = "".join(part[p[0] - at : p[-1] + 1 - at] for p in places)
     starts = sorted({*lines, *(m.end() for m in _BEFORE.finditer(body))})
     body, end = body.translate(_URLSAFE), at + len(part)
     for phase in range(4):
-        own = [s for s in starts if s % 4 == phase and s <= len(body) - 16]
-        if not own:
-            continue
-        raw = body[own[0] : len(body) - ((len(body) - phase) % 4 == 1)]
+        n = len(body) - phase
+        if n < 16:
+            break
+        raw = body[phase : len(body) - (n % 4 == 1)]
         data = base64.b64decode(raw + "=" * (-len(raw) % 4))
-        for s in own:
-            inner = _unpacked(data, (s - own[0]) // 4 * 3)
-            while inner is not None:
-                yield from ((text, [where[s]] * len(text), [end] * len(text)) for text, _, _ in _stretches(inner))
-                inner = None if (more := _unpacked(inner)) == inner else more
-        for text, first, last in _stretches(data):
-            low, high = [where[own[0] + j * 4 // 3] for j in first], [where[min(own[0] + (j - 1) * 4 // 3 + 1, len(where) - 1)] + 1 for j in last]
-            yield text, low, high
-            # rubbish that touches a start would shift what is encoded again
-            for s in own[bisect_left(own, own[0] + first[0] * 4 // 3 + 1) :]:
-                j = (s - own[0]) // 4 * 3
-                if j > first[-1]:
-                    break
-                i = bisect_left(first, j)
-                if first[i] == j and i and _INNER.match(text, i - 1) and (m := _INNER.match(text, i)):
-                    yield m[0], low[i : m.end()], high[i : m.end()]
+        for s in starts:
+            if s % 4 == phase and _is_packed(data[(j := (s - phase) // 4 * 3) : j + 3]):
+                for piece in _unpacked(memoryview(data)[j:]):
+                    for text, _, _ in _stretches(piece):
+                        yield text, np.broadcast_to(where[s], len(text)), np.broadcast_to(end, len(text))
+        byte = np.arange(len(data))
+        yield from _through(_stretches(data), where[phase + byte * 4 // 3], where[np.minimum(phase + (byte * 8 + 7) // 6, len(where) - 1)] + 1)
 
 
 def _layers(text: str) -> Iterator[Layer]:
     """What the parts of ``text`` hold one layer down, with positions in ``text``."""
-    if "%" in text:
-        for m in _PERCENT.finditer(text):
-            yield from _percent(m[0], m.start())
-    if "\\" in text or "&#" in text:
-        yield from (_escaped(m[0], m.start()) for m in _UNICODE.finditer(text))
+    percent, escape = "%" in text, "\\" in text or "&#" in text
+    if percent or escape:
+        for m in _RUN.finditer(text):
+            if percent and _PERCENT.search(m[0]):
+                yield from _percent(m[0], m.start())
+            if escape and _ESCAPE.search(m[0]):
+                yield _escaped(m[0], m.start())
     for m in _BASE64.finditer(text):
         yield from _base64(m[0], m.start())
 
@@ -188,17 +222,24 @@ def all_spans(text: str, base: list[Span] | None = None) -> list[Span]:
     decodes to itself ends. A span found in a layer covers the characters that the layer's span came from.
     """
     found = set(base_spans(text) if base is None else base)
-    seen, work = {(0, len(text), text)}, [layer for layer in _layers(text)]
+    seen, work = {(0, len(text), _name(text))}, [_layers(text)]
     while work:
-        inner, low, high = work.pop()
-        if not inner or (key := (low[0], high[-1], inner)) in seen:
+        if (layer := next(work[-1], None)) is None:
+            work.pop()
+            continue
+        inner, low, high = layer
+        if not inner or (key := (int(low[0]), int(high[-1]), _name(inner))) in seen:
             continue
         seen.add(key)
-        found.update((kind, low[a], max(high[a:b])) for kind, a, b in base_spans(inner))
-        work.extend((t, [low[i] for i in lo], [high[i - 1] for i in hi]) for t, lo, hi in _layers(inner) if t)
+        found.update((kind, int(low[a]), int(high[a:b].max())) for kind, a, b in base_spans(inner))
+        work.append(_through(_layers(inner), low, high))
     return _sorted(list(found))
 
 
+def _name(text: str) -> bytes | str:
+    return text if len(text) < 64 else hashlib.md5(text.encode("utf-8", "surrogatepass")).digest()
+
+
 def written(spans: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
@@ -217,7 +258,8 @@ def scan(docs: DataFrame, text: str = "text", redact: bool = False) -> DataFrame
     """``docs`` with n_assign, n_access, n_hex, base_sha256 and spans; with ``redact`` the text without its secrets instead.
 
     A null text counts as empty (and stays null when redacting). Columns of these names are replaced,
-    others pass through. Each row is scanned alone: no shuffle, and a lost task is done again.
+    others pass through. Each row is scanned alone, a few MB of text at a time: no shuffle, and a lost task is done again.
+    Empty texts have no spans; the time for a text, of any length, grows with its length.
     """
     if redact:
         schema = docs.schema
@@ -227,7 +269,7 @@ def scan(docs: DataFrame, text: str = "text", redact: bool = False) -> DataFrame
         schema = extended(docs, n_assign="long", n_access="long", n_hex="long", base_sha256="string", spans="string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, text):
             at = b.schema.get_field_index(text)
             texts = b.column(at).to_pylist()
             if redact:
@@ -248,4 +290,5 @@ def scan(docs: DataFrame, text: str = "text", redact: bool = False) -> DataFrame
 
 
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents: secrets by kind, a digest of the base spans, and all spans."""
     return scan(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
