@@ -112,7 +112,7 @@ def sketched(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()  # copies in this task; forgotten now and then, as the shuffle below drops the rest
-        for b in batches:
+        for b in sliced(batches, "text"):
             fresh = []
             for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 if t is not None and t.strip() and (d := hashlib.md5(t.encode())).digest() not in seen:
@@ -149,7 +149,7 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, have = None, np.zeros(0, np.uint64)
-        for batch in batches:
+        for batch in sliced(sliced(batches, "ta"), "tb"):
             ids, keep = batch.column("b").to_pylist(), []
             texts_a = batch.column("ta")
             for i, node in enumerate(ids):
@@ -186,10 +186,10 @@ def _alike(own: np.ndarray, have: np.ndarray, similarity: float) -> bool:
 def _passing(table: pa.Table, similarity: float) -> tuple[np.ndarray, Iterator[tuple[int, np.ndarray]]]:
     """(labels as numbers, pairs): each member of a pair of blocks with those of other labels that its signature does not rule out.
 
-    A pair counts in the first band in which it meets, by either signature, and the bound on the agreement of the
-    signatures of sets lies four standard errors below ``similarity``.
+    A pair counts in the first band in which it meets, by either signature. The signatures of sets, which agree with the
+    similarity that is verified, rule out a pair six standard errors below it: a pair at ``similarity`` with a chance below 1e-9.
     """
-    least = int(SIZE * (similarity - 4 * (similarity * (1 - similarity) / SIZE) ** 0.5))
+    least = int(SIZE * (similarity - 6 * (similarity * (1 - similarity) / SIZE) ** 0.5))
     _, label = np.unique(np.array(table.column("label").to_pylist(), object), return_inverse=True)
     brief = table.column("brief").to_pylist()
     sig, weighted = (np.frombuffer(b"".join(part), "<u2").reshape(len(label), SIZE) for part in ([x[: 2 * SIZE] for x in brief], [x[-2 * SIZE :] for x in brief]))
