@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -17,8 +17,8 @@ RULES = (
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 )
-#: All of the mass that one kind of seeds has; ranks are whole numbers, so every order of sums agrees.
-ONE = 10**12
+#: What a seed starts with; ranks are whole numbers, so every order of sums agrees. Up to 10**9 seeds fit a long.
+ONE = 10**9
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LINK = r"""(?i)(?:href|src)\s*=\s*["']?(?:https?:)?//([^/?#"'\s>]+)"""
 
@@ -66,25 +66,25 @@ def host_edges(pages: DataFrame, html: str = "html") -> DataFrame:
 def propagate(hosts: DataFrame, edges: DataFrame, rounds: int = 8, keep: int = 85) -> DataFrame:
     """(host, trust, distrust) after ``rounds`` of personalised PageRank.
 
-    ``hosts`` has host, good and bad (is it a seed of either kind). Trust starts evenly at the good hosts and
+    ``hosts`` has host, good and bad (is it a seed of either kind). Trust starts alike at all good hosts and
     follows links; distrust starts at the bad hosts and follows links backwards. Each round passes on
     ``keep`` hundredths, by link weight; the rest returns to the seeds, and what a host without links
-    would pass on is dropped. No good or no bad seeds: that rank is 0.
+    would pass on is dropped. No good or no bad seeds: that rank is 0. Shares are taken of decimals, so a host passes on
+    something by each of its links however many seeds there are.
     """
-    n = hosts.agg(F.count_if("good"), F.count_if("bad")).first()
-    start = [F.when(F.col(c), F.lit(ONE // max(k, 1))).otherwise(0).cast("long") for c, k in (("good", n[0]), ("bad", n[1]))]
-    base = stored(hosts.select("host", start[0].alias("trust"), start[1].alias("distrust")))
-    out, into = Window.partitionBy("src"), Window.partitionBy("dst")
-    summed = edges.withColumns({"out_w": F.sum("w").over(out), "in_w": F.sum("w").over(into)})
+    base = stored(hosts.select("host", *[F.when(F.col(c), F.lit(ONE)).otherwise(0).cast("long").alias(name) for c, name in (("good", "trust"), ("bad", "distrust"))]))
     zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
-    ways = summed.select(F.col("src").alias("host"), F.col("dst").alias("to"), F.col("w").alias("f"), F.col("out_w").alias("fd"), zero.alias("r"), one.alias("rd"))
-    ways = stored(ways.union(summed.select("dst", "src", zero, one, "w", "in_w")))
+    # sums before joins: a hub's edges never meet in one group
+    out = edges.groupBy(F.col("src").alias("host")).agg(F.sum("w").alias("of"))
+    into = edges.groupBy(F.col("dst").alias("host")).agg(F.sum("w").alias("of"))
+    forth = edges.select(F.col("src").alias("host"), F.col("dst").alias("to"), "w").join(out, "host").select("host", "to", F.col("w").alias("f"), F.col("of").alias("fd"), zero.alias("r"), one.alias("rd"))
+    back = edges.select(F.col("dst").alias("host"), F.col("src").alias("to"), "w").join(into, "host").select("host", "to", zero.alias("f"), one.alias("fd"), F.col("w").alias("r"), F.col("of").alias("rd"))
+    ways = stored(forth.union(back))
     rank = base
     reset = base.select("host", F.expr(f"trust * {100 - keep} div 100").alias("trust"), F.expr(f"distrust * {100 - keep} div 100").alias("distrust"))
+    share = lambda rank, part, of: F.expr(f"CAST({rank} AS DECIMAL(19, 0)) * {keep} * {part} div (CAST({of} AS DECIMAL(19, 0)) * 100)").alias(rank)
     for i in range(rounds):
-        passed = rank.join(ways, "host").select(
-            F.col("to").alias("host"), F.expr(f"(trust * {keep} div 100) div fd * f").alias("trust"), F.expr(f"(distrust * {keep} div 100) div rd * r").alias("distrust")
-        )
+        passed = rank.join(ways, "host").select(F.col("to").alias("host"), share("trust", "f", "fd"), share("distrust", "r", "rd"))
         rank = reset.union(passed).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
         if i % 4 == 3 or i == rounds - 1:
             rank = stored(rank)
@@ -108,14 +108,20 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     )
     no = F.lit(False)
     hosts = seen.union(edges.select("src", no, no)).union(edges.select("dst", no, no)).groupBy("host").agg(F.bool_or("good").alias("good"), F.bool_or("bad").alias("bad"))
+    hosts = stored(hosts)
+    seeds = hosts.agg(F.count_if("good"), F.count_if("bad")).first()
+    good, bad = (max(1, n) for n in seeds)
     rank = propagate(hosts, edges, rounds=rounds)
-    distrusted = rank.where(f"distrust > 0 AND distrust * 100 >= {share} * (trust + distrust)").select("host", F.lit("block").alias("_ranked"))
+    # each kind by its own number of seeds; decimals hold the products
+    t, d = f"(CAST(trust AS DECIMAL(19, 0)) * {bad})", f"(CAST(distrust AS DECIMAL(19, 0)) * {good})"
+    distrusted = rank.where(f"distrust > 0 AND {d} * 100 >= {share} * ({t} + {d})").select(F.col("host").alias("_host"), F.lit("block").alias("_ranked"))
     # only the few columns that are asked for meet the ranks; a host with many pages is split by adaptive execution
     verdict = F.coalesce("_fit.verdict", "_ranked", F.lit("allow"))
-    return parts.drop("html").join(distrusted, "host", "left").select(*[c for c in pages.columns if c not in ("html", "host", "path", "rule", "verdict")], "host", "path", F.col("_fit.rule").alias("rule"), verdict.alias("verdict"))
+    return parts.drop("html").join(distrusted, F.col("host") == F.col("_host"), "left").select(*[c for c in pages.columns if c not in ("html", "host", "path", "rule", "verdict")], "host", "path", F.col("_fit.rule").alias("rule"), verdict.alias("verdict"))
 
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages by the rules, and by trust and distrust of their hosts."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     return judge_urls(pages).select("page_id", "host", "path", "rule", "verdict")
 
@@ -138,13 +144,14 @@ WITH rest AS (SELECT page_id, html, CASE WHEN contains(url, '://') THEN substr(u
 ), hosts AS (SELECT host, bool_or(good) AS good, bool_or(bad) AS bad FROM (
     SELECT host, coalesce(ruled = 'allow', false) AS good, coalesce(ruled = 'block', false) AS bad FROM parts WHERE host <> ''
     UNION ALL SELECT src, false, false FROM edges UNION ALL SELECT dst, false, false FROM edges) GROUP BY host
-), r0 AS (SELECT host, (CASE WHEN good THEN {ONE} // greatest(sum(good::INT) OVER (), 1) ELSE 0 END)::BIGINT AS t, (CASE WHEN bad THEN {ONE} // greatest(sum(bad::INT) OVER (), 1) ELSE 0 END)::BIGINT AS s FROM hosts
+), seeds AS (SELECT greatest(count_if(good), 1)::HUGEINT AS good, greatest(count_if(bad), 1)::HUGEINT AS bad FROM hosts
+), r0 AS (SELECT host, (CASE WHEN good THEN {ONE} ELSE 0 END)::BIGINT AS t, (CASE WHEN bad THEN {ONE} ELSE 0 END)::BIGINT AS s FROM hosts
 )"""
     for i in range(rounds):
         sql += f""", r{i + 1} AS MATERIALIZED (SELECT host, sum(t)::BIGINT AS t, sum(s)::BIGINT AS s FROM (
     SELECT host, t * {100 - keep} // 100 AS t, s * {100 - keep} // 100 AS s FROM r0
-    UNION ALL SELECT dst, (t * {keep} // 100) // ow * w, 0 FROM r{i} JOIN weighed ON host = src
-    UNION ALL SELECT src, 0, (s * {keep} // 100) // iw * w FROM r{i} JOIN weighed ON host = dst) GROUP BY host)"""
+    UNION ALL SELECT dst, t::HUGEINT * {keep} * w // (ow::HUGEINT * 100), 0 FROM r{i} JOIN weighed ON host = src
+    UNION ALL SELECT src, 0, s::HUGEINT * {keep} * w // (iw::HUGEINT * 100) FROM r{i} JOIN weighed ON host = dst) GROUP BY host)"""
     return sql + f"""
-SELECT page_id, p.host, path, rule, coalesce(ruled, CASE WHEN s > 0 AND s * 100 >= {share} * (t + s) THEN 'block' END, 'allow') AS verdict
-FROM parts p LEFT JOIN r{rounds} r ON p.host = r.host"""
+SELECT page_id, p.host, path, rule, coalesce(ruled, CASE WHEN s > 0 AND s::HUGEINT * good * 100 >= {share} * (t::HUGEINT * bad + s::HUGEINT * good) THEN 'block' END, 'allow') AS verdict
+FROM parts p LEFT JOIN r{rounds} r ON p.host = r.host CROSS JOIN (SELECT good, bad FROM seeds)"""
