@@ -12,16 +12,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, extended
+from .common import documents, extended, sliced
 
-#: Rows that the model learns from at most, about: a sample by a hash of the id. Bounds the model with LEAST.
-TRAIN_ROWS = 2000
-#: A word or n-gram seen less often is dropped.
-LEAST = 2
+#: Rows of each language that the model learns from at most, about: a sample by a hash of the id.
+TRAIN_ROWS = 500
+#: A word or n-gram seen less often is dropped; and how many of either kind the model has at most, those seen most.
+LEAST, PARTS = 2, 300_000
 LONGEST = 5
 #: Unseen words whose vector a task keeps.
 _KEPT = 200_000
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: Runs of letters: of what is alphanumeric also numbers that are no digits, such as ² and ½, are left out.
+_LETTERS = re.compile(rf"[^\W\d_{''.join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())}]+")
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -36,21 +37,21 @@ def _grams(word: str) -> Iterator[str]:
             yield padded[i : i + n]
 
 
-def fit(rows: DataFrame, max_rows: int = TRAIN_ROWS, least: int = LEAST) -> dict:
+def fit(rows: DataFrame, max_rows: int = TRAIN_ROWS, least: int = LEAST, parts: int = PARTS) -> dict:
     """A model from labelled ``rows`` (doc_id, text, lang): counts of words and n-grams by language, as log frequencies.
 
-    Rows are a sample by hash of about ``max_rows``; the counts are made by Spark, each task summing its own
-    texts first. What comes to the driver is bounded by the sample: the distinct words and n-grams seen
-    ``least`` times in it. Null texts, labels and ids are left out.
+    Of each language rows are a sample by hash of about ``max_rows``, so rare languages are learned too; the counts are
+    made by Spark, each task summing its own texts first. What comes to the driver is bounded by ``parts``: the words
+    and n-grams seen most (ties by their text), ``least`` times at least. Null texts, labels and ids are left out.
     """
     rows = rows.where("text IS NOT NULL AND lang IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "text", "lang")
-    total = rows.count()
-    if total > max_rows:
-        rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * max_rows / total))
+    # a row for each language
+    share = rows.groupBy("lang").agg(F.count("*").alias("n")).select(F.col("lang").alias("_lang"), F.least(F.lit(1.0), F.lit(max_rows) / F.col("n")).alias("_share"))
+    rows = rows.join(share, F.col("lang") == F.col("_lang")).where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("_share") * (1 << 30)).select("doc_id", "text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, Counter] = {}
-        for b in batches:
+        for b in sliced(batches, "text"):
             for text, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist(), strict=True):
                 seen.setdefault(lang, Counter()).update(_LETTERS.findall(text.lower()))
         for lang, words in seen.items():
@@ -62,7 +63,9 @@ def fit(rows: DataFrame, max_rows: int = TRAIN_ROWS, least: int = LEAST) -> dict
                 yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(counts), pa.string()), "kind": pa.array([kind] * len(counts), pa.string()), "part": pa.array(list(counts), pa.string()), "n": pa.array(list(counts.values()), pa.int64())})
 
     counts = rows.mapInArrow(count, "lang string, kind string, part string, n long").groupBy("lang", "kind", "part").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    got = counts.toArrow().to_pandas()
+    best = counts.groupBy("kind", "part").agg(F.sum("n").alias("total"))
+    kept = best.where("kind = 'w'").orderBy(F.col("total").desc(), "part").limit(parts).union(best.where("kind = 'g'").orderBy(F.col("total").desc(), "part").limit(parts))
+    got = counts.join(kept.select("kind", "part"), ["kind", "part"]).toArrow().to_pandas()
     langs = sorted(got["lang"].unique())
     model: dict = {"langs": langs}
     for kind in "wg":
@@ -135,14 +138,14 @@ class Scorer:
 def identify(docs: DataFrame, model: dict) -> DataFrame:
     """Add lang_pred and score to ``docs`` from ``text`` alone; columns of these names are replaced.
 
-    Each row is judged alone. The model, bounded by what it was fitted on, goes to the tasks as a broadcast.
+    Each row is judged alone, a few MB of text at a time. The model, bounded by what it was fitted on, goes to the tasks as a broadcast.
     """
     docs = docs.drop("lang_pred", "score")
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value)
-        for b in batches:
+        for b in sliced(batches, "text"):
             got = [scorer.predict(t) for t in b.column("text").to_pylist()]
             arrays = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
             yield pa.RecordBatch.from_arrays([*b.columns, *arrays], names=[*b.schema.names, "lang_pred", "score"])
@@ -151,6 +154,7 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, judged by a model of those that are not held out; a null id is not held out and teaches nothing."""
     docs = documents(spark, sf_dir)
     model = fit(docs.where(~held_out()))
     return identify(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
