@@ -8,10 +8,12 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import documents, extended
+from .common import documents, extended, sliced
 
 BLOCK, FILL, RATE = 576, b"\xff", 8000
 #: Fixed signatures: bytes, offset of the medium's start before them, kind.
@@ -178,6 +180,20 @@ def sniff(data: bytes) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda f: (f[1], -f[2], f[0]))
 
 
+def _sniffed(batches: Iterator[pa.RecordBatch], media: str = "media", declared: str = "declared") -> Iterator[pa.RecordBatch]:
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("length", pa.int64())]))
+    for b in batches:
+        detected, corrected, inner = [], [], []
+        for data, said in zip(b.column(media), b.column(declared).to_pylist(), strict=True):
+            found = sniff(data.as_py() or b"")
+            top = next((k for k, start, _ in found if start == 0), said)
+            detected.append(top)
+            corrected.append(top != said)
+            inner.append([{"kind": k, "start": s, "length": n} for k, s, n in found if s])
+        arrays = [pa.array(detected, pa.string()), pa.array(corrected, pa.bool_()), pa.array(inner, kind)]
+        yield pa.RecordBatch.from_arrays([*b.columns, *arrays], names=[*b.schema.names, "detected", "corrected", "embedded"])
+
+
 def sniffed(rows: DataFrame, media: str = "media", declared: str = "declared") -> DataFrame:
     """Add detected, corrected and embedded to ``rows`` of media bytes with a declared type.
 
@@ -186,21 +202,7 @@ def sniffed(rows: DataFrame, media: str = "media", declared: str = "declared") -
     keep their declared type and hold nothing. Columns of these names are replaced.
     """
     rows = rows.drop("detected", "corrected", "embedded")
-    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("length", pa.int64())]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            detected, corrected, inner = [], [], []
-            for data, said in zip(b.column(media), b.column(declared).to_pylist(), strict=True):
-                found = sniff(data.as_py() or b"")
-                top = next((k for k, start, _ in found if start == 0), said)
-                detected.append(top)
-                corrected.append(top != said)
-                inner.append([{"kind": k, "start": s, "length": n} for k, s, n in found if s])
-            arrays = [pa.array(detected, pa.string()), pa.array(corrected, pa.bool_()), pa.array(inner, kind)]
-            yield pa.RecordBatch.from_arrays([*b.columns, *arrays], names=[*b.schema.names, "detected", "corrected", "embedded"])
-
-    return rows.mapInArrow(run, extended(rows, detected="string", corrected="boolean", embedded="array<struct<kind:string,start:bigint,length:bigint>>"))
+    return rows.mapInArrow(lambda batches: _sniffed(sliced(batches, media), media, declared), extended(rows, detected="string", corrected="boolean", embedded="array<struct<kind:string,start:bigint,length:bigint>>"))
 
 
 def padded(text: str | None) -> tuple[int, bytes]:
@@ -227,27 +229,26 @@ def samples(media: bytes) -> bytes:
     raise ValueError("no samples")
 
 
-def stored_as_samples(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, n_bytes, media and declared: each whole text as a wave file whose type is declared as unknown bytes."""
+_STORED = "doc_id long, n_bytes long, media binary, declared string"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [padded(t) for t in b.column(text).to_pylist()]
-            arrays = [b.column("doc_id"), pa.array([n for n, _ in rows], pa.int64()), pa.array([wav(p) for _, p in rows], pa.binary()), pa.array(["application/octet-stream"] * len(rows), pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_bytes", "media", "declared"])
 
-    return docs.select("doc_id", text).mapInArrow(run, "doc_id long, n_bytes long, media binary, declared string")
+def _stored(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = [padded(t) for t in b.column(text).to_pylist()]
+        arrays = [b.column("doc_id"), pa.array([n for n, _ in rows], pa.int64()), pa.array([wav(p) for _, p in rows], pa.binary()), pa.array(["application/octet-stream"] * len(rows), pa.string())]
+        yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_bytes", "media", "declared"])
 
 
-def features(rows: DataFrame) -> DataFrame:
-    """The samples of sniffed media (doc_id, n_bytes, media, detected, embedded), read back, with digests and a feature.
+def stored_as_samples(docs: DataFrame, text: str = "text") -> DataFrame:
+    """doc_id, n_bytes, media and declared: each whole text as a wave file whose type is declared as unknown bytes. A null text is stored as an empty one."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(lambda batches: _stored(sliced(batches, text), text), _STORED)
+
+
+_FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
-    feature: the type found, the samples' mean and the number of sign changes around 128, and the embedded kinds.
-    """
-    import numpy as np
 
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    names = [part.split()[0] for part in schema.split(", ")]
+def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [part.split()[0] for part in _FEATURES.split(", ")]
 
     def one(n: int, media: bytes, kind: str, inner: list[dict]) -> tuple:
         if kind != "audio/wav":
@@ -258,14 +259,25 @@ def features(rows: DataFrame) -> DataFrame:
         feature = f"{kind};mean={int(x.sum(dtype=np.int64) * 1000 // len(x))};turns={turns};embedded={'+'.join(e['kind'] for e in inner)}"
         return n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = [one(n.as_py(), m.as_py(), k.as_py(), e.as_py()) for n, m, k, e in zip(b.column("n_bytes"), b.column("media"), b.column("detected"), b.column("embedded"), strict=True)]
-            arrays = [b.column("doc_id"), *(pa.array([g[i] for g in got], pa.string() if i in (2, 5, 6) else pa.int64()) for i in range(7))]
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+    for b in batches:
+        got = [one(n.as_py(), m.as_py(), k.as_py(), e.as_py()) for n, m, k, e in zip(b.column("n_bytes"), b.column("media"), b.column("detected"), b.column("embedded"), strict=True)]
+        arrays = [b.column("doc_id"), *(pa.array([g[i] for g in got], pa.string() if i in (2, 5, 6) else pa.int64()) for i in range(7))]
+        yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+
+def features(rows: DataFrame) -> DataFrame:
+    """The samples of sniffed media (doc_id, n_bytes, media, detected, embedded), read back, with digests and a feature.
+
+    feature: the type found, the samples' mean and the number of sign changes around 128, and the embedded kinds.
+    """
+    return rows.select("doc_id", "n_bytes", "media", "detected", "embedded").mapInArrow(lambda batches: _featured(sliced(batches, "media")), _FEATURES)
+
 
-    return rows.select("doc_id", "n_bytes", "media", "detected", "embedded").mapInArrow(run, schema)
+def text_features(docs: DataFrame) -> DataFrame:
+    """``features(sniffed(stored_as_samples(docs)))`` in one pass, a few MB of text at a time, so that stored media never leave the task."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda batches: _featured(_sniffed(_stored(sliced(batches, "text")))), _FEATURES)
 
 
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features(sniffed(stored_as_samples(documents(spark, sf_dir))))
+    """All documents, each stored as a medium and read back; null texts count as empty."""
+    return text_features(documents(spark, sf_dir))

@@ -3,12 +3,17 @@
 import base64
 import gzip
 import hashlib
+import io
+import itertools
+import math
 import random
 import re
 import struct
 import time
 import urllib.parse
+import wave
 import zlib
+from collections import Counter
 
 import pyarrow as pa
 import pytest
@@ -145,6 +150,77 @@ def test_unseen_words_fall_back(spark):
     assert scorer.predict("einheit")[0] == "de" and scorer.predict("potion lotion")[0] == "fr" and scorer.predict("123 !")[0] == "und"
 
 
+def plain_letters(text):
+    """Words as runs of characters that Unicode calls letters."""
+    return "".join(c if c.isalpha() else " " for c in text.lower()).split()
+
+
+def plain_model(rows, longest=5, least=2):
+    grams = lambda w: [f" {w} "[i : i + n] for n in range(1, longest + 1) for i in range(len(w) + 3 - n)]
+    langs = sorted({lang for _, lang in rows})
+    count = {(kind, lang): Counter() for kind in "wg" for lang in langs}
+    for text, lang in rows:
+        for w in plain_letters(text):
+            count["w", lang][w] += 1
+            count["g", lang].update(grams(w))
+    model = {}
+    for kind in "wg":
+        kept = {lang: {p: n for p, n in count[kind, lang].items() if n >= least} for lang in langs}
+        parts = {p for c in kept.values() for p in c}
+        for size in {len(p) if kind == "g" else 0 for p in parts}:
+            like = [q for q in parts if not size or len(q) == size]
+            model[kind, size] = (len(like), {lang: sum(kept[lang].get(q, 0) for q in like) for lang in langs})
+        for p in parts:
+            n, total = model[kind, len(p) if kind == "g" else 0]
+            raw = [math.log((kept[lang].get(p, 0) + 0.5) / (total[lang] + 0.5 * n)) for lang in langs]
+            model[kind + p] = [x - sum(raw) / len(raw) for x in raw]
+    return langs, model
+
+
+def plain_prediction(langs, model, text, longest=5):
+    words = plain_letters(text or "")
+    if not words:
+        return "und", 0.0
+    total = [0.0] * len(langs)
+    for w in words:
+        if (own := model.get("w" + w)) is None:
+            own = [0.0] * len(langs)
+            for n in range(longest, 0, -1):
+                known = [model["g" + g] for i in range(len(w) + 3 - n) if "g" + (g := f" {w} "[i : i + n]) in model]
+                if known:
+                    own = [sum(k[j] for k in known) / len(known) for j in range(len(langs))]
+                    break
+        total = [a + b for a, b in zip(total, own, strict=True)]
+    mean = [t / len(words) for t in total]
+    e = [math.exp((m - max(mean)) * min(len(words), 20)) for m in mean]
+    return langs[mean.index(max(mean))], max(e) / sum(e)
+
+
+def test_language_against_plain_python(spark):
+    """The sample holds all rows here, so words, n-grams and scores can be made once more."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [tuple(r) for r in docs.where(~language.held_out()).where("text IS NOT NULL AND lang IS NOT NULL AND length(text) < 6000").select("text", "lang").collect()]
+    langs, model = plain_model(rows)
+    got = language.identify(docs, language.fit(docs.where(~language.held_out()).where("length(text) < 6000"))).select("text", "lang_pred", "score").collect()
+    for r in got:
+        lang, score = plain_prediction(langs, model, r["text"])
+        assert (r["lang_pred"] == lang or abs(score - 0.5) < 1e-3) and r["score"] == pytest.approx(score, abs=1e-4)
+
+
+def test_only_letters_count(spark):
+    docs = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate([("eins zwei drei", "de"), ("un deux trois", "fr")] * 3)], "doc_id long, text string, lang string")
+    scorer = language.Scorer(language.fit(docs))
+    assert all(scorer.predict(t) == ("und", 0.0) for t in ("² ½", "① Ⅻ 12 _", "", None, "☃ \u0301 …")) and scorer.predict("2 zwei²")[0] == "de"
+
+
+def test_rare_languages_are_learned(spark):
+    common = spark.range(3000).select("id", F.lit("the common words of it").alias("text"), F.lit("en").alias("lang"))
+    rare = spark.range(3000, 3005).select("id", F.lit("wenige andere worte").alias("text"), F.lit("de").alias("lang"))
+    model = language.fit(common.union(rare).withColumnRenamed("id", "doc_id"), max_rows=50)
+    assert model["langs"] == ["de", "en"] and language.Scorer(model).predict("andere worte")[0] == "de"
+    assert len(language.fit(common.union(rare).withColumnRenamed("id", "doc_id"), parts=3)["w"][0]) == 3
+
+
 AWKWARD = ("The quick brown fox", "  two  spaces ", "é ñ 日本 😀 ﬁ", "a\nb\tc", "aaaaaaaaaaaa", "x" * 70 + " y", "▁mark", "in▁side", "-", " ", "   ", "\0 zero\0", "\n\n  deep    indent", "", "naïve café", "ꙮ𓀀 rare", "https://example.com/a?b=c&d=%20", "x▁ y", "▁")
 
 
@@ -230,14 +306,20 @@ def test_sniffing(spark, odd, empty):
 def test_media_columns(spark, odd, empty):
     for df in (odd, spark.read.parquet(f"{SF}/documents.parquet")):
         texts = sorted((r["text"] or "" for r in df.collect()))
-        got = media.features(media.sniffed(media.stored_as_samples(df))).collect()
+        got = media.text_features(df).collect()
         want = []
         for t in texts:
             raw = t.encode()
             full = raw + b"\xff" * (max(576, -(-len(raw) // 576) * 576) - len(raw))
-            want.append((len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-32:])))
-        assert sorted(tuple(r)[1:5] for r in got) == sorted(want) and all(r["media_bytes"] == r["payload_bytes"] + 44 for r in got)
-    assert media.features(media.sniffed(media.stored_as_samples(empty))).count() == 0
+            with wave.open(file := io.BytesIO(), "wb") as out:
+                out.setparams((1, 1, 8000, 0, "NONE", ""))
+                out.writeframes(full)
+            kept = file.getvalue()
+            turns = sum((a >= 128) != (b >= 128) for a, b in itertools.pairwise(full))
+            want.append((len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-32:]), len(kept), hashlib.sha256(kept).hexdigest(), f"audio/wav;mean={sum(full) * 1000 // len(full)};turns={turns};embedded="))
+        assert sorted(tuple(r)[1:] for r in got) == sorted(want)
+        assert sorted(map(tuple, media.features(media.sniffed(media.stored_as_samples(df))).collect()), key=str) == sorted(map(tuple, got), key=str)
+    assert media.text_features(empty).count() == 0
 
 
 def test_shards(spark, odd, empty):
@@ -271,6 +353,28 @@ def test_distrust_flows_back_over_links(spark):
     assert urls.judge_urls(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_pages_that_repeat_or_clash(spark):
+    """Repeated rows, very long urls and pages, and columns with the names of the results."""
+    long = "http://long.example.net/fr/" + "x" * 100_000
+    rows = [(1, long, "<a href='//a.org/'>" * 5000), (1, long, "<a href='//a.org/'>" * 5000), (2, "http://a.org/", "y" * 500_000), (2, "http://a.org/", None), (None, None, None), (None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit("clash") for c in ("host", "path", "rule", "verdict", "w", "trust")})
+    out = urls.judge_urls(pages)
+    assert sorted(out.columns) == sorted(["page_id", "url", "w", "trust", "host", "path", "rule", "verdict"])
+    got = sorted((r["page_id"] or 0, r["host"], r["rule"] or "", r["verdict"]) for r in out.collect())
+    assert got == [(0, "", "", "allow")] * 2 + [(1, "long.example.net", "net/fr/", "block")] * 2 + [(2, "a.org", "", "allow")] * 2
+
+
+def test_ranks_of_hubs_and_many_seeds(spark):
+    """Each link of a hub passes on something, and sums are those of fractions, cut."""
+    hosts = spark.range(20_000).select(F.concat(F.lit("h"), "id").alias("host"), (F.col("id") > 0).alias("good"), F.lit(False).alias("bad"))
+    edges = spark.range(1, 20_000).select(F.lit("h0").alias("src"), F.concat(F.lit("h"), "id").alias("dst"), F.lit(1).cast("long").alias("w"))
+    edges = edges.union(edges.select("dst", "src", "w"))
+    rank = {r["host"]: r["trust"] for r in urls.propagate(hosts, edges, rounds=2).collect()}
+    one, n = urls.ONE, 19_999
+    first = one * 15 // 100
+    assert rank["h7"] == first + (one * 85 // 100) * n * 85 // (100 * n) and rank["h0"] == n * (first * 85 // 100)
+
+
 def items(spark, *texts):
     return spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
 
@@ -282,7 +386,7 @@ def test_passages(spark, odd, empty):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     tests = items(spark, " ".join(passage), "alpha beta", "", None)
     want = {1: "0", 2: "0", 3: "", 4: "", 5: "", 6: "0", 7: "1", 8: "", 9: "1"}
-    for bound in (1 << 30, 0):
+    for bound in (1 << 30, 4000):  # in one block and in several
         got = {r["doc_id"]: (r["contaminated"], r["n_items"], r["item_ids"]) for r in decontamination.mark_contaminated(df, tests, bound=bound).collect()}
         assert got == {k: (bool(v), len(v), v) for k, v in want.items()}
     assert decontamination.mark_contaminated(odd, tests).count() == odd.count()
@@ -290,6 +394,35 @@ def test_passages(spark, odd, empty):
     assert decontamination.contaminated(df, tests.where("false")).count() == 0
 
 
+def brute_leaks(docs, tests, window=20):
+    """Every window of every passage against every place of every document."""
+    out = set()
+    for i, text in docs:
+        tok = [w for w in re.split(r"[^a-z0-9]+", text.lower()) if w]
+        for k, passage in tests:
+            item = [w for w in re.split(r"[^a-z0-9]+", passage.lower()) if w]
+            width = min(window, len(item))
+            if width and any(sum(a == b for a, b in zip(item[s : s + width], tok[d : d + width], strict=True)) * 100 >= 80 * width for s in range(len(item) - width + 1) for d in range(len(tok) - width + 1)):
+                out.add((i, k))
+    return out
+
+
+def test_no_place_is_missed(spark):
+    """Passages of 1 to 40 tokens with as many substitutions as are allowed, or one more."""
+    rng = random.Random(11)
+    tests, docs = [], []
+    for k, n in enumerate([*range(1, 25), 30, 40]):
+        passage = [f"p{k}w{i}" for i in range(n)]
+        tests.append((k, " ".join(passage)))
+        for _ in range(6):
+            part = passage[(s := rng.randrange(max(1, n - 19))) : s + 20]
+            spoilt = set(rng.sample(range(len(part)), min(len(part), len(part) // 5 + rng.randrange(2))))
+            docs.append((len(docs), " ".join(["lead"] * rng.randrange(4) + ["zz" if i in spoilt else w for i, w in enumerate(part)] + ["tail"] * rng.randrange(4))))
+    found = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(tests, "item_id long, text string"))
+    want = brute_leaks(docs, tests)
+    assert {tuple(r) for r in found.collect()} == want and len(want) > 60
+
+
 def test_pipeline(spark):
     """Each stage against what its parts say, on the whole small table."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
