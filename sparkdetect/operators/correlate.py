@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections import Counter, deque
 from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
+from itertools import groupby
+from typing import Any, NamedTuple
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,39 +20,125 @@ from .detect import SCOPE, _head, event_struct, scoped, with_alert_id
 from .rules import Correlation
 
 
-def sequence_chains(events: list[dict], stages: int, window: float) -> list[list[int]]:
-    """Positions of the chains in ``events`` (t, id, hits: stages that match), which are in time order.
+class Seen(NamedTuple):
+    """A relevant event: time, id, the stages that it matches as bits or the value that is counted, and where it is."""
+
+    t: float
+    id: str | None
+    mark: Any
+    at: Any
+
+
+def sequence_chains(events: Iterable[Seen], stages: int, window: float) -> Iterator[list[Seen]]:
+    """Chains among ``events``, which come in time order; no more than a window of them is held.
 
     From each event of the first stage that is left, the earliest left event of the next stage is taken, up to the
     deadline; only a chain that is complete uses up its events, all rows of their ids.
     """
-    used, out = set(), []
-    for i, first in enumerate(events):
-        if not first["hits"] & 1 or first["id"] in used:
+    source, ahead, used = iter(events), deque(), {}
+    while True:
+        if not ahead:
+            if (e := next(source, None)) is None:
+                return
+            ahead.append(e)
+        first = ahead.popleft()
+        if not first.mark & 1 or first.id in used:
             continue
-        chain, mine, at = [i], {first["id"]}, i + 1
-        for k in range(1, stages):
-            while at < len(events) and events[at]["t"] - first["t"] <= window:
-                e = events[at]
-                if e["hits"] >> k & 1 and e["id"] not in used and e["id"] not in mine:
-                    break
-                at += 1
-            else:
+        while (not ahead or ahead[-1].t - first.t <= window) and (e := next(source, None)) is not None:
+            ahead.append(e)
+        chain, mine = [first], {first.id}
+        for e in ahead:
+            if len(chain) == stages or e.t - first.t > window:
                 break
-            chain.append(at)
-            mine.add(events[at]["id"])
-            at += 1
+            if e.mark >> len(chain) & 1 and e.id not in used and e.id not in mine:
+                chain.append(e)
+                mine.add(e.id)
         if len(chain) == stages:
-            used |= mine
-            out.append(chain)
+            if len(used) > 10_000:  # rows of one id lie near each other
+                used = {i: t for i, t in used.items() if first.t - t <= window}
+            used.update((e.id, e.t) for e in chain)
+            yield chain
+
+
+def counted_chains(events: Iterable[Seen], rule: Correlation) -> Iterator[list[Seen]]:
+    """Hits of a threshold or distinct rule in time order; after a hit the window starts anew."""
+    live, values = deque(), Counter()
+    for e in events:
+        while live and e.t - live[0].t > rule.window:
+            values[live.popleft().mark] -= 1
+        live.append(e)
+        values[e.mark] += 1
+        n = len(live) if rule.kind == "threshold" else sum(1 for v, k in values.items() if v is not None and k > 0)
+        if n >= rule.threshold:
+            yield list(live)
+            live.clear()
+            values.clear()
+        elif len(values) > 2 * len(live) + 16:
+            values = +values
+
+
+def _in_time(base: DataFrame, rules: list[Correlation], entries: list[Column]) -> DataFrame:
+    """(scope, rule, key, chain) of all rules in one scan and one shuffle.
+
+    The events of each rule and key come in time order and are folded row by row; only open windows are held, so a key
+    that never pauses does no harm.
+    """
+    met = F.filter(F.array(*entries), lambda x: x.isNotNull())
+    rows = base.select(*SCOPE, "ts", event_struct(base).alias("event"), F.explode(met).alias("x")).select(*[F.col(c).cast("string").alias(c) for c in SCOPE], "x.*", "ts", F.col("event.event_id").alias("id"), "event")
+    dealt = rows.repartition(*SCOPE, "rule", "key").sortWithinPartitions(*SCOPE, "rule", "key", "ts", "id", "event")
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, Seen]]:
+        for b in batches:
+            keys = list(zip(*(b.column(c).to_pylist() for c in (*SCOPE, "rule", "key")), strict=True))
+            times = b.column("ts").cast(pa.timestamp("us", "UTC")).cast(pa.int64()).to_pylist()
+            marks = zip(b.column("hits").to_pylist(), b.column("value").to_pylist(), strict=True)
+            for i, (key, t, name, (hits, value)) in enumerate(zip(keys, times, b.column("id").to_pylist(), marks, strict=True)):
+                yield key, Seen(t / 1e6, name, value if hits is None else hits, (b, i))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (*scope, k, key), own in groupby(seen(batches), lambda x: x[0]):
+            rule, events = rules[k], (e for _, e in own)
+            for chain in sequence_chains(events, len(rule.stages), rule.window) if rule.kind == "sequence" else counted_chains(events, rule):
+                part = pa.concat_arrays([b.column(b.schema.get_field_index("event")).slice(i, 1) for b, i in (e.at for e in chain)])
+                values = [*(pa.array([x], pa.string()) for x in scope), pa.array([k], pa.int32()), pa.array([key], pa.string()), pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part)]
+                yield pa.RecordBatch.from_arrays(values, names=[*SCOPE, "rule", "key", "chain"])
+
+    return dealt.mapInArrow(run, T.StructType([*[rows.schema[c] for c in (*SCOPE, "rule", "key")], T.StructField("chain", T.ArrayType(rows.schema["event"].dataType))]))
+
+
+def _entry(number: int, rule: Correlation, fields: Callable[[str], Field | None]) -> Column:
+    """struct(rule, key, hits, value) where the event is relevant to the rule, else null; a row whose key is missing takes no part."""
+    rule.check()
+    key = fields(rule.group_by)
+    if key is None:
+        raise RuleError(f"{rule.rule_id}: no field {rule.group_by}")
+    hits, value = F.lit(None).cast("int"), F.lit(None).cast("string")
+    if rule.kind == "sequence":
+        hits = reduce(Column.__add__, [F.when(m, 1 << i).otherwise(0) for i, m in enumerate(_stages(rule, fields))]).cast("int")
+        match = hits > 0
+    else:
+        match, own = selection(rule.select, fields), fields(rule.distinct_field) if rule.distinct_field else None
+        value = F.when(own.known, own.text) if own else value
+    known = F.when(key.known, key.text)
+    return F.when(match & known.isNotNull(), F.struct(F.lit(number).alias("rule"), known.alias("key"), hits.alias("hits"), value.alias("value")))
+
+
+def _stages(rule: Correlation, fields: Callable[[str], Field | None]) -> list[Column]:
+    """What each stage matches and does not exclude."""
+    out = []
+    for i, spec in enumerate(rule.stages):
+        match = selection(spec, fields)
+        if i < len(rule.excludes) and rule.excludes[i]:
+            match = match & ~selection(rule.excludes[i], fields)
+        out.append(match)
     return out
 
 
 def _sessions(relevant: DataFrame, rule: Correlation, extra: list[Column]) -> DataFrame:
-    """Relevant events of a key, split where the gap exceeds the window, each session one sorted array.
+    """Of a stream the relevant events of a key, split where the gap exceeds the window, each session one sorted array.
 
-    No chain or count crosses such a gap, so a session holds all that one decision needs, and a busy key
-    is bounded by its pauses.
+    No chain or count crosses such a gap, so a session holds all that one decision needs, and what a stream keeps of
+    a busy key is bounded by its pauses.
     """
     at = F.session_window("ts", f"{rule.window} seconds")  # the column itself, which may carry a watermark
     item = F.struct("ts", F.col("event.event_id").alias("id"), "event", *extra)
@@ -70,63 +160,55 @@ def _counted(rule: Correlation, element: T.DataType) -> Column:
     return F.aggregate("items", start, step, lambda acc: acc["hits"])
 
 
-def correlate_one(events: DataFrame, rule: Correlation, fields: Callable[[str], Field | None]) -> DataFrame:
-    """Alerts of one rule; a row whose key is missing takes no part."""
-    rule.check()
+def _of_stream(events: DataFrame, rule: Correlation, fields: Callable[[str], Field | None]) -> DataFrame:
+    """(scope, key, chain) of one rule by sessions."""
     base = scoped(events)
-    key = fields(rule.group_by)
-    if key is None:
-        raise RuleError(f"{rule.rule_id}: no field {rule.group_by}")
-    shown = base.withColumn("key", F.when(key.known, key.text)).withColumn("event", event_struct(base))
-    if rule.kind == "sequence":
-        found = _sequences(shown, rule, fields)
-    else:
-        own = fields(rule.distinct_field) if rule.distinct_field else None
-        value = F.when(own.known, own.text) if own else F.lit(None).cast("string")
-        relevant = shown.where(selection(rule.select, fields)).withColumn("value", value).where("key IS NOT NULL")
+    entry = _entry(0, rule, fields)
+    relevant = base.withColumns({"event": event_struct(base), "x": entry}).where("x IS NOT NULL").withColumns({"key": F.col("x.key"), "hits": F.col("x.hits"), "value": F.col("x.value")})
+    if rule.kind != "sequence":
         sessions = _sessions(relevant, rule, [F.col("value")])
         hits = _counted(rule, sessions.schema["items"].dataType.elementType)
-        found = sessions.select(*SCOPE, "key", F.explode(hits).alias("chain")).withColumn("chain", F.transform("chain", lambda x: x["event"]))
-    out = found.select(
-        *SCOPE, _head(rule).alias("hit"), F.element_at("chain", -1).alias("event"), F.slice("chain", 1, F.size("chain") - 1).alias("supporting"),
-        F.concat(F.lit(f"{rule.kind}:{rule.group_by}="), "key").alias("correlation_type"),
-    )
-    return with_alert_id(out.select(*SCOPE, "hit.*", "event", "supporting", "correlation_type"))
-
-
-def _sequences(shown: DataFrame, rule: Correlation, fields: Callable[[str], Field | None]) -> DataFrame:
-    stages = []
-    for i, spec in enumerate(rule.stages):
-        match = selection(spec, fields)
-        if i < len(rule.excludes) and rule.excludes[i]:
-            match = match & ~selection(rule.excludes[i], fields)
-        stages.append(F.when(match, 1 << i).otherwise(0))
-    relevant = shown.withColumn("hits", reduce(Column.__add__, stages)).where("hits > 0 AND key IS NOT NULL")
+        return sessions.select(*SCOPE, "key", F.explode(hits).alias("chain")).withColumn("chain", F.transform("chain", lambda x: x["event"]))
     sessions = _sessions(relevant, rule, [F.col("hits")]).drop("session")
-    n, window = len(stages), rule.window
-    schema = T.StructType([*[sessions.schema[c] for c in (*SCOPE, "key")], T.StructField("positions", T.ArrayType(T.ArrayType(T.IntegerType())))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            chains = []
-            for items in b.column("items"):
-                rows = [{"t": x["ts"].as_py().timestamp(), "id": x["id"].as_py(), "hits": x["hits"].as_py()} for x in items.values]
-                chains.append(sequence_chains(rows, n, window))
-            yield b.append_column("positions", pa.array(chains, pa.list_(pa.list_(pa.int32()))))
-
-    with_items = T.StructType([*sessions.schema.fields, schema["positions"]])
-    folded = sessions.mapInArrow(run, with_items)
+    @F.pandas_udf("array<array<int>>")
+    def places(t: pd.Series, ids: pd.Series, hits: pd.Series) -> pd.Series:
+        whole = ([Seen(*x, i) for i, x in enumerate(zip(*row, strict=True))] for row in zip(t, ids, hits, strict=True))
+        return pd.Series([[[e.at for e in chain] for chain in sequence_chains(w, len(rule.stages), rule.window)] for w in whole])
+
+    # times, ids and bits alone go to Python
+    each = lambda f: F.transform("items", f)
+    found = places(each(lambda x: F.unix_micros(x["ts"]) / 1e6), each(lambda x: x["id"]), each(lambda x: x["hits"]))
     chain = F.transform("places", lambda i: F.get("items", i)["event"])
-    return folded.withColumn("places", F.explode("positions")).select(*SCOPE, "key", chain.alias("chain"))
+    return sessions.withColumn("found", found).withColumn("places", F.explode("found")).select(*SCOPE, "key", chain.alias("chain"))
+
+
+def _alerts(found: DataFrame, head: Column, kind: Column) -> DataFrame:
+    out = found.select(*SCOPE, head.alias("hit"), F.element_at("chain", -1).alias("event"), F.slice("chain", 1, F.size("chain") - 1).alias("supporting"), F.concat(kind, "key").alias("correlation_type"))
+    return with_alert_id(out.select(*SCOPE, "hit.*", "event", "supporting", "correlation_type"))
+
+
+def correlate_one(events: DataFrame, rule: Correlation, fields: Callable[[str], Field | None]) -> DataFrame:
+    """Alerts of one rule; raises where it is broken."""
+    entry = _entry(0, rule, fields)
+    found = _of_stream(events, rule, fields) if events.isStreaming else _in_time(scoped(events), [rule], [entry])
+    return _alerts(found, _head(rule), F.lit(f"{rule.kind}:{rule.group_by}="))
 
 
 def correlate(events: DataFrame, rules: Iterable[Correlation], fields: Callable[[str], Field | None]) -> tuple[DataFrame | None, list[tuple[str, str]]]:
-    """(alerts of all enabled rules or None, errors): a broken rule stops no other."""
-    parts, bad = [], []
+    """(alerts of all enabled rules or None, errors): a broken rule stops no other. All rules on a table are one scan and one shuffle."""
+    good, entries, bad = [], [], []
     for r in rules:
         if r.enabled:
             try:
-                parts.append(correlate_one(events, r, fields))
+                entries.append(_entry(len(good), r, fields))
+                good.append(r)
             except RuleError as e:
                 bad.append((r.rule_id, str(e)))
-    return (reduce(DataFrame.unionByName, parts) if parts else None), bad
+    if not good:
+        return None, bad
+    if events.isStreaming:
+        return reduce(DataFrame.unionByName, [correlate_one(events, r, fields) for r in good]), bad
+    at = F.col("rule") + 1
+    pick = lambda values: F.element_at(F.array(*values), at)
+    return _alerts(_in_time(scoped(events), good, entries), pick([_head(r) for r in good]), pick([F.lit(f"{r.kind}:{r.group_by}=") for r in good])), bad

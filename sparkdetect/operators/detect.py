@@ -12,9 +12,9 @@ from ..functions.fields import Field
 from .rules import SEVERITIES, Correlation, Rule, compile_all
 
 #: What alerts keep of an event. A missing column is null.
-EVENT = {"event_id": "string", "ts": "timestamp", "event_type": "string", "host": "string", "user": "string", "technique_id": "string", "tactic": "string", "destination": "string"}
+EVENT = {"event_id": "string", "ts": "timestamp", "event_type": "string", "host": "string", "user": "string", "technique_id": "string", "tactic": "string", "destination": "string", "domain": "string"}
 SCOPE = ("run_id", "scenario_id")
-#: Rules whose conditions are laid into one projection.
+#: Rules whose conditions are laid into one array.
 CHUNK = 200
 
 
@@ -50,14 +50,11 @@ def detect(events: DataFrame, rules: Iterable[Rule], fields: Callable[[str], Fie
     """
     good, bad = compile_all([r for r in rules if r.enabled], fields)
     base = scoped(events)
-    parts = []
-    for i in range(0, max(len(good), 1), CHUNK):
-        chunk = good[i : i + CHUNK]
-        any_of = reduce(Column.__or__, [c for _, c in chunk], F.lit(False))
-        hits = F.filter(F.array(*[F.when(c, _head(r)) for r, c in chunk]), lambda x: x.isNotNull()) if chunk else F.array().cast("array<struct<rule_id:string,rule_title:string,severity:string,severity_rank:int,techniques:array<string>,rule_tactic:string>>")
-        found = base.where(any_of).select(*SCOPE, event_struct(base).alias("event"), F.explode(hits).alias("hit"))
-        parts.append(found.select(*SCOPE, "hit.*", "event"))
-    alerts = reduce(DataFrame.unionByName, parts)
+    any_of = reduce(Column.__or__, [c for _, c in good], F.lit(False))
+    # arrays of some conditions each keep generated methods small
+    some = [F.array(*[F.when(c, _head(r)) for r, c in good[i : i + CHUNK]]) for i in range(0, len(good), CHUNK)]
+    hits = F.filter(F.concat(*some), lambda x: x.isNotNull()) if some else F.array().cast("array<struct<rule_id:string,rule_title:string,severity:string,severity_rank:int,techniques:array<string>,rule_tactic:string>>")
+    alerts = base.where(any_of).select(*SCOPE, event_struct(base).alias("event"), F.explode(hits).alias("hit")).select(*SCOPE, "hit.*", "event")
     none = F.array().cast(alerts.select(F.array("event")).schema[0].dataType)
     alerts = alerts.withColumns({"supporting": none, "correlation_type": F.lit("")})
     return with_alert_id(alerts), bad

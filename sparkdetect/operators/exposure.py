@@ -68,12 +68,13 @@ def _steps(hosts: DataFrame, edges: DataFrame, cost_weight: float, risk_weight:
     return out.withColumn("score", cost_weight * F.col("cost") + risk_weight * F.col("risk") + F.col("_technique_id") + F.col("_host")).select("source", "target", "technique_id", "cost", "risk", "score", "needs_priv", "gains_priv", "rationale")
 
 
-def paths(hosts: DataFrame, edges: DataFrame, cost_weight: float = 1.0, risk_weight: float = 1.0, by_technique: DataFrame | None = None, by_host: DataFrame | None = None, most: int = 200) -> DataFrame:
+def paths(hosts: DataFrame, edges: DataFrame, cost_weight: float = 1.0, risk_weight: float = 1.0, by_technique: DataFrame | None = None, by_host: DataFrame | None = None, most: int = 200, start: DataFrame | None = None) -> DataFrame:
     """(host, score, cost, risk, hops, path, hosts): the path of least weighted score to every host that can be reached.
 
     hosts: hostname, defences, credentials, is_internet_facing; edges: source, target, port, requires_privileged. A state is a
     host and whether a privileged credential is held. Each round extends the states that got better by all
-    steps and keeps the best of each state, until none gets better. Equal scores: fewest steps, then the hosts' names.
+    steps and keeps the best of each state, until none gets better. Equal scores: fewest steps, then the hosts' names. With ``start`` (host, priv) paths go on
+    from there, at no score, instead of from exposed hosts: a plan made anew from the present state.
     """
     if cost_weight < 0 or risk_weight < 0 or cost_weight == risk_weight == 0:
         raise ValueError("weights must not be negative, nor both 0")
@@ -81,6 +82,10 @@ def paths(hosts: DataFrame, edges: DataFrame, cost_weight: float = 1.0, risk_wei
     step = F.struct("technique_id", "source", "target", "cost", "risk", "rationale")
     rank = lambda: F.struct(F.round("score", 9).alias("score"), "hops", "hosts")
     entry = steps.where("source IS NULL").select(F.col("target").alias("host"), F.lit(False).alias("priv"), "score", "cost", "risk", F.lit(1).alias("hops"), F.array(step).alias("path"), F.array("target").alias("hosts"))
+    if start is not None:
+        none = entry.schema["path"].dataType
+        zero = F.lit(0.0)
+        entry = start.groupBy("host").agg(F.bool_or("priv").alias("priv")).select("host", "priv", zero.alias("score"), zero.alias("cost"), zero.alias("risk"), F.lit(0).alias("hops"), F.array().cast(none).alias("path"), F.array("host").alias("hosts"))
     names = entry.columns
     best = stored(entry.withColumn("round", F.lit(0)))
     inner = steps.where("source IS NOT NULL").select(*[F.col(c).alias(f"s_{c}") for c in steps.columns])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.tables import stored
 from .detect import all_events
 from .graph import components
 
@@ -30,15 +31,25 @@ def distinct_firings(alerts: DataFrame) -> DataFrame:
 
 
 def entities(alerts: DataFrame) -> DataFrame:
-    """(run_id, alert_id, ts, entity): distinct hosts, users and destinations of all events of an alert, in lower case; time is the trigger's."""
-    of = lambda kind, v: F.when(v.isNotNull() & (v != ""), F.concat(F.lit(kind + ":"), F.lower(v)))
+    """(run_id, alert_id, ts, entity): distinct hosts, users, destination addresses and destination domains of all events of an alert, case folded; time is the trigger's."""
     rows = alerts.select("run_id", "alert_id", F.col("event.ts").alias("ts"), F.explode(F.concat(F.array("event"), "supporting")).alias("e"))
-    each = F.array_compact(F.array(of("host", F.col("e.host")), of("user", F.col("e.user")), of("destination", F.col("e.destination"))))
-    return rows.select("run_id", "alert_id", "ts", F.explode(each).alias("entity")).distinct()
+    return rows.select("run_id", "alert_id", "ts", F.explode(_entities(F.col("e"))).alias("entity")).distinct()
+
+
+def _entities(e: Column) -> Column:
+    of = lambda kind, v: F.when(v.isNotNull() & (v != ""), F.concat(F.lit(kind + ":"), folded(v)))
+    return F.array_compact(F.array(of("host", e["host"]), of("user", e["user"]), of("destination", e["destination"]), of("destination", e["domain"])))
+
+
+def folded(text: Column) -> Column:
+    """Lower case of upper case, ß as ss and the final sigma as any other."""
+    return F.replace(F.replace(F.lower(F.upper(text)), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
 
 
 def edges(alert_entities: DataFrame, window: int = WINDOW_SECONDS) -> DataFrame:
     """(src, dst): alerts that follow each other on an entity within the window. Consecutive ones give the same components as all pairs."""
+    if window < 0:
+        raise ValueError("the window must not be negative")
     own = Window.partitionBy("run_id", "entity").orderBy("ts", "alert_id")
     rows = alert_entities.withColumns({"src": F.lag("alert_id").over(own), "_t": F.lag("ts").over(own)})
     near = F.unix_micros("ts") - F.unix_micros("_t") <= window * 1_000_000
@@ -55,51 +66,75 @@ def alert_risk() -> Column:
 
 
 def tactic_table(mapping: dict[str, str] | None = None) -> Column:
-    pairs = [x for kv in (mapping or TECHNIQUE_TACTICS).items() for x in map(F.lit, kv)]
+    """The tactics of techniques; ``mapping`` adds to them and overrides them."""
+    pairs = [x for kv in (TECHNIQUE_TACTICS | (mapping or {})).items() for x in map(F.lit, kv)]
     return F.create_map(*pairs)
 
 
-def reconstruct(alerts: DataFrame, window: int = WINDOW_SECONDS, mapping: dict[str, str] | None = None) -> DataFrame:
-    """A row for each incident: id, alerts, start, end, risk, confidence, entities, tactics in kill-chain order, evidence.
-
-    Ground truth takes no part. ``alerts`` may have risk_score. Incidents are few beside events; one that gathers
-    very many alerts is one row.
-    """
-    own = distinct_firings(alerts if "risk_score" in alerts.columns else alerts.withColumn("risk_score", F.lit(None).cast("int")))
-    who = entities(own)
-    label = components(edges(who, window))
-    member = own.join(label.withColumnRenamed("node", "alert_id"), "alert_id", "left").withColumn("incident", F.coalesce("label", "alert_id"))
+def members(alerts: DataFrame, window: int = WINDOW_SECONDS) -> DataFrame:
+    """(incident, evidence, risk and the alert's columns): each alert with its component, stored once for all that reads it."""
+    own = stored(distinct_firings(alerts if "risk_score" in alerts.columns else alerts.withColumn("risk_score", F.lit(None).cast("int"))))
+    label = components(edges(entities(own), window))
     ids = F.array_sort(F.transform(all_events(), lambda e: F.coalesce(e["event_id"], F.lit(""))))
-    member = member.withColumns({"evidence": ids, "risk": alert_risk()})
+    member = own.join(label.withColumnRenamed("node", "alert_id"), "alert_id", "left").withColumn("incident", F.coalesce("label", "alert_id")).drop("label")
+    return stored(member.withColumns({"evidence": ids, "risk": alert_risk()}))
+
+
+def lineage(member: DataFrame) -> DataFrame:
+    """(incident, alert_id, rule_id, event_ids, entities): a row for each alert, what an incident rests on."""
+    every = F.array_sort(F.array_distinct(F.flatten(F.transform(F.concat(F.array("event"), "supporting"), _entities))))
+    return member.select("incident", "alert_id", "rule_id", F.col("evidence").alias("event_ids"), every.alias("entities"))
+
+
+def figures(member: DataFrame, mapping: dict[str, str] | None = None) -> DataFrame:
+    """(incident, alerts, started_at, ended_at, risk_score, confidence): a row for each incident by sums and counts, however many alerts it gathers."""
     # the same rule on the same events counts once, at its highest risk
     once = member.groupBy("incident", "rule_id", "evidence").agg(F.max("risk").alias("risk"))
     risk = once.groupBy("incident").agg((100 * (1 - F.product(1 - F.col("risk") / 100))).alias("risk_score"), F.count("*").alias("_firings"))
-    names = who.join(member.select("alert_id", "incident"), "alert_id").groupBy("incident").agg(F.array_sort(F.collect_set("entity")).alias("entities"))
-    base = member.groupBy("incident").agg(
-        F.array_sort(F.collect_list("alert_id")).alias("alert_ids"), F.min("event.ts").alias("started_at"), F.max("event.ts").alias("ended_at"), F.countDistinct("rule_id").alias("_rules"), F.size(F.array_distinct(F.flatten(F.collect_list("evidence")))).alias("_evidence"),
-        F.array_sort(F.collect_list(F.struct("alert_id", "rule_id", F.col("evidence").alias("event_ids")))).alias("evidence_lineage"), F.count("*").alias("alerts"),
-    )
+    count = lambda rows, c, name: rows.distinct().groupBy("incident").agg(F.count(c).alias(name))
+    names = count(lineage(member).select("incident", F.explode("entities").alias("x")), "x", "_entities")
+    proof = count(member.select("incident", F.explode("evidence").alias("x")), "x", "_evidence")
+    stages = count(_stages(member, mapping).select("incident", "tactic"), "tactic", "_tactics")
+    base = member.groupBy("incident").agg(F.min("event.ts").alias("started_at"), F.max("event.ts").alias("ended_at"), F.countDistinct("rule_id").alias("_rules"), F.count("*").alias("alerts"))
+    out = base.join(risk, "incident").join(names, "incident", "left").join(proof, "incident", "left").join(stages, "incident", "left").fillna(0, ["_entities", "_evidence", "_tactics"])
+    part = lambda a, b: F.least(F.lit(1.0), F.greatest(F.lit(0.0), a) / b)
+    sure = 0.15 + 0.25 * part(F.col("_rules") - 1, 3.0) + 0.2 * part(F.col("_entities") - 1, 4.0) + 0.2 * part(F.col("_evidence"), 5.0) + 0.2 * part(F.col("_tactics"), 4.0)
+    return out.select("incident", "alerts", "started_at", "ended_at", F.round("risk_score", 2).alias("risk_score"), F.round(sure * F.col("_firings") / F.col("alerts"), 3).alias("confidence"))
+
+
+def reconstruct(alerts: DataFrame, window: int = WINDOW_SECONDS, mapping: dict[str, str] | None = None) -> DataFrame:
+    """A row for each incident: id, alerts, start, end, risk, confidence, entities, tactics in kill-chain order, evidence.
+
+    Ground truth takes no part. ``alerts`` may have risk_score. This is the listing, whose arrays hold all alerts of an
+    incident; ``members``, ``lineage`` and ``figures`` give the same as long tables.
+    """
+    member = members(alerts, window)
+    rows = lineage(member)
+    names = rows.select("incident", F.explode("entities").alias("entity")).distinct().groupBy("incident").agg(F.array_sort(F.collect_list("entity")).alias("entities"))
+    listed = rows.groupBy("incident").agg(F.array_sort(F.collect_list("alert_id")).alias("alert_ids"), F.array_sort(F.collect_list(F.struct("alert_id", "rule_id", "event_ids", "entities"))).alias("evidence_lineage"))
     stages = progression(member, mapping).groupBy("incident").agg(F.array_sort(F.collect_list(F.struct("rank", "tactic", "first_seen", "techniques", "alert_ids"))).alias("p"))
     none = stages.schema["p"].dataType
-    out = base.join(risk, "incident").join(names, "incident", "left").join(stages, "incident", "left")
+    out = figures(member, mapping).join(listed, "incident").join(names, "incident", "left").join(stages, "incident", "left")
     out = out.withColumns({"entities": F.coalesce("entities", F.array().cast("array<string>")), "p": F.coalesce("p", F.array().cast(none))})
-    part = lambda a, b: F.least(F.lit(1.0), F.greatest(F.lit(0.0), a) / b)
-    sure = 0.15 + 0.25 * part(F.col("_rules") - 1, 3.0) + 0.2 * part(F.size("entities") - 1, 4.0) + 0.2 * part(F.col("_evidence"), 5.0) + 0.2 * part(F.size("p"), 4.0)
-    sure = sure * F.col("_firings") / F.col("alerts")
     ident = F.concat(F.lit("inc-"), F.substring(F.sha2(F.array_join("alert_ids", "\u0000"), 256), 1, 16))
     return out.select(
-        ident.alias("incident_id"), "alert_ids", "alerts", "started_at", "ended_at", F.round("risk_score", 2).alias("risk_score"), F.round(sure, 3).alias("confidence"), "entities",
+        ident.alias("incident_id"), "alert_ids", "alerts", "started_at", "ended_at", "risk_score", "confidence", "entities",
         F.transform("p", lambda s: F.struct(s["tactic"].alias("tactic"), s["first_seen"].alias("first_seen"), s["techniques"].alias("techniques"), s["alert_ids"].alias("alert_ids"))).alias("tactic_progression"), "evidence_lineage",
     )
 
 
-def progression(member: DataFrame, mapping: dict[str, str] | None = None) -> DataFrame:
-    """(incident, tactic, rank, first_seen, techniques, alert_ids): tactics by exact technique, else by its base; unknown ones drop out."""
+def _stages(member: DataFrame, mapping: dict[str, str] | None) -> DataFrame:
+    """(incident, alert_id, ts, technique, tactic) for each technique of an alert whose tactic is known."""
     table = tactic_table(mapping)
     rows = member.select("incident", "alert_id", F.col("event.ts").alias("ts"), F.explode(F.array_distinct("techniques")).alias("technique"))
     tactic = F.coalesce(F.try_element_at(table, F.col("technique")), F.try_element_at(table, F.substring_index("technique", ".", 1)))
+    return rows.withColumn("tactic", tactic).where("tactic IS NOT NULL")
+
+
+def progression(member: DataFrame, mapping: dict[str, str] | None = None) -> DataFrame:
+    """(incident, tactic, rank, first_seen, techniques, alert_ids): tactics by exact technique, else by its base; unknown ones drop out."""
     order = F.array_position(F.array(*map(F.lit, TACTIC_ORDER)), F.col("tactic"))
-    out = rows.withColumn("tactic", tactic).where("tactic IS NOT NULL").groupBy("incident", "tactic").agg(F.min("ts").alias("first_seen"), F.array_sort(F.collect_set("technique")).alias("techniques"), F.array_sort(F.collect_set("alert_id")).alias("alert_ids"))
+    out = _stages(member, mapping).groupBy("incident", "tactic").agg(F.min("ts").alias("first_seen"), F.array_sort(F.collect_set("technique")).alias("techniques"), F.array_sort(F.collect_set("alert_id")).alias("alert_ids"))
     return out.withColumn("rank", F.when(order > 0, order - 1).otherwise(len(TACTIC_ORDER)).cast("int"))
 
 

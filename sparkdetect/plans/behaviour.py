@@ -281,7 +281,7 @@ def incident_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {_PARTS} SELECT sum(alerts)::BIGINT AS alerts, count(*) AS incidents, round(sum(alerts) / count(*), 6) AS ratio FROM ids")
 def incident_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return incidents.compression(incidents.reconstruct(_incident_alerts(spark, sf_dir), 21600)).withColumn("ratio", F.round("ratio", 6))
+    return incidents.compression(incidents.figures(incidents.members(_incident_alerts(spark, sf_dir), 21600))).withColumn("ratio", F.round("ratio", 6))
 
 
 # -- exposure

@@ -5,65 +5,59 @@ from __future__ import annotations
 from ..operators.rules import Correlation, Rule
 
 
-def _loose(word: str) -> str:
-    """A pattern for ``word`` that bears quotes, carets and white space between its letters."""
-    return r"[\s\"^]*".join(word)
-
-
-# Names, patterns and thresholds of the rules.
-_SCRIPT_HOSTS = ["powershell.exe", "pwsh.exe", "wscript.exe", "cscript.exe", "mshta.exe"]
+# Titles, selections, names, patterns and thresholds of the rules and correlations.
 RULES = (
     Rule("SD-0001", {
-        "shell": {"process.name|endswith": ["powershell.exe", "pwsh.exe"]},
-        "encoded": {"process.command_line|re": r"\s-(enc|encodedcommand|e)\s"},
-        "hidden": {"process.command_line|re": r"\s-(w|windowstyle)\s+hidden|\s-noni\b|\s-nop\b"},
-    }, "shell and encoded and hidden", "Encoded and concealed PowerShell", "high", ("T1059.001",), "execution"),
+        "selection_process": {"process.name|endswith": ["powershell.exe", "pwsh.exe"]},
+        "selection_encoded": {"process.command_line|re": r"\s-(enc|encodedcommand|e)\s"},
+        "selection_conceal": {"process.command_line|re": r"\s-(w|windowstyle)\s+hidden|\s-noni\b|\s-nop\b"},
+    }, "selection_process and selection_encoded and selection_conceal", "Encoded PowerShell Command Execution", "high", ("T1059.001",), "execution"),
     Rule("SD-0003", {
-        "snapshots": {"process.command_line|re": _loose("vssadmin") + ".{0,20}" + _loose("delete") + ".{0,10}" + _loose("shadow")},
-        "snapshots_wmic": {"process.command_line|re": _loose("shadowcopy") + ".{0,10}" + _loose("delete")},
-        "snapshots_boot": {"process.command_line|re": _loose("recoveryenabled") + ".{0,6}no|" + _loose("bootstatuspolicy") + ".{0,6}" + _loose("ignore")},
-        "snapshots_catalog": {"process.command_line|re": _loose("delete") + ".{0,10}" + _loose("catalog")},
-    }, "1 of snapshots*", "Recovery options destroyed", "critical", ("T1490",), "impact"),
+        "selection_vssadmin": {"process.command_line|re": r'v[\s"^]*s[\s"^]*s[\s"^]*a[\s"^]*d[\s"^]*m[\s"^]*i[\s"^]*n.{0,20}d[\s"^]*e[\s"^]*l[\s"^]*e[\s"^]*t[\s"^]*e.{0,10}s[\s"^]*h[\s"^]*a[\s"^]*d[\s"^]*o[\s"^]*w'},
+        "selection_wmic": {"process.command_line|re": r's[\s"^]*h[\s"^]*a[\s"^]*d[\s"^]*o[\s"^]*w[\s"^]*c[\s"^]*o[\s"^]*p[\s"^]*y.{0,10}d[\s"^]*e[\s"^]*l[\s"^]*e[\s"^]*t[\s"^]*e'},
+        "selection_bcdedit": {"process.command_line|re": r'r[\s"^]*e[\s"^]*c[\s"^]*o[\s"^]*v[\s"^]*e[\s"^]*r[\s"^]*y[\s"^]*e[\s"^]*n[\s"^]*a[\s"^]*b[\s"^]*l[\s"^]*e[\s"^]*d.{0,6}n[\s"^]*o|b[\s"^]*o[\s"^]*o[\s"^]*t[\s"^]*s[\s"^]*t[\s"^]*a[\s"^]*t[\s"^]*u[\s"^]*s[\s"^]*p[\s"^]*o[\s"^]*l[\s"^]*i[\s"^]*c[\s"^]*y.{0,6}i[\s"^]*g[\s"^]*n[\s"^]*o[\s"^]*r[\s"^]*e'},
+        "selection_wbadmin": {"process.command_line|re": r'd[\s"^]*e[\s"^]*l[\s"^]*e[\s"^]*t[\s"^]*e.{0,10}c[\s"^]*a[\s"^]*t[\s"^]*a[\s"^]*l[\s"^]*o[\s"^]*g'},
+    }, "1 of selection_*", "Recovery Inhibition via Shadow Copy or Backup Catalog Deletion", "critical", ("T1490",), "impact"),
     Rule("SD-0004", {
-        "off": {"process.command_line|contains": ["DisableRealtimeMonitoring $true", "DisableIOAVProtection $true", "DisableBehaviorMonitoring $true", "MpPreference -DisableScriptScanning $true"]},
-        "exclusion": {"process.command_line|contains": "Add-MpPreference"},
-        "target": {"process.command_line|contains": ["-ExclusionPath", "-ExclusionExtension", "-ExclusionProcess"]},
-    }, "off or (exclusion and target)", "Endpoint protection weakened", "high", ("T1562.001",), "defense-evasion"),
-    Rule("SD-0005", {"consumer": {"event_type": "wmi_event", "wmi.operation|contains": ["EventConsumerCreated", "EventFilterCreated", "FilterToConsumerBindingCreated"]}}, "consumer", "Permanent WMI subscription", "high", ("T1546.003",), "persistence"),
+        "selection_disable": {"process.command_line|contains": ["DisableRealtimeMonitoring $true", "DisableIOAVProtection $true", "DisableBehaviorMonitoring $true", "MpPreference -DisableScriptScanning $true"]},
+        "selection_exclusion": {"process.command_line|contains": "Add-MpPreference"},
+        "selection_exclusion_target": {"process.command_line|contains": ["-ExclusionPath", "-ExclusionExtension", "-ExclusionProcess"]},
+    }, "selection_disable or (selection_exclusion and selection_exclusion_target)", "Microsoft Defender Tampering via PowerShell", "high", ("T1562.001",), "defense-evasion"),
+    Rule("SD-0005", {"selection": {"event_type": "wmi_event", "wmi.operation|contains": ["EventConsumerCreated", "EventFilterCreated", "FilterToConsumerBindingCreated"]}}, "selection", "WMI Permanent Event Subscription Persistence", "high", ("T1546.003",), "persistence"),
     Rule("SD-0006", {
-        "net": {"process.name|endswith": "net.exe", "process.command_line|re": r"(group|user)\s+.*(/domain|domain admins)"},
-        "tools": {"process.name|endswith": ["nltest.exe", "dsquery.exe", "adfind.exe"]},
-        "script": {"process.parent_name|endswith": _SCRIPT_HOSTS},
-    }, "(net or tools) and script", "Domain enumeration from a script", "medium", ("T1087.002",), "discovery"),
+        "selection_net": {"process.name|endswith": "net.exe", "process.command_line|re": r"(group|user)\s+.*(/domain|domain admins)"},
+        "selection_tools": {"process.name|endswith": ["nltest.exe", "dsquery.exe", "adfind.exe"]},
+        "selection_script_parent": {"process.parent_name|endswith": ["powershell.exe", "pwsh.exe", "wscript.exe", "cscript.exe", "mshta.exe"]},
+    }, "(selection_net or selection_tools) and selection_script_parent", "Domain Reconnaissance via Built-in Utilities", "medium", ("T1087.002",), "discovery"),
     Rule("SD-0007", {
-        "office": {"process.parent_name|endswith": ["WINWORD.EXE", "EXCEL.EXE", "POWERPNT.EXE", "OUTLOOK.EXE", "MSACCESS.EXE"]},
-        "child": {"process.name|endswith": ["powershell.exe", "pwsh.exe", "cmd.exe", "wscript.exe", "cscript.exe", "mshta.exe", "regsvr32.exe", "rundll32.exe"]},
-    }, "office and child", "Office starts an interpreter", "high", ("T1059.001",), "execution"),
+        "selection_parent": {"process.parent_name|endswith": ["WINWORD.EXE", "EXCEL.EXE", "POWERPNT.EXE", "OUTLOOK.EXE", "MSACCESS.EXE"]},
+        "selection_child": {"process.name|endswith": ["powershell.exe", "pwsh.exe", "cmd.exe", "wscript.exe", "cscript.exe", "mshta.exe", "regsvr32.exe", "rundll32.exe"]},
+    }, "selection_parent and selection_child", "Office Application Spawning Script Interpreter", "high", ("T1059.001",), "execution"),
     Rule("SD-0008", {
-        "name": {"process.name|startswith": ["psexec", "paexec", "csexec"]},
-        "shape": {"process.command_line|re": r"\\\\[A-Za-z0-9._-]+\s+.*-u\s"},
-        "share": {"event_type": "file_share_access", "file.share_name|contains": "ADMIN$"},
-    }, "name or shape or share", "Remote service execution", "high", ("T1021.002",), "lateral-movement"),
+        "selection_named": {"process.name|startswith": ["psexec", "paexec", "csexec"]},
+        "selection_cmdline_shape": {"process.command_line|re": r"\\\\[A-Za-z0-9._-]+\s+.*-u\s"},
+        "selection_admin_share": {"event_type": "file_share_access", "file.share_name|contains": "ADMIN$"},
+    }, "selection_named or selection_cmdline_shape or selection_admin_share", "Remote Execution via PsExec-style Service Installation", "high", ("T1021.002",), "lateral-movement"),
     Rule("SD-0009", {
-        "burst": {"event_type": "file_modification_burst", "file.modified_count|gte": 500, "file.entropy_avg|gte": 7.5},
-        "note": {"event_type": "file_create", "file.path|re": r"(restore|recover|readme|how[_-]?to[_-]?decrypt).*\.(txt|hta|html)$"},
-    }, "burst or note", "Files encrypted in bulk", "critical", ("T1486",), "impact"),
+        "selection_burst": {"event_type": "file_modification_burst", "file.modified_count|gte": 500, "file.entropy_avg|gte": 7.5},
+        "selection_ransom_note": {"event_type": "file_create", "file.path|re": r"(restore|recover|readme|how[_-]?to[_-]?decrypt).*\.(txt|hta|html)$"},
+    }, "selection_burst or selection_ransom_note", "Mass File Modification Consistent with Encryption", "critical", ("T1486",), "impact"),
     Rule("SD-0010", {
-        "logon": {"event_type": "authentication", "winlog.event_id": 4624, "winlog.logon_type": 10},
-        "internal": {"source.ip|re": r"^(10\.|192\.168\.|172\.(1[6-9]|2[0-9]|3[01])\.|127\.)"},
-    }, "logon and not internal", "Remote desktop logon from outside", "high", ("T1133",), "initial-access"),
+        "selection_rdp_success": {"event_type": "authentication", "winlog.event_id": 4624, "winlog.logon_type": 10},
+        "filter_internal": {"source.ip|re": r"^(10\.|192\.168\.|172\.(1[6-9]|2[0-9]|3[01])\.|127\.)"},
+    }, "selection_rdp_success and not filter_internal", "Interactive RDP Logon from External Address", "high", ("T1133",), "initial-access"),
 )
 CORRELATIONS = (
     Correlation("SC-0001", "sequence", 3600, "user", (
         {"event_type|in": ["repo_clone_burst", "query_executed", "file_copy_to_removable"]},
         {"event_type|in": ["http_upload", "file_copy_to_removable"], "network.bytes_out|gte": 100000000},
-    ), title="Collection, then upload, by one user", severity="high", techniques=("T1567.002",), tactic="exfiltration"),
+    ), title="Insider Data Collection Followed by Exfiltration", severity="high", techniques=("T1567.002",), tactic="exfiltration"),
     Correlation("SC-0002", "sequence", 900, "host", (
-        {"event_type": "process_creation", "process.name|endswith": _SCRIPT_HOSTS},
+        {"event_type": "process_creation", "process.name|endswith": ["powershell.exe", "pwsh.exe", "wscript.exe", "cscript.exe", "mshta.exe"]},
         {"event_type": "process_access", "process.target_name|endswith": ["lsass.exe", "winlogon.exe", "services.exe"]},
-    ), (None, {"process.name|endswith": ["MsMpEng.exe", "CcmExec.exe"]}), title="Interpreter, then access to a privileged process", severity="critical", techniques=("T1134.001",), tactic="credential-access"),
-    Correlation("SC-0003", "threshold", 300, "host", select={"event_type": "authentication", "winlog.event_id": 4625, "winlog.logon_type": 10}, threshold=5, title="Failed remote logons in a row", severity="medium", techniques=("T1110.001",), tactic="credential-access"),
-    Correlation("SC-0004", "distinct", 600, "host", select={"event_type|in": ["network_connection", "network_scan"]}, threshold=25, distinct_field="destination.ip", title="One host sweeps many", severity="medium", techniques=("T1046",), tactic="discovery"),
+    ), (None, {"process.name|endswith": ["MsMpEng.exe", "CcmExec.exe"]}), title="Kill Chain Progression from Execution to Credential Access", severity="critical", techniques=("T1134.001",), tactic="credential-access"),
+    Correlation("SC-0003", "threshold", 300, "host", select={"event_type": "authentication", "winlog.event_id": 4625, "winlog.logon_type": 10}, threshold=5, title="RDP Authentication Brute Force", severity="medium", techniques=("T1110.001",), tactic="credential-access"),
+    Correlation("SC-0004", "distinct", 600, "host", select={"event_type|in": ["network_connection", "network_scan"]}, threshold=25, distinct_field="destination.ip", title="Internal Network Sweep from a Single Source", severity="medium", techniques=("T1046",), tactic="discovery"),
 )
 
 _N, _C, _I = "NIST SP 800-53", "NIST CSF 2.0", "ISO/IEC 27001:2022"

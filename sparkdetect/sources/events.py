@@ -40,12 +40,11 @@ def with_event_id(events: DataFrame) -> DataFrame:
 def labelled(events: DataFrame) -> DataFrame:
     """technique_id and tactic from the labels; an event is malicious if the label map has the key technique_id."""
     has = F.coalesce(F.map_contains_key("labels", "technique_id"), F.lit(False))
-    return events.withColumns({"technique_id": F.when(has, F.coalesce(F.try_element_at("labels", F.lit("technique_id")), F.lit(""))), "tactic": F.try_element_at("labels", F.lit("tactic")), "destination": _destination()})
+    return events.withColumns({"technique_id": F.when(has, F.coalesce(F.try_element_at("labels", F.lit("technique_id")), F.lit(""))), "tactic": F.try_element_at("labels", F.lit("tactic")), "destination": _field("destination.ip"), "domain": _field("destination.domain")})
 
 
-def _destination() -> Column:
-    get = lambda k: F.try_variant_get(F.try_element_at("fields", F.lit(k)), "$", "string")
-    return F.coalesce(get("destination.ip"), get("destination.domain"))
+def _field(name: str) -> Column:
+    return F.try_variant_get(F.try_element_at("fields", F.lit(name)), "$", "string")
 
 
 def technique_columns(techniques: DataFrame, url: str = "") -> DataFrame:

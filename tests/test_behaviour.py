@@ -65,8 +65,8 @@ def test_baseline_stream_equals_observe(spark, tmp_path):
 
 def alerts(spark, rows):
     """(id, seconds, host, user, risk, rule, event)."""
-    data = [("r", "s", i, rule, "t", "medium", 2, ["T1059"], "execution", (ev, T0 + dt.timedelta(seconds=s), "k", h, u, None, None, None), [], "", risk) for i, s, h, u, risk, rule, ev in rows]
-    event = "struct<event_id:string,ts:timestamp,event_type:string,host:string,user:string,technique_id:string,tactic:string,destination:string>"
+    data = [("r", "s", i, rule, "t", "medium", 2, ["T1059"], "execution", (ev, T0 + dt.timedelta(seconds=s), "k", h, u, None, None, *(to or (None, None))), [], "", risk) for i, s, h, u, risk, rule, ev, *to in rows]
+    event = "struct<event_id:string,ts:timestamp,event_type:string,host:string,user:string,technique_id:string,tactic:string,destination:string,domain:string>"
     return spark.createDataFrame(data, f"run_id string, scenario_id string, alert_id string, rule_id string, rule_title string, severity string, severity_rank int, techniques array<string>, rule_tactic string, event {event}, supporting array<{event}>, correlation_type string, risk_score int")
 
 
@@ -80,6 +80,21 @@ def test_incidents(spark):
     assert sorted((r["incident_id"], r["risk_score"], r["confidence"]) for r in again) == sorted((r["incident_id"], r["risk_score"], r["confidence"]) for r in out)
 
 
+def test_destinations_link_by_address_and_by_domain(spark):
+    df = alerts(spark, [("a", 0, "h1", "x", 10, "r1", "1", "10.0.0.9", "Evil.Example"), ("b", 10, "h2", "y", 20, "r2", "2", None, "evil.example"), ("c", 20, "h3", "z", 30, "r1", "3", "10.0.0.9", "other.example"), ("d", 30, "h4", "w", 30, "r1", "4", "", "")])
+    out = incidents.reconstruct(df, 300, {"T1059": "impact", "T9": "collection"}).collect()
+    assert sorted(r["alert_ids"] for r in out) == [["a", "b", "c"], ["d"]]
+    one = next(r for r in out if r["alerts"] == 3)
+    assert "destination:evil.example" in one["entities"] and "destination:10.0.0.9" in one["entities"]
+    assert [s["tactic"] for s in one["tactic_progression"]] == ["impact"]  # the given table adds to the known one
+    assert {r["alert_id"]: r["entities"] for r in one["evidence_lineage"]}["b"] == ["destination:evil.example", "host:h2", "user:y"]
+    with pytest.raises(ValueError, match="negative"):
+        incidents.reconstruct(df, -1)
+    assert [r["incident_id"] for r in incidents.ranked(incidents.reconstruct(df, 300)).collect()][0] == one["incident_id"]
+    text = spark.createDataFrame([("STRASSE",), ("Straße",), ("ΣΑΣ",), ("σας",)], "t string").select(incidents.folded(F.col("t"))).collect()
+    assert text[0] == text[1] and text[2] == text[3]
+
+
 def test_a_long_chain_is_one_component(spark):
     edges = spark.createDataFrame([(f"{i:03}", f"{i + 1:03}") for i in range(200)] + [("x", "y"), ("z", None)], "src string, dst string")
     out = {r["node"]: r["label"] for r in components(edges).collect()}
@@ -126,7 +141,7 @@ def test_events_in_and_out(spark, tmp_path):
     assert [(r["base_technique"], r["url"]) for r in techniques] == [("T1059", "u/T1059/001")]
 
 
-def test_rule_files(tmp_path):
+def test_rule_files(spark, tmp_path):
     good = {"id": "A", "level": "high", "tags": ["attack.credential_access", "attack.t1003.001"], "detection": {"s": {"x": 1}, "condition": "s"}}
     files = {
         "1.json": good, "2.json": good, "3.json": {"id": "B", "detection": {}}, "4.json": [1], "5.json": good | {"id": "C", "level": "odd"}, "6.json": {"id": "D", "detection": {"s": {"x": 1}}},
@@ -134,8 +149,8 @@ def test_rule_files(tmp_path):
     }
     for name, content in files.items():
         (tmp_path / name).write_text(json.dumps(content))
-    rules, errors = rule_files.load_rules(tmp_path)
-    assert [r.rule_id for r in rules] == ["A", "E"] and [e[0] for e in errors] == [f"{n}.json" for n in (2, 3, 4, 5, 6, 8, 9)]
+    rules, errors = rule_files.load_rules(spark, tmp_path)
+    assert [r.rule_id for r in rules] == ["A", "E"] and [e["file"] for e in errors.collect()] == [f"{n}.json" for n in (2, 3, 4, 5, 6, 8, 9)]
     assert rules[0].techniques == ("T1003.001",) and rules[0].tactic == "credential-access" and rules[1].excludes == (None, {"y": 1})
-    back, _ = rule_files.load_rules(rule_files.write_drafts([rules[0]], tmp_path / "d")[0].parent)
+    back, _ = rule_files.load_rules(spark, rule_files.write_drafts([rules[0]], tmp_path / "d")[0].parent)
     assert back[0].fingerprint == rules[0].fingerprint and not back[0].enabled

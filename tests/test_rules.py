@@ -122,11 +122,12 @@ def test_bundled_pack_compiles_and_fires(spark):
         (2, "h", "u", "authentication", {"winlog.event_id": 4624, "winlog.logon_type": 10, "source.ip": "8.8.8.8"}, "T1133"),
         (3, "h", "u", "authentication", {"winlog.event_id": 4624, "winlog.logon_type": 10, "source.ip": "10.0.0.8"}, None),
         (4, "h", "u", "file_modification_burst", {"file.modified_count": 900, "file.entropy_avg": 7.9}, "T1486"),
+        (6, "h", "u", "process_creation", {"process.name": "cmd.exe", "process.command_line": 'bcdedit /set {default} recovery^enabled n^o'}, "T1490"),
         (5, "h", "u", "file_share_access", {"file.share_name": r"\\x\ADMIN$"}, "T1021.002"),
     ]
     found, errors = detect(events(spark, rows), packs.RULES, MapFields())
     assert not errors
-    assert sorted((r["rule_id"], r["event"]["event_id"]) for r in found.collect()) == [("SD-0001", "e0"), ("SD-0003", "e1"), ("SD-0008", "e5"), ("SD-0009", "e4"), ("SD-0010", "e2")]
+    assert sorted((r["rule_id"], r["event"]["event_id"]) for r in found.collect()) == [("SD-0001", "e0"), ("SD-0003", "e1"), ("SD-0003", "e6"), ("SD-0008", "e5"), ("SD-0009", "e4"), ("SD-0010", "e2")]
     assert not validate(packs.CORRELATIONS, MapFields())
 
 
