@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from sparkdetect.llm import decontamination, language, media, pieces, secrets, sharding, urls
 
+from test_dedup import brute_classes  # noqa: E402
+
 SF = "/root/testdata/sf0.001"
 RAW = {
     "assign": (re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 6), "access": (re.compile(r"AKIA[A-Z0-9]+"), 0, 20), "hex": (re.compile(r"[0-9a-f]+"), 0, 24),
@@ -457,6 +459,43 @@ def test_pipeline_on_awkward_rows(spark, odd, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_pipeline_against_plain_python(spark, tmp_path):
+    """All five stages once more without Spark, on documents with near copies, leaks, secrets and unknown languages."""
+    rng = random.Random(3)
+    vocabulary = {lang: ["".join(rng.choice(letters) for _ in range(rng.randrange(3, 9))) for _ in range(150)] for lang, letters in (("en", "abcdefghij"), ("de", "klmnopqrst"))}
+    prose = lambda lang, n: [rng.choice(vocabulary[lang]) for _ in range(n)]
+    passages = [" ".join(prose("en", 30)) for _ in range(4)]
+    rows = []
+    for i in range(90):
+        lang = rng.choice(("en", "de"))
+        words = prose(lang, rng.randrange(40, 120))
+        if i % 9 == 1:
+            words[10:10] = passages[i % 4].split()
+        if i % 7 == 2:
+            words[5:5] = ["password=hunter22secret", base64.b64encode(b"token: abcdef0123").decode()]
+        rows.append((i, " ".join(words), lang, "web", 0))
+        if i % 5 == 3:
+            words[3] = "changed"
+            rows.append((200 + i, " ".join(words), lang, "web", 0))
+    rows += [(400, "1234 5678", "en", "web", 0), (401, None, None, "web", 0), (402, rows[0][1], "en", "web", 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    items(spark, *passages).write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {r["doc_id"]: (r["n_tokens"], list(r["ids"]), r["round_trip"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+
+    langs, model = plain_model([(t, lang) for i, t, lang, *_ in rows if t is not None and lang and zlib.crc32(str(i).encode()) % 4 != 2])
+    known = [(i, t) for i, t, *_ in rows if (p := plain_prediction(langs, model, t))[0] != "und" and p[1] >= 0.5]
+    classes = dict(brute_classes(known))
+    kept = [(i, t) for i, t in known if classes[i] == i]
+    leaks = {i for i, _ in brute_leaks(kept, list(enumerate(passages)))}
+    library = by_library(pieces.read_model(pieces.default_model()))
+    want = {}
+    for i, t in kept:
+        if i not in leaks:
+            text = re.sub(r"password=hunter22secret|" + base64.b64encode(b"token: abcdef0123").decode().rstrip("="), "[SECRET]", t)  # padding holds nothing
+            want[i] = (len(ids := library([text])[0]), ids, True)
+    assert got == want and len(leaks) > 5 and len(kept) < len(known) < len(rows) and any("SECRET" in secrets.redacted(t, secrets.all_spans(t)) for i, t in kept if i not in leaks)
+
+
 def test_rows_that_share_an_id_are_judged_apart(spark, tmp_path):
     """Unrelated texts with one doc_id, or with none, are classes of their own and leak on their own."""
     text = lambda name: " ".join(f"{name}{i}" for i in range(30))
