@@ -203,16 +203,11 @@ def without_repeats(docs: DataFrame, texts: bool = True, chunk_bytes: int = pack
     maximal repeat, and its words are compared with those at its first place. Should a hash ever bring different
     words together, the windows ask again by other hashes.
     """
-    table = stored(packed.chunks(docs, chunk_bytes))
-    total, n_chunks = table.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.count("*")).first()
+    table, _, _, total = packed.chunk_table(docs, chunk_bytes)
     few, buckets = packed.bits_for(total), packed.buckets_for(total)
     second = max(1, buckets // 4)
-    rows = packed.dealt(table, "chunk", n_chunks)
     hits = stored(packed.answered(packed.asked(table, lambda c: _ask_blocks(c, few, buckets)), _answer_blocks, buckets))
 
-    def both(answers: DataFrame, run, schema: str) -> DataFrame:
-        return rows.groupBy("chunk").cogroup(packed.dealt(answers, "chunk", n_chunks).groupBy("chunk")).applyInArrow(run, schema)
-
     def found(row: pa.Table, answers: pa.Table, seed: int) -> tuple[Chunk, Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         c = packed.chunk_of(row)
         w = Words(c, 0)
@@ -238,7 +233,7 @@ def without_repeats(docs: DataFrame, texts: bool = True, chunk_bytes: int = pack
             notes = [_order_of(c, w.doc[start[first]], start[first])]
             return pa.Table.from_pylist(list(packed.questions(c.chunk, keys, notes, 64 - int(shift), second)), schema=packed.ASKED_ARROW)
 
-        firsts = stored(packed.dealt(both(hits, ask, packed.ASKED), "bucket", second).groupBy("bucket").applyInArrow(_firsts, packed.ANSWERED))
+        firsts = stored(packed.dealt(packed.by_chunk(table, hits, ask, packed.ASKED), "bucket", second).groupBy("bucket").applyInArrow(_firsts, packed.ANSWERED))
 
         def repeats(row: pa.Table, answers: pa.Table) -> pa.Table:
             kind = answers.column("kind").to_numpy() if answers.num_rows else np.zeros(0, int)
@@ -250,7 +245,7 @@ def without_repeats(docs: DataFrame, texts: bool = True, chunk_bytes: int = pack
             return _repeats(c, w, start, chunk[which], at[which])
 
         said = hits.withColumn("kind", F.lit(0)).union(firsts.withColumn("kind", F.lit(1)))
-        asked = stored(both(said, repeats, REPEATS))
+        asked = stored(packed.by_chunk(table, said, repeats, REPEATS))
 
         def span(row: pa.Table, wanted: pa.Table) -> pa.Table:
             if not (row.num_rows and wanted.num_rows):
@@ -261,14 +256,14 @@ def without_repeats(docs: DataFrame, texts: bool = True, chunk_bytes: int = pack
             return pa.table([wanted.column("of"), wanted.column("of_at"), wanted.column("n"), pa.array(got, pa.binary())], names=["of", "of_at", "n", "span"])
 
         # a passage that many chunks repeat is read once
-        wanted = packed.dealt(asked.select("of", "of_at", "n").distinct(), "of", n_chunks)
-        spans = rows.groupBy("chunk").cogroup(wanted.groupBy("of")).applyInArrow(span, "of long, of_at long, n long, span binary")
+        wanted = asked.select("of", "of_at", "n").distinct()
+        spans = table.groupBy("chunk").cogroup(wanted.groupBy("of")).applyInArrow(span, "of long, of_at long, n long, span binary")
         compared = asked.join(spans, ["of", "of_at", "n"]).select("chunk", "at", "n", "span")
 
         def cut(row: pa.Table, found: pa.Table) -> pa.Table:
             return pa.Table.from_pylist(list(_cut(packed.chunk_of(row), found, texts)) if row.num_rows else [], schema=_RESULT)
 
-        return stored(both(compared, cut, RESULT))
+        return stored(packed.by_chunk(table, compared, cut, RESULT))
 
     seed = 0
     while not (out := attempt(seed)).where("wrong").isEmpty():

@@ -496,19 +496,14 @@ def without_repeats(docs: DataFrame, texts: bool = True, chunk_bytes: int = pack
     ``hot`` places or more (a line that many documents share) send only strings that are found twice by their
     hash, so what differs around such a line doesn't meet in one task.
     """
-    table = stored(packed.chunks(docs, chunk_bytes))
-    total, runs_left = table.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.count("*")).first()
+    table, runs_left, total, _ = packed.chunk_table(docs, chunk_bytes)
     expected = total * 2 // (SPREAD + 1)
     bits, wide, buckets = packed.bits_for(expected), packed.bits_for(total), packed.buckets_for(expected)
-    rate, n_chunks = min(1.0, SAMPLED / max(expected, 1)), runs_left
-    chunk_rows = packed.dealt(table, "chunk", n_chunks)
+    rate = min(1.0, SAMPLED / max(expected, 1))
     asked = stored(packed.asked(table, lambda c: _ask_anchors(c, bits, buckets, rate)))
     bounds, deep = _bounds(asked.where("bucket < 0").select("keys", "notes"), rate)
     zero = stored(packed.answered(asked.where("bucket >= 0"), lambda _, keys, notes: _answer_anchors(keys, notes, hot), buckets).withColumn("kind", F.lit(0)))
 
-    def both(answers: DataFrame, run, schema: str) -> DataFrame:
-        return chunk_rows.groupBy("chunk").cogroup(packed.dealt(answers, "chunk", n_chunks).groupBy("chunk")).applyInArrow(run, schema)
-
     def ask_hot(row: pa.Table, answers: pa.Table) -> pa.Table:
         out: list[dict] = []
         if row.num_rows and answers.num_rows:
@@ -519,7 +514,7 @@ def without_repeats(docs: DataFrame, texts: bool = True, chunk_bytes: int = pack
             out = list(packed.questions(c.chunk, keys, [np.minimum(count, 255).astype(np.uint8)], wide, buckets))
         return pa.Table.from_pylist(out, schema=packed.ASKED_ARROW)
 
-    first = zero.union(stored(packed.answered(both(zero, ask_hot, packed.ASKED), lambda _, keys, notes: _answer_twice(keys, notes), buckets).withColumn("kind", F.lit(1))))
+    first = zero.union(stored(packed.answered(packed.by_chunk(table, zero, ask_hot, packed.ASKED), lambda _, keys, notes: _answer_twice(keys, notes), buckets).withColumn("kind", F.lit(1))))
 
     def send(row: pa.Table, answers: pa.Table) -> pa.Table:
         if not (row.num_rows and answers.num_rows):
@@ -528,7 +523,7 @@ def without_repeats(docs: DataFrame, texts: bool = True, chunk_bytes: int = pack
         s, said = _without_copies(_candidates(c, answers, bits, wide))
         return _moved([*said, *_runs(s, c.chunk, bounds, deep)])
 
-    moved = stored(both(first, send, MOVED))
+    moved = stored(packed.by_chunk(table, first, send, MOVED))
     ranges, found = (len(bounds) + 1) * deep, [moved.where("kind = 1")]
 
     def halfway(table: pa.Table) -> pa.Table:
@@ -553,7 +548,7 @@ def without_repeats(docs: DataFrame, texts: bool = True, chunk_bytes: int = pack
     def cut(row: pa.Table, answers: pa.Table) -> pa.Table:
         return pa.Table.from_pylist(list(_cut(packed.chunk_of(row), answers.column("data").to_pylist(), texts)) if row.num_rows else [], schema=_RESULT)
 
-    return both(ended.select("chunk", "data"), cut, RESULT)
+    return packed.by_chunk(table, ended.select("chunk", "data"), cut, RESULT)
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
