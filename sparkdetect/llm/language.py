@@ -21,8 +21,13 @@ LEAST, PARTS = 2, 300_000
 LONGEST = 5
 #: Unseen words whose vector a task keeps.
 _KEPT = 200_000
-#: Runs of letters: of what is alphanumeric also numbers that are no digits, such as ² and ½, are left out.
-_LETTERS = re.compile(rf"[^\W\d_{''.join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())}]+")
+_LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def letters(text: str) -> list[str]:
+    """Runs of letters in lower case. What the pattern takes besides letters, such as ² and ½, parts them too."""
+    found = _LETTERS.findall(text.lower())
+    return found if "".join(found).isalpha() else "".join(c if c.isalpha() else " " for c in " ".join(found)).split()
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -53,7 +58,7 @@ def fit(rows: DataFrame, max_rows: int = TRAIN_ROWS, least: int = LEAST, parts:
         seen: dict[str, Counter] = {}
         for b in sliced(batches, "text"):
             for text, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist(), strict=True):
-                seen.setdefault(lang, Counter()).update(_LETTERS.findall(text.lower()))
+                seen.setdefault(lang, Counter()).update(letters(text))
         for lang, words in seen.items():
             grams: Counter = Counter()
             for w, n in words.items():
@@ -125,7 +130,7 @@ class Scorer:
         The score is the predicted language's share after a softmax over the languages' mean log frequency
         for each word, sharpened by up to 20 words. Ties go to the first language in order.
         """
-        counts = Counter(_LETTERS.findall(text.lower())) if text else None
+        counts = Counter(letters(text)) if text else None
         if not counts or not self.langs:
             return "und", 0.0
         n = np.fromiter(counts.values(), float, len(counts))
