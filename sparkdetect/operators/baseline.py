@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping
+from bisect import bisect_left, insort
+from collections import deque
+from collections.abc import Iterator, Mapping
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MAD_SCALE, EPSILON = 1.4826, 1e-12
 RECENT = 101
@@ -121,17 +126,66 @@ def score(features: DataFrame, model: DataFrame, min_samples: int = 5, threshold
     return _found(known.unionByName(new), threshold)
 
 
+class Known:
+    """What is known of a feature of an entity: moments of all values, and the last ``recent`` in order of time and of size."""
+
+    def __init__(self, recent: int):
+        self.n, self.mean, self.m2 = 0, 0.0, 0.0
+        self.lately: deque[float] = deque(maxlen=recent)
+        self.ordered: list[float] = []
+
+    def learn(self, value: float) -> None:
+        if len(self.lately) == self.lately.maxlen:
+            del self.ordered[bisect_left(self.ordered, self.lately[0])]
+        self.lately.append(value)
+        insort(self.ordered, value)
+        self.n += 1
+        off = value - self.mean
+        self.mean += off / self.n
+        self.m2 += off * (value - self.mean)
+
+    def figures(self) -> tuple[int, float, float, float, float]:
+        """n, mean, stddev, median and mad."""
+        near = np.array(self.ordered)
+        half, odd = divmod(len(near), 2)
+        centre = near[half] if odd else (near[half - 1] + near[half]) / 2
+        off = np.sort(np.abs(near - centre))
+        return self.n, self.mean, math.sqrt(self.m2 / (self.n - 1)) if self.n > 1 else 0.0, float(centre), float(off[half] if odd else (off[half - 1] + off[half]) / 2)
+
+
 def observe(features: DataFrame, min_samples: int = 5, threshold: float = 3.5, recent: int = RECENT) -> DataFrame:
-    """Findings of each event against the events of its entity before it: score, then learn."""
+    """Findings of each event against the events of its entity before it: score, then learn.
+
+    An entity's rows come in order of time and are folded one by one; what is held of it are a few numbers and ``recent`` values for each feature.
+    """
     check(min_samples, threshold, recent)
-    own = Window.partitionBy("entity", "feature").orderBy("ts", "event_id")
-    before, lately = own.rowsBetween(Window.unboundedPreceding, -1), own.rowsBetween(-recent, -1)
-    # events of the entity before this one: its rank among the entity's events
-    events = features.select("entity", "event_id", "ts").distinct().withColumn("_events", F.row_number().over(Window.partitionBy("entity").orderBy("ts", "event_id")) - 1)
-    rows = features.withColumns({
-        "n": F.count("value").over(before), "mean": F.avg("value").over(before), "stddev": F.coalesce(F.stddev_samp("value").over(before), F.lit(0.0)), "_recent": F.array_sort(F.collect_list("value").over(lately)),
-    }).join(events, ["entity", "event_id", "ts"])
-    rows = rows.withColumn("median", _middle(F.col("_recent"))).withColumn("mad", _mad(F.col("_recent"), F.col("median")))
+    dealt = features.repartition("entity").sortWithinPartitions("entity", "ts", "event_id", "feature", "value")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entity = last = None
+        known: dict[str, Known] = {}
+        events = 0
+        for b in batches:
+            column = lambda c: b.column(b.schema.get_field_index(c)).to_pylist()  # noqa: B023, E731
+            out = []
+            for who, ts, event, feature, value in zip(*map(column, ("entity", "ts", "event_id", "feature", "value")), strict=True):
+                if who != entity:
+                    entity, last, known, events = who, None, {}, -1
+                if last != (ts, event):
+                    last, events = (ts, event), events + 1
+                own = known.get(feature)
+                if own is None:
+                    own = known[feature] = Known(recent)
+                    out.append((0, None, None, None, None, events))
+                else:
+                    out.append((*(own.figures() if own.n >= min_samples else (own.n, own.mean, 0.0, None, None)), events))
+                own.learn(value)
+            more = [pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), (pa.int64(), *[pa.float64()] * 4, pa.int64()), strict=True)] if out else []
+            if more:
+                yield pa.RecordBatch.from_arrays([*b.columns, *more], names=[*b.schema.names, "n", "mean", "stddev", "median", "mad", "_events"])
+
+    kinds = {"n": "long", "mean": "double", "stddev": "double", "median": "double", "mad": "double", "_events": "long"}
+    rows = dealt.mapInArrow(run, T.StructType([*features.schema.fields, *(T.StructField(n, T._parse_datatype_string(k)) for n, k in kinds.items())]))
     new = (F.col("n") == 0) & (F.col("_events") >= min_samples)
     rows = _scored(rows, min_samples).withColumn("sample_count", F.when(new, F.col("_events")).otherwise(F.col("n")))
     return _found(rows.withColumns({"score": F.when(new, F.lit(math.inf)).otherwise(F.col("score")), "method": F.when(new, "feature_novelty").otherwise(F.col("method"))}), threshold)

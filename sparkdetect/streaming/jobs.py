@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import json
 import math
 from collections.abc import Callable, Iterable, Iterator
-from statistics import median
-from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fields import Field
-from ..operators.baseline import EPSILON, MAD_SCALE, RECENT, check
+from ..operators.baseline import EPSILON, MAD_SCALE, RECENT, Known, check
 from ..operators.correlate import correlate_one
 from ..operators.detect import detect
 from ..operators.rules import Correlation, Rule
@@ -33,53 +30,65 @@ def correlate_stream(events: DataFrame, rule: Correlation, fields: Callable[[str
     return correlate_one(events.withWatermark("ts", lateness), rule, fields)
 
 
-STATE, FOUND = "state string", "event_id string, ts timestamp, entity string, feature string, value double, score double, sample_count long, method string"
+#: What is kept of an entity: its events, and for each feature a count, a mean, a sum of squares and the last values.
+STATE = "events long, features array<struct<feature:string,n:bigint,mean:double,m2:double,recent:array<double>>>"
+FOUND = "event_id string, ts timestamp, entity string, feature string, value double, score double, sample_count long, method string"
 
 
-def _score(own: dict[str, Any] | None, value: float, events: int, least: int) -> tuple[float, str, int]:
+def _score(own: Known | None, value: float, events: int, least: int) -> tuple[float, str, int]:
     if own is None:
         return (math.inf, "feature_novelty", events) if events >= least else (0.0, "insufficient_samples", 0)
-    n = own["n"]
-    if n < least:
-        return 0.0, "insufficient_samples", n
-    centre = median(own["recent"])
-    scale = MAD_SCALE * median(abs(v - centre) for v in own["recent"])
+    if own.n < least:
+        return 0.0, "insufficient_samples", own.n
+    n, mean, spread, centre, mad = own.figures()
+    scale, off = MAD_SCALE * mad, abs(value - mean)
     if scale > EPSILON:
         return abs(value - centre) / scale, "median_mad", n
-    off, spread = abs(value - own["mean"]), math.sqrt(own["m2"] / (n - 1))
     if spread > EPSILON:
         return off / spread, "welford_zscore", n
     return (0.0 if off <= EPSILON else math.inf), "zero_variance", n
 
 
-def baseline_stream(features: DataFrame, min_samples: int = 5, threshold: float = 3.5, recent: int = RECENT) -> DataFrame:
+def _opened(state: tuple, recent: int) -> tuple[int, dict[str, Known]]:
+    known = {}
+    for feature, n, mean, m2, lately in state[1]:
+        own = known[feature] = Known(recent)
+        own.n, own.mean, own.m2 = n, mean, m2
+        own.lately.extend(lately)
+        own.ordered = sorted(lately)
+    return state[0], known
+
+
+def baseline_stream(features: DataFrame, min_samples: int = 5, threshold: float = 3.5, recent: int = RECENT, forget_after: str | None = None, lateness: str = "10 minutes") -> DataFrame:
     """Findings of (event_id, ts, entity, feature, value), each event judged by those of its entity before it, then learnt.
 
     State of an entity: for each feature a count, a mean, a sum of squares and the last ``recent`` values. Rows of a
-    micro-batch are taken in order of time.
+    micro-batch are taken in order of time. With ``forget_after`` (as "30 days") rows later than ``lateness`` are dropped and an
+    entity without events for so long, in event time, is forgotten; without, entities are kept for ever.
     """
     check(min_samples, threshold, recent)
+    pause = int(pd.Timedelta(forget_after).total_seconds() * 1000) if forget_after else 0
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        own = json.loads(state.get[0]) if state.exists else {"events": 0, "features": {}}
+        if state.hasTimedOut:
+            state.remove()
+            return
+        events, known = _opened(state.get, recent) if state.exists else (0, {})
         rows = pd.concat(list(frames)).sort_values(["ts", "event_id", "feature"])
         out = []
         for (ts, event), group in rows.groupby(["ts", "event_id"], sort=True):
             for feature, value in zip(group["feature"], group["value"], strict=True):
-                mine = own["features"].get(feature)
-                score, method, n = _score(mine, value, own["events"], min_samples)
+                score, method, n = _score(known.get(feature), value, events, min_samples)
                 if score >= threshold:
                     out.append((event, ts, key[0], feature, value, score, n, method))
-                mine = mine or {"n": 0, "mean": 0.0, "m2": 0.0, "recent": []}
-                mine["n"] += 1
-                delta = value - mine["mean"]
-                mine["mean"] += delta / mine["n"]
-                mine["m2"] += delta * (value - mine["mean"])
-                mine["recent"] = (mine["recent"] + [value])[-recent:]
-                own["features"][feature] = mine
-            own["events"] += 1
-        state.update((json.dumps(own),))
+                known.setdefault(feature, Known(recent)).learn(value)
+            events += 1
+        state.update((events, [(f, k.n, k.mean, k.m2, list(k.lately)) for f, k in known.items()]))
+        if pause:
+            state.setTimeoutTimestamp(max(int(rows["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + pause)
         yield pd.DataFrame(out, columns=["event_id", "ts", "entity", "feature", "value", "score", "sample_count", "method"])
 
+    if pause:
+        features = features.withWatermark("ts", lateness)
     rows = features.select("event_id", "ts", "entity", "feature", F.col("value").cast("double"))
-    return rows.groupBy("entity").applyInPandasWithState(step, FOUND, STATE, "append", "NoTimeout")
+    return rows.groupBy("entity").applyInPandasWithState(step, FOUND, STATE, "append", "EventTimeTimeout" if pause else "NoTimeout")
