@@ -42,6 +42,13 @@ def with_alert_id(alerts: DataFrame) -> DataFrame:
     return alerts.withColumn("alert_id", F.substring(F.sha2(key, 256), 1, 16))
 
 
+def _any(conditions: list[Column]) -> Column:
+    """Their OR, as a tree of low depth."""
+    while len(conditions) > 1:
+        conditions = [reduce(Column.__or__, conditions[i : i + 8]) for i in range(0, len(conditions), 8)]
+    return conditions[0] if conditions else F.lit(False)
+
+
 def detect(events: DataFrame, rules: Iterable[Rule], fields: Callable[[str], Field | None]) -> tuple[DataFrame, list[tuple[str, str]]]:
     """(alerts, errors): a row for each event and enabled rule that matches it, and the rules that do not compile.
 
@@ -50,7 +57,7 @@ def detect(events: DataFrame, rules: Iterable[Rule], fields: Callable[[str], Fie
     """
     good, bad = compile_all([r for r in rules if r.enabled], fields)
     base = scoped(events)
-    any_of = reduce(Column.__or__, [c for _, c in good], F.lit(False))
+    any_of = _any([c for _, c in good])
     # arrays of some conditions each keep generated methods small
     some = [F.array(*[F.when(c, _head(r)) for r, c in good[i : i + CHUNK]]) for i in range(0, len(good), CHUNK)]
     hits = F.filter(F.concat(*some), lambda x: x.isNotNull()) if some else F.array().cast("array<struct<rule_id:string,rule_title:string,severity:string,severity_rank:int,techniques:array<string>,rule_tactic:string>>")

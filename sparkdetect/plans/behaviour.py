@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fields import FlatFields
-from ..operators import baseline, drafting, exposure, incidents, robustness, scorecard
+from ..operators import baseline, drafting, exposure, incidents, robustness
 from ..operators.detect import detect, with_truth
 from ..operators.drafting import Strategy
 from ..operators.rules import Rule
@@ -57,7 +57,7 @@ def draft_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drafting.validated(t, rules, FlatFields(t)).select("rule_id", "hits", "false_positives", "cross", "reason", "accepted")
 
 
-_CANDIDATES = (*RULES, Rule("N-1", {"s": {"event_type": "click", "k": 50}}, "s", techniques=("T1041",)), Rule("N-2", {"s": {"event_type": "view", "k": 99, "value|gte": 150}}, "s", techniques=("T1490",)))
+_ACCEPTED = (Rule("N-1", {"s": {"event_type": "click", "k": 50}}, "s", techniques=("T1041",)), Rule("N-2", {"s": {"event_type": "view", "k": 99, "value|gte": 150}}, "s", techniques=("T1490",)))
 
 
 @query(f"""WITH {ALERTS}, split AS (SELECT *, CASE WHEN event_id::BIGINT % 2 = 0 THEN 'train' ELSE 'holdout' END AS split FROM tele
@@ -70,11 +70,8 @@ SELECT *, CASE WHEN NOT train_before AND train_after AND NOT holdout_before AND
 def holdout_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rules in one scan; the variants are filters on the alerts."""
     t = telemetry(spark, sf_dir).withColumn("run_id", F.when(F.col("event_id").cast("long") % 2 == 0, "train").otherwise("holdout"))
-    found = with_truth(detect(t, _CANDIDATES, FlatFields(t))[0])
     ran = executed(spark, sf_dir).select(F.explode(F.array(F.lit("train"), F.lit("holdout"))).alias("run_id"), "scenario_id", "ord", "technique_id", "name", "tactic").distinct()
-    variants = [(n, scorecard.coverage(t, a, ran)) for n, a in (("baseline", found.where("rule_id NOT LIKE 'N-%'")), ("candidate", found))]
-    cover = variants[0][1].withColumn("variant", F.lit("baseline")).unionByName(variants[1][1].withColumn("variant", F.lit("candidate")))
-    return drafting.holdout(cover.withColumnRenamed("run_id", "split"))
+    return drafting.holdout(drafting.rescored(t, ran, RULES, _ACCEPTED, FlatFields(t)).withColumnRenamed("run_id", "split"))
 
 
 # -- robustness

@@ -63,6 +63,16 @@ def test_baseline_stream_equals_observe(spark, tmp_path):
     assert sorted(map(key, spark.table("b1").collect())) == sorted(map(key, baseline.observe(rows).collect()))
 
 
+def test_a_baseline_stream_may_forget(spark, tmp_path):
+    from sparkdetect.streaming.jobs import baseline_stream
+
+    feats(spark, [10, 10, 11, 9, 10, 60]).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(feats(spark, [1]).schema).parquet(str(tmp_path / "in"))
+    q = baseline_stream(stream, forget_after="30 days").writeStream.format("memory").queryName("b2").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert [r["event_id"] for r in spark.table("b2").collect()] == ["x0005"]
+
+
 def alerts(spark, rows):
     """(id, seconds, host, user, risk, rule, event)."""
     data = [("r", "s", i, rule, "t", "medium", 2, ["T1059"], "execution", (ev, T0 + dt.timedelta(seconds=s), "k", h, u, None, None, *(to or (None, None))), [], "", risk) for i, s, h, u, risk, rule, ev, *to in rows]

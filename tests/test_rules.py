@@ -103,6 +103,13 @@ def test_detect_isolates_broken_rules_and_orders(spark):
     assert listing == {"low": "ok", "high": "ok", "bad": "invalid", "off": "disabled"}
 
 
+def test_more_rules_than_one_array_holds(spark):
+    df = events(spark, [(i, "h", "u", "a", {"n": i}, None) for i in range(3)])
+    rules = [Rule(f"r{i:03}", {"s": {"n|gte": i % 3}}, "s") for i in range(450)]
+    got = detect(df, rules, MapFields())[0]
+    assert got.count() == 150 * (3 + 2 + 1) and got.where("rule_id = 'r449'").count() == 1
+
+
 def test_no_rules_and_no_events(spark):
     df = events(spark, [(0, "h", "u", "a", {}, None)])
     assert detect(df, [], MapFields())[0].count() == 0
@@ -127,7 +134,7 @@ def test_bundled_pack_compiles_and_fires(spark):
     ]
     found, errors = detect(events(spark, rows), packs.RULES, MapFields())
     assert not errors
-    assert sorted((r["rule_id"], r["event"]["event_id"]) for r in found.collect()) == [("SD-0001", "e0"), ("SD-0003", "e1"), ("SD-0003", "e6"), ("SD-0008", "e5"), ("SD-0009", "e4"), ("SD-0010", "e2")]
+    assert sorted((r["rule_id"], r["event"]["event_id"]) for r in found.collect()) == [("SD-0001", "e0"), ("SD-0003", "e1"), ("SD-0003", "e5"), ("SD-0008", "e6"), ("SD-0009", "e4"), ("SD-0010", "e2")]
     assert not validate(packs.CORRELATIONS, MapFields())
 
 

@@ -98,6 +98,15 @@ def test_drafts_from_samples(spark):
     assert out == {"DRAFT-T1041": "validated", "DRAFT-T1052-001": "validated", "wide": "too broad: matched 1/1 benign events"}
 
 
+def test_correlations_are_held_fixed_when_drafts_are_scored(spark):
+    df = events(spark, [(0, "h", "u", "a", {}, "T1041"), (1, "h", "u", "b", {}, "T1490"), (2, "h", "u", "c", {}, "T1486")])
+    ran = spark.createDataFrame([("", "", i, t, t, "x") for i, t in enumerate(("T1041", "T1490", "T1486"))], "run_id string, scenario_id string, ord int, technique_id string, name string, tactic string")
+    rule, draft, chain = (Rule(n, {"s": {"event_type": k}}, "s", techniques=(t,)) for n, k, t in (("R", "a", "T1041"), ("D", "b", "T1490"), ("C", "c", "T1486")))
+    fixed = with_truth(detect(df, [chain], MapFields())[0])
+    out = drafting.rescored(df, ran, [rule], [draft], MapFields(), fixed).select("variant", "technique_id", F.array_join("detecting_rules", ",").alias("by")).collect()
+    assert {(r["variant"], r["technique_id"]): r["by"] for r in out} == {(v, t): {"T1041": "R", "T1486": "C", "T1490": "D" if v == "candidate" else ""}[t] for v in ("baseline", "candidate") for t in ("T1041", "T1490", "T1486")}
+
+
 @pytest.mark.parametrize(("text", "want"), [("a bb ccccc dddddd", "dddddd"), ("abc", None), ("abcd", "abcd"), (r'C:\Users\"longest(name)"', 'longest(name'), ("equal firsts other", "equal") if False else ("alpha gamma", "alpha")])
 def test_distinctive(spark, text, want):
     assert spark.createDataFrame([(text,)], "t string").select(drafting.distinctive(F.col("t"))).first()[0] == want
