@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from .common import documents, extended, sliced
 
-#: Rows of each language that the model learns from at most, about: a sample by a hash of the id.
-TRAIN_ROWS = 500
+#: Rows of each language that the model learns from at most, about: a sample by a hash of the id; and languages, the commonest.
+TRAIN_ROWS, LANGUAGES = 500, 1000
 #: A word or n-gram seen less often is dropped; and how many of either kind the model has at most, those seen most.
 LEAST, PARTS = 2, 300_000
 LONGEST = 5
@@ -50,8 +50,9 @@ def fit(rows: DataFrame, max_rows: int = TRAIN_ROWS, least: int = LEAST, parts:
     and n-grams seen most (ties by their text), ``least`` times at least. Null texts, labels and ids are left out.
     """
     rows = rows.where("text IS NOT NULL AND lang IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "text", "lang")
-    # a row for each language
-    share = rows.groupBy("lang").agg(F.count("*").alias("n")).select(F.col("lang").alias("_lang"), F.least(F.lit(1.0), F.lit(max_rows) / F.col("n")).alias("_share"))
+    # a row for each language, so that whole texts stay where they are
+    common = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(LANGUAGES)
+    share = F.broadcast(common.select(F.col("lang").alias("_lang"), F.least(F.lit(1.0), F.lit(max_rows) / F.col("n")).alias("_share")))
     rows = rows.join(share, F.col("lang") == F.col("_lang")).where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("_share") * (1 << 30)).select("doc_id", "text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
