@@ -83,9 +83,13 @@ def contaminated_texts(docs: DataFrame, items: DataFrame, window: int = 20, shar
 
 
 def mark_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """``docs`` with contaminated, n_items and item_ids (sorted, comma-joined); one row for each row. Columns of these names are replaced."""
-    found = contaminated(docs, items, **options).groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("n_items"), F.array_join(F.array_sort(F.collect_set("item_id")), ",").alias("item_ids"))
-    out = docs.drop("contaminated", "n_items", "item_ids").join(found, F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
+    """``docs`` with contaminated, n_items and item_ids (sorted, comma-joined); one row for each row. Columns of these names are replaced.
+
+    Each row is judged by its own text, whatever rows share its doc_id or have none.
+    """
+    found = contaminated_texts(docs, items, **options).groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
+    found = found.agg(F.count("*").alias("n_items"), F.array_join(F.array_sort(F.collect_set("item_id")), ",").alias("item_ids"))
+    out = docs.drop("contaminated", "n_items", "item_ids").join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.md5("text") == F.col("_digest")), "left").drop("_id", "_digest")
     return out.withColumns({"contaminated": F.col("n_items").isNotNull(), "n_items": F.coalesce("n_items", F.lit(0).cast("long")), "item_ids": F.coalesce("item_ids", F.lit(""))})
 
 

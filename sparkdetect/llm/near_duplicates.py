@@ -311,5 +311,6 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the least doc_id of their class; see ``near_duplicates``."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return near_duplicates(docs).select("doc_id", "class_id")

@@ -392,6 +392,8 @@ def test_passages(spark, odd, empty):
         got = {r["doc_id"]: (r["contaminated"], r["n_items"], r["item_ids"]) for r in decontamination.mark_contaminated(df, tests, bound=bound).collect()}
         assert got == {k: (bool(v), len(v), v) for k, v in want.items()}
     assert decontamination.mark_contaminated(odd, tests).count() == odd.count()
+    shared = spark.createDataFrame([(None, swap()), (None, "clean text"), (4, "clean text"), (4, swap()), (4, swap())], "doc_id long, text string")
+    assert all(r["contaminated"] == (r["text"] == swap()) for r in decontamination.mark_contaminated(shared, tests).collect())
     assert decontamination.mark_contaminated(empty, tests).count() == 0
     assert decontamination.contaminated(df, tests.where("false")).count() == 0
 
