@@ -99,7 +99,7 @@ class Pieces:
                 self.surface[-1] = bytes([int(text[3:5], 16)])
             elif kind == NORMAL:
                 self.score[text], self.ids[text] = float(np.frombuffer(piece.get(2, b"\0\0\0\0"), "<f4")[0]), i
-                self.auto.add_word(text, text)
+                self.auto.add_word(text, (len(text), text))
             elif kind == UNKNOWN:
                 self.unknown, self.surface[-1] = i, " ⁇ ".encode()
             elif kind != CONTROL:
@@ -127,38 +127,62 @@ class Pieces:
             self.fits[key] = known
         return known
 
+    def _by_merges(self, s: str) -> list[str]:
+        """The last piece of each prefix of ``s``, for a model of merges."""
+        last, fits, go = [""] * (len(s) + 1), self.fits, self._go_together
+        for end, (n, piece) in self.auto.iter(s):
+            end += 1
+            if last[end]:
+                continue
+            before = end - n
+            if before:
+                # all that ends before is known; where nothing does, a character stands alone
+                left = last[before] or s[before - 1]
+                if (fit := fits.get((left, piece))) is None:
+                    fit = go(left, piece)
+                if not fit:
+                    continue
+            last[end] = piece
+        return last
+
+    def _by_scores(self, s: str) -> list[str]:
+        """The last piece of the best sum of each prefix of ``s``, for a unigram model."""
+        best: list[float] = [0.0] + [-np.inf] * len(s)
+        last = [""] * (len(s) + 1)
+        at, score = 0, self.score
+
+        def alone(upto: int) -> None:
+            """Characters that are no piece, up to there."""
+            nonlocal at
+            while at < upto:
+                at += 1
+                if s[at - 1] not in score and (total := best[at - 1] + self.other) > best[at]:
+                    best[at], last[at] = total, s[at - 1]
+
+        for end, (n, piece) in self.auto.iter(s):
+            alone(end)
+            end += 1
+            if (total := best[end - n] + score[piece]) > best[end]:
+                best[end], last[end] = total, piece
+        alone(len(s))
+        return last
+
     def single_pass(self, s: str) -> list[int]:
         """Ids of normalised ``s``."""
-        best: list[float] = [0.0] + [-np.inf] * len(s)
-        last: list[str] = [""] * (len(s) + 1)
-        ends = self.auto.iter(s)
-        end, piece = next(ends, (len(s), ""))
-        for at in range(1, len(s) + 1):
-            while end + 1 == at:
-                before = at - len(piece)
-                if self.kind == UNIGRAM:
-                    if (total := best[before] + self.score[piece]) > best[at]:
-                        best[at], last[at] = total, piece
-                elif not last[at] and (not before or self._go_together(last[before], piece)):
-                    last[at] = piece
-                end, piece = next(ends, (len(s), ""))
-            alone = s[at - 1]
-            if self.kind == BPE:
-                last[at] = last[at] or alone
-            elif alone not in self.score and (total := best[at - 1] + self.other) > best[at]:
-                best[at], last[at] = total, alone
+        last = self._by_merges(s) if self.kind == BPE else self._by_scores(s)
         out: list[int] = []
-        at, lone = len(s), False
+        at, lone, ids = len(s), False, self.ids
         while at:
-            piece = last[at]
+            piece = last[at] or s[at - 1]
             at -= len(piece)
-            if piece in self.ids:
-                out.append(self.ids[piece])
+            known = ids.get(piece)
+            if known is not None:
+                out.append(known)
             elif self.bytes:
                 out.extend(self.bytes[b] for b in reversed(piece.encode()))
             elif not (lone and self.kind == UNIGRAM):
                 out.append(self.unknown)  # neighbours that are unknown to a unigram model are one
-            lone = piece not in self.ids
+            lone = known is None
         return out[::-1]
 
     def _solved(self, segment: str) -> np.ndarray:
