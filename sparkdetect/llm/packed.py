@@ -93,9 +93,9 @@ def chunk_table(docs: DataFrame, size: int = CHUNK) -> tuple[DataFrame, int, int
     return table, *table.agg(F.count("*"), F.coalesce(F.sum("n_bytes"), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0))).first()
 
 
-def by_chunk(table: DataFrame, answers: DataFrame, run: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
-    """``run`` gets each chunk with its answers; the answers come to the chunk's bucket."""
-    return table.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema)
+def by_chunk(table: DataFrame, answers: DataFrame, run: Callable[[pa.Table, pa.Table], pa.Table], schema: str, n: int | None = None) -> DataFrame:
+    """``run`` gets each chunk with its answers; these come to the chunk's bucket or, of ``n`` chunks without buckets, to its partition."""
+    return table.groupBy("chunk").cogroup((answers if n is None else dealt(answers, "chunk", n)).groupBy("chunk")).applyInArrow(run, schema)
 
 
 @dataclass

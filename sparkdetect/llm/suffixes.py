@@ -369,19 +369,21 @@ def repeated(s: Suffixes, shared: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Groups in which answers pass through merges.
+ANSWERS = 4096
 #: kind 0: a run for the next merge; kind 1: a chunk's strings that are repeats.
 MOVED = "kind int, bucket int, chunk long, data binary"
 MOVED_ARROW = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("chunk", pa.int64()), ("data", pa.binary())])
 
 
 def _answers(s: Suffixes, mask: np.ndarray) -> Iterator[dict]:
-    """By chunk: first strings and bits."""
+    """By chunk: first strings and bits. Their buckets are below 0, apart from those of runs."""
     use = np.flatnonzero(mask)
     use = use[np.argsort(s.chunk[use], kind="stable")]
     cuts = np.flatnonzero(np.diff(s.chunk[use], prepend=-1, append=-1)) if len(use) else []
     for a, b in zip(cuts, cuts[1:], strict=False):
         i = use[a:b]
-        yield {"kind": 1, "bucket": 0, "chunk": int(s.chunk[i[0]]), "data": packed.squeeze((s.at[i] - s.left_n[i]).astype("<i8").tobytes() + mask[i].tobytes())}
+        yield {"kind": 1, "bucket": -1 - int(s.chunk[i[0]]) % ANSWERS, "chunk": int(s.chunk[i[0]]), "data": packed.squeeze((s.at[i] - s.left_n[i]).astype("<i8").tobytes() + mask[i].tobytes())}
 
 
 def _whole(s: Suffixes) -> np.ndarray:
@@ -496,10 +498,12 @@ def without_repeats(docs: DataFrame, texts: bool = True, chunk_bytes: int = pack
     ``hot`` places or more (a line that many documents share) send only strings that are found twice by their
     hash, so what differs around such a line doesn't meet in one task.
     """
-    table, runs_left, total, _ = packed.chunk_table(docs, chunk_bytes)
+    table = stored(packed.chunks(docs, chunk_bytes))
+    total, n_chunks = table.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.count("*")).first()
     expected = total * 2 // (SPREAD + 1)
     bits, wide, buckets = packed.bits_for(expected), packed.bits_for(total), packed.buckets_for(expected)
-    rate = min(1.0, SAMPLED / max(expected, 1))
+    rate, runs_left = min(1.0, SAMPLED / max(expected, 1)), n_chunks
+    rows = packed.dealt(table, "chunk", n_chunks)
     asked = stored(packed.asked(table, lambda c: _ask_anchors(c, bits, buckets, rate)))
     bounds, deep = _bounds(asked.where("bucket < 0").select("keys", "notes"), rate)
     zero = stored(packed.answered(asked.where("bucket >= 0"), lambda _, keys, notes: _answer_anchors(keys, notes, hot), buckets).withColumn("kind", F.lit(0)))
@@ -514,7 +518,7 @@ def without_repeats(docs: DataFrame, texts: bool = True, chunk_bytes: int = pack
             out = list(packed.questions(c.chunk, keys, [np.minimum(count, 255).astype(np.uint8)], wide, buckets))
         return pa.Table.from_pylist(out, schema=packed.ASKED_ARROW)
 
-    first = zero.union(stored(packed.answered(packed.by_chunk(table, zero, ask_hot, packed.ASKED), lambda _, keys, notes: _answer_twice(keys, notes), buckets).withColumn("kind", F.lit(1))))
+    first = zero.union(stored(packed.answered(packed.by_chunk(rows, zero, ask_hot, packed.ASKED, n_chunks), lambda _, keys, notes: _answer_twice(keys, notes), buckets).withColumn("kind", F.lit(1))))
 
     def send(row: pa.Table, answers: pa.Table) -> pa.Table:
         if not (row.num_rows and answers.num_rows):
@@ -523,32 +527,33 @@ def without_repeats(docs: DataFrame, texts: bool = True, chunk_bytes: int = pack
         s, said = _without_copies(_candidates(c, answers, bits, wide))
         return _moved([*said, *_runs(s, c.chunk, bounds, deep)])
 
-    moved = stored(packed.by_chunk(table, first, send, MOVED))
-    ranges, found = (len(bounds) + 1) * deep, [moved.where("kind = 1")]
+    moved = packed.by_chunk(rows, first, send, MOVED, n_chunks)
+    ranges = (len(bounds) + 1) * deep
 
+    # answers pass through the merges beside the runs, in groups of their own
     def halfway(table: pa.Table) -> pa.Table:
+        if table.column("kind")[0].as_py():
+            return table.select(MOVED_ARROW.names)
         s, _ = merge([read_run(d) for d in table.column("data").to_pylist()])
         s, said = _without_copies(s.take(_in_order(s)))
         return _moved([*said, {"kind": 0, "bucket": table.column("bucket")[0].as_py(), "chunk": min(table.column("chunk").to_pylist()), "data": write_run(s)}])
 
     def last(table: pa.Table) -> pa.Table:
+        if table.column("kind")[0].as_py():
+            return table.select(MOVED_ARROW.names)
         s, shared = merge([read_run(d) for d in table.column("data").to_pylist()])
         return _moved(_answers(s, repeated(s, shared)))
 
     while runs_left > fan:
         runs_left = -(-runs_left // fan)
-        group = F.pmod(F.xxhash64("chunk"), F.lit(runs_left)).alias("part")
-        sent = moved.where("kind = 0").select("kind", "bucket", "chunk", "data", group).repartition(max(1, -(-ranges * runs_left // packed.TOGETHER)), "bucket", "part")
-        moved = stored(sent.groupBy("bucket", "part").applyInArrow(halfway, MOVED))
-        found.append(moved.where("kind = 1"))
-    ended = packed.dealt(moved.where("kind = 0"), "bucket", ranges, 1).groupBy("bucket").applyInArrow(last, MOVED)
-    for more in found:
-        ended = ended.union(more)
+        sent = moved.withColumn("part", F.pmod(F.xxhash64("chunk"), F.lit(runs_left))).repartition(max(1, -(-ranges * runs_left // packed.TOGETHER)), "bucket", "part")
+        moved = sent.groupBy("bucket", "part").applyInArrow(halfway, MOVED)
+    ended = packed.dealt(moved, "bucket", ranges, 1).groupBy("bucket").applyInArrow(last, MOVED)
 
     def cut(row: pa.Table, answers: pa.Table) -> pa.Table:
         return pa.Table.from_pylist(list(_cut(packed.chunk_of(row), answers.column("data").to_pylist(), texts)) if row.num_rows else [], schema=_RESULT)
 
-    return packed.by_chunk(table, ended.select("chunk", "data"), cut, RESULT)
+    return packed.by_chunk(rows, ended.select("chunk", "data"), cut, RESULT, n_chunks)
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
