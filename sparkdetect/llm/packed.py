@@ -10,7 +10,6 @@ entry for each chunk, and there are never more rows than hashes.
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -21,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, shared_dir, sliced
+from .common import partitions, sliced
 
 #: Bytes of text in a chunk and in a part of it, each beyond a single longer document.
 CHUNK, PART = 8 << 20, 1 << 20
@@ -80,22 +79,9 @@ def chunks(docs: DataFrame, size: int = CHUNK, part: int = PART) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
 
 
-def chunk_table(docs: DataFrame, size: int = CHUNK) -> tuple[DataFrame, int, int, int]:
-    """(the chunks, their number, bytes of text, words): written once, in buckets of the chunk, so that what is asked later never moves them again."""
-    spark = docs.sparkSession
-    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    expected = total // size + 1
-    n = max(min(partitions(spark), expected), -(-expected // TOGETHER))
-    name = f"chunks_{uuid.uuid4().hex}"
-    rows = chunks(docs, size).repartition(n, "chunk")
-    rows.write.bucketBy(n, "chunk").option("path", f"{shared_dir(spark)}/{name}").option("compression", "none").format("parquet").saveAsTable(name)
-    table = spark.table(name)
-    return table, *table.agg(F.count("*"), F.coalesce(F.sum("n_bytes"), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0))).first()
-
-
-def by_chunk(table: DataFrame, answers: DataFrame, run: Callable[[pa.Table, pa.Table], pa.Table], schema: str, n: int | None = None) -> DataFrame:
-    """``run`` gets each chunk with its answers; these come to the chunk's bucket or, of ``n`` chunks without buckets, to its partition."""
-    return table.groupBy("chunk").cogroup((answers if n is None else dealt(answers, "chunk", n)).groupBy("chunk")).applyInArrow(run, schema)
+def by_chunk(table: DataFrame, answers: DataFrame, run: Callable[[pa.Table, pa.Table], pa.Table], schema: str, n: int) -> DataFrame:
+    """``run`` gets each of ``n`` chunks, already dealt, with its answers."""
+    return table.groupBy("chunk").cogroup(dealt(answers, "chunk", n).groupBy("chunk")).applyInArrow(run, schema)
 
 
 @dataclass
