@@ -24,7 +24,9 @@ GRAM = WIDTH - SPREAD + 1
 #: Places of an anchor from which on its strings must show that they repeat, before they are sent.
 HOT = 1000
 #: Suffixes that a range has, about; chunks whose runs are merged at once; ranges that have a bound of their own at most.
-MERGED, FAN, BOUNDS = 1 << 16, 64, 4096
+MERGED, FAN, BOUNDS = 1 << 16, 1024, 4096
+#: Bytes of text in a chunk. Copies of a text seldom meet in one chunk, however large; in small ones a task holds less.
+CHUNK = 2 << 20
 #: Anchors whose text is looked at for the bounds of the ranges, about: a sample by their hash.
 SAMPLED = 1 << 16
 #: Bytes that are hashed at a time.
@@ -481,7 +483,7 @@ def _bounds(heads: DataFrame, rate: float) -> tuple[list[bytes], int]:
     return sorted({got[i][0] for i in at if i < len(got)}), -(-ranges // cuts)
 
 
-def without_repeats(docs: DataFrame, texts: bool = True, chunk_bytes: int = packed.CHUNK, hot: int = HOT, fan: int = FAN) -> DataFrame:
+def without_repeats(docs: DataFrame, texts: bool = True, chunk_bytes: int = CHUNK, hot: int = HOT, fan: int = FAN) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) for each row of ``docs`` (doc_id, text).
 
     A byte of a text's UTF-8 goes if a string of 100 bytes that covers it stands at an earlier place too: in a
