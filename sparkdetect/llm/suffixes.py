@@ -24,13 +24,13 @@ GRAM = WIDTH - SPREAD + 1
 #: Places of an anchor from which on its strings must show that they repeat, before they are sent.
 HOT = 1000
 #: Suffixes that a range has, about; chunks whose runs are merged at once; ranges that have a bound of their own at most.
-MERGED, FAN, BOUNDS = 1 << 16, 1024, 4096
+MERGED, FAN, BOUNDS = 1 << 15, 1024, 4096
 #: Bytes of text in a chunk. Copies of a text seldom meet in one chunk, however large; in small ones a task holds less.
 CHUNK = 2 << 20
 #: Anchors whose text is looked at for the bounds of the ranges, about: a sample by their hash.
 SAMPLED = 1 << 16
 #: Bytes that are hashed at a time.
-PIECE = 1 << 20
+PIECE = 1 << 18
 _PLACE = np.uint64((1 << 28) - 1)
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
