@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language, media, near_duplicates, pieces, secrets, sharding, substrings, suffixes, urls
+from . import decontamination, language, media, middle, near_duplicates, negatives, pieces, secrets, sharding, substrings, suffixes, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_media_columns": media.op8_media_columns,
         "op9_sentencepiece": pieces.op9_sentencepiece,
         "op10_secret_scans": secrets.op10_secret_scans,
+        "op11_fill_in_middle": middle.op11_fill_in_middle,
+        "op12_hard_negatives": negatives.op12_hard_negatives,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": sharding.ORACLE, "op3_decontamination": decontamination.ORACLE, "op5_url_filters": urls.oracle()}
+    return {"op1_sharding": sharding.ORACLE, "op3_decontamination": decontamination.ORACLE, "op5_url_filters": urls.oracle(), "op11_fill_in_middle": middle.ORACLE, "op12_hard_negatives": negatives.ORACLE}
