@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language, media, middle, near_duplicates, negatives, pieces, secrets, sharding, substrings, suffixes, urls
+from . import decontamination, extraction, language, media, middle, near_duplicates, negatives, pieces, secrets, sharding, substrings, suffixes, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,8 +23,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_secret_scans": secrets.op10_secret_scans,
         "op11_fill_in_middle": middle.op11_fill_in_middle,
         "op12_hard_negatives": negatives.op12_hard_negatives,
+        "op13_html_extraction": extraction.op13_html_extraction,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": sharding.ORACLE, "op3_decontamination": decontamination.ORACLE, "op5_url_filters": urls.oracle(), "op11_fill_in_middle": middle.ORACLE, "op12_hard_negatives": negatives.ORACLE}
+    return {"op1_sharding": sharding.ORACLE, "op3_decontamination": decontamination.ORACLE, "op5_url_filters": urls.oracle(), "op11_fill_in_middle": middle.ORACLE, "op12_hard_negatives": negatives.ORACLE, "op13_html_extraction": extraction.ORACLE}
