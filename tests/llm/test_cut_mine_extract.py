@@ -177,7 +177,9 @@ def test_pages_awkward_rows(spark):
     assert extraction.extracted(df.where("false")).count() == 0
 
 
-def test_hot_host_is_dealt(spark):
+@pytest.mark.parametrize("most", [extraction.BROADCAST_NODES, 0])
+def test_hot_host_is_dealt(spark, monkeypatch, most):
+    monkeypatch.setattr(extraction, "BROADCAST_NODES", most)
     rows = spark.range(600).select(F.col("id").alias("page_id"), F.concat(F.lit("http://"), F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("h"), F.col("id"))), F.lit(".example/")).alias("url"), F.concat(F.lit("<div>Menu</div><div><p>text "), "id", F.lit("</div>")).alias("html"))
     got = {r.page_id: r.text for r in extraction.extracted(rows).collect()}
     assert len(got) == 600 and got[3] == "text 3" and got[4] == "Menu text 4"
