@@ -1,13 +1,15 @@
 """Sequences, thresholds and distinct counts: known cases, random ones against plain loops, and streams."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from sparkdetect.functions.fields import MapFields
+from sparkdetect.operators import correlate as correlate_module
 from sparkdetect.operators.correlate import correlate, correlate_one
-from sparkdetect.operators.detect import with_truth
+from sparkdetect.operators.detect import scoped, with_truth
 from sparkdetect.operators.rules import Correlation
 from test_rules import events
 
@@ -104,6 +106,45 @@ def test_random_against_loops(spark):
     assert chains(spark, thr, rows) == sorted(want["thr"])
 
 
+@pytest.mark.parametrize("rule", [Correlation("s", "sequence", 40, "host", (A, B, C)), Correlation("t", "threshold", 25, "host", select=A, threshold=3), Correlation("d", "distinct", 60, "host", select={"event_type|in": ["a", "b"]}, threshold=4, distinct_field="user")])
+@pytest.mark.parametrize("hot_rows", [0, 200])
+def test_hot_keys_are_cut_along_time(spark, monkeypatch, rule, hot_rows):
+    """A key that never pauses for long and has most events, one with pauses, small ones: the same chains in pieces."""
+    rng = random.Random(12)
+    rows = [(t, rng.choice("abc"), "hot", f"u{rng.randrange(7)}", {}) for t in sorted(rng.choices(range(4000), k=900))]
+    rows += [(t + 700 * (t // 100), rng.choice("abc"), "pausing", rng.choice(["x", "y", "z", "v", None]), {}) for t in sorted(rng.choices(range(1000), k=250))]
+    rows += [(t, rng.choice("abc"), f"h{t % 9}", "u", {}) for t in rng.choices(range(500), k=60)]
+    want = chains(spark, rule, rows)
+    monkeypatch.setattr(correlate_module, "HOT_ROWS", hot_rows)
+    monkeypatch.setattr(correlate_module, "PIECE_ROWS", 40)
+    assert chains(spark, rule, rows) == want and len(want) > 30
+
+
+def test_hot_sequences_are_dealt_apart(spark, monkeypatch):
+    rows = [(1000 * i + j, "ab"[j], "hot", "u", {}) for i in range(300) for j in range(2)]
+    monkeypatch.setattr(correlate_module, "HOT_ROWS", 10)
+    df = events(spark, [(s, h, u, k, f, None) for s, k, h, u, f in rows])
+    base = scoped(df)
+    cut = correlate_module._relevant(base, [correlate_module._entry(0, SEQ, MapFields())])
+    cut = cut.withColumns({"length": F.lit(20_000_000_000), "piece": F.expr("t div 20000000000")})
+    assert correlate_module._parted(cut, [SEQ]).select("part").distinct().count() == 300
+
+
+def test_time_grows_with_the_events():
+    """All in one window: starts that never come to an end, values that are all live, and rows of few ids."""
+    from sparkdetect.operators.correlate import Seen, counted_chains, sequence_chains
+
+    def took(n):
+        began = time.perf_counter()
+        assert list(sequence_chains((Seen(i, f"e{i}", 1, i) for i in range(n)), 3, 10**12)) == []
+        assert list(sequence_chains((Seen(i, f"e{i}", 1 + 2 * (i > n // 2), i) for i in range(n)), 3, 10**12)) == []
+        assert len(list(counted_chains((Seen(i, f"e{i}", i % 997, i) for i in range(n)), Correlation("d", "distinct", 10**6, select=A, threshold=998, distinct_field="x")))) == 0
+        return time.perf_counter() - began
+
+    took(10_000)
+    assert took(200_000) < 12 * took(50_000) and took(200_000) < 20
+
+
 def test_errors_are_isolated_and_text_is_built(spark):
     df = events(spark, [(0, "h", "u", "a", {}, "T1059"), (5, "h", "u", "b", {}, None)])
     out, errors = correlate(df, [SEQ, Correlation("bad", "threshold", 5, select=A)], MapFields())
