@@ -163,7 +163,7 @@ def test_site_style_tree(spark):
 
 def test_copies_of_an_article_stay(spark):
     """Copies of one page, and one article on most pages of a site: the node with the most text is no furniture."""
-    page = "<body><div>Menu {0}</div><div>" + BODY.format(5) + "</div></body>"
+    page = "<body><div>Menu {0}</div><div>" + BODY.format(5) * 3 + "</div></body>"
     got = [r.text for r in extraction.extracted(site(spark, [page.format("same")] * 9 + [page.format(i) for i in range(9)])).collect()]
     assert len(got) == 18 and all(TEXT.format(5) in t for t in got)
 
