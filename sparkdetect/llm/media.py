@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import ahocorasick
@@ -58,26 +59,36 @@ def _jpeg(d: bytes, at: int) -> int:
     return 0
 
 
-def _gif(d: bytes, at: int) -> int:
+def _walked(step: Callable[[int], tuple[int | None, int]], i: int, known: dict[int, int]) -> int:
+    """What a walk from ``i`` comes to; ``step`` gives the next place, or none and the result. All places passed are known afterwards."""
+    path = []
+    while (result := known.get(i)) is None:
+        path.append(i)
+        then, result = step(i)
+        if then is None:
+            break
+        i = then
+    known.update(dict.fromkeys(path, result))
+    return result
+
+
+def _gif(d: bytes, at: int, walks: dict) -> int:
     if at + 13 > len(d):
         return 0
-    i = at + 13 + (3 << (d[at + 10] & 7) + 1 if d[at + 10] & 0x80 else 0)
-
-    def blocks(i: int) -> int:
-        while i < len(d) and d[i]:
-            i += d[i] + 1
-        return i + 1
-
-    while i < len(d):
-        if d[i] == 0x3B:
-            return i + 1 - at
-        if d[i] == 0x21:
-            i = blocks(i + 2)
-        elif d[i] == 0x2C and i + 10 <= len(d):
-            i = blocks(i + 11 + (3 << (d[i + 9] & 7) + 1 if d[i + 9] & 0x80 else 0))
-        else:
-            return 0
-    return 0
+    blocks, parts = walks.setdefault("blocks", {}), walks.setdefault("parts", {})
+    over = lambda i: _walked(lambda i: (i + d[i] + 1, 0) if i < len(d) and d[i] else (None, i + 1), i, blocks)
+
+    def part(i: int) -> tuple[int | None, int]:
+        if i < len(d) and d[i] == 0x3B:
+            return None, i + 1
+        if i < len(d) and d[i] == 0x21:
+            return over(i + 2), 0
+        if i + 10 <= len(d) and d[i] == 0x2C:
+            return over(i + 11 + (3 << (d[i + 9] & 7) + 1 if d[i + 9] & 0x80 else 0)), 0
+        return None, 0
+
+    end = _walked(part, at + 13 + (3 << (d[at + 10] & 7) + 1 if d[at + 10] & 0x80 else 0), parts)
+    return end and end - at
 
 
 def _bmp(d: bytes, at: int) -> int:
@@ -98,66 +109,107 @@ def _riff(d: bytes, at: int) -> int:
     return n if i == at + n else 0
 
 
-def _ogg(d: bytes, at: int) -> int:
-    i = at
-    while d[i : i + 4] == b"OggS" and i + 27 <= len(d) and d[i + 4] == 0:
+def _ogg(d: bytes, at: int, walks: dict) -> int:
+    def page(i: int) -> tuple[int | None, int]:
+        if d[i : i + 4] != b"OggS" or i + 27 > len(d) or d[i + 4] != 0:
+            return None, 0
         count = d[i + 26]
         end = i + 27 + count + sum(d[i + 27 : i + 27 + count])
         if end > len(d):
-            return 0
-        last, i = d[i + 5] & 4, end
-        if last:
-            return i - at
-    return 0
-
-
-def _pdf(d: bytes, at: int) -> int:
-    end = d.find(b"%%EOF", at)
-    return end + 5 - at if end > 0 and d.find(b"startxref", at, end) > 0 and d[at + 5 : at + 6].isdigit() else 0
-
-
-def _zip(d: bytes, at: int) -> int:
-    end = d.find(b"PK\x05\x06", at)
-    while end >= 0 and end + 22 <= len(d):
-        size, start = struct.unpack_from("<II", d, end + 12)
-        if at + start + size == end:
-            n = end + 22 + int.from_bytes(d[end + 20 : end + 22], "little") - at
-            return n if n <= len(d) - at else 0
-        end = d.find(b"PK\x05\x06", end + 4)
-    return 0
-
-
-def _gzip(d: bytes, at: int) -> int:
-    worker = zlib.decompressobj(31)
+            return None, 0
+        return (None, end) if d[i + 5] & 4 else (end, 0)
+
+    end = _walked(page, at, walks)
+    return end and end - at
+
+
+class Trailers:
+    """Where the marks that end a medium, or stand before its end, lie in some bytes, by one pass of an automaton."""
+
+    def __init__(self, places: dict[bytes, list[int]]):
+        self.places, self.archives, self.zeros = places, None, None
+
+    def zero(self, d: bytes, at: int) -> int:
+        """The first zero byte from ``at`` on, -1 if there is none."""
+        if self.zeros is None:
+            self.zeros = np.flatnonzero(np.frombuffer(d, np.uint8) == 0)
+        i = int(np.searchsorted(self.zeros, at))
+        return int(self.zeros[i]) if i < len(self.zeros) else -1
+
+    def next(self, mark: bytes, at: int) -> int:
+        """The first place of ``mark`` from ``at`` on, -1 if there is none."""
+        own = self.places.get(mark, [])
+        i = bisect_left(own, at)
+        return own[i] if i < len(own) else -1
+
+
+def _pdf(d: bytes, at: int, marks: Trailers) -> int:
+    end = marks.next(b"%%EOF", at)
+    start = marks.next(b"startxref", at)
+    return end + 5 - at if end > 0 and 0 < start and start + 9 <= end and d[at + 5 : at + 6].isdigit() else 0
+
+
+def _zip(d: bytes, at: int, marks: Trailers) -> int:
+    """Each end record says where its archive starts, so an archive's end is one of those that say ``at``."""
+    if marks.archives is None:
+        marks.archives = {}
+        for end in marks.places.get(b"PK\x05\x06", []):
+            if end + 22 <= len(d):
+                size, start = struct.unpack_from("<II", d, end + 12)
+                n = end + 22 + int.from_bytes(d[end + 20 : end + 22], "little")
+                if n <= len(d):
+                    marks.archives.setdefault(end - size - start, n)
+    return marks.archives.get(at, at) - at
+
+
+def _gzip(d: bytes, at: int, marks: Trailers) -> int:
+    flags = d[at + 3] if at + 10 <= len(d) else 0xFF
+    if flags & 0xE0:
+        return 0  # too short, or reserved flags
+    i = at + 10 + (2 + int.from_bytes(d[at + 10 : at + 12], "little") if flags & 4 else 0)
+    for flag in (8, 16):  # a name and a comment, each up to a zero byte
+        if flags & flag:
+            i = marks.zero(d, i) + 1
+            if not i:
+                return 0
+    worker, check, size = zlib.decompressobj(-15), 0, 0
+    i += 2 * bool(flags & 2)
     try:
-        i = at
         while i < len(d) and not worker.eof:
-            worker.decompress(d[i : i + (1 << 14)])
-            i += 1 << 14
+            out = worker.decompress(d[i : i + (1 << 14)])
+            check, size, i = zlib.crc32(out, check), size + len(out), i + (1 << 14)
     except zlib.error:
         return 0
-    return min(i, len(d)) - len(worker.unused_data) - at if worker.eof else 0
+    end = min(i, len(d)) - len(worker.unused_data)
+    return end + 8 - at if worker.eof and d[end : end + 8] == struct.pack("<II", check, size & 0xFFFFFFFF) else 0
 
 
-def _mp4(d: bytes, at: int) -> int:
-    i, boxes = at, 0
-    while i + 8 <= len(d):
-        n = int.from_bytes(d[i : i + 4], "big")
-        if n < 8 or i + n > len(d) or not d[i + 4 : i + 8].isalnum():
-            break
-        i, boxes = i + n, boxes + 1
-    return i - at if boxes >= 2 else 0
+def _mp4(d: bytes, at: int, walks: dict) -> int:
+    def box(i: int) -> tuple[int | None, int]:
+        n = int.from_bytes(d[i : i + 4], "big") if i + 8 <= len(d) else 0
+        return (i + n, 0) if n >= 8 and i + n <= len(d) and d[i + 4 : i + 8].isalnum() else (None, i)
+
+    end = _walked(box, at, walks)
+    return end - at if end > at and end > at + int.from_bytes(d[at : at + 4], "big") else 0
 
 
-_CHECKS: dict[str, Callable[[bytes, int], int]] = {
+#: Formats that are walked part by part.
+_WALKS = ("image/gif", "audio/ogg", "video/mp4")
+_CHECKS: dict[str, Callable[..., int]] = {
     "image/png": _png, "image/jpeg": _jpeg, "image/gif": _gif, "image/bmp": _bmp, "riff": _riff, "audio/ogg": _ogg, "application/pdf": _pdf, "application/zip": _zip, "application/gzip": _gzip, "video/mp4": _mp4,
 }
 
 
+_ENDS = (b"%%EOF", b"startxref", b"PK\x05\x06")
+_WITH_ENDS = ("application/pdf", "application/zip", "application/gzip")
+
+
 def _automaton() -> ahocorasick.Automaton:
     auto = ahocorasick.Automaton()
     for magic, before, kind in SIGNATURES:
         auto.add_word(magic.decode("latin-1"), (len(magic) + before, kind))
+    for mark in _ENDS:
+        auto.add_word(mark.decode("latin-1"), (len(mark), mark))
     auto.make_automaton()
     return auto
 
@@ -168,14 +220,27 @@ _AUTO: list[ahocorasick.Automaton] = []
 def sniff(data: bytes) -> list[tuple[str, int, int]]:
     """(kind, start, length) of every medium in ``data`` whose structure holds, by start; those inside others included.
 
-    Magic bytes alone do not count: a validator for the format must find its parts and end.
+    Magic bytes alone do not count: a validator for the format must find its parts and end. The automaton finds the
+    marks of ends in the same pass as the magic bytes, so that no validator searches for its own. A validator that walks
+    along a medium's parts takes up the walk of an earlier one where they meet, so the time grows with the data.
     """
     if not _AUTO:
         _AUTO.append(_automaton())
-    found = []
-    for end, (n, kind) in _AUTO[0].iter(data.decode("latin-1")):
-        start = end + 1 - n
-        if start >= 0 and (length := _CHECKS[kind](data, start)):
+    starts, places = [], {}
+    for end, (n, what) in _AUTO[0].iter(data.decode("latin-1")):
+        if isinstance(what, bytes):
+            places.setdefault(what, []).append(end + 1 - n)
+        elif end + 1 - n >= 0:
+            starts.append((end + 1 - n, what))
+    found, marks, walks = [], Trailers(places), {}
+    for start, kind in reversed(starts):  # from the last, so that walks are known where they lead
+        if kind in _WITH_ENDS:
+            length = _CHECKS[kind](data, start, marks)
+        elif kind in _WALKS:
+            length = _CHECKS[kind](data, start, walks.setdefault(kind, {}))
+        else:
+            length = _CHECKS[kind](data, start)
+        if length:
             found.append((_RIFF[data[start + 8 : start + 12]] if kind == "riff" else kind, start, length))
     return sorted(found, key=lambda f: (f[1], -f[2], f[0]))
 
