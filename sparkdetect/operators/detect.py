@@ -9,13 +9,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fields import Field
+from .rule_index import indexed_hits
 from .rules import SEVERITIES, Correlation, Rule, compile_all
 
 #: What alerts keep of an event. A missing column is null.
 EVENT = {"event_id": "string", "ts": "timestamp", "event_type": "string", "host": "string", "user": "string", "technique_id": "string", "tactic": "string", "destination": "string", "domain": "string"}
 SCOPE = ("run_id", "scenario_id")
-#: Rules whose conditions are laid into one array.
-CHUNK = 200
+#: Rules whose conditions are laid into one array, and the number of rules above which an index of their terms is used.
+CHUNK, MANY = 200, 400
+HEAD = "rule_id string, rule_title string, severity string, severity_rank int, techniques array<string>, rule_tactic string"
 
 
 def event_struct(events: DataFrame) -> Column:
@@ -53,18 +55,35 @@ def detect(events: DataFrame, rules: Iterable[Rule], fields: Callable[[str], Fie
     """(alerts, errors): a row for each event and enabled rule that matches it, and the rules that do not compile.
 
     One scan: a row that no rule matches is dropped by the OR of all conditions before anything is built for it.
-    Works on streams too. An event that is there twice gives two alerts of one id.
+    Works on streams too. An event that is there twice gives two alerts of one id. More than ``MANY`` rules go through
+    an index of their terms instead of one Column each, with the same result.
     """
-    good, bad = compile_all([r for r in rules if r.enabled], fields)
-    base = scoped(events)
+    rules, base = [r for r in rules if r.enabled], scoped(events)
+    if len(rules) > MANY:
+        return detect_indexed(events, rules, fields)
+    good, bad = compile_all(rules, fields)
     any_of = _any([c for _, c in good])
     # arrays of some conditions each keep generated methods small
     some = [F.array(*[F.when(c, _head(r)) for r, c in good[i : i + CHUNK]]) for i in range(0, len(good), CHUNK)]
     hits = F.filter(F.concat(*some), lambda x: x.isNotNull()) if some else F.array().cast("array<struct<rule_id:string,rule_title:string,severity:string,severity_rank:int,techniques:array<string>,rule_tactic:string>>")
     alerts = base.where(any_of).select(*SCOPE, event_struct(base).alias("event"), F.explode(hits).alias("hit")).select(*SCOPE, "hit.*", "event")
+    return _single(alerts), bad
+
+
+def _single(alerts: DataFrame) -> DataFrame:
     none = F.array().cast(alerts.select(F.array("event")).schema[0].dataType)
-    alerts = alerts.withColumns({"supporting": none, "correlation_type": F.lit("")})
-    return with_alert_id(alerts), bad
+    return with_alert_id(alerts.withColumns({"supporting": none, "correlation_type": F.lit("")}))
+
+
+def detect_indexed(events: DataFrame, rules: Iterable[Rule], fields: Callable[[str], Field | None]) -> tuple[DataFrame, list[tuple[str, str]]]:
+    """``detect`` for very many rules: one scan, and only rules of which a term holds are judged."""
+    base = scoped(events)
+    hits, good, bad = indexed_hits(base.withColumn("_event", event_struct(base)), [r for r in rules if r.enabled], fields, [*SCOPE, "_event"])
+    if hits is None:
+        return detect(events, [], fields)[0], bad
+    heads = events.sparkSession.createDataFrame([(i, r.rule_id, r.title, r.severity, SEVERITIES.index(r.severity), list(r.techniques), r.tactic) for i, r in enumerate(good)], f"rule int, {HEAD}")
+    # a row for each rule
+    return _single(hits.join(F.broadcast(heads), "rule").select(*SCOPE, *heads.columns[1:], F.col("_event").alias("event"))), bad
 
 
 def claims(techniques: Column, actual: Column) -> Column:

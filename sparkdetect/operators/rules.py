@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import json
+import operator
 import re
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import cache, reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -86,11 +87,11 @@ class Correlation:
 _TOKEN = re.compile(r"\s*([()]|[A-Za-z0-9_*.]+)")
 
 
-def condition(text: str, named: dict[str, Column]) -> Column:
+def condition(text: str, named: dict[str, Any]) -> Any:
     """``text`` over named selections: not before and before or; all/any/N of them, a name or a prefix*.
 
     Only selection names and the words above may stand there; anything else is an error, and nothing of the text is
-    evaluated or passed to SQL.
+    evaluated or passed to SQL. Selections are Columns, or whatever else has their operators.
     """
     tokens, at = [], 0
     while at < len(text or "") and text[at:].strip():
@@ -105,17 +106,17 @@ def condition(text: str, named: dict[str, Column]) -> Column:
     def word(*options: str) -> bool:
         return bool(tokens) and tokens[0].lower() in options
 
-    def chain(name: str, join: Callable[[Column, Column], Column], below: Callable[[], Column]) -> Column:
+    def chain(name: str, join: Callable[[Any, Any], Any], below: Callable[[], Any]) -> Any:
         out = below()
         while word(name):
             tokens.pop(0)
             out = join(out, below())
         return out
 
-    def either() -> Column:
-        return chain("or", Column.__or__, lambda: chain("and", Column.__and__, unit))
+    def either() -> Any:
+        return chain("or", operator.or_, lambda: chain("and", operator.and_, unit))
 
-    def unit() -> Column:
+    def unit() -> Any:
         if not tokens:
             raise RuleError("condition ended unexpectedly")
         token = tokens.pop(0)
@@ -133,11 +134,11 @@ def condition(text: str, named: dict[str, Column]) -> Column:
             raise RuleError(f"condition names an undefined selection: {token!r}")
         return named[token]
 
-    def quantified(least: str, target: str) -> Column:
+    def quantified(least: str, target: str) -> Any:
         names = list(named) if target.lower() == "them" else [n for n in named if n.startswith(target[:-1])] if target.endswith("*") else [n for n in named if n == target]
         if not names:
             raise RuleError(f"'{least} of {target}' names no selection")
-        hits = reduce(Column.__add__, [named[n].cast("int") for n in names])
+        hits = reduce(operator.add, [named[n].cast("int") for n in names])
         return hits >= (len(names) if least == "all" else 1 if least == "any" else int(least))
 
     out = either()
@@ -155,7 +156,7 @@ def compiled(rule: Rule, fields: Callable[[str], Field | None]) -> Column:
 
 def compile_all(rules: Iterable[Rule], fields: Callable[[str], Field | None]) -> tuple[list[tuple[Rule, Column]], list[tuple[str, str]]]:
     """Rules that compile, and (rule_id, error) of the others: a broken rule stops no other."""
-    good, bad = [], []
+    good, bad, fields = [], [], cache(fields)  # a look-up builds Columns
     for r in rules:
         try:
             good.append((r, compiled(r, fields)))

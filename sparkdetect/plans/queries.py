@@ -95,6 +95,24 @@ def rule_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listing.join(n, "rule_id", "left").select("rule_id", "severity", F.coalesce("alerts", F.lit(0).cast("long")).alias("alerts"), "status")
 
 
+def _many_rules(n: int = 3000) -> list[Rule]:
+    """Rules made by a formula, on users, kinds, parts of words, bounds and exceptions."""
+    kinds, parts = ("error", "click", "view", "signup", "purchase"), ("ER", "ic", "ew", "ign", "ur")
+    return [
+        Rule(f"M{i:04}", {"who": {"user": str(i % 150)}, "what": [{"event_type": kinds[i % 5]}, {"event_type|contains": parts[i // 150 % 5], "k|lt": 10}], "big": {"value|gte": 10 * (i % 7)}, "not_now": {"k": [i % 100, i % 97]}}, "who and what and (big or 2 of not_*) and not not_now" if i % 2 else "all of who and 2 of them and not not_now")
+        for i in range(n)
+    ]
+
+
+@query(f"""WITH {TELE}, r AS (SELECT i::INT AS i, ['error', 'click', 'view', 'signup', 'purchase'][i % 5 + 1] AS kind, ['er', 'ic', 'ew', 'ign', 'ur'][i // 150 % 5 + 1] AS part FROM range(3000) t(i)
+), m AS (SELECT r.i, tele.event_id, usr = (i % 150)::VARCHAR AS who, event_type = kind OR (contains(event_type, part) AND k < 10) AS what, value >= 10 * (i % 7) AS big, k IN (i % 100, i % 97) AS not_now FROM tele JOIN r ON usr = (i % 150)::VARCHAR)
+SELECT 'M' || lpad(i::VARCHAR, 4, '0') AS rule_id, event_id FROM m WHERE NOT not_now AND CASE WHEN i % 2 = 1 THEN what AND big ELSE who::INT + what::INT + big::INT >= 2 END""")
+def many_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """3,000 rules in one scan."""
+    t = telemetry(spark, sf_dir)
+    return detect(t, _many_rules(), FlatFields(t))[0].select("rule_id", F.col("event.event_id").alias("event_id"))
+
+
 # -- correlation
 
 
