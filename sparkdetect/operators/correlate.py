@@ -10,7 +10,6 @@ from itertools import groupby
 from typing import Any, NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -19,7 +18,7 @@ from pyspark.sql import types as T
 
 from ..functions.fields import Field
 from ..functions.predicates import RuleError, selection
-from .detect import SCOPE, _head, event_struct, scoped, with_alert_id
+from .detect import EVENT, SCOPE, _head, event_struct, scoped, with_alert_id
 from .rules import Correlation
 
 #: A key of a rule with more events than this is cut along time, into pieces of about so many events; one of so many keys at most.
@@ -463,53 +462,12 @@ def _stages(rule: Correlation, fields: Callable[[str], Field | None]) -> list[Co
     return out
 
 
-def _sessions(relevant: DataFrame, rule: Correlation, extra: list[Column]) -> DataFrame:
-    """Of a stream the relevant events of a key, split where the gap exceeds the window, each session one sorted array.
-
-    No chain or count crosses such a gap, so a session holds all that one decision needs, and what a stream keeps of
-    a busy key is bounded by its pauses.
-    """
-    at = F.session_window("ts", f"{rule.window} seconds")  # the column itself, which may carry a watermark
-    item = F.struct("ts", F.col("event.event_id").alias("id"), "event", *extra)
-    return relevant.groupBy(*SCOPE, "key", at.alias("session")).agg(F.array_sort(F.collect_list(item)).alias("items"))
-
-
-def _counted(rule: Correlation, element: T.DataType) -> Column:
-    """Hits of a threshold or distinct rule: a fold over the sorted session; after a hit the window starts anew."""
-    t = lambda x: F.unix_micros(x["ts"])
-    empty = F.array().cast(T.ArrayType(element))
-    start = F.struct(empty.alias("open"), F.array().cast(T.ArrayType(T.ArrayType(element))).alias("hits"))
-
-    def step(acc: Column, x: Column) -> Column:
-        live = F.concat(F.filter(acc["open"], lambda e: t(x) - t(e) <= rule.window * 1_000_000), F.array(x))
-        n = F.size(live) if rule.kind == "threshold" else F.size(F.array_distinct(F.transform(F.filter(live, lambda e: e["value"].isNotNull()), lambda e: e["value"])))
-        fires = n >= rule.threshold
-        return F.struct(F.when(fires, empty).otherwise(live).alias("open"), F.when(fires, F.concat(acc["hits"], F.array(live))).otherwise(acc["hits"]).alias("hits"))
-
-    return F.aggregate("items", start, step, lambda acc: acc["hits"])
-
-
 def _of_stream(events: DataFrame, rule: Correlation, fields: Callable[[str], Field | None]) -> DataFrame:
-    """(scope, key, chain) of one rule by sessions."""
-    base = scoped(events)
-    entry = _entry(0, rule, fields)
-    relevant = base.withColumns({"event": event_struct(base), "x": entry}).where("x IS NOT NULL").withColumns({"key": F.col("x.key"), "hits": F.col("x.hits"), "value": F.col("x.value")})
-    if rule.kind != "sequence":
-        sessions = _sessions(relevant, rule, [F.col("value")])
-        hits = _counted(rule, sessions.schema["items"].dataType.elementType)
-        return sessions.select(*SCOPE, "key", F.explode(hits).alias("chain")).withColumn("chain", F.transform("chain", lambda x: x["event"]))
-    sessions = _sessions(relevant, rule, [F.col("hits")]).drop("session")
-
-    @F.pandas_udf("array<array<int>>")
-    def places(t: pd.Series, ids: pd.Series, hits: pd.Series) -> pd.Series:
-        whole = ([Seen(*x, i) for i, x in enumerate(zip(*row, strict=True))] for row in zip(t, ids, hits, strict=True))
-        return pd.Series([[[e.at for e in chain] for chain in sequence_chains(w, len(rule.stages), rule.window * 1_000_000)] for w in whole])
-
-    # times, ids and bits alone go to Python
-    each = lambda f: F.transform("items", f)
-    found = places(each(lambda x: F.unix_micros(x["ts"])), each(lambda x: x["id"]), each(lambda x: x["hits"]))
-    chain = F.transform("places", lambda i: F.get("items", i)["event"])
-    return sessions.withColumn("found", found).withColumn("places", F.explode("found")).select(*SCOPE, "key", chain.alias("chain"))
+    """(scope, key, chain) of one rule, from state for each key."""
+    from ..streaming.processors import chains_of_stream
+
+    event = lambda x: F.struct(*[(F.timestamp_micros(x["t"]) if n == "ts" else x["e"][n]).alias(n) for n in EVENT])
+    return chains_of_stream(events, rule, fields).withColumn("chain", F.transform("chain", event))
 
 
 def _alerts(found: DataFrame, head: Column, kind: Column) -> DataFrame:

@@ -10,8 +10,9 @@ from ..operators import baseline, drafting, exposure, incidents, robustness
 from ..operators.detect import detect, with_truth
 from ..operators.drafting import Strategy
 from ..operators.rules import Rule
-from .queries import query
-from .telemetry import ALERTS, CATALOGUE, RULES, TELE, TRUTH, executed, telemetry
+from ..streaming.jobs import baseline_stream, settled
+from .queries import SQL, query
+from .telemetry import ALERTS, CATALOGUE, RULES, TELE, TRUTH, executed, telemetry, telemetry_stream
 
 # -- drafts
 
@@ -220,6 +221,13 @@ def baseline_observe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_id", "feature", "method", F.when(F.col("score") == float("inf"), -1.0).otherwise(F.round("score", 5)).alias("score"), "sample_count")
 
 
+@query(SQL["baseline_observe"])
+def stream_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same findings from a stream, by state of each entity."""
+    out = settled(baseline_stream(_features(telemetry_stream(spark, sf_dir)), 5, 6.0003))
+    return out.select("event_id", "feature", "method", F.when(F.col("score") == float("inf"), -1.0).otherwise(F.round("score", 5)).alias("score"), "sample_count")
+
+
 # -- incidents
 
 

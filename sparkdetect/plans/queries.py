@@ -14,8 +14,9 @@ from ..operators.correlate import correlate_one
 from ..operators.detect import detect, with_truth
 from ..operators.rules import Rule, compiled, errors_table, rule_listing, rules_table, validate
 from ..sources.events import layer_techniques, scenario_listing
+from ..streaming.jobs import correlate_stream, detect_stream, settled
 from . import packs
-from .telemetry import ALERTS, CATALOGUE, CORRELATIONS, COVER, EXECUTED, RULES, SQL_RULES, TELE, TRUTH, alerts, executed, telemetry
+from .telemetry import ALERTS, CATALOGUE, CORRELATIONS, COVER, EXECUTED, RULES, SQL_RULES, TELE, TRUTH, alerts, executed, telemetry, telemetry_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -118,7 +119,11 @@ def many_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _correlated(spark: SparkSession, sf_dir: str, i: int) -> DataFrame:
     t = telemetry(spark, sf_dir).withColumns({"run_id": F.lit("all"), "scenario_id": F.lit("all")})
-    found = with_truth(correlate_one(t, CORRELATIONS[i], FlatFields(t)))
+    return _chains(correlate_one(t, CORRELATIONS[i], FlatFields(t)))
+
+
+def _chains(found: DataFrame) -> DataFrame:
+    found = with_truth(found)
     ids = F.array_join(F.transform(F.concat("supporting", F.array("event")), lambda e: e["event_id"]), ",")
     return found.select("rule_id", "correlation_type", ids.alias("chain"), "is_tp", F.round("purity", 6).alias("purity"))
 
@@ -159,6 +164,27 @@ def corr_sequence_2stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _correlated(spark, sf_dir, 2)
 
 
+# -- streams: a run over all files with a checkpoint, its sink read back
+
+
+@query(f"WITH {ALERTS} SELECT run_id, scenario_id, alert_id, rule_id, event_id FROM alerts")
+def stream_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = telemetry_stream(spark, sf_dir)
+    return settled(detect_stream(t, RULES, FlatFields(t)).select("run_id", "scenario_id", "alert_id", "rule_id", F.col("event.event_id").alias("event_id")))
+
+
+@query(SQL["corr_threshold"])
+def stream_correlate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = telemetry_stream(spark, sf_dir).withColumns({"run_id": F.lit("all"), "scenario_id": F.lit("all")})
+    return _chains(settled(correlate_stream(t, CORRELATIONS[0], FlatFields(t), "0 seconds")))
+
+
+@query(SQL["corr_sequence_2stage"])
+def stream_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = telemetry_stream(spark, sf_dir).withColumns({"run_id": F.lit("all"), "scenario_id": F.lit("all")})
+    return _chains(settled(correlate_stream(t, CORRELATIONS[2], FlatFields(t), "0 seconds")))
+
+
 # -- ground truth and score
 
 

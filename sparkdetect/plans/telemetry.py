@@ -34,7 +34,18 @@ SQL_RULES = (
 
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as telemetry: 20 runs of 3 scenarios, labels by TRUTH."""
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(
+    return as_telemetry(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def telemetry_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a stream of files."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    # a source of files takes folders, and patterns that match a file
+    return as_telemetry(spark.readStream.schema(schema).parquet(f"{sf_dir}/[e]vents.parquet"))
+
+
+def as_telemetry(events: DataFrame) -> DataFrame:
+    rows = events.select(
         F.col("event_id").cast("string").alias("event_id"), F.col("ts").cast("timestamp").alias("ts"), "event_type", F.col("event_type").alias("host"), F.col("user_id").cast("string").alias("user"), "value",
         F.get_json_object("props", "$.k").cast("int").alias("k"), F.lpad((F.col("event_id") % 20).cast("string"), 2, "0").alias("run_id"), F.concat(F.lit("s"), (F.col("event_id") % 3).cast("string")).alias("scenario_id"),
     )

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Iterable, Iterator
+import uuid
+from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fields import Field
-from ..operators.baseline import EPSILON, MAD_SCALE, RECENT, Known, check
+from ..functions.tables import shared_dir
+from ..operators.baseline import RECENT, check
 from ..operators.correlate import correlate_one
 from ..operators.detect import detect
 from ..operators.rules import Correlation, Rule
+from .processors import BaselineProcessor, typed_state
 
 
 def detect_stream(events: DataFrame, rules: Iterable[Rule], fields: Callable[[str], Field | None]) -> DataFrame:
@@ -24,71 +26,41 @@ def detect_stream(events: DataFrame, rules: Iterable[Rule], fields: Callable[[st
 def correlate_stream(events: DataFrame, rule: Correlation, fields: Callable[[str], Field | None], lateness: str = "10 minutes") -> DataFrame:
     """Alerts of a correlation in append mode.
 
-    A session is judged when it is closed: the rule's window plus ``lateness`` after its last event, which gives what a
-    batch gives. Spark filters before it takes the time, so rows that the rule selects move the watermark. Later rows are dropped. The last session of a key stays open until the watermark has passed it.
+    A chain is told when the watermark, ``lateness`` behind the latest row that the rule selects, has passed the event
+    that completes it; this gives what a batch gives. Later rows are dropped. Spark filters before it takes the time, so
+    other rows do not move the watermark.
     """
     return correlate_one(events.withWatermark("ts", lateness), rule, fields)
 
 
-#: What is kept of an entity: its events, and for each feature a count, a mean, a sum of squares and the last values.
-STATE = "events long, features array<struct<feature:string,n:bigint,mean:double,m2:double,recent:array<double>>>"
 FOUND = "event_id string, ts timestamp, entity string, feature string, value double, score double, sample_count long, method string"
 
 
-def _score(own: Known | None, value: float, events: int, least: int) -> tuple[float, str, int]:
-    if own is None:
-        return (math.inf, "feature_novelty", events) if events >= least else (0.0, "insufficient_samples", 0)
-    if own.n < least:
-        return 0.0, "insufficient_samples", own.n
-    n, mean, spread, centre, mad = own.figures()
-    scale, off = MAD_SCALE * mad, abs(value - mean)
-    if scale > EPSILON:
-        return abs(value - centre) / scale, "median_mad", n
-    if spread > EPSILON:
-        return off / spread, "welford_zscore", n
-    return (0.0 if off <= EPSILON else math.inf), "zero_variance", n
-
-
-def _opened(state: tuple, recent: int) -> tuple[int, dict[str, Known]]:
-    known = {}
-    for feature, n, mean, m2, lately in state[1]:
-        own = known[feature] = Known(recent)
-        own.n, own.mean, own.m2 = n, mean, m2
-        own.lately.extend(lately)
-        own.ordered = sorted(lately)
-    return state[0], known
-
-
 def baseline_stream(features: DataFrame, min_samples: int = 5, threshold: float = 3.5, recent: int = RECENT, forget_after: str | None = None, lateness: str = "10 minutes") -> DataFrame:
     """Findings of (event_id, ts, entity, feature, value), each event judged by those of its entity before it, then learnt.
 
-    State of an entity: for each feature a count, a mean, a sum of squares and the last ``recent`` values. Rows of a
-    micro-batch are taken in order of time. With ``forget_after`` (as "30 days") rows later than ``lateness`` are dropped and an
-    entity without events for so long, in event time, is forgotten; without, entities are kept for ever.
+    State of an entity: an entry for each feature with a count, a mean, a sum of squares and the last ``recent`` values;
+    a micro-batch writes those of the features that it brings. Its rows are taken in order of time. With ``forget_after``
+    (as "30 days") rows later than ``lateness`` are dropped and an entity without events for so long, in event time, is
+    forgotten; without, entities are kept for ever.
     """
     check(min_samples, threshold, recent)
     pause = int(pd.Timedelta(forget_after).total_seconds() * 1000) if forget_after else 0
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        events, known = _opened(state.get, recent) if state.exists else (0, {})
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id", "feature"])
-        out = []
-        for (ts, event), group in rows.groupby(["ts", "event_id"], sort=True):
-            for feature, value in zip(group["feature"], group["value"], strict=True):
-                score, method, n = _score(known.get(feature), value, events, min_samples)
-                if score >= threshold:
-                    out.append((event, ts, key[0], feature, value, score, n, method))
-                known.setdefault(feature, Known(recent)).learn(value)
-            events += 1
-        state.update((events, [(f, k.n, k.mean, k.m2, list(k.lately)) for f, k in known.items()]))
-        if pause:
-            state.setTimeoutTimestamp(max(int(rows["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + pause)
-        yield pd.DataFrame(out, columns=["event_id", "ts", "entity", "feature", "value", "score", "sample_count", "method"])
-
+    typed_state(features.sparkSession)
     if pause:
         features = features.withWatermark("ts", lateness)
     rows = features.select("event_id", "ts", "entity", "feature", F.col("value").cast("double"))
-    return rows.groupBy("entity").applyInPandasWithState(step, FOUND, STATE, "append", "EventTimeTimeout" if pause else "NoTimeout")
+    return rows.groupBy("entity").transformWithState(BaselineProcessor(min_samples, threshold, recent, pause), FOUND, "Append", "EventTime" if pause else "None")
+
+
+def settled(stream: DataFrame, folder: str | None = None) -> DataFrame:
+    """All that ``stream`` gives for what its source has now, written with a checkpoint to a file sink and read back.
+
+    Run again with the same ``folder`` it goes on from its checkpoint: what was read is not read again, and what was
+    written stays.
+    """
+    spark = stream.sparkSession
+    folder = folder or f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    query = stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(availableNow=True).start(f"{folder}/rows")
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
