@@ -39,6 +39,10 @@ class Rule:
     tactic: str = ""
     enabled: bool = True
     source: str = "handwritten"
+    description: str = ""
+    false_positives: tuple[str, ...] = ()
+    references: tuple[str, ...] = ()
+    technique_names: tuple[str, ...] = ()
 
     @property
     def fingerprint(self) -> str:
@@ -64,6 +68,10 @@ class Correlation:
     techniques: tuple[str, ...] = ()
     tactic: str = ""
     enabled: bool = True
+    description: str = ""
+    false_positives: tuple[str, ...] = ()
+    references: tuple[str, ...] = ()
+    technique_names: tuple[str, ...] = ()
 
     def check(self) -> None:
         if self.kind not in KINDS:
@@ -181,12 +189,12 @@ def validate(rules: Iterable[Rule | Correlation], fields: Callable[[str], Field
     return out
 
 
-RULES_SCHEMA = "rule_id string, title string, severity string, severity_rank int, techniques array<string>, tactic string, kind string, enabled boolean, fingerprint string"
+RULES_SCHEMA = "rule_id string, title string, severity string, severity_rank int, techniques array<string>, tactic string, kind string, enabled boolean, fingerprint string, description string, false_positives array<string>, references array<string>, technique_names array<string>"
 
 
 def rules_table(spark: SparkSession, rules: Iterable[Rule | Correlation]) -> DataFrame:
     """A row for each rule."""
-    rows = [(r.rule_id, r.title, r.severity, SEVERITIES.index(r.severity), list(r.techniques), r.tactic, getattr(r, "kind", "single"), r.enabled, r.fingerprint) for r in rules]
+    rows = [(r.rule_id, r.title, r.severity, SEVERITIES.index(r.severity), list(r.techniques), r.tactic, getattr(r, "kind", "single"), r.enabled, r.fingerprint, r.description, list(r.false_positives), list(r.references), list(r.technique_names or r.techniques)) for r in rules]
     return spark.createDataFrame(rows, RULES_SCHEMA)
 
 
@@ -198,4 +206,4 @@ def rule_listing(rules: DataFrame, errors: DataFrame) -> DataFrame:
     """Each rule with its status: invalid, disabled or ok."""
     bad = errors.groupBy("rule_id").agg(F.min("error").alias("error"))
     status = F.when(F.col("error").isNotNull(), "invalid").when(~F.col("enabled"), "disabled").otherwise("ok")
-    return rules.join(F.broadcast(bad), "rule_id", "left").select("rule_id", "title", "severity", "kind", status.alias("status"), F.col("error"))
+    return rules.join(F.broadcast(bad), "rule_id", "left").select("rule_id", "title", "severity", "kind", status.alias("status"), F.col("error"), "techniques", "technique_names", "tactic", "description", "false_positives", "references")

@@ -23,15 +23,26 @@ def slot(seed: int, *parts: Column, n: Column) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % n
 
 
+#: Resamples that one task makes of a group at a time.
+BLOCK = 50
+
+
 def _resampled(metrics: DataFrame, iterations: int, seed: int, keys: list[str]) -> DataFrame:
-    """(keys, iteration, mean) of samples with replacement: iterations times the rows of each group."""
+    """(keys, iteration, mean) of samples with replacement.
+
+    A group is one array of its values, a number for each run, which goes to a row for every ``BLOCK`` iterations; each
+    row folds its resamples over the array, so neither draws nor values are joined or shuffled.
+    """
     if iterations < 1:
         raise ValueError("iterations must be positive")
-    own = Window.partitionBy(*keys)
-    ranked = metrics.where("value IS NOT NULL").withColumns({"at": F.row_number().over(own.orderBy("run_id", "value")) - 1, "n": F.count("*").over(own)})
-    draws = ranked.select(*keys, "at", "n", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("iteration"))
-    drawn = draws.select(*keys, "iteration", slot(seed, F.col("iteration"), F.col("at"), n=F.col("n")).alias("at"))
-    return drawn.join(ranked.select(*keys, "at", "value"), [*keys, "at"]).groupBy(*keys, "iteration").agg(F.avg("value").alias("mean"))
+    values = F.transform(F.array_sort(F.collect_list(F.struct("run_id", "value"))), lambda x: x["value"].cast("double"))
+    groups = metrics.where("value IS NOT NULL").groupBy(*keys).agg(values.alias("values")).withColumn("n", F.size("values"))
+    first = F.explode(F.sequence(F.lit(0), F.lit(iterations - 1), F.lit(BLOCK))).alias("first")
+    blocks = groups.select(*keys, "values", "n", first).repartition(*keys, "first")
+    draw = lambda it, at: F.get("values", slot(seed, it, at, n=F.col("n")).cast("int"))
+    total = lambda it: F.aggregate(F.sequence(F.lit(0), F.col("n") - 1), F.lit(0.0), lambda acc, at: acc + draw(it, at))
+    each = F.transform(F.sequence(F.col("first"), F.least(F.col("first") + BLOCK, F.lit(iterations)) - 1), lambda it: F.struct(it.alias("iteration"), (total(it) / F.col("n")).alias("mean")))
+    return blocks.select(*keys, F.explode(each).alias("x")).select(*keys, "x.*")
 
 
 def bootstrap(metrics: DataFrame, confidence: float = 0.95, iterations: int = ITERATIONS, seed: int = 0, keys: tuple[str, ...] = ("metric",)) -> DataFrame:

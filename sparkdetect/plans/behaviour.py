@@ -49,9 +49,9 @@ def draft_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 ), n AS (SELECT i.rule_id, i.technique_id, count(*) FILTER (m.rule_id IS NOT NULL AND actual = i.technique_id) AS hits, count(*) FILTER (m.rule_id IS NOT NULL AND actual IS NULL) AS false_positives, count(*) FILTER (m.rule_id IS NOT NULL AND actual <> i.technique_id) AS "cross"
   FROM ids i LEFT JOIN matched m ON m.rule_id = i.rule_id GROUP BY ALL
 ), k AS (SELECT n.*, (SELECT count(*) FROM tele WHERE technique_id IS NULL) AS benign, (SELECT count(*) FROM tele t WHERE t.technique_id <> n.technique_id) AS other FROM n
-), r AS (SELECT rule_id, hits, false_positives, "cross", CASE WHEN hits = 0 THEN 'rule does not match the telemetry it was generated from' WHEN false_positives / benign > 0.01 THEN format('too broad: matched {{}}/{{}} benign events', false_positives, benign)
-  WHEN "cross" / other > 0.25 THEN format('not specific: also matched {{}} events from other techniques', "cross") WHEN rule_id = 'X-SAME' THEN 'duplicate of an existing rule' ELSE 'validated' END AS reason FROM k)
-SELECT *, reason = 'validated' AS accepted FROM r UNION ALL SELECT 'X-BAD', 0, 0, 0, 'invalid rule syntax: condition ended unexpectedly', false""")
+), r AS (SELECT rule_id, hits, false_positives, "cross", CASE WHEN hits = 0 THEN 'no event of its own technique matched' WHEN false_positives / benign > 0.01 THEN format('matches {{}} of {{}} benign events', false_positives, benign)
+  WHEN "cross" / other > 0.25 THEN format('matches {{}} events of other techniques', "cross") WHEN rule_id = 'X-SAME' THEN 'same logic as another rule' ELSE 'accepted' END AS reason FROM k)
+SELECT *, reason = 'accepted' AS accepted FROM r UNION ALL SELECT 'X-BAD', 0, 0, 0, 'does not compile: condition ended unexpectedly', false""")
 def draft_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = telemetry(spark, sf_dir)
     rules = [*drafting.drafts(t, executed(spark, sf_dir), _draft_fields(t), _STRATEGIES), *_EXTRA]

@@ -13,11 +13,11 @@ from ..operators import exposure, incidents, scorecard
 from ..operators.correlate import correlate, correlate_one
 from ..operators.detect import combined, detect, with_truth
 from ..operators.rules import Correlation
-from ..sources.events import read_events, with_event_id
+from ..sources.events import commit_batch, read_batches, read_events, with_event_id
 from . import packs
 from .behaviour import _PARTS, _PATHS, _TACTICS, _assets, _incident_alerts
 from .queries import _SUMMARY, SQL, _cover, query
-from .telemetry import ALERTS, CORRELATIONS, RULES, TELE, telemetry
+from .telemetry import ALERTS, CORRELATIONS, RULES, TELE, alerts, telemetry
 
 # -- packs
 
@@ -50,24 +50,82 @@ def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.withColumns({n: v.cast("double") if n in _NUMBERS else v for n, v in values.items()})
 
 
-@query(f"""SELECT event_id::VARCHAR AS event_id, [{', '.join(repr(r) for _, r in _CASES)}][event_id % {len(_CASES)} + 1] AS rule_id FROM events WHERE [{', '.join(repr(r) for _, r in _CASES)}][event_id % {len(_CASES)} + 1] <> ''""")
+def _sql_column(name: str) -> str:
+    """What ``_packed`` puts into a column, by an array."""
+    values = ", ".join("NULL" if c.get(name) is None else "'" + c[name].replace("'", "''") + "'" for c, _ in _CASES)
+    return f'([{values}]::VARCHAR[])[event_id % {len(_CASES)} + 1]' + ("::DOUBLE" if name in _NUMBERS else "") + f' AS "{name}"'
+
+
+def _pattern(rule: int, name: str) -> str:
+    """A pattern of the pack, as a fixed value; which fields it meets and how hits combine stands in the SQL."""
+    return "'(?i)" + packs.RULES[rule].detection[name]["process.command_line|re"].replace("'", "''") + "'"
+
+
+_ENDS = lambda column, names: "(" + " OR ".join(f"ends_with(lower({column}), '{n}')" for n in names) + ")"
+_LINE, _NAME, _PARENT = '"process.command_line"', '"process.name"', '"process.parent_name"'
+_PACK = {
+    "SD-0001": f"{_ENDS(_NAME, ('powershell.exe', 'pwsh.exe'))} AND regexp_matches({_LINE}, {_pattern(0, 'selection_encoded')}) AND regexp_matches({_LINE}, {_pattern(0, 'selection_conceal')})",
+    "SD-0003": " OR ".join(f"regexp_matches({_LINE}, {_pattern(1, n)})" for n in ("selection_vssadmin", "selection_wmic", "selection_bcdedit", "selection_wbadmin")),
+    "SD-0004": f"contains(lower({_LINE}), 'disablerealtimemonitoring $true') OR contains(lower({_LINE}), 'disableioavprotection $true') OR contains(lower({_LINE}), 'disablebehaviormonitoring $true') OR contains(lower({_LINE}), 'mppreference -disablescriptscanning $true') OR contains(lower({_LINE}), 'add-mppreference') AND (contains(lower({_LINE}), '-exclusionpath') OR contains(lower({_LINE}), '-exclusionextension') OR contains(lower({_LINE}), '-exclusionprocess'))",
+    "SD-0005": """lower(kind) = 'wmi_event' AND (contains(lower("wmi.operation"), 'eventconsumercreated') OR contains(lower("wmi.operation"), 'eventfiltercreated') OR contains(lower("wmi.operation"), 'filtertoconsumerbindingcreated'))""",
+    "SD-0006": f"(ends_with(lower({_NAME}), 'net.exe') AND regexp_matches({_LINE}, {_pattern(4, 'selection_net')}) OR {_ENDS(_NAME, ('nltest.exe', 'dsquery.exe', 'adfind.exe'))}) AND {_ENDS(_PARENT, ('powershell.exe', 'pwsh.exe', 'wscript.exe', 'cscript.exe', 'mshta.exe'))}",
+    "SD-0007": f"{_ENDS(_PARENT, ('winword.exe', 'excel.exe', 'powerpnt.exe', 'outlook.exe', 'msaccess.exe'))} AND {_ENDS(_NAME, ('powershell.exe', 'pwsh.exe', 'cmd.exe', 'wscript.exe', 'cscript.exe', 'mshta.exe', 'regsvr32.exe', 'rundll32.exe'))}",
+    "SD-0008": f"""starts_with(lower({_NAME}), 'psexec') OR starts_with(lower({_NAME}), 'paexec') OR starts_with(lower({_NAME}), 'csexec') OR regexp_matches({_LINE}, {_pattern(6, 'selection_cmdline_shape')}) OR lower(kind) = 'file_share_access' AND contains(lower("file.share_name"), 'admin$')""",
+    "SD-0009": """lower(kind) = 'file_modification_burst' AND "file.modified_count" >= 500 AND "file.entropy_avg" >= 7.5 OR lower(kind) = 'file_create' AND regexp_matches("file.path", '(?i)(restore|recover|readme|how[_-]?to[_-]?decrypt).*\\.(txt|hta|html)$')""",
+    "SD-0010": """lower(kind) = 'authentication' AND "winlog.event_id" = 4624 AND "winlog.logon_type" = 10 AND NOT coalesce(regexp_matches("source.ip", '^(10\\.|192\\.168\\.|172\\.(1[6-9]|2[0-9]|3[01])\\.|127\\.)'), false)""",
+}
+
+
+@query(f"""WITH e AS (SELECT event_id::VARCHAR AS event_id, {', '.join(_sql_column(n).replace('AS "event_type"', 'AS kind') for n in sorted({n for c, _ in _CASES for n in c}))} FROM events)
+{' UNION ALL '.join(f"SELECT event_id, '{i}' AS rule_id FROM e WHERE {c}" for i, c in _PACK.items())}""")
 def pack_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bundled rules on events that carry what they look for, or nearly so."""
     t = _packed(spark, sf_dir)
     return detect(t, packs.RULES, FlatFields(t))[0].select(F.col("event.event_id").alias("event_id"), "rule_id")
 
 
-#: The bundled correlation of many failed logons: what it counts stands for errors here.
-@query(f"""WITH RECURSIVE {TELE}, ev AS (SELECT host, event_id, row_number() OVER w AS i, count(*) OVER (PARTITION BY host ORDER BY epoch_us(ts) RANGE BETWEEN 300000000 PRECEDING AND CURRENT ROW) AS near FROM tele WHERE event_type = 'error' WINDOW w AS (PARTITION BY host ORDER BY ts, event_id)
-), lists AS (SELECT host, list(event_id ORDER BY i) AS ids, list(i - near + 1 ORDER BY i) AS firsts FROM ev GROUP BY host
-), run(host, i, s, fired) AS (SELECT host, 1::BIGINT, 1::BIGINT, false FROM lists
-  UNION ALL SELECT host, i, s, i - s + 1 >= 5 FROM (SELECT r.host, r.i + 1 AS i, CASE WHEN r.fired THEN r.i + 1 ELSE greatest(r.s, l.firsts[r.i + 1]) END AS s, len(l.ids) AS n FROM run r JOIN lists l USING (host)) WHERE i <= n
-) SELECT 'SC-0003' AS rule_id, ids[i] AS event_id, (i - s + 1)::INT AS events FROM run JOIN lists USING (host) WHERE fired""")
+#: The telemetry a thousand times as fast, with what the bundled correlations look for, and for SQL.
+_FAST = "timestamp_micros(div(unix_micros(ts), 1000))"
+_CARRIED = {
+    "kind": "CASE event_type WHEN 'signup' THEN 'query_executed' WHEN 'purchase' THEN CASE WHEN k < 50 THEN 'http_upload' ELSE 'file_copy_to_removable' END WHEN 'click' THEN 'process_creation' WHEN 'view' THEN 'process_access' ELSE CASE WHEN k < 50 THEN 'authentication' ELSE 'network_connection' END END",
+    "box": "concat('h', k % 2)", "process.name": "CASE WHEN event_type = 'click' AND k % 3 = 0 THEN 'C:/PowerShell.exe' WHEN event_type = 'view' AND k % 5 = 0 THEN 'MsMpEng.exe' ELSE 'other.exe' END", "process.target_name": "CASE WHEN k % 4 = 0 THEN 'lsass.exe' ELSE 'none.exe' END",
+    "destination.ip": "CASE WHEN event_type = 'error' AND k % 9 > 0 THEN concat('10.0.0.', k) END", "network.bytes_out": "value * 10000000", "winlog.event_id": "CASE WHEN k % 7 > 0 THEN 4625 ELSE 4624 END", "winlog.logon_type": "10",
+}
+
+
+def _sequence_sql(name: str, key: str, window: int, first: str, then: str) -> str:
+    """Chains of two stages: from each left event of the first the earliest left one of the second."""
+    return f"""{name}_e AS (SELECT {key} AS g, event_id, t, row_number() OVER (PARTITION BY {key} ORDER BY t, event_id) AS p, {first} AS s1, {then} AS s2 FROM x WHERE {first} OR {then}
+), {name}_a AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY p) AS i FROM {name}_e WHERE s1
+), {name}_b AS (SELECT g, list({{'p': p, 't': t, 'id': event_id}} ORDER BY p) AS bs FROM {name}_e WHERE s2 GROUP BY g
+), {name}_r(g, i, used, hit) AS (SELECT DISTINCT g, 0::BIGINT, []::VARCHAR[], NULL::STRUCT(p BIGINT, t BIGINT, id VARCHAR) FROM {name}_a
+  UNION ALL SELECT g, i, CASE WHEN hit IS NULL THEN used ELSE list_concat(used, [hit.id, own]) END, hit FROM (SELECT r.g, r.i + 1 AS i, r.used AS used, a.event_id AS own,
+    CASE WHEN NOT list_contains(r.used, a.event_id) THEN list_filter(coalesce(b.bs, []), lambda y: y.p > a.p AND y.t <= a.t + {window * 1_000_000} AND NOT list_contains(r.used, y.id))[1] END AS hit
+    FROM {name}_r r JOIN {name}_a a ON a.g = r.g AND a.i = r.i + 1 LEFT JOIN {name}_b b ON b.g = r.g)
+)"""
+
+
+def _count_sql(name: str, key: str, window: int, where: str, value: str, fires: str) -> str:
+    """Hits of a count: the window starts anew after each."""
+    return f"""{name}_e AS (SELECT {key} AS g, event_id, {value} AS v, row_number() OVER w AS i, count(*) OVER (PARTITION BY {key} ORDER BY t RANGE BETWEEN {window * 1_000_000} PRECEDING AND CURRENT ROW) - count(*) OVER (PARTITION BY {key}, t) + row_number() OVER (PARTITION BY {key}, t ORDER BY event_id) AS near
+  FROM x WHERE {where} WINDOW w AS (PARTITION BY {key} ORDER BY t, event_id)
+), {name}_l AS (SELECT g, list(event_id ORDER BY i) AS ids, list(v ORDER BY i) AS vals, list(i - near + 1 ORDER BY i) AS firsts FROM {name}_e GROUP BY g
+), {name}_r(g, i, s, fired) AS (SELECT g, 1::BIGINT, 1::BIGINT, false FROM {name}_l
+  UNION ALL SELECT g, i, s, {fires} FROM (SELECT r.g, r.i + 1 AS i, CASE WHEN r.fired THEN r.i + 1 ELSE greatest(r.s, l.firsts[r.i + 1]) END AS s, l.vals AS vals, len(l.ids) AS n FROM {name}_r r JOIN {name}_l l USING (g)) WHERE i <= n
+)"""
+
+
+@query(f"""WITH RECURSIVE {TELE}, x AS (SELECT event_id, usr, epoch_us(ts) // 1000 AS t, {', '.join(f'{v} AS "{n}"' for n, v in _CARRIED.items())} FROM tele
+), {_sequence_sql('c1', 'usr', 3600, "kind IN ('query_executed', 'file_copy_to_removable')", '''(kind IN ('http_upload', 'file_copy_to_removable') AND "network.bytes_out" >= 100000000)''')}
+, {_sequence_sql('c2', 'box', 900, '''(kind = 'process_creation' AND ends_with(lower("process.name"), 'powershell.exe'))''', '''(kind = 'process_access' AND "process.target_name" = 'lsass.exe' AND NOT ends_with(lower("process.name"), 'msmpeng.exe'))''')}
+, {_count_sql('c3', 'box', 300, '''kind = 'authentication' AND "winlog.event_id" = 4625 AND "winlog.logon_type" = 10''', 'event_id', 'i - s + 1 >= 5')}
+, {_count_sql('c4', 'box', 600, "kind = 'network_connection'", '"destination.ip"', 'len(list_distinct(list_filter(list_slice(vals, s, i), lambda v: v IS NOT NULL))) >= 25')}
+SELECT 'SC-0001' AS rule_id, hit.id AS event_id, 2 AS events FROM c1_r WHERE hit IS NOT NULL UNION ALL SELECT 'SC-0002', hit.id, 2 FROM c2_r WHERE hit IS NOT NULL
+UNION ALL SELECT 'SC-0003', ids[i], (i - s + 1)::INT FROM c3_r JOIN c3_l USING (g) WHERE fired UNION ALL SELECT 'SC-0004', ids[i], (i - s + 1)::INT FROM c4_r JOIN c4_l USING (g) WHERE fired""")
 def pack_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All bundled correlations in one job."""
-    failed = F.col("event_type") == "error"
-    t = telemetry(spark, sf_dir).withColumns({"run_id": F.lit("all"), "scenario_id": F.lit("all"), "event_type": F.when(failed, "authentication").otherwise(F.col("event_type")), "winlog.event_id": F.when(failed, 4625), "winlog.logon_type": F.when(failed, 10)})
-    t = t.withColumns({n: F.lit(None).cast("string") for n in ("process.name", "process.target_name", "destination.ip")} | {"network.bytes_out": F.lit(None).cast("double")})
+    """All bundled correlations in one job, on events that carry what each looks for."""
+    t = telemetry(spark, sf_dir).withColumns({"run_id": F.lit("all"), "scenario_id": F.lit("all"), "ts": F.expr(_FAST)} | {n: F.expr(v) for n, v in _CARRIED.items()})
+    t = t.withColumns({"event_type": F.col("kind"), "host": F.col("box")})
     found, _ = correlate(t, packs.CORRELATIONS, FlatFields(t))
     return found.select("rule_id", F.col("event.event_id").alias("event_id"), (F.size("supporting") + 1).alias("events"))
 
@@ -105,6 +163,19 @@ def combined_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("rule_id").agg(F.count("*").alias("alerts"), F.count_if("is_tp").alias("true_positives"))
 
 
+# -- sinks
+
+
+@query(f"WITH {ALERTS} SELECT rule_id, count(*) AS alerts, count(DISTINCT event_id) AS events FROM alerts GROUP BY rule_id")
+def sink_written_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All alerts written in two batches, each of them twice, and read once."""
+    path, found = f"{shared_dir(spark)}/sink-{uuid.uuid4().hex}", alerts(spark, sf_dir).select("rule_id", "event")
+    for batch, own in enumerate((F.col("rule_id") < "R-E", F.col("rule_id") >= "R-E")):
+        if not commit_batch(found.where(own), path, batch) or commit_batch(found.where(own), path, batch):
+            raise RuntimeError(f"batch {batch} was not written once")
+    return read_batches(spark, path).groupBy("rule_id").agg(F.count("*").alias("alerts"), F.count_distinct("event.event_id").alias("events"))
+
+
 # -- figures, steps and files
 
 

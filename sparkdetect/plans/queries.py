@@ -243,9 +243,10 @@ def scenario_detected(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FLOORS = {"technique_recall": 0.55, "precision": 0.35, "control_coverage": 0.5}
 
 
-@query(f"WITH {TELE}, {EXECUTED} SELECT scenario_id, count(*) AS steps, count(DISTINCT technique_id) AS techniques FROM executed GROUP BY scenario_id")
+@query(f"""WITH {TELE}, {EXECUTED}, f AS (SELECT scenario_id, tactic, min(ord) AS first FROM executed GROUP BY ALL)
+SELECT e.scenario_id, count(*) AS steps, count(DISTINCT technique_id) AS techniques, any_value(t.tactics) AS tactics FROM executed e JOIN (SELECT scenario_id, string_agg(tactic, ',' ORDER BY first) AS tactics FROM f GROUP BY scenario_id) t USING (scenario_id) GROUP BY e.scenario_id""")
 def scenario_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scenario_listing(executed(spark, sf_dir)).drop("tactics")
+    return scenario_listing(executed(spark, sf_dir)).withColumn("tactics", F.array_join("tactics", ","))
 
 
 @query(f"WITH {COVER} SELECT run_id, technique_id AS techniqueID, tactic, CASE status WHEN 'full' THEN 100 WHEN 'partial' THEN 50 ELSE 0 END AS score, CASE status WHEN 'full' THEN '#2e7d32' WHEN 'partial' THEN '#f9a825' ELSE '#c62828' END AS color, "

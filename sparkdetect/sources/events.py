@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +62,32 @@ def write_table(df: DataFrame, path: str, form: str = "parquet", partition_by: t
     df.write.mode("errorifexists").partitionBy(*partition_by).format(form).save(path)
 
 
+def commit_batch(df: DataFrame, path: str, batch: str | int) -> bool:
+    """Add ``df`` to the table at ``path`` as its batch of that name, once; False if the batch is there already.
+
+    Rows are written aside, in a folder that readers pass over, and take their place by one rename, so a job that is
+    repeated, or broke off, neither doubles rows nor leaves half of them. As ``foreachBatch`` of a stream it makes a
+    batch that comes again after a restart harmless. Tables are read by ``read_batches``.
+    """
+    spark = df.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    target, aside = hadoop.Path(f"{path}/batch={batch}"), hadoop.Path(f"{path}/_aside-{uuid.uuid4().hex}")
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(target):
+        return False
+    df.write.parquet(aside.toString())
+    done = not files.exists(target) and files.rename(aside, target)
+    if not done or files.exists(hadoop.Path(target, aside.getName())):  # another job was there first
+        files.delete(hadoop.Path(target, aside.getName()) if done else aside, True)
+        return False
+    return True
+
+
+def read_batches(spark: SparkSession, path: str) -> DataFrame:
+    """All batches that were committed to the table at ``path``."""
+    return spark.read.option("recursiveFileLookup", "false").option("basePath", path).parquet(f"{path}/batch=*").drop("batch")
+
+
 # Score and colour by status.
 LAYER = {"full": (100, "#2e7d32"), "partial": (50, "#f9a825"), "none": (0, "#c62828")}
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkdetect.operators import baseline, exposure, incidents
 from sparkdetect.operators.graph import components
+from sparkdetect.operators.rules import errors_table, rule_listing, rules_table
 from sparkdetect.sources import events as sources
 from sparkdetect.sources import rule_files
 from test_rules import T0, events
@@ -162,5 +163,28 @@ def test_rule_files(spark, tmp_path):
     rules, errors = rule_files.load_rules(spark, tmp_path)
     assert [r.rule_id for r in rules] == ["A", "E"] and [e["file"] for e in errors.collect()] == [f"{n}.json" for n in (2, 3, 4, 5, 6, 8, 9)]
     assert rules[0].techniques == ("T1003.001",) and rules[0].tactic == "credential-access" and rules[1].excludes == (None, {"y": 1})
+    (tmp_path / "m").mkdir()
+    told = good | {"id": "M", "description": " What it means. ", "falsepositives": ["admins"], "references": ["r1", "r2"], "techniques": [{"technique_id": "T1486", "name": "Encryption", "tactic": "impact"}, {"technique_id": "T1490"}]}
+    (tmp_path / "m" / "m.json").write_text(json.dumps(told))
+    (m,), _ = rule_files.load_rules(spark, tmp_path / "m")
+    assert (m.description, m.false_positives, m.references, m.techniques, m.technique_names, m.tactic) == ("What it means.", ("admins",), ("r1", "r2"), ("T1486", "T1490"), ("Encryption", "T1490"), "impact")
+    row = rule_listing(rules_table(spark, [m]), errors_table(spark, [])).first()
+    assert row["description"] == m.description and row["references"] == ["r1", "r2"] and row["false_positives"] == ["admins"] and row["technique_names"] == ["Encryption", "T1490"]
+    again, _ = rule_files.load_rules(spark, rule_files.write_drafts([m], tmp_path / "n")[0].parent)
+    assert again[0].description == m.description and again[0].references == m.references
     back, _ = rule_files.load_rules(spark, rule_files.write_drafts([rules[0]], tmp_path / "d")[0].parent)
     assert back[0].fingerprint == rules[0].fingerprint and not back[0].enabled
+
+
+def test_a_batch_is_committed_once(spark, tmp_path):
+    df, path = spark.range(5).withColumn("x", F.lit("a")), str(tmp_path / "t")
+    assert sources.commit_batch(df, path, 0) and not sources.commit_batch(df, path, 0) and sources.commit_batch(df, path, 1)
+    (tmp_path / "t" / "_aside-broken").mkdir()
+    (tmp_path / "t" / "_aside-broken" / "part-0.parquet").write_text("half")
+    assert sources.read_batches(spark, path).count() == 10 and not [p for p in (tmp_path / "t" / "batch=0").iterdir() if p.name.startswith("_aside")]
+    # as the sink of a stream: the first batch is written, then the stream begins anew from nothing
+    df.write.parquet(str(tmp_path / "in"))
+    for run in range(2):
+        stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+        stream.writeStream.foreachBatch(lambda b, i: sources.commit_batch(b, str(tmp_path / "s"), i)).option("checkpointLocation", str(tmp_path / f"c{run}")).trigger(availableNow=True).start().awaitTermination()
+    assert sources.read_batches(spark, str(tmp_path / "s")).count() == 5

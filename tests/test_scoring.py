@@ -95,7 +95,7 @@ def test_drafts_from_samples(spark):
     assert [r.detection["selection"] for r in rules] == [{"event_type": "http_upload", "network.bytes_out|gte": 600, "destination.domain|contains": "files.cloudstore.example"}, {"event_type": "x", "file.size|gte": 1, "device.first_seen": True}]
     assert not any(r.enabled for r in rules)
     out = {r["rule_id"]: r["reason"] for r in drafting.validated(df, [*rules, Rule("wide", {"s": {"event_type": "http_upload"}}, "s", techniques=("T1041",))], MapFields()).collect()}
-    assert out == {"DRAFT-T1041": "validated", "DRAFT-T1052-001": "validated", "wide": "too broad: matched 1/1 benign events"}
+    assert out == {"DRAFT-T1041": "accepted", "DRAFT-T1052-001": "accepted", "wide": "matches 1 of 1 benign events"}
 
 
 def test_correlations_are_held_fixed_when_drafts_are_scored(spark):
