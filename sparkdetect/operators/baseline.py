@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.order import numbered
+
 MAD_SCALE, EPSILON = 1.4826, 1e-12
 RECENT = 101
 TEXTS = ("process.command_line", "process.name", "destination.domain")
@@ -193,11 +195,9 @@ def observe(features: DataFrame, min_samples: int = 5, threshold: float = 3.5, r
 
 def calibration_split(events: DataFrame, by: str = "user", share: float = 0.7, least: int = 5) -> DataFrame:
     """Add split: the first max(``least``, int(``share`` * n)) benign rows of each ``by`` calibrate; the others and all malicious rows evaluate."""
-    benign = F.col("technique_id").isNull()
-    own = Window.partitionBy(by, benign)
-    at = F.row_number().over(own.orderBy("ts", "event_id"))
-    cut = F.greatest(F.lit(least), F.floor(F.count("*").over(own) * share).cast("int"))
-    return events.withColumn("split", F.when(benign & (at <= cut), "calibrate").otherwise("evaluate"))
+    rows = numbered(events.withColumn("_benign", F.col("technique_id").isNull()), [by, "_benign"], [F.col("ts"), F.col("event_id")], "_at", "_of")
+    cut = F.greatest(F.lit(least), F.floor(F.col("_of") * share).cast("int"))
+    return rows.withColumn("split", F.when(F.col("_benign") & (F.col("_at") <= cut), "calibrate").otherwise("evaluate")).drop("_benign", "_at", "_of")
 
 
 def evaluate(findings: DataFrame, events: DataFrame) -> DataFrame:

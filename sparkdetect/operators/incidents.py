@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.order import with_previous
 from ..functions.tables import stored
 from .detect import all_events
 from .graph import components
@@ -50,8 +51,7 @@ def edges(alert_entities: DataFrame, window: int = WINDOW_SECONDS) -> DataFrame:
     """(src, dst): alerts that follow each other on an entity within the window. Consecutive ones give the same components as all pairs."""
     if window < 0:
         raise ValueError("the window must not be negative")
-    own = Window.partitionBy("run_id", "entity").orderBy("ts", "alert_id")
-    rows = alert_entities.withColumns({"src": F.lag("alert_id").over(own), "_t": F.lag("ts").over(own)})
+    rows = with_previous(alert_entities, ["run_id", "entity"], ["ts", "alert_id"], {"src": "alert_id", "_t": "ts"})
     near = F.unix_micros("ts") - F.unix_micros("_t") <= window * 1_000_000
     return rows.where(F.col("src").isNotNull() & near).select("src", F.col("alert_id").alias("dst")).distinct()
 

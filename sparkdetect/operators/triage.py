@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.order import numbered
+
 # Points and reasons of the score.
 SEVERITY_POINTS = {"info": 5, "low": 20, "medium": 40, "high": 60, "critical": 75}
 TOKENS = (
@@ -97,15 +99,14 @@ def scored(alerts: DataFrame) -> DataFrame:
 
 
 def ranked(alerts: DataFrame) -> DataFrame:
-    """Add rank within a run by risk, severity and time. Alerts are few; a run's alerts meet in one window."""
-    own = Window.partitionBy("run_id").orderBy(F.col("risk_score").desc(), F.col("severity_rank").desc(), "event.ts", "alert_id")
-    return alerts.withColumn("rank", F.row_number().over(own))
+    """Add rank within a run by risk, severity and time."""
+    return numbered(alerts, ["run_id"], [F.col("risk_score").desc(), F.col("severity_rank").desc(), F.col("event.ts"), F.col("alert_id")], "rank")
 
 
 def budgeted(alerts: DataFrame, n: int) -> DataFrame:
     """Add deep: is the alert among the ``n`` of highest severity in its run?"""
-    own = Window.partitionBy("run_id").orderBy(F.col("severity_rank").desc(), "event.ts", "alert_id")
-    return alerts.withColumn("deep", F.row_number().over(own) <= n)
+    order = [F.col("severity_rank").desc(), F.col("event.ts"), F.col("alert_id")]
+    return numbered(alerts, ["run_id"], order, "_place").withColumn("deep", F.col("_place") <= n).drop("_place")
 
 
 def triage_summary(alerts: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from sparkdetect.functions import order
 from sparkdetect.operators import baseline, exposure, incidents
 from sparkdetect.operators.graph import components
 from sparkdetect.operators.rules import errors_table, rule_listing, rules_table
@@ -188,3 +189,19 @@ def test_a_batch_is_committed_once(spark, tmp_path):
         stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
         stream.writeStream.foreachBatch(lambda b, i: sources.commit_batch(b, str(tmp_path / "s"), i)).option("checkpointLocation", str(tmp_path / f"c{run}")).trigger(availableNow=True).start().awaitTermination()
     assert sources.read_batches(spark, str(tmp_path / "s")).count() == 5
+
+
+@pytest.mark.parametrize("most", [order.HOT_ROWS, 20])
+def test_order_of_hot_keys(spark, monkeypatch, most):
+    """A key with half of all rows, null keys and ties: places and predecessors as in one window, dealt over ranges or not."""
+    monkeypatch.setattr(order, "HOT_ROWS", most)
+    rows = [("hot" if i % 2 else [None, "a", "b", "c"][i % 4 + i % 3 - i % 2 if i % 4 + i % 3 < 4 else 1], (i * 37) % 101, f"i{i:03}") for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, t int, id string")
+    groups = {}
+    for k, t, i in sorted(rows, key=lambda r: (r[1], r[2])):
+        groups.setdefault(k, []).append((t, i))
+    got = order.with_previous(df, ["k"], ["t", "id"], {"src": "id", "_t": "t"})
+    assert {r.id: (r.src, r._t) for r in got.collect()} == {i: (own[n - 1][::-1] if n else (None, None)) for own in groups.values() for n, (t, i) in enumerate(own)}
+    got = order.numbered(df, ["k"], [F.col("t").desc(), F.col("id")], "place", "of")
+    want = {i: (n, len(own)) for own in groups.values() for n, (t, i) in enumerate(sorted(own, key=lambda r: (-r[0], r[1])), 1)}
+    assert {r.id: (r.place, r.of) for r in got.collect()} == want
