@@ -7,7 +7,6 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +28,15 @@ _PERCENT = re.compile(r"%[0-9A-Fa-f]{2}")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:[\x20\t]*\r?\n[\x20\t]*[A-Za-z0-9+/_-]+)*(?:[\x20\t]*\r?\n[\x20\t]*(?==))?={0,2}")
 _BEFORE = re.compile(r"[+/_-]")
 _URLSAFE = str.maketrans("-_", "+/")
+#: In bytes: what ends a run of base64 characters and lines; the same table; what is no part of a blob; what may stand before one.
+_ENDS = re.compile(rb"[^A-Za-z0-9+/_=\-\s]|[^\s][\x20\t]+(?=[^\s])")
+_URLSAFE_BYTES, _BETWEEN = bytes.maketrans(b"-_", b"+/"), b"= \t\r\n\x0b\x0c"
 #: Control characters and bytes that are no UTF-8 (as surrogates); ASCII as UTF-16; the shortest secret, "token=" and six characters.
 _BREAKS = re.compile("([\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\udc80-\\udcff]+)")
 _UTF16_LE, _UTF16_BE = re.compile(rb"(?:[\t\n\r\x20-\x7e]\0){12,}"), re.compile(rb"(?:\0[\t\n\r\x20-\x7e]){12,}")
 _LEAST = 12
-#: Bytes of an unpacked stream that are looked at together; what the next look sees again; streams inside streams.
-STEP, AGAIN, DEEP = 4 << 20, 256, 64
+#: Bytes of an unpacked stream that are looked at together; what the next look sees again; first bytes by which a stream that holds itself is known.
+STEP, AGAIN, MARK = 4 << 20, 256, 64
 _HEX_VALUE = np.full(256, 255, np.uint8)
 _HEX_VALUE[np.frombuffer(b"0123456789abcdefABCDEF", np.uint8)] = [*range(16), *range(10, 16)]
 
@@ -123,52 +125,164 @@ def _is_packed(head: bytes) -> bool:
     return head[:2] == b"\x1f\x8b" or head[:1] == b"\x78" and len(head) > 2 and int.from_bytes(head[:2], "big") % 31 == 0
 
 
-def _inflated(source: Iterator[bytes]) -> Iterator[bytes]:
-    """What a zlib or gzip stream holds, at most ``STEP`` bytes at a time, up to its end or to where it breaks."""
-    worker = zlib.decompressobj(47)
-    try:
-        for data in source:
-            while data and not worker.eof:
-                yield worker.decompress(data, STEP)
-                data = worker.unconsumed_tail
-    except zlib.error:
-        return
-
-
-def _begun(source: Iterator[bytes]) -> tuple[bytes, Iterator[bytes]]:
-    """The first bytes of ``source``, and all of it."""
-    head = b""
-    for more in source:
-        head += more
-        if len(head) > 2:
-            break
-    return head, chain([head], source)
-
+class _Sieve:
+    """Kinds of secrets in bytes that come piece by piece, and in what is encoded or packed in them.
 
-def _unpacked(data: memoryview) -> Iterator[bytes]:
-    """What a stream of compressed bytes holds, streams in it unpacked too, in pieces cut at blanks where there are any.
+    It holds a few MB, whatever comes: what is held is looked at up to the last byte that ends a run. A run that goes on
+    beyond that is looked at as it comes, and is decoded on and on besides.
+    """
 
-    Pieces overlap a little, so that no secret is cut. A run without blanks longer than ``STEP`` is cut as it comes, a
-    multiple of four from its start, so that base64 goes on in step.
+    def __init__(self, kinds: set[str]):
+        self.kinds, self.held, self.tail, self.run = kinds, b"", b"", None
+
+    def feed(self, data: bytes) -> None:
+        if len(self.kinds) == len(KINDS):
+            return
+        self.held += data
+        while len(self.held) > 2 * STEP:
+            window = self.held[: 2 * STEP]
+            self._look(window, self._last_end(window) or 2 * STEP)
+
+    def _look(self, window: bytes, cut: int) -> None:
+        part, self.held = window[:cut], self.held[cut:]
+        for text, _, _ in _stretches(self.tail + part):
+            self.kinds.update(k for k, _, _ in all_spans(text))
+        self.tail = part[-AGAIN:]
+        first = _ENDS.search(part)
+        if self.run:
+            # an end of more than one byte begins with the run's last
+            self.run.feed(part[: first.start() + (first.end() - first.start() > 1)] if first else part)
+            if first:
+                self.run.close()
+                self.run = None
+        if not first and not self.run:
+            self.run = _Run(self.kinds)
+            self.run.feed(part)
+
+    @staticmethod
+    def _last_end(window: bytes) -> int:
+        for at in range(len(window), 0, -4096):
+            ends = [m.end() for m in _ENDS.finditer(window, max(0, at - 4096), min(len(window), at + AGAIN))]
+            if ends:
+                return ends[-1]
+        return 0
+
+    def close(self) -> None:
+        if self.held and len(self.kinds) < len(KINDS):
+            self._look(self.held, len(self.held))
+        if self.run:
+            self.run.close()
+
+
+class _Run:
+    """A run of base64 characters that comes piece by piece, read from each of its first four; streams in it are unpacked to their ends."""
+
+    def __init__(self, kinds: set[str]):
+        self.kinds, self.count, self.starts = kinds, 0, [0]
+        self.rest, self.base = [b""] * 4, [0, 1, 2, 3]  # what is not decoded yet, and the number of its first character
+        self.sieves, self.packed = [_Sieve(kinds) for _ in range(4)], [[] for _ in range(4)]
+
+    def feed(self, piece: bytes) -> None:
+        raw = np.frombuffer(piece, np.uint8)
+        inside = ~np.isin(raw, np.frombuffer(_BETWEEN, np.uint8))
+        number = self.count + np.cumsum(inside)  # of characters up to and with each byte
+        begins = np.isin(raw, np.frombuffer(b"+/_-\n", np.uint8))
+        self.starts += number[begins].tolist()
+        body = piece.translate(_URLSAFE_BYTES, _BETWEEN)
+        first, self.count = self.count, self.count + len(body)
+        left = []
+        for phase in range(4):
+            have = self.rest[phase] + body[max(0, self.base[phase] - first) :] if not self.rest[phase] else self.rest[phase] + body
+            n = len(have) // 4 * 4
+            self._decoded(phase, base64.b64decode(have[:n]), left)
+            self.rest[phase] = have[n:]
+            self.base[phase] += n
+        self.starts = sorted({s for s in left if s >= self.count - 8})
+
+    def _decoded(self, phase: int, data: bytes, left: list[int]) -> None:
+        for p in self.packed[phase]:
+            p.feed(data)
+        for s in dict.fromkeys(self.starts):
+            j = (s - self.base[phase]) // 4 * 3
+            if (s - phase) % 4 or j < 0:
+                continue
+            if j + 3 > len(data):
+                left.append(s)
+            elif _is_packed(data[j : j + 3]):
+                self.packed[phase].append(_Packed(self.kinds))
+                self.packed[phase][-1].feed(data[j:])
+        self.packed[phase] = [p for p in self.packed[phase] if p.goes_on()]
+        self.sieves[phase].feed(data)
+
+    def close(self) -> None:
+        for phase in range(4):
+            rest = self.rest[phase]
+            if len(rest) > 1:
+                self._decoded(phase, base64.b64decode(rest + b"=" * (-len(rest) % 4)), [])
+            for p in self.packed[phase]:
+                p.close()
+            self.sieves[phase].close()
+
+
+class _Packed:
+    """A zlib or gzip stream that comes piece by piece, and the streams that it holds at its start, however deep, up to where they end or break.
+
+    A stream that begins as one that holds it does is taken for that one and is not unpacked again.
     """
-    source, deep = iter([bytes(data)]), 0
-    head, source = _begun(source)
-    while deep < DEEP and _is_packed(head):
-        inner, rest = _begun(_inflated(source))
-        if not inner:
-            source = iter([head])
-            break
-        head, source, deep = inner, rest, deep + 1
-    if not deep:
-        return
-    held = b""
-    for more in source:
-        held += more
-        while len(held) > 2 * STEP:
-            cut = max(held.rfind(b"\n", STEP, 2 * STEP), held.rfind(b" ", STEP, 2 * STEP)) + 1 or 2 * STEP
-            yield held[:cut]
-            held = held[cut - AGAIN :]
-    yield held
+
+    def __init__(self, kinds: set[str]):
+        self.kinds, self.levels = kinds, []
+        self._deeper()
+
+    def _deeper(self) -> None:
+        self.levels.append({"worker": zlib.decompressobj(47), "sieve": _Sieve(self.kinds), "mark": b"", "head": b"", "dead": False})
+
+    def goes_on(self) -> bool:
+        if self.levels[0]["dead"] or self.levels[0]["worker"].eof:
+            self.close()
+            return False
+        return True
+
+    def feed(self, data: bytes) -> None:
+        todo = [(0, data)]
+        while todo:
+            i, data = todo.pop()
+            own = self.levels[i]
+            if own["dead"] or own["worker"].eof:
+                continue
+            if len(own["mark"]) < MARK:
+                own["mark"] += data[: MARK - len(own["mark"])]
+                if len(own["mark"]) == MARK and any(own["mark"] == above["mark"] for above in self.levels[:i]):
+                    own["dead"] = True
+                    continue
+            try:
+                out = own["worker"].decompress(data, STEP)
+            except zlib.error:
+                own["dead"] = True
+                continue
+            if own["worker"].unconsumed_tail:
+                todo.append((i, own["worker"].unconsumed_tail))
+            if not out:
+                continue
+            own["sieve"].feed(out)
+            if own["head"] is not None:
+                own["head"] += out
+                if len(own["head"]) > 2:
+                    out, own["head"] = own["head"], None
+                    if _is_packed(out):
+                        self._deeper()
+                        todo.append((i + 1, out))
+            elif i + 1 < len(self.levels):
+                todo.append((i + 1, out))
+
+    def close(self) -> None:
+        for own in self.levels:
+            own["sieve"].close()
+            own["sieve"] = _Sieve(self.kinds)
+
+
+class _Found(str):
+    """Instead of a layer: the kind of a secret that was found in one whose characters have no places."""
 
 
 def _base64(part: str, at: int) -> Iterator[Layer]:
@@ -194,9 +308,11 @@ def _base64(part: str, at: int) -> Iterator[Layer]:
         data = base64.b64decode(raw + "=" * (-len(raw) % 4))
         for s in starts:
             if s % 4 == phase and _is_packed(data[(j := (s - phase) // 4 * 3) : j + 3]):
-                for piece in _unpacked(memoryview(data)[j:]):
-                    for text, _, _ in _stretches(piece):
-                        yield text, np.broadcast_to(where[s], len(text)), np.broadcast_to(end, len(text))
+                stream = _Packed(set())
+                stream.feed(data[j:])
+                stream.close()
+                for kind in sorted(stream.kinds):
+                    yield _Found(kind), where[s : s + 1], np.array([end])
         byte = np.arange(len(data))
         yield from _through(_stretches(data), where[phase + byte * 4 // 3], where[np.minimum(phase + (byte * 8 + 7) // 6, len(where) - 1)] + 1)
 
@@ -228,6 +344,9 @@ def all_spans(text: str, base: list[Span] | None = None) -> list[Span]:
             work.pop()
             continue
         inner, low, high = layer
+        if isinstance(inner, _Found):
+            found.add((str(inner), int(low[0]), int(high[-1])))
+            continue
         if not inner or (key := (int(low[0]), int(high[-1]), _name(inner))) in seen:
             continue
         seen.add(key)
@@ -259,7 +378,8 @@ def scan(docs: DataFrame, text: str = "text", redact: bool = False) -> DataFrame
 
     A null text counts as empty (and stays null when redacting). Columns of these names are replaced,
     others pass through. Each row is scanned alone, a few MB of text at a time: no shuffle, and a lost task is done again.
-    Empty texts have no spans; the time for a text, of any length, grows with its length.
+    Empty texts have no spans. Time grows with the length of a text and of all that is packed in it, which may be a
+    thousand times as long; of unpacked bytes a few MB are held at a time.
     """
     if redact:
         schema = docs.schema

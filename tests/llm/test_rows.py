@@ -547,3 +547,36 @@ def test_blobs_wrapped_over_lines(lead, end):
             assert found_in(f"ä {lead}{wrapped}\n. end", wrapped)
     spans = secrets.all_spans(text := "ä " + end.join([blob[:20], blob[20:]]) + " end")
     assert secrets.redacted(text, spans) == "ä [SECRET] end"
+
+
+@pytest.mark.parametrize("step", [1 << 12, 1 << 16, 4 << 20])
+@pytest.mark.parametrize("lines", [False, True])
+def test_streams_in_long_runs_of_streams(monkeypatch, step, lines):
+    """A stream in a run of base64 in a stream, far longer than what is looked at together: no secret is lost."""
+    monkeypatch.setattr(secrets, "STEP", step)
+    noise = random.Random(5).randbytes(300_000).hex().upper()
+    inner = base64.encodebytes if lines else base64.b64encode
+    text = base64.b64encode(zlib.compress(b"begin: " + inner(zlib.compress((noise + " token=abcdefgh ").encode())) + b" end")).decode()
+    assert ("assign", 2, 2 + len(text)) in secrets.all_spans("x " + text)
+    plain = base64.b64encode(zlib.compress(inner((noise + " password=abcdefgh ").encode()))).decode()
+    assert ("assign", 0, len(plain)) in secrets.all_spans(plain)
+    # the third layer is plain base64 of a stream
+    third = base64.b64encode(zlib.compress(inner(inner(zlib.compress((noise + " AKIA" + "A" * 20).encode()))))).decode()
+    assert ("access", 0, len(third)) in secrets.all_spans(third)
+
+
+def test_streams_may_be_very_deep_or_hold_themselves():
+    data = b"password=abcdefgh"
+    for _ in range(300):
+        data = zlib.compress(data, 1)
+    deep = base64.b64encode(data).decode()
+    assert ("assign", 0, len(deep)) in secrets.all_spans(deep)
+    # a stream whose content begins as it does itself is not followed
+    stream = secrets._Packed(set())
+    stream._deeper()
+    stream.levels[0]["mark"] = b"x" * secrets.MARK
+    stream.levels[0]["head"] = None
+    stream.levels[1]["mark"] = b"x" * (secrets.MARK - 1)
+    stream.levels[0]["worker"] = zlib.decompressobj(47)
+    stream.feed(zlib.compress(b"x" * 9))
+    assert stream.levels[1]["dead"]
