@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ RISK_FACTORS = {"edr": 1.8, "sysmon": 1.4, "app_allowlist": 2.2, "mfa": 1.0, "cr
 BLOCKS = {"credential_guard": ("T1003.001",), "app_allowlist": ("T1059.001",), "mfa": ("T1133",)}
 PORTS = {3389: "T1021.001", 445: "T1021.002"}
 ENTRY, DUMP, MOVE = "T1190", "T1003.001", "T1078"
+#: Rounds whose tables are read one by one before they are made one.
+COMPACT = 12
 
 
 def blocked_by(technique: str) -> tuple[str, ...]:
@@ -68,12 +72,12 @@ def _steps(hosts: DataFrame, edges: DataFrame, cost_weight: float, risk_weight:
     return out.withColumn("score", cost_weight * F.col("cost") + risk_weight * F.col("risk") + F.col("_technique_id") + F.col("_host")).select("source", "target", "technique_id", "cost", "risk", "score", "needs_priv", "gains_priv", "rationale")
 
 
-def paths(hosts: DataFrame, edges: DataFrame, cost_weight: float = 1.0, risk_weight: float = 1.0, by_technique: DataFrame | None = None, by_host: DataFrame | None = None, most: int = 200, start: DataFrame | None = None) -> DataFrame:
+def paths(hosts: DataFrame, edges: DataFrame, cost_weight: float = 1.0, risk_weight: float = 1.0, by_technique: DataFrame | None = None, by_host: DataFrame | None = None, start: DataFrame | None = None) -> DataFrame:
     """(host, score, cost, risk, hops, path, hosts): the path of least weighted score to every host that can be reached.
 
     hosts: hostname, defences, credentials, is_internet_facing; edges: source, target, port, requires_privileged. A state is a
     host and whether a privileged credential is held. Each round extends the states that got better by all
-    steps and keeps the best of each state, until none gets better. Equal scores: fewest steps, then the hosts' names. With ``start`` (host, priv) paths go on
+    steps and writes those that are better than before, until none is; scores are not negative, so it ends. Equal scores: fewest steps, then the hosts' names. With ``start`` (host, priv) paths go on
     from there, at no score, instead of from exposed hosts: a plan made anew from the present state.
     """
     if cost_weight < 0 or risk_weight < 0 or cost_weight == risk_weight == 0:
@@ -87,22 +91,25 @@ def paths(hosts: DataFrame, edges: DataFrame, cost_weight: float = 1.0, risk_wei
         zero = F.lit(0.0)
         entry = start.groupBy("host").agg(F.bool_or("priv").alias("priv")).select("host", "priv", zero.alias("score"), zero.alias("cost"), zero.alias("risk"), F.lit(0).alias("hops"), F.array().cast(none).alias("path"), F.array("host").alias("hosts"))
     names = entry.columns
-    best = stored(entry.withColumn("round", F.lit(0)))
     inner = steps.where("source IS NOT NULL").select(*[F.col(c).alias(f"s_{c}") for c in steps.columns])
-    for i in range(1, most + 1):
-        out = best.where(F.col("round") == i - 1).join(inner, F.col("host") == F.col("s_source")).where((~F.col("s_needs_priv") | F.col("priv")) & (~F.col("s_gains_priv") | ~F.col("priv")))
+    # what each round made better, and so the last of a state is its best
+    fresh = stored(entry)
+    written = [fresh]
+    while True:
+        out = fresh.join(inner, F.col("host") == F.col("s_source")).where((~F.col("s_needs_priv") | F.col("priv")) & (~F.col("s_gains_priv") | ~F.col("priv")))
         more = out.select(
             F.col("s_target").alias("host"), (F.col("priv") | F.col("s_gains_priv")).alias("priv"), (F.col("score") + F.col("s_score")).alias("score"), (F.col("cost") + F.col("s_cost")).alias("cost"), (F.col("risk") + F.col("s_risk")).alias("risk"), (F.col("hops") + 1).alias("hops"),
-            F.concat("path", F.array(F.struct(*[F.col(f"s_{c}").alias(c) for c in ("technique_id", "source", "target", "cost", "risk", "rationale")]))).alias("path"), F.concat("hosts", F.array("s_target")).alias("hosts"), F.lit(i).alias("round"),
+            F.concat("path", F.array(F.struct(*[F.col(f"s_{c}").alias(c) for c in ("technique_id", "source", "target", "cost", "risk", "rationale")]))).alias("path"), F.concat("hosts", F.array("s_target")).alias("hosts"),
         )
-        # of equal ranks the one that was there stays, so its round is the older
-        key = F.struct(rank().alias("r"), "round")
-        best = stored(best.unionByName(more).groupBy("host", "priv").agg(F.min_by(F.struct(*names, "round"), key).alias("b")).select("b.*"))
-        if best.where(F.col("round") == i).limit(1).count() == 0:
+        best = more.groupBy("host", "priv").agg(F.min_by(F.struct(*names), rank()).alias("b")).select("b.*")
+        known = reduce(DataFrame.unionByName, written).groupBy("host", "priv").agg(F.min(rank()).alias("_known"))
+        fresh = stored(best.join(known, ["host", "priv"], "left").where(F.col("_known").isNull() | (rank() < F.col("_known"))).select(*names))
+        if fresh.limit(1).count() == 0:
             break
-    else:
-        raise RuntimeError(f"paths did not settle in {most} rounds")
-    return best.groupBy("host").agg(F.min_by(F.struct("score", "cost", "risk", "hops", "path", F.array_distinct("hosts").alias("hosts")), rank()).alias("b")).select("host", "b.*")
+        written.append(fresh)
+        if len(written) > COMPACT:
+            written = [stored(reduce(DataFrame.unionByName, written).groupBy("host", "priv").agg(F.min_by(F.struct(*names), rank()).alias("b")).select("b.*"))]
+    return reduce(DataFrame.unionByName, written).groupBy("host").agg(F.min_by(F.struct("score", "cost", "risk", "hops", "path", F.array_distinct("hosts").alias("hosts")), rank()).alias("b")).select("host", "b.*")
 
 
 def explained(found: DataFrame) -> DataFrame:

@@ -8,17 +8,17 @@ from pyspark.sql import functions as F
 from ..functions.tables import stored
 
 
-def components(edges: DataFrame, left: str = "src", right: str = "dst", most: int = 60) -> DataFrame:
+def components(edges: DataFrame, left: str = "src", right: str = "dst") -> DataFrame:
     """(node, label): each node that has an edge, and the least node of its component.
 
     Every round takes the least label among neighbours and then the label of that label, so the number of
     rounds grows with the logarithm of a component's diameter. Each round is written to the shared folder.
-    Edges with a null end are dropped. Raises if ``most`` rounds do not suffice.
+    Edges with a null end are dropped. Labels only come closer to the least, so it ends.
     """
     one = edges.select(F.col(left).alias("a"), F.col(right).alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
     both = stored(one.union(one.select("b", "a")).distinct())
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("label")))
-    for _ in range(most):
+    while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         lower = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("mid"))
         jump = labels.select(F.col("node").alias("mid"), F.col("label").alias("far"))
@@ -27,4 +27,3 @@ def components(edges: DataFrame, left: str = "src", right: str = "dst", most: in
         labels = new.select("node", "label")
         if new.where("moved").limit(1).count() == 0:
             return labels
-    raise RuntimeError(f"components did not settle in {most} rounds")

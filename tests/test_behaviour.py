@@ -205,3 +205,13 @@ def test_order_of_hot_keys(spark, monkeypatch, most):
     got = order.numbered(df, ["k"], [F.col("t").desc(), F.col("id")], "place", "of")
     want = {i: (n, len(own)) for own in groups.values() for n, (t, i) in enumerate(sorted(own, key=lambda r: (-r[0], r[1])), 1)}
     assert {r.id: (r.place, r.of) for r in got.collect()} == want
+
+
+def test_long_paths(spark, monkeypatch):
+    """A chain of hosts with a dear short cut, over several compactions of the rounds."""
+    monkeypatch.setattr(exposure, "COMPACT", 3)
+    names = [f"h{i:02}" for i in range(14)]
+    hosts = spark.createDataFrame([(n, [] if n != "h09" else ["edr"] * 9, [], i == 0) for i, n in enumerate(names)], "hostname string, defences array<string>, credentials array<struct<is_privileged:boolean>>, is_internet_facing boolean")
+    edges = spark.createDataFrame([(a, b, 22, False) for a, b in zip(names, names[1:], strict=False)] + [("h02", "h09", 22, False)], "source string, target string, port int, requires_privileged boolean")
+    found = {r["host"]: r for r in exposure.paths(hosts, edges).collect()}
+    assert len(found) == 14 and found["h08"]["hosts"] == names[:9] and found["h13"]["hosts"] == [*names[:3], *names[9:]] and found["h13"]["hops"] == 8
