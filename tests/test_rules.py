@@ -186,11 +186,11 @@ def test_index_equals_columns(spark):
     df = events(spark, [(i, rng.choice(values), rng.choice(values), rng.choice("ab"), {k: rng.choice(kinds) for k in ("p.name", "q.size", "flag") if rng.random() < 0.7}, None) for i in range(150)])
     flat = df.select("event_id", "ts", "host", "user", "event_type", F.expr("try_cast(host AS double)").alias("num"), (F.col("user") == "a").alias("yes"), F.expr("try_cast(host AS int)").alias("whole"))
     for table, fields, names in ((df, MapFields(), ["name", "p.name", "size", "flag", "host", "user", "gone"]), (flat, FlatFields(flat), ["num", "yes", "whole", "host", "user", "gone"])):
-        rules = _random_rules(120, names, rng)
+        rules = _random_rules(60, names, rng)
         both = [detect(table, rules, fields), detect_indexed(table, rules, fields)]
         assert sorted(both[0][1]) == sorted(both[1][1]) and len(both[0][1]) == 3
         got = [sorted(map(str, out.collect())) for out, _ in both]
-        assert got[0] == got[1] and len(got[0]) > 500 and both[0][0].schema == both[1][0].schema
+        assert got[0] == got[1] and len(got[0]) > 300 and both[0][0].schema == both[1][0].schema
 
 
 def test_many_rules_in_one_scan(spark):
