@@ -6,21 +6,23 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, extended, sliced
 
-#: Rows of each language that the model learns from at most, about: a sample by a hash of the id; and languages, the commonest.
-TRAIN_ROWS, LANGUAGES = 500, 1000
-#: A word or n-gram seen less often is dropped; and how many of either kind the model has at most, those seen most.
-LEAST, PARTS = 2, 300_000
+#: The sample that the model learns from: rows of each language at most, about, and rows in all, about.
+TRAIN_ROWS, TRAIN_TOTAL = 500, 50_000
+#: A word or n-gram seen less often in a language is dropped there.
+LEAST = 2
 LONGEST = 5
-#: Unseen words whose vector a task keeps.
-_KEPT = 200_000
+#: What a task keeps of the words it has met, in numbers.
+_KEPT = 4_000_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -42,18 +44,29 @@ def _grams(word: str) -> Iterator[str]:
             yield padded[i : i + n]
 
 
-def fit(rows: DataFrame, max_rows: int = TRAIN_ROWS, least: int = LEAST, parts: int = PARTS) -> dict:
-    """A model from labelled ``rows`` (doc_id, text, lang): counts of words and n-grams by language, as log frequencies.
+def sample(rows: DataFrame, max_rows: int = TRAIN_ROWS, total: int = TRAIN_TOTAL) -> DataFrame:
+    """Of ``rows`` (doc_id, text, lang) a sample by a hash of the id: about ``max_rows`` of each language, ``total`` in all.
 
-    Of each language rows are a sample by hash of about ``max_rows``, so rare languages are learned too; the counts are
-    made by Spark, each task summing its own texts first. What comes to the driver is bounded by ``parts``: the words
-    and n-grams seen most (ties by their text), ``least`` times at least. Null texts, labels and ids are left out.
+    However many languages there are, each keeps its share. Null texts, labels and ids are left out; rows that share
+    an id and a label stay or go together.
     """
     rows = rows.where("text IS NOT NULL AND lang IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "text", "lang")
-    # a row for each language, so that whole texts stay where they are
-    common = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(LANGUAGES)
-    share = F.broadcast(common.select(F.col("lang").alias("_lang"), F.least(F.lit(1.0), F.lit(max_rows) / F.col("n")).alias("_share")))
-    rows = rows.join(share, F.col("lang") == F.col("_lang")).where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("_share") * (1 << 30)).select("doc_id", "text", "lang")
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("_n"))
+    wanted = sizes.agg(F.sum(F.least(F.lit(max_rows), "_n"))).first()[0] or 0
+    share = F.least(F.lit(1.0), F.lit(max_rows * min(1.0, total / max(1, wanted))) / F.col("_n"))
+    # ids and labels meet their language's size; whole texts stay where they are, as the ids taken are few
+    ids = rows.select("doc_id", "lang").join(sizes, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30)).select("doc_id", "lang").distinct()
+    return rows.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi")
+
+
+def fit(rows: DataFrame, max_rows: int = TRAIN_ROWS, least: int = LEAST, total: int = TRAIN_TOTAL) -> dict:
+    """A model from a ``sample`` of labelled ``rows``: what each word and n-gram adds to the log frequencies of its languages.
+
+    Counts are made by Spark, each task summing its own texts first. All words and n-grams that a language's sample has
+    ``least`` times stay, of every language; the size of the model is bounded by the sample alone. A word is known by a hash of
+    64 bits, and only its languages are held: for the others its log frequency is that of an unseen one (``base``).
+    """
+    rows = sample(rows, max_rows, total)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, Counter] = {}
@@ -69,61 +82,67 @@ def fit(rows: DataFrame, max_rows: int = TRAIN_ROWS, least: int = LEAST, parts:
                 yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(counts), pa.string()), "kind": pa.array([kind] * len(counts), pa.string()), "part": pa.array(list(counts), pa.string()), "n": pa.array(list(counts.values()), pa.int64())})
 
     counts = rows.mapInArrow(count, "lang string, kind string, part string, n long").groupBy("lang", "kind", "part").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    best = counts.groupBy("kind", "part").agg(F.sum("n").alias("total"))
-    kept = best.where("kind = 'w'").orderBy(F.col("total").desc(), "part").limit(parts).union(best.where("kind = 'g'").orderBy(F.col("total").desc(), "part").limit(parts))
-    got = counts.join(kept.select("kind", "part"), ["kind", "part"]).toArrow().to_pandas()
-    langs = sorted(got["lang"].unique())
-    model: dict = {"langs": langs}
-    for kind in "wg":
-        part = got[got["kind"] == kind]
-        names = {p: i for i, p in enumerate(sorted(part["part"].unique()))}
-        table = np.zeros((len(names), len(langs)))
-        table[[names[p] for p in part["part"]], [langs.index(x) for x in part["lang"]]] = part["n"]
-        # add-half smoothing, by length for n-grams, so that n-grams of one length share their mass
-        if kind == "w":
-            table = np.log((table + 0.5) / (table.sum(0) + 0.5 * max(1, len(names))))
-        else:
-            size = np.array([len(p) for p in names], int)
-            for n in range(1, LONGEST + 1):
-                own = size == n
-                table[own] = np.log((table[own] + 0.5) / (table[own].sum(0) + 0.5 * max(1, own.sum())))
-        # only differences between languages count
-        model[kind] = (names, (table - table.mean(1, keepdims=True)).astype(np.float32) if len(langs) else table)
-    return model
+    got = counts.select("lang", F.when(F.col("kind") == "w", 0).otherwise(F.length("part")).cast("byte").alias("size"), F.xxhash64("part").alias("key"), "n").toArrow()
+    names = got.column("lang").combine_chunks().dictionary_encode()
+    langs = sorted(names.dictionary.to_pylist())
+    rank = {x: i for i, x in enumerate(langs)}
+    place = np.array([rank[x] for x in names.dictionary.to_pylist()], np.int32)
+    lang = place[names.indices.to_numpy()] if len(got) else np.zeros(0, np.int32)
+    size, key, n = (got.column(c).to_numpy() for c in ("size", "key", "n"))
+    # add-half smoothing, by length for n-grams, so that n-grams of one length share their mass; 0 stands for words
+    base = np.zeros((LONGEST + 1, len(langs)))
+    tables = []
+    for k in range(LONGEST + 1):
+        own = size == k
+        order = np.lexsort((lang[own], key[own].view(np.uint64)))
+        keys, starts = np.unique(key[own].view(np.uint64)[order], return_index=True)
+        base[k] = np.log(0.5 / (np.bincount(lang[own], n[own], len(langs)) + 0.5 * max(1, len(keys))))
+        tables.append((keys, np.append(starts, own.sum()), lang[own][order], np.log1p(2.0 * n[own][order])))
+    return {"langs": langs, "base": base, "tables": tables}
+
+
+def _key(part: str) -> int:
+    """As ``xxhash64`` of Spark's."""
+    return xxhash.xxh64_intdigest(part.encode(), seed=42)
 
 
 class Scorer:
-    """Vectors of words by a model; those of unseen words are kept, within a bound."""
+    """Words by a model; what was looked up is kept, within a bound."""
 
     def __init__(self, model: dict):
-        self.langs = model["langs"]
-        self.words, table = model["w"]
-        self.grams, self.gram_table = model["g"]
-        self.index = dict(self.words)
-        self.known = len(self.index)
-        self.table = np.zeros((self.known + _KEPT, len(self.langs)), np.float32)
-        self.table[: self.known] = table
-
-    def _backoff(self, word: str) -> np.ndarray:
-        """The mean over the longest n-grams of ``word`` that the model knows; zeros if it knows none."""
-        padded = f" {word} "
-        for n in range(LONGEST, 0, -1):
-            at = [self.grams[g] for i in range(len(padded) - n + 1) if (g := padded[i : i + n]) in self.grams]
-            if at:
-                return np.add.reduce(self.gram_table[at]) / len(at)
-        return np.zeros(len(self.langs), np.float32)
-
-    def vectors(self, words: list[str]) -> np.ndarray:
-        """A row for each word."""
-        if len(self.index) + len(words) > len(self.table) or len(words) > _KEPT:
-            self.index = dict(self.words)
-        if len(words) > _KEPT:
-            return np.concatenate([self.vectors(words[i : i + _KEPT]) for i in range(0, len(words), _KEPT)])
-        at = list(map(self.index.get, words))
-        for i in [i for i, k in enumerate(at) if k is None]:
-            at[i] = self.index[words[i]] = len(self.index)
-            self.table[at[i]] = self._backoff(words[i])
-        return self.table[at]
+        self.langs, self.base, self.tables = model["langs"], model["base"], model["tables"]
+        self.kept: dict[str, tuple[int, np.ndarray, np.ndarray]] = {}
+        self.size = 0
+
+    def _found(self, k: int, parts: list[str]) -> tuple[int, np.ndarray, np.ndarray]:
+        """How many of ``parts`` the table of ``k`` holds, and their languages and values one after the other."""
+        keys, starts, lang, value = self.tables[k]
+        wanted = np.array([_key(p) for p in parts], np.uint64)
+        at = np.searchsorted(keys, wanted)
+        at = at[at < len(keys)][keys[at[at < len(keys)]] == wanted[at < len(keys)]]
+        if len(at) == 1:
+            s, e = starts[at[0]], starts[at[0] + 1]
+            return 1, lang[s:e], value[s:e]
+        n = starts[at + 1] - starts[at]
+        where = np.arange(n.sum()) + np.repeat(starts[at] - (np.cumsum(n) - n), n)
+        return len(at), lang[where], value[where]
+
+    def entry(self, word: str) -> tuple[int, np.ndarray, np.ndarray]:
+        """(table, languages, what they gain over the table's base) of a known word, else the mean over the longest n-grams that the model knows; table -1 if it knows none."""
+        if (out := self.kept.get(word)) is None:
+            padded = f" {word} "
+            out = -1, np.zeros(0, np.int32), np.zeros(0)
+            for k in (0, *range(min(LONGEST, len(padded)), 0, -1)):
+                n, lang, value = self._found(k, [padded[i : i + k] for i in range(len(padded) - k + 1)] if k else [word])
+                if n:
+                    out = k, lang, value / n if n > 1 else value
+                    break
+            self.size += 50 + len(out[1])
+            if self.size > _KEPT:
+                self.kept.clear()
+                self.size = 50 + len(out[1])
+            self.kept[word] = out
+        return out
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """(language, score); ``und`` and 0.0 for a text that is null or without letters, and for a model without languages.
@@ -134,9 +153,15 @@ class Scorer:
         counts = Counter(letters(text)) if text else None
         if not counts or not self.langs:
             return "und", 0.0
-        n = np.fromiter(counts.values(), float, len(counts))
-        mean = n @ self.vectors(list(counts)) / n.sum()
-        e = np.exp((mean - mean.max()) * min(n.sum(), 20))
+        total, by_table, words = np.zeros(len(self.langs)), np.zeros(LONGEST + 2), iter(counts.items())
+        while part := list(islice(words, 1 << 14)):  # so that what a text holds at once is bounded
+            tables, langs, values = zip(*[self.entry(w) for w, _ in part], strict=True)
+            n = np.array([c for _, c in part], float)
+            by_table += np.bincount(np.array(tables) + 1, n, LONGEST + 2)
+            total += np.bincount(np.concatenate(langs), np.concatenate(values) * np.repeat(n, list(map(len, langs))), len(total))
+        n = counts.total()
+        mean = (total + by_table[1:] @ self.base) / n
+        e = np.exp((mean - mean.max()) * min(n, 20))
         best = int(np.argmax(mean))
         return self.langs[best], float(min(1.0, max(0.0, e[best] / e.sum()))) if math.isfinite(e.sum()) else 0.0
 
@@ -144,7 +169,7 @@ class Scorer:
 def identify(docs: DataFrame, model: dict) -> DataFrame:
     """Add lang_pred and score to ``docs`` from ``text`` alone; columns of these names are replaced.
 
-    Each row is judged alone, a few MB of text at a time. The model, bounded by what it was fitted on, goes to the tasks as a broadcast.
+    Each row is judged alone, a few MB of text at a time. The model, bounded by the sample it was fitted on, goes to the tasks as a broadcast.
     """
     docs = docs.drop("lang_pred", "score")
     sent = docs.sparkSession.sparkContext.broadcast(model)

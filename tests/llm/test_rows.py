@@ -220,7 +220,22 @@ def test_rare_languages_are_learned(spark):
     rare = spark.range(3000, 3005).select("id", F.lit("wenige andere worte").alias("text"), F.lit("de").alias("lang"))
     model = language.fit(common.union(rare).withColumnRenamed("id", "doc_id"), max_rows=50)
     assert model["langs"] == ["de", "en"] and language.Scorer(model).predict("andere worte")[0] == "de"
-    assert len(language.fit(common.union(rare).withColumnRenamed("id", "doc_id"), parts=3)["w"][0]) == 3
+
+
+def test_every_language_is_learned(spark):
+    """More languages than any list of the commonest would hold, each with words of its own, none of them dropped."""
+    name = F.concat(F.lit("x"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij"))
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.concat(F.lit(" "), name), 2).alias("text"), name.alias("lang"))
+    model = language.fit(docs)
+    got = {tuple(r) for r in language.identify(docs.where("doc_id % 10 = 3"), model).select("lang", "lang_pred").collect()}
+    assert len(model["langs"]) == 3000 and len(got) == 300 and all(a == b for a, b in got)
+
+
+def test_sample_is_bounded_in_all(spark):
+    """Of a hot language and many rare ones about as many rows are taken as asked, of each."""
+    docs = spark.range(40_000).select(F.col("id").alias("doc_id"), F.lit("a word").alias("text"), F.when(F.col("id") % 2 == 0, "hot").otherwise((F.col("id") % 40).cast("string")).alias("lang"))
+    assert {r["lang"]: 350 < r["count"] < 650 for r in language.sample(docs).groupBy("lang").count().collect()} == {x: True for x in ["hot", *map(str, range(1, 40, 2))]}
+    assert 1700 < language.sample(docs, total=2000).count() < 2300
 
 
 AWKWARD = ("The quick brown fox", "  two  spaces ", "é ñ 日本 😀 ﬁ", "a\nb\tc", "aaaaaaaaaaaa", "x" * 70 + " y", "▁mark", "in▁side", "-", " ", "   ", "\0 zero\0", "\n\n  deep    indent", "", "naïve café", "ꙮ𓀀 rare", "https://example.com/a?b=c&d=%20", "x▁ y", "▁")
