@@ -16,6 +16,8 @@ from .common import documents, extended, mix, prefix_hash, rolling_hash, sliced,
 
 #: The sample that the model learns from: rows of each language at most, about, and rows in all, about.
 TRAIN_ROWS, TRAIN_TOTAL = 500, 50_000
+#: Parts that a language's rows are dealt to, as one language may hold most of them.
+_SALTS = 256
 #: A word or n-gram seen less often in a language is dropped there.
 LEAST = 2
 LONGEST = 5
@@ -62,8 +64,10 @@ def sample(rows: DataFrame, max_rows: int = TRAIN_ROWS, total: int = TRAIN_TOTAL
     sizes = rows.groupBy("lang").agg(F.count("*").alias("_n"))
     wanted = sizes.agg(F.sum(F.least(F.lit(max_rows), "_n"))).first()[0] or 0
     share = F.least(F.lit(1.0), F.lit(max_rows * min(1.0, total / max(1, wanted))) / F.col("_n"))
-    # ids and labels meet their language's size; whole texts stay where they are, as the ids taken are few
-    ids = rows.select("doc_id", "lang").join(sizes, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30)).select("doc_id", "lang").distinct()
+    # ids and labels meet their language's size, dealt apart within it; whole texts stay where they are, as the ids taken are few
+    sizes = sizes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    ids = rows.select("doc_id", "lang", (F.monotonically_increasing_id() % _SALTS).cast("int").alias("_salt")).join(sizes, ["lang", "_salt"])
+    ids = ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30)).select("doc_id", "lang").distinct()
     return rows.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi")
 
 
