@@ -4,29 +4,37 @@ from __future__ import annotations
 
 import hashlib
 import html
-import math
 import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import extended, sliced, stored
+from .common import extended, mix, sliced, stored
 
-#: Of each style node, what weighs its own importance against that of the nodes below it.
+#: The base of what weighs an element's own importance against that of the elements below it: its power by the number of styles.
 GAMMA = 0.9
-#: Branches below this importance are site furniture, where at least so many pages of a host and this share of them have the node.
-THRESHOLD, LEAST_PAGES, LEAST_SHARE = 0.3, 5, 0.5
-#: What text of no importance still weighs where the node with the most text is sought, so that copies of a long article outweigh a short menu.
+#: Elements that are below this importance, with all that is in them, are noise, where at least so many pages of a host and this share of them have the element.
+THRESHOLD, LEAST_PAGES, LEAST_SHARE = 0.3, 5, 0.02
+#: What noise still weighs where the node with the most text is sought, so that copies of a long article outweigh a short menu.
 LEAST_WEIGHT = 0.1
+#: Features that a task tallies before it hands them on, and bytes of pages for each place that they go to.
+TALLY, PLACE_BYTES = 1 << 20, 16 << 20
+#: Places among which the features of a leaf are dealt; the fewer, the less often its hash is sent.
+LEAF_PLACES = 4
 #: Hosts that have more than one page in so many are dealt to so many places.
 HOT_SHARE, SALTS = 256, 64
-#: Nodes of all trees, of some 24 bytes each, up to which they are sent to every task; beyond, pages and trees meet by host.
+#: Noise of all trees, of some 24 bytes each, up to which they are sent to every task; beyond, pages and trees meet by host.
 BROADCAST_NODES = 1 << 18
+#: Of those, what a task holds as maps at once, with one host's more.
+KEPT_NODES = 1 << 16
 
 #: HTML's elements by what they do.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -38,6 +46,8 @@ ENDS_P = set("address article aside blockquote center details dialog dir div dl
 ENDS = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "thead": {"tr", "td", "th", "tbody", "tfoot"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "thead", "tbody"}, "option": {"option"}}
 BOUNDS = {"li": {"ul", "ol", "menu"}, "dd": {"dl"}, "dt": {"dl"}}
 SCOPES = set("html table td th caption object template".split())
+#: Attributes that say how an element is shown; elements that differ in them are not one in the tree.
+DISPLAY = set("align background bgcolor border cellpadding cellspacing class color face height nowrap size style valign width".split())
 
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 PROSE = HEADINGS | {"p", "blockquote", "pre"}
@@ -93,9 +103,10 @@ def _declared(tag: str, attributes: dict[str, str], in_article: bool) -> str:
 class Page:
     """The elements of a page as a tree; inline elements that declare nothing belong to the text around them.
 
-    Nodes are numbered in page order: ``tag``, ``name`` (with classes), ``said`` (see ``_declared``), ``parent`` and
-    ``parts``, the texts and the numbers of the nodes in it. Tags that are left open or do not match end as browsers
-    end them, but for elements that are moved.
+    Nodes are numbered in page order: ``tag``, ``name`` (with display attributes), ``said`` (see ``_declared``),
+    ``parent``, ``parts``, the texts and the numbers of the nodes in it, and ``refs``, the images and links in those
+    texts. Text beside elements is a node ``#text`` of its own; these come last. Tags that are left open or do not match
+    end as browsers end them, but for elements that are moved.
     """
 
     def __init__(self, source: str):
@@ -103,6 +114,11 @@ class Page:
         # an open block: its tag, its node, what is open inline in it, and how often; open blocks are counted up to the next bound of scope
         self._open, self._scopes = [["#page", 0, [], Counter()]], [Counter()]
         self._articles = 0
+        self.refs: dict[int, list[tuple[int, str]]] = {}
+        self._read(source)
+        self._runs()
+
+    def _read(self, source: str) -> None:
         at, n = 0, len(source)
         while at < n:
             i = source.find("<", at)
@@ -140,16 +156,47 @@ class Page:
     def _text(self, text: str) -> None:
         self.parts[self._node()].append(html.unescape(text) if "&" in text else text)
 
-    def _add(self, tag: str, name: str, said: str) -> int:
-        parent = self._node()
+    def _ref(self, kind: str, to: str) -> None:
+        node = self._node()
+        self.refs.setdefault(node, []).append((len(self.parts[node]), f"\x00{kind} {to}"))
+        self.parts[node].append("")
+
+    def _runs(self) -> None:
+        """Text beside elements, with its images and links, becomes a node of its own."""
+        for i in range(len(self.tag)):
+            parts, refs = self.parts[i], dict(self.refs.get(i, ()))
+            if all(isinstance(p, str) for p in parts) or not refs and not any(isinstance(p, str) and p.strip() for p in parts):
+                continue
+            self.refs.pop(i, None)
+            self.parts[i], run, found = [], [], []
+            for k, p in enumerate([*parts, -1]):
+                if isinstance(p, str):
+                    found += [(len(run), refs[k])] if k in refs else []
+                    run.append(p)
+                    continue
+                if found or any(t.strip() for t in run):
+                    self.parts[i].append(self._append("#text", "#text", "", i, run))
+                    if found:
+                        self.refs[len(self.tag) - 1] = found
+                else:
+                    self.parts[i] += run
+                self.parts[i] += [p] if p >= 0 else []
+                run, found = [], []
+
+    def _append(self, tag: str, name: str, said: str, parent: int, parts: list) -> int:
         self.tag.append(tag)
         self.name.append(name)
         self.said.append(said)
         self.parent.append(parent)
-        self.parts.append([])
-        self.parts[parent].append(len(self.tag) - 1)
+        self.parts.append(parts)
         return len(self.tag) - 1
 
+    def _add(self, tag: str, name: str, said: str) -> int:
+        parent = self._node()
+        node = self._append(tag, name, said, parent, [])
+        self.parts[parent].append(node)
+        return node
+
     def _pop(self) -> None:
         tag, node, *_ = self._open.pop()
         self._articles -= self.said[node] in ("article", "main")
@@ -182,14 +229,18 @@ class Page:
         attributes = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(rest)} if rest.strip(" /\n\t\r\f") else {}
         said = _declared(tag, attributes, self._articles > 0)
         if tag in VOID:
+            if tag == "img" and attributes.get("src"):
+                self._ref("image", attributes["src"])
             if tag != "wbr" and tag not in INLINE:
                 self._text(" ")
             return
-        name = tag + "".join("." + c for c in sorted(set(attributes.get("class", "").split())))
+        name = tag + "".join(f" {k}={' '.join(sorted(set(v.split())))}" for k, v in sorted(attributes.items()) if k in DISPLAY) if attributes else tag
         if tag in INLINE:
             top, here = self._open[-1], self._node()
             top[2].append((tag, self._add(tag, name, said) if said in _OUT and self.said[here] not in _OUT else here))
             top[3][tag] += 1
+            if tag == "a" and attributes.get("href"):
+                self._ref("link", attributes["href"])
             return
         if len(self._open) >= DEPTH:
             self._text(" ")
@@ -270,31 +321,43 @@ def _hash(*parts: object) -> int:
     return int.from_bytes(hashlib.blake2b("\x1f".join(map(str, parts)).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
-def _styled(page: Page, out: list[bool], host: str) -> tuple[list[int], list[int], list[int]]:
-    """(node, style or content, and whether it is a leaf) of each node of a page in its host's style tree.
+_MASK, _ODD = (1 << 64) - 1, (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)  # fixed odd multipliers
+
+
+def _joined(a: int, b: int) -> int:
+    """A hash of a hash and a number."""
+    x = ((a ^ (a >> 29)) * _ODD[2] + b * _ODD[0] + 1) & _MASK
+    x = ((x ^ (x >> 30)) * _ODD[1]) & _MASK
+    return x ^ (x >> 31)
+
 
-    Two nodes are one in the tree if their parents are and these have the same style, the sequence of names in them, so
-    a node's identity follows from the path to it. A leaf's content is its text. Furniture counts in its parent's style
-    alone, and so does what is inside an article, which is a leaf as a whole.
+class _Styles(dict):
+    """Hashes of sequences of names, as they are met."""
+
+    def __missing__(self, names: tuple[str, ...]) -> int:
+        if len(self) > 1 << 14:
+            self.clear()
+        self[names] = out = _hash(*names) & _MASK
+        return out
+
+
+def _styled(page: Page, root: int, styles: _Styles) -> tuple[list[int], list[int], list[list[int]]]:
+    """(element, style in it, nodes in it) of each node of a page in its host's style tree.
+
+    Two nodes are one element of the tree if their parents are one, have the same style, which is the sequence of names
+    in them, and the nodes have the same place in it: so an element's identity follows from the path to it. The style
+    of a leaf is 0, the root's element is that of the host.
     """
     n = len(page.tag)
-    names = [[("#text" if p.strip() else "") if isinstance(p, str) else page.name[p] for p in page.parts[i]] for i in range(n)]
-    ids, values, leaf = [0] * n, [0] * n, [0] * n
-    ids[0] = _hash(host)
-    shut = [False] * n
-    for i in range(n):
-        if i and shut[page.parent[i]]:
-            shut[i] = True
-            continue
-        kids = [p for p in page.parts[i] if not isinstance(p, str)]
-        shut[i] = page.said[i] == "article" or out[i]
-        if kids and not shut[i]:
-            values[i] = _hash(*[x for x in names[i] if x])
+    ids, within = [0] * n, [0] * n
+    inside = [[p for p in parts if not isinstance(p, str)] for parts in page.parts]
+    ids[0] = root & _MASK
+    for i, kids in enumerate(inside):
+        if kids:
+            within[i] = style = _joined(ids[i], styles[tuple([page.name[k] for k in kids])])
             for place, k in enumerate(kids):
-                ids[k] = _hash(ids[i], values[i], place)
-        else:
-            leaf[i], values[i] = 1, _hash(" ".join(_gathered(page, [i], lambda _: True).split()))
-    return ids, values, [-1 if i and shut[page.parent[i]] or out[i] else leaf[i] for i in range(n)]
+                ids[k] = _joined(style, place)
+    return ids, within, inside
 
 
 def _gathered(page: Page, roots: list[int], wanted) -> str:
@@ -302,7 +365,7 @@ def _gathered(page: Page, roots: list[int], wanted) -> str:
     pieces, todo = [], [(r, 0) for r in reversed(roots)]
     while todo:
         node, k = todo.pop()
-        parts, block = page.parts[node], page.tag[node] not in INLINE
+        parts, block = page.parts[node], page.tag[node] not in INLINE and page.tag[node] != "#text"
         if k == 0 and block:
             pieces.append(" ")
         while k < len(parts) and (isinstance(parts[k], str) or not wanted(parts[k])):
@@ -315,54 +378,44 @@ def _gathered(page: Page, roots: list[int], wanted) -> str:
     return "".join(pieces)
 
 
-def _important(page: Page, ids: list[int], leaf: list[int], tree: dict[int, tuple[float, int]]) -> list[float]:
-    """The composite importance of each node: its own entropy, and more of that of the nodes in it the fewer styles it has. Nodes that few pages have are important."""
-    out, below = [1.0] * len(ids), [[] for _ in ids]
-    for i in range(len(ids) - 1, -1, -1):
-        own, styles = tree.get(ids[i], (1.0, 0)) if leaf[i] >= 0 else (1.0, 0)
-        if not styles:
-            out[i] = 1.0
-        elif leaf[i] or not below[i]:
-            out[i] = own
-        else:
-            g = GAMMA**styles
-            out[i] = (1 - g) * own + g * sum(below[i]) / len(below[i])
-        if i and leaf[i] >= 0:
-            below[page.parent[i]].append(out[i])
-    return out
-
-
-def main_text(source: str, host: str = "", tree: dict[int, tuple[float, int]] | None = None) -> str:
-    """The main text of a page, given its host's style tree as {node: (importance, styles)}."""
+def main_text(source: str, root: int = 0, noise: dict[int, float] | None = None, styles: _Styles | None = None) -> str:
+    """The main text of a page, given its host's element and the outermost noise of its style tree as {element: importance}."""
     page = Page(source)
     out = page.furniture()
-    ids, _, leaf = _styled(page, out, host)
-    important = _important(page, ids, leaf, tree or {})
-    low = [leaf[i] >= 0 and important[i] < THRESHOLD for i in range(len(ids))]
+    # the page is laid on the tree from the top; what is in noise is noise
+    low, important = [False] * len(out), [1.0] * len(out)
+    if noise:
+        for i, element in enumerate(_styled(page, root, _Styles() if styles is None else styles)[0]):
+            p = page.parent[i]
+            if i and low[p]:
+                low[i], important[i] = True, important[p]
+            elif element in noise:
+                low[i], important[i] = True, noise[element]
     for kind in ("article", "main"):
-        outer = [i for i in range(len(ids)) if page.said[i] == kind and not out[i] and not low[i]]
+        outer = [i for i in range(len(out)) if page.said[i] == kind and not out[i] and not low[i]]
         inside = set(outer)
         roots = [i for i in outer if not _within(page, i, inside)]
         if roots:
             return " ".join(_gathered(page, roots, lambda k: not out[k]).split())
     # no declared article: the node with the most text of its own and in its paragraphs, weighed by importance, stays, and what the tree does not call furniture
-    mass = [0.0] * len(ids)
+    mass = [0.0] * len(out)
     for i, parts in enumerate(page.parts):
         if not out[i]:
-            mass[page.parent[i] if i and page.tag[i] in PROSE else i] += max(important[i], LEAST_WEIGHT) * sum(len(p.strip()) for p in parts if isinstance(p, str))
-    content = [i for i in range(len(ids)) if page.said[i] == "content" and not out[i] and not low[i]]
+            of = page.parent[i] if page.tag[i] == "#text" else i
+            mass[page.parent[of] if of and page.tag[of] in PROSE else of] += max(important[i], LEAST_WEIGHT) * sum(len(p.strip()) for p in parts if isinstance(p, str))
+    content = [i for i in range(len(out)) if page.said[i] == "content" and not out[i] and not low[i]]
     if content:
         inside = set(content)
         roots = [i for i in content if not _within(page, i, inside)]
         if sum(_total(page, r, mass) for r in roots) * 2 >= sum(mass):
             return " ".join(_gathered(page, roots, lambda k: not out[k]).split())
-    top = max(range(len(ids)), key=lambda i: (mass[i], -i))
+    top = max(range(len(out)), key=lambda i: (mass[i], -i))
     keep, i = {top}, top
     while i > 0:
         i = page.parent[i]
         keep.add(i)
     drop = list(out)
-    for i in range(1, len(ids)):
+    for i in range(1, len(out)):
         p = page.parent[i]
         drop[i] = out[i] or drop[p] or low[i] and i not in keep and not _under(page, i, top)
     return " ".join(_gathered(page, [0], lambda k: not drop[k]).split())
@@ -395,44 +448,208 @@ def host_of(url: str) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^(?s:.*?)://([^/?#]*)", 1), F.lit("")))
 
 
-_NODES = "host string, node bigint, value bigint, leaf int, page bigint"
+class _Codes(dict):
+    """Hashes of features (words, images, links), as they are met."""
 
+    def __missing__(self, feature: str) -> int:
+        if len(self) > 1 << 18:
+            self.clear()
+        self[feature] = out = zlib.crc32(feature.encode("utf-8", "surrogatepass"))
+        return out
 
-def style_trees(pages: DataFrame) -> DataFrame:
-    """(host, tree): of each host in ``pages`` (host, html) the nodes that enough of its pages have, as an array of (node, importance, styles).
 
-    The DOMs of a host merge by the identities of their nodes. A node's importance is the entropy of its styles over the
-    pages that have it, to the base of their number, and of a leaf 1 less the mean entropy of its contents: 0 where all
-    pages agree. Pages that are equal count once. A host's nodes that half of its pages have are at most twice as many
-    as an average page's, so an array is never larger than that.
-    """
+def _features(page: Page, i: int) -> dict[str, int]:
+    """How often each word, image and link stands in a leaf."""
+    texts = [p for p in page.parts[i] if p]
+    return Counter([*(texts[0] if len(texts) == 1 else "".join(texts)).split(), *(ref for _, ref in page.refs.get(i, ()))])
+
+
+_KINDS = {"leaf": np.uint64, "word": np.uint32, "n": np.float64, "x": np.float64}
+_STYLE = {"element": np.uint64, "style": np.uint64, "under": np.uint64, "root": np.uint64, "kids": np.int32, "depth": np.int32, "k": np.float64}
+_PACKED = "place int, " + ", ".join(f"{c} binary" for c in [*_KINDS, *_STYLE])
+
+
+class _Tally:
+    """Sums over pages: how often each feature stands in each leaf, and how many pages have each style of each element."""
+
+    def __init__(self, places: int):
+        self.places, self.codes, self.styles = places, _Codes(), _Styles()
+        self._begin()
+
+    def _begin(self) -> None:
+        self.leaves, self.counts, self.size = {}, {}, 0
+        self.of_leaf, self.words, self.times, self.weights = array("i"), array("I"), array("I"), array("d")
+
+    def add(self, root: int, source: str, weight: float) -> None:
+        page = Page(source)
+        ids, within, inside = _styled(page, root, self.styles)
+        depth = [0] * len(ids)
+        for i, kids in enumerate(inside):
+            seen = self.counts.get((ids[i], within[i]))
+            if seen:
+                seen[-1] += weight
+            else:
+                self.counts[ids[i], within[i]] = [within[page.parent[i]] if i else 0, ids[0], len(kids), depth[i], weight]
+            if kids:
+                for k in kids:
+                    depth[k] = depth[i] + 1
+            elif found := _features(page, i):
+                n = len(found)
+                self.of_leaf.extend([self.leaves.setdefault(ids[i], len(self.leaves))] * n)
+                self.words.extend(map(self.codes.__getitem__, found))
+                self.times.extend(found.values())
+                self.weights.extend([weight] * n)
+                self.size += n
+        self.size += len(ids)
+
+    def taken(self) -> pa.RecordBatch:
+        """What was added, a row for each place that it goes to: the features and styles whose hashes say so."""
+        leaves = np.fromiter(self.leaves, np.uint64, len(self.leaves))
+        of, word, times, weights = (np.array(v) for v in (self.of_leaf, self.words, self.times, self.weights))
+        place = _places(leaves[of] + (word % np.uint32(LEAF_PLACES)), self.places)
+        order = np.lexsort((word, of, place)) if len(leaves) > 1 << 20 or self.places > 1 << 12 else np.argsort((place << np.uint64(52)) | (of.astype(np.uint64) << np.uint64(32)) | word)
+        of, word, place, times, weights = of[order], word[order], place[order], times[order].astype(np.float64), weights[order]
+        first = _firsts(of, word)
+        n, x = (np.add.reduceat(v, first) if len(first) else v for v in (times * weights, weights * times * np.log(times)))
+        features = {"leaf": leaves[of[first]], "word": word[first], "n": n, "x": x}, place[first]
+        keys = list(self.counts)
+        rows = [np.array([k[0] for k in keys], np.uint64), np.array([k[1] for k in keys], np.uint64), *(np.array(v, kind) for v, kind in zip(zip(*self.counts.values(), strict=True), list(_STYLE.values())[2:], strict=True))]
+        at = _places(rows[0] ^ rows[1], self.places)
+        order = np.lexsort((rows[1], rows[0], at))
+        styles = {c: v[order] for c, v in zip(_STYLE, rows, strict=True)}, at[order]
+        cuts = [np.searchsorted(p, np.arange(self.places + 1)) for _, p in (features, styles)]
+        columns = [[v[s:e].tobytes() for s, e in zip(cut, cut[1:], strict=False)] for (values, _), cut in zip((features, styles), cuts, strict=True) for v in values.values()]
+        self._begin()
+        return pa.RecordBatch.from_arrays([pa.array(range(self.places), pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], names=["place", *_KINDS, *_STYLE])
+
+
+def _places(hashes: np.ndarray, places: int) -> np.ndarray:
+    return (mix(hashes) >> np.uint64(32)) % np.uint64(places)
+
+
+def _firsts(*columns: np.ndarray) -> np.ndarray:
+    """Where a new run of equal rows begins, in sorted rows."""
+    new = np.ones(len(columns[0]), bool)
+    if len(new):
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return np.flatnonzero(new)
+
+
+_SUMMED = "element bigint, style bigint, under bigint, root bigint, kids int, depth int, k double, features double, entropy double"
+_SUMMED_NAMES = [c.split()[0] for c in _SUMMED.split(", ")]
+
+
+def _merged(parts: list[dict[str, np.ndarray]], keys: tuple[str, str], sums: str) -> dict[str, np.ndarray]:
+    """One row for each pair of ``keys``, in their order, with the sums of ``sums``."""
+    whole = {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
+    order = np.lexsort((whole[keys[1]], whole[keys[0]]))
+    first = _firsts(*(whole[c][order] for c in keys))
+    return {c: np.add.reduceat(v[order], first) if c in sums and len(first) else v[order[first]] for c, v in whole.items()}
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All that came to a place, merged as it comes: rows of styles with their pages, and rows of leaves with features (kids is -1) and the sum of their entropies, times log m."""
+    held = {"word": [], "style": []}
+    tables = {"word": (_KINDS, ("leaf", "word"), "nx"), "style": (_STYLE, ("element", "style"), "k")}
+    waiting, whole = Counter(), Counter()
+    for b in batches:
+        for i in range(b.num_rows):
+            for t, (kinds, keys, sums) in tables.items():
+                part = {c: np.frombuffer(b.column(c)[i].as_py(), kind) for c, kind in kinds.items()}
+                held[t].append(part)
+                waiting[t] += len(part[t])
+                if waiting[t] > max(TALLY, whole[t]):
+                    held[t] = [_merged(held[t], keys, sums)]
+                    whole[t], waiting[t] = len(held[t][0][t]), 0
+    f, s = (_merged(held[t], keys, sums) for t, (_, keys, sums) in tables.items())
+    entropy = np.log(f["n"]) - f["x"] / f["n"]
+    first = _firsts(f["leaf"])
+    size = np.diff([*first, len(entropy)]) if len(first) else first
+    entropy = np.add.reduceat(entropy, first) if len(first) else entropy
+    leaf, rows, none = f["leaf"][first], len(s["k"]), np.zeros(len(first))
+    columns = {c: np.concatenate([v, none.astype(v.dtype)]) for c, v in s.items()}
+    columns["element"][rows:], columns["kids"][rows:] = leaf, -1
+    columns = {c: v.view(np.int64) if v.dtype == np.uint64 else v for c, v in columns.items()}
+    zeros = np.zeros(rows)
+    out = pa.table({**columns, "features": np.concatenate([zeros, size]), "entropy": np.concatenate([zeros, entropy])})
+    yield from out.select(_SUMMED_NAMES).to_batches(max_chunksize=1 << 16)
+
+
+def _parts(pages: DataFrame) -> DataFrame:
+    """The rows of ``_summed`` of all ``pages`` (host, html). Pages that are equal count as one, so each of c copies weighs 1 / c."""
+    hashed = pages.withColumn("_page", F.xxhash64("host", "html"))
+    copies = stored(hashed.groupBy("_page").agg(F.count("*").alias("_copies")).where("_copies > 1"))
+    places = 1 + int(pages.agg(F.coalesce(F.sum(F.octet_length("html")), F.lit(0))).first()[0]) // PLACE_BYTES
+    weighed = hashed.join(copies, "_page", "left").select(F.xxhash64("host").alias("root"), "html", (1 / F.coalesce("_copies", F.lit(1))).cast("double").alias("weight"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = _Tally(places)
         for b in sliced(batches, "html"):
-            hosts, nodes, values, leaves, numbers = [], [], [], [], []
-            for host, source in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
-                page = Page(source)
-                ids, value, leaf = _styled(page, page.furniture(), host)
-                own = [i for i, kind in enumerate(leaf) if kind >= 0]
-                hosts += [host] * len(own)
-                nodes += [ids[i] for i in own]
-                values += [value[i] for i in own]
-                leaves += [leaf[i] for i in own]
-                numbers += [_hash(source)] * len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(nodes, pa.int64()), pa.array(values, pa.int64()), pa.array(leaves, pa.int32()), pa.array(numbers, pa.int64())], names=["host", "node", "value", "leaf", "page"])
-
-    rows = pages.select("host", "html").mapInArrow(run, _NODES)
-    # a node's id is made from its host, so it stands for both; equal pages fall together before they are counted
-    counts = rows.groupBy("node", "value", "leaf", "host").agg(F.count_distinct("page").alias("k"))
-    k = F.col("k").cast("double")
-    nodes = counts.groupBy("host", "node").agg(F.sum("k").alias("m"), F.count("*").alias("styles"), F.sum(k * F.log(k)).alias("klogk"), F.sum(F.log(k)).alias("logk"), F.min("leaf").alias("leaf"))
-    log_m = F.log(F.col("m").cast("double"))
-    # entropy of styles: -sum(k/m log(k/m)) / log m; mean entropy of contents: mean(log k) / log m
-    importance = F.when(F.col("m") < 2, 1.0).when(F.col("leaf") == 0, (log_m - F.col("klogk") / F.col("m")) / log_m).otherwise(1 - F.col("logk") / F.col("styles") / log_m)
-    # every page has the root, so its count is the largest
-    some = nodes.where(F.col("m") >= LEAST_PAGES).select("host", "node", "m", "styles", importance.alias("importance"))
-    kept = some.join(some.groupBy("host").agg(F.max("m").alias("pages")), "host").where(F.col("m") >= LEAST_SHARE * F.col("pages"))
-    return kept.groupBy("host").agg(F.collect_list(F.struct("node", F.round("importance", 6).alias("importance"), F.least("styles", F.lit(1000)).cast("int").alias("styles"))).alias("tree"))
+            for root, source, weight in zip(*(b.column(c).to_pylist() for c in ("root", "html", "weight")), strict=True):
+                tally.add(root, source, weight)
+                if tally.size >= TALLY:
+                    yield tally.taken()
+        if tally.size:
+            yield tally.taken()
+
+    return weighed.mapInArrow(run, _PACKED).repartition(places, "place").groupBy("place").applyInArrow(_summed, _SUMMED)
+
+
+def importances(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(element, under, root, m, importance, most) and (element, style): all elements of the style trees of ``pages`` (host, html) that two pages have, with their composite importance and the largest of those in them.
+
+    The pages of a host merge into one tree by the identities of their nodes: m pages have an element, and k of them
+    with the same style. An element's own importance is the entropy of its styles to the base m; its composite one is
+    (1 - g) times that and g times the mean over its styles, weighed by k / m, of the mean over the elements in each,
+    where g is ``GAMMA`` to the power of the number of styles. Of a leaf it is 1 less the mean entropy of its features,
+    words, images and links, over the m pages; without features, 0. What a single page has is of importance 1, with
+    all in it, so it is no row but counts above. ``under`` is the style that the element is part of; it falls
+    level by level, from the deepest to the root.
+    """
+    parts = stored(_parts(pages))
+    leaves = parts.where("kids < 0").groupBy("element").agg(F.sum("features").alias("features"), F.sum("entropy").alias("entropy"))
+    k = F.round("k", 6)
+    single = F.when(k <= 1, k).otherwise(0.0)
+    held = parts.where("kids >= 0").withColumn("k", k).groupBy("element").agg(
+        F.first("under").alias("under"), F.first("root").alias("root"), F.first("depth").alias("depth"), F.sum("k").alias("m"), F.count("*").alias("styles"), F.sum(k * F.log(k)).alias("klogk"),
+        F.sum(F.when(F.col("kids") > 0, single).otherwise(0.0)).alias("single"), F.sum(F.when(F.col("kids") == 0, k).otherwise(0.0)).alias("bare"), F.max("kids").alias("kids")).where("m > 1")
+    log_m, g = F.log("m"), F.when(F.col("kids") > 0, F.pow(F.lit(GAMMA), F.col("styles"))).otherwise(1.0)
+    # features over the pages in which the element is a leaf
+    bare = F.when(F.col("bare") <= 1, F.col("bare")).otherwise(F.col("bare") * F.coalesce(1 - F.col("entropy") / F.col("features") / F.log("bare"), F.lit(0.0)))
+    own = (1 - g) * (log_m - F.col("klogk") / F.col("m")) / log_m + g * (F.col("single") + bare) / F.col("m")
+    most = F.when((F.col("single") > 0) | (F.col("bare") == 1), 1.0).when(F.col("bare") > 0, bare / F.col("bare")).otherwise(0.0)
+    elements = stored(held.join(leaves, "element", "left").select("element", "under", "root", "depth", "m", own.alias("own"), (g / F.col("m")).alias("g"), most.alias("most")))
+    styles = stored(parts.where("kids > 0").withColumn("k", k).where("k > 1").select("element", F.col("style"), "kids", "k", "depth"))
+    deepest = elements.agg(F.max("depth")).first()[0]
+    none = F.lit(None).cast("double")
+    levels = []
+    for depth in range(deepest if deepest is not None else 0, -1, -1):
+        here = elements.where(F.col("depth") == depth)
+        if levels:
+            means = levels[-1].groupBy("under").agg(F.sum("importance").alias("sum"), F.max("most").alias("within")).withColumnRenamed("under", "style")
+            inner = styles.where(F.col("depth") == depth).join(means, "style").groupBy("element").agg(F.sum(F.col("k") * F.col("sum") / F.col("kids")).alias("inner"), F.max("within").alias("within"))
+            here = here.join(inner, "element", "left")
+        else:
+            here = here.withColumns({"inner": none, "within": none})
+        importance = F.round(F.col("own") + F.col("g") * F.coalesce("inner", F.lit(0.0)), 6)
+        levels.append(stored(here.select("element", "under", "root", "m", importance.alias("importance"), F.greatest(importance, F.round("most", 6), "within").alias("most"))))
+    return reduce(DataFrame.union, levels), styles.select("element", "style")
+
+
+def style_trees(pages: DataFrame) -> DataFrame:
+    """(host, tree): of each host in ``pages`` (host, html) the outermost noise of its style tree, as an array of (element, importance).
+
+    An element is noise if its composite importance and that of every element in it are below ``THRESHOLD``, and
+    ``LEAST_PAGES`` pages and ``LEAST_SHARE`` of the host's have it: so an array never holds more than 1 / ``LEAST_SHARE``
+    times the elements of an average page. What is in noise is not listed again.
+    """
+    elements, styles = importances(pages)
+    roots = elements.where("element = root").select("root", F.col("m").alias("pages"))
+    noise = stored(elements.join(roots, "root").where((F.col("most") < THRESHOLD) & (F.col("m") >= LEAST_PAGES) & (F.col("m") >= LEAST_SHARE * F.col("pages"))).select("element", "under", "root", "importance"))
+    inside = styles.join(noise.select("element"), "element").select(F.col("style").alias("under"))
+    outermost = noise.join(inside, "under", "left_anti")
+    hosts = pages.select("host").distinct().withColumn("root", F.xxhash64("host"))
+    return outermost.groupBy("root").agg(F.collect_list(F.struct("element", "importance")).alias("tree")).join(hosts, "root").select("host", "tree")
 
 
 def hot_hosts(pages: DataFrame) -> DataFrame:
@@ -444,11 +661,12 @@ def hot_hosts(pages: DataFrame) -> DataFrame:
 def extracted(pages: DataFrame, url: str = "url", source: str = "html") -> DataFrame:
     """Add text, the main text, to ``pages``, a row for each row.
 
-    A page's article is what declares to be one (article, then main, then names of classes and ids), without furniture
-    in or around it: elements, roles and names that stand for menus, headers, footers, sidebars, notices, adverts,
-    forms, scripts, styles and comments. Where nothing declares to be the article, branches of low importance in the
-    host's style tree go, but for the node with the most text. A declared article that is of low importance, as all
-    pages of the host have it, is none.
+    The host's style tree of whole pages, with composite importance by entropy, says what is noise; a page is laid on
+    it, and noise goes, but for the node with the most text. What a page declares is looked at with it: its article is
+    what declares to be one (article, then main, then names of classes and ids) and is no noise as a whole, without
+    furniture in or around it: elements, roles and names that stand for menus, headers, footers, sidebars, notices,
+    adverts, forms, scripts, styles and comments. From a declared article the tree takes nothing, since it is to be
+    whole.
 
     Character references are decoded; blocks are joined, and white space is turned, into one blank; tags that are never
     closed end as in browsers. Null html counts as empty and gives an empty text; a null url is a host of its own name,
@@ -457,20 +675,24 @@ def extracted(pages: DataFrame, url: str = "url", source: str = "html") -> DataF
     """
     rows = pages.drop("text").withColumns({"_host": host_of(url), "_html": F.coalesce(source, F.lit(""))})
     small = rows.select(F.col("_host").alias("host"), F.col("_html").alias("html"))
-    trees = stored(style_trees(small)).withColumnRenamed("host", "_host")
-    nodes = trees.agg(F.coalesce(F.sum(F.size("tree")), F.lit(0))).first()[0]
-    both = rows.join(F.broadcast(trees), "_host", "left") if nodes <= BROADCAST_NODES else _dealt(rows, trees)
+    trees = stored(style_trees(small)).select(F.col("host").alias("_host"), F.col("tree").alias("_tree"))
+    nodes = trees.agg(F.coalesce(F.sum(F.size("_tree")), F.lit(0))).first()[0]
+    both = (rows.join(F.broadcast(trees), "_host", "left") if nodes <= BROADCAST_NODES else _dealt(rows, trees)).withColumn("_root", F.xxhash64("_host"))
     keep = [c for c in rows.columns if c not in ("_host", "_html")]
     packed = dict(both.dtypes)["_html"] == "binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read: dict[str, dict[int, tuple[float, int]]] = {}
+        read: dict[int, dict[int, float]] = {}
+        styles = _Styles()
         for b in sliced(batches, "_html"):
             texts = []
-            for i, (host, page) in enumerate(zip(b.column("_host").to_pylist(), b.column("_html").to_pylist(), strict=True)):
-                if host not in read:
-                    read = {host: {x["node"]: (x["importance"], x["styles"]) for x in b.column("tree")[i].as_py() or ()}}
-                texts.append(main_text(zlib.decompress(page).decode() if packed else page, host, read[host]))
+            for i, (root, page) in enumerate(zip(b.column("_root").to_pylist(), b.column("_html").to_pylist(), strict=True)):
+                if root not in read:
+                    # some hosts' trees are kept, so that rows need not come by host
+                    if sum(map(len, read.values())) > KEPT_NODES:
+                        read = {}
+                    read[root] = {x["element"] & _MASK: x["importance"] for x in b.column("_tree")[i].as_py() or ()}
+                texts.append(main_text(zlib.decompress(page).decode() if packed else page, root, read[root], styles))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(texts, pa.string())], names=[*keep, "text"])
 
     return both.mapInArrow(run, extended(both.select(keep), text="string")).select(*[c for c in pages.columns if c != "text"], "text")
@@ -489,7 +711,7 @@ def _dealt(rows: DataFrame, trees: DataFrame) -> DataFrame:
 
     dealt = rows.join(hot, "_host", "left").withColumn("_salt", salt).drop("_hot")
     dealt = dealt.mapInArrow(pack, T.StructType([T.StructField("_html", T.BinaryType()) if f.name == "_html" else f for f in dealt.schema]))
-    return dealt.join(trees.join(hot, "_host", "left").select("_host", F.explode(salts).alias("_salt"), "tree"), ["_host", "_salt"], "left").drop("_salt")
+    return dealt.join(trees.join(hot, "_host", "left").select("_host", F.explode(salts).alias("_salt"), "_tree"), ["_host", "_salt"], "left").drop("_salt")
 
 
 def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

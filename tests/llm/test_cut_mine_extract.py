@@ -5,6 +5,7 @@ import math
 import random
 import re
 import time
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -168,6 +169,84 @@ def test_copies_of_an_article_stay(spark):
     assert len(got) == 18 and all(TEXT.format(5) in t for t in got)
 
 
+def plain_style_tree(pages):
+    """(pages, composite importance, largest in it) of each element that two pages have, by the definitions, one element at a time."""
+    rows, log = [], math.log
+
+    def element(nodes):
+        m = len(nodes)
+        if m == 1:
+            return 1.0, 1.0
+        styles = {}
+        for page, i in nodes:
+            styles.setdefault(tuple(page.name[k] for k in page.parts[i] if isinstance(k, int)), []).append((page, [k for k in page.parts[i] if isinstance(k, int)], i))
+        means, most = [], 0.0
+        for style, of in styles.items():
+            if style:
+                inside = [element([(page, kids[j]) for page, kids, _ in of]) for j in range(len(style))]
+                mean, top = sum(c for c, _ in inside) / len(inside), max(t for _, t in inside)
+            else:
+                bags = [Counter([*"".join(page.parts[i]).split(), *(ref for _, ref in page.refs.get(i, ()))]) for page, _, i in of]
+                entropies = []
+                for w in set().union(*bags):
+                    share = [b[w] / sum(x[w] for x in bags) for b in bags if b[w]]
+                    entropies.append(-sum(x * log(x) for x in share) / log(len(of)) if len(of) > 1 else 0.0)
+                mean = top = 1.0 if len(of) == 1 else 1 - sum(entropies) / len(entropies) if entropies else 0.0
+            means.append((len(of) / m, mean))
+            most = max(most, top)
+        own, g = -sum(x * log(x) for x, _ in means) / log(m), 0.9 ** len(styles)
+        composite = means[0][1] if list(styles) == [()] else (1 - g) * own + g * sum(x * y for x, y in means)
+        rows.append((m, composite, max(composite, most)))
+        return composite, max(composite, most)
+
+    element([(page, 0) for page in pages])
+    return sorted(rows)
+
+
+def test_importances_by_the_definitions(spark, monkeypatch):
+    """All elements of random sites, with copies, against the definitions; tallied in small parts that go to many places."""
+    monkeypatch.setattr(extraction, "TALLY", 300)
+    monkeypatch.setattr(extraction, "PLACE_BYTES", 2000)
+    r = random.Random(8)
+    some = lambda: " ".join(r.choices("one two three four five six seven".split(), k=r.randrange(6)))
+
+    def block(depth):
+        if not depth or r.random() < 0.3:
+            return f"<p>{some()} <a href='/{r.randrange(3)}'>{some()}</a>{some()}</p>" + "<img src=a.png>" * r.randrange(2)
+        return f"<div class='x{r.randrange(2)}' align={r.choice(['left', 'right'])}>" + "".join(f"{r.choice(['', some()])}{block(depth - 1)}" for _ in range(r.randrange(1, 3))) + "</div>"
+
+    sites = {h: [f"<body><div>Menu {i % 3}</div>{block(3)}<div></div></body>" for i in range(n)] for h, n in (("a", 200), ("b", 7), ("c", 1))}
+    rows = [(h, page) for h, pages in sites.items() for page in [*pages, *pages[:5], *pages[:2]]]
+    got = extraction.importances(spark.createDataFrame(rows, "host string, html string").repartition(3))[0].collect()
+    want = sorted(x for pages in sites.values() for x in plain_style_tree([extraction.Page(p) for p in dict.fromkeys(pages)]))
+    assert len(want) > 60 and np.allclose(sorted((x.m, x.importance, x.most) for x in got), want, atol=2e-6)
+
+
+def test_words_of_a_leaf_count_alone(spark):
+    """A footer that differs in one word is noise; the words that all pages share say so."""
+    page = "<body><div>" + BODY + "</div><div>Page {0} of this site, which is run by its owner, who reserves all rights in it and asks that nobody copies any part without leave first.</div></body>"
+    assert sorted(r.text for r in extraction.extracted(site(spark, [page.format(i) for i in range(8)])).collect()) == [TEXT.format(i) for i in range(8)]
+
+
+def test_noise_has_nothing_important_in_it(spark):
+    """A part most of whose elements all pages share is no noise for that, if one differs; the others in it are."""
+    page = "<body><div>" + BODY * 4 + "</div><div>" + "<div>Shared by all</div>" * 12 + "<div>w{0} x{0} y{0}</div></div></body>"
+    got = {r.page_id: r.text for r in extraction.extracted(site(spark, [page.format(i) for i in range(8)])).collect()}
+    assert got == {i: " ".join([TEXT.format(i)] * 4 + [f"w{i} x{i} y{i}"]) for i in range(8)}
+
+
+def test_every_template_of_a_site_is_judged(spark):
+    """Noise of pages of a style that is not that of half of the site."""
+    page = "<body>{1}<div>All rights reserved</div><div>" + BODY + "</div></body>"
+    rows = site(spark, [page.format(i, "<ul><li>Shop</ul>" * (i % 3)) for i in range(18)])
+    assert sorted(r.text for r in extraction.extracted(rows).collect()) == sorted(TEXT.format(i) for i in range(18))
+
+
+def test_column_named_tree(spark):
+    df = site(spark, ["<article>one</article>"]).withColumns({"tree": F.lit("t"), "root": F.lit(1), "weight": F.lit(2)})
+    assert [(r.tree, r.root, r.weight, r.text) for r in extraction.extracted(df).collect()] == [("t", 1, 2, "one")]
+
+
 def test_pages_awkward_rows(spark):
     rows = [(1, "http://a/x", "<article>one</article>"), (1, "http://a/x", "<article>one</article>"), (2, None, "<p>two"), (None, "no scheme", None), (3, "http://a/y", ""), (4, "http://a/z", "<article>" + "long text " * 200_000 + "</article>")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit("clash") for c in ("text", "host", "tree", "node", "n_chars")})
