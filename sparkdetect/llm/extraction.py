@@ -9,7 +9,6 @@ import zlib
 from array import array
 from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -465,7 +464,7 @@ def _features(page: Page, i: int) -> dict[str, int]:
 
 
 _KINDS = {"leaf": np.uint64, "word": np.uint32, "n": np.float64, "x": np.float64}
-_STYLE = {"element": np.uint64, "style": np.uint64, "under": np.uint64, "root": np.uint64, "kids": np.int32, "depth": np.int32, "k": np.float64}
+_STYLE = {"element": np.uint64, "style": np.uint64, "under": np.uint64, "root": np.uint64, "kids": np.int32, "k": np.float64}
 _PACKED = "place int, " + ", ".join(f"{c} binary" for c in [*_KINDS, *_STYLE])
 
 
@@ -483,17 +482,13 @@ class _Tally:
     def add(self, root: int, source: str, weight: float) -> None:
         page = Page(source)
         ids, within, inside = _styled(page, root, self.styles)
-        depth = [0] * len(ids)
         for i, kids in enumerate(inside):
             seen = self.counts.get((ids[i], within[i]))
             if seen:
                 seen[-1] += weight
             else:
-                self.counts[ids[i], within[i]] = [within[page.parent[i]] if i else 0, ids[0], len(kids), depth[i], weight]
-            if kids:
-                for k in kids:
-                    depth[k] = depth[i] + 1
-            elif found := _features(page, i):
+                self.counts[ids[i], within[i]] = [within[page.parent[i]] if i else 0, ids[0], len(kids), weight]
+            if not kids and (found := _features(page, i)):
                 n = len(found)
                 self.of_leaf.extend([self.leaves.setdefault(ids[i], len(self.leaves))] * n)
                 self.words.extend(map(self.codes.__getitem__, found))
@@ -535,7 +530,7 @@ def _firsts(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-_SUMMED = "element bigint, style bigint, under bigint, root bigint, kids int, depth int, k double, features double, entropy double"
+_SUMMED = "element bigint, style bigint, under bigint, root bigint, kids int, k double, features double, entropy double"
 _SUMMED_NAMES = [c.split()[0] for c in _SUMMED.split(", ")]
 
 
@@ -596,44 +591,45 @@ def _parts(pages: DataFrame) -> DataFrame:
 
 
 def importances(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(element, under, root, m, importance, most) and (element, style): all elements of the style trees of ``pages`` (host, html) that two pages have, with their composite importance and the largest of those in them.
+    """(element, under, root, m, importance, most) and (element, up), the element around it: all elements of the style trees of ``pages`` (host, html) that two pages have, with their composite importance and the largest of those in them.
 
     The pages of a host merge into one tree by the identities of their nodes: m pages have an element, and k of them
     with the same style. An element's own importance is the entropy of its styles to the base m; its composite one is
     (1 - g) times that and g times the mean over its styles, weighed by k / m, of the mean over the elements in each,
     where g is ``GAMMA`` to the power of the number of styles. Of a leaf it is 1 less the mean entropy of its features,
     words, images and links, over the m pages; without features, 0. What a single page has is of importance 1, with
-    all in it, so it is no row but counts above. ``under`` is the style that the element is part of; it falls
-    level by level, from the deepest to the root.
+    all in it, so it is no row but counts above. A composite importance is a weighted sum over
+    all elements in it, so sums reach twice as far in each round, and rounds grow with the logarithm of the depth.
     """
     parts = stored(_parts(pages))
     leaves = parts.where("kids < 0").groupBy("element").agg(F.sum("features").alias("features"), F.sum("entropy").alias("entropy"))
     k = F.round("k", 6)
     single = F.when(k <= 1, k).otherwise(0.0)
     held = parts.where("kids >= 0").withColumn("k", k).groupBy("element").agg(
-        F.first("under").alias("under"), F.first("root").alias("root"), F.first("depth").alias("depth"), F.sum("k").alias("m"), F.count("*").alias("styles"), F.sum(k * F.log(k)).alias("klogk"),
+        F.first("under").alias("under"), F.first("root").alias("root"), F.sum("k").alias("m"), F.count("*").alias("styles"), F.sum(k * F.log(k)).alias("klogk"),
         F.sum(F.when(F.col("kids") > 0, single).otherwise(0.0)).alias("single"), F.sum(F.when(F.col("kids") == 0, k).otherwise(0.0)).alias("bare"), F.max("kids").alias("kids")).where("m > 1")
     log_m, g = F.log("m"), F.when(F.col("kids") > 0, F.pow(F.lit(GAMMA), F.col("styles"))).otherwise(1.0)
     # features over the pages in which the element is a leaf
     bare = F.when(F.col("bare") <= 1, F.col("bare")).otherwise(F.col("bare") * F.coalesce(1 - F.col("entropy") / F.col("features") / F.log("bare"), F.lit(0.0)))
     own = (1 - g) * (log_m - F.col("klogk") / F.col("m")) / log_m + g * (F.col("single") + bare) / F.col("m")
     most = F.when((F.col("single") > 0) | (F.col("bare") == 1), 1.0).when(F.col("bare") > 0, bare / F.col("bare")).otherwise(0.0)
-    elements = stored(held.join(leaves, "element", "left").select("element", "under", "root", "depth", "m", own.alias("own"), (g / F.col("m")).alias("g"), most.alias("most")))
-    styles = stored(parts.where("kids > 0").withColumn("k", k).where("k > 1").select("element", F.col("style"), "kids", "k", "depth"))
-    deepest = elements.agg(F.max("depth")).first()[0]
-    none = F.lit(None).cast("double")
-    levels = []
-    for depth in range(deepest if deepest is not None else 0, -1, -1):
-        here = elements.where(F.col("depth") == depth)
-        if levels:
-            means = levels[-1].groupBy("under").agg(F.sum("importance").alias("sum"), F.max("most").alias("within")).withColumnRenamed("under", "style")
-            inner = styles.where(F.col("depth") == depth).join(means, "style").groupBy("element").agg(F.sum(F.col("k") * F.col("sum") / F.col("kids")).alias("inner"), F.max("within").alias("within"))
-            here = here.join(inner, "element", "left")
-        else:
-            here = here.withColumns({"inner": none, "within": none})
-        importance = F.round(F.col("own") + F.col("g") * F.coalesce("inner", F.lit(0.0)), 6)
-        levels.append(stored(here.select("element", "under", "root", "m", importance.alias("importance"), F.greatest(importance, F.round("most", 6), "within").alias("most"))))
-    return reduce(DataFrame.union, levels), styles.select("element", "style")
+    elements = stored(held.join(leaves, "element", "left").select("element", "under", "root", "m", own.alias("own"), (g / F.col("m")).alias("g"), most.alias("most")))
+    styles = parts.where("kids > 0").withColumn("k", k).where("k > 1").select("element", "style", "k", "kids")
+    # an element's part in that of the one around it; then in those 2, 4, 8 .. further out
+    around = styles.join(elements.select("element", "g"), "element").select(F.col("style").alias("under"), F.col("element").alias("up"), (F.col("g") * F.col("k") / F.col("kids")).alias("part"))
+    at = stored(elements.join(around, "under", "left").select("element", "up", "part", F.col("own").alias("sum")))
+    first, rounds = at, []
+    while not at.where("up is not null").isEmpty():
+        rounds.append(at.where("up is not null").select("element", "up"))
+        more = at.where("up is not null").groupBy("up").agg(F.sum(F.col("part") * F.col("sum")).alias("more")).withColumnRenamed("up", "element")
+        further = at.where("up is not null").select(F.col("element").alias("up"), F.col("up").alias("further"), F.col("part").alias("then"))
+        at = stored(at.join(more, "element", "left").join(further, "up", "left").select("element", F.col("further").alias("up"), (F.col("part") * F.col("then")).alias("part"), (F.col("sum") + F.coalesce("more", F.lit(0.0))).alias("sum")))
+    whole = elements.drop("own", "g").join(at.select("element", F.round("sum", 6).alias("importance")), "element").withColumn("most", F.greatest("importance", F.round("most", 6)))
+    for pairs in rounds:
+        whole = stored(whole)
+        within = pairs.join(whole.select("element", "most"), "element").groupBy("up").agg(F.max("most").alias("within")).withColumnRenamed("up", "element")
+        whole = whole.join(within, "element", "left").withColumn("most", F.greatest("most", "within")).drop("within")
+    return stored(whole), first.select("element", "up")
 
 
 def style_trees(pages: DataFrame) -> DataFrame:
@@ -643,11 +639,11 @@ def style_trees(pages: DataFrame) -> DataFrame:
     ``LEAST_PAGES`` pages and ``LEAST_SHARE`` of the host's have it: so an array never holds more than 1 / ``LEAST_SHARE``
     times the elements of an average page. What is in noise is not listed again.
     """
-    elements, styles = importances(pages)
+    elements, around = importances(pages)
     roots = elements.where("element = root").select("root", F.col("m").alias("pages"))
-    noise = stored(elements.join(roots, "root").where((F.col("most") < THRESHOLD) & (F.col("m") >= LEAST_PAGES) & (F.col("m") >= LEAST_SHARE * F.col("pages"))).select("element", "under", "root", "importance"))
-    inside = styles.join(noise.select("element"), "element").select(F.col("style").alias("under"))
-    outermost = noise.join(inside, "under", "left_anti")
+    noise = stored(elements.join(roots, "root").where((F.col("most") < THRESHOLD) & (F.col("m") >= LEAST_PAGES) & (F.col("m") >= LEAST_SHARE * F.col("pages"))).select("element", "root", "importance"))
+    inner = around.join(noise.select(F.col("element").alias("up")), "up").select("element")
+    outermost = noise.join(inner, "element", "left_anti")
     hosts = pages.select("host").distinct().withColumn("root", F.xxhash64("host"))
     return outermost.groupBy("root").agg(F.collect_list(F.struct("element", "importance")).alias("tree")).join(hosts, "root").select("host", "tree")
 

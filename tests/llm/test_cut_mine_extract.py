@@ -242,6 +242,16 @@ def test_every_template_of_a_site_is_judged(spark):
     assert sorted(r.text for r in extraction.extracted(rows).collect()) == sorted(TEXT.format(i) for i in range(18))
 
 
+def test_deep_pages_take_few_rounds(spark):
+    """Elements 500 deep, on all pages of a site."""
+    rows = site(spark, [f"{'<div>' * 500}<p>same line</p><p>{BODY.format(i)}</p>" for i in range(6)]).select(F.lit("h").alias("host"), "html")
+    began = time.perf_counter()
+    got = sorted((x.m, x.importance, x.most) for x in extraction.importances(rows)[0].collect())
+    assert time.perf_counter() - began < 60
+    want = plain_style_tree([extraction.Page(r.html) for r in rows.collect()])
+    assert len(want) > 500 and np.allclose(got, want, atol=2e-6)
+
+
 def test_column_named_tree(spark):
     df = site(spark, ["<article>one</article>"]).withColumns({"tree": F.lit("t"), "root": F.lit(1), "weight": F.lit(2)})
     assert [(r.tree, r.root, r.weight, r.text) for r in extraction.extracted(df).collect()] == [("t", 1, 2, "one")]
