@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,8 +25,8 @@ GAMMA = 0.9
 THRESHOLD, LEAST_PAGES, LEAST_SHARE = 0.3, 5, 0.02
 #: What noise still weighs where the node with the most text is sought, so that copies of a long article outweigh a short menu.
 LEAST_WEIGHT = 0.1
-#: Features that a task tallies before it hands them on, and bytes of pages for each place that they go to.
-TALLY, PLACE_BYTES = 1 << 20, 16 << 20
+#: Features that a task tallies before it hands them on (half as many that come to a place are merged at once), characters that count as one at least, and bytes of pages for each place that they go to.
+TALLY, FEATURE_CHARACTERS, PLACE_BYTES = 1 << 21, 8, 16 << 20
 #: Places among which the features of a leaf are dealt; the fewer, the less often its hash is sent.
 LEAF_PLACES = 4
 #: Hosts that have more than one page in so many are dealt to so many places.
@@ -65,8 +66,13 @@ IGNORED_FIRST = set("has is js no with".split())
 #: Elements open at once, as in browsers; what is deeper is text of the last.
 DEPTH = 512
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"'=]|=\s*+"[^"]*+"|=\s*+'[^']*+'|=|["'])*+)>""")
+#: A tag without its brackets that ends where its text ends, whatever follows.
+_SURE = re.compile(r"""(/?)([a-zA-Z][^\s/>]*+)((?:[^>"'=]|=\s*+"[^"]*+"|=\s*+'[^']*+'|=(?!\s*+["'])|["'])*+)""")
+#: Tags up to this length are kept as they are met, so many of them, and so many nodes of style trees.
+TAG_LENGTH, KEPT_TAGS, KEPT_STYLES = 128, 1 << 14, 1 << 17
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+_CLOSES = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
 _OUT = ("furniture", "weak", "readers")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
@@ -99,6 +105,38 @@ def _declared(tag: str, attributes: dict[str, str], in_article: bool) -> str:
     return "content" if ends & MAIN_WORDS else ""
 
 
+class _Tag:
+    """What a tag says by itself: is it an end tag, the name with display attributes, what is declared outside and inside of articles, an image's or a link's address."""
+
+    __slots__ = ("closes", "tag", "name", "outside", "inside", "image", "link")
+
+    def __init__(self, closes: str, tag: str, rest: str):
+        self.closes, self.tag = bool(closes), tag.lower()
+        if closes:
+            return
+        tag = self.tag
+        attributes = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(rest)} if rest.strip(" /\n\t\r\f") else {}
+        self.outside = self.inside = _declared(tag, attributes, False)
+        if self.outside == "weak":
+            self.inside = _declared(tag, attributes, True)
+        self.image, self.link = attributes.get("src") if tag == "img" else None, attributes.get("href") if tag == "a" else None
+        self.name = tag + "".join(f" {k}={' '.join(sorted(set(v.split())))}" for k, v in sorted(attributes.items()) if k in DISPLAY) if attributes else tag
+
+
+class _Tags(dict):
+    """Tags by their text between the brackets, as they are met; None for what is no tag or ends elsewhere."""
+
+    def __missing__(self, text: str) -> _Tag | None:
+        if len(self) > KEPT_TAGS:
+            self.clear()
+        m = _SURE.fullmatch(text)
+        self[text] = out = _Tag(*m.groups()) if m else None
+        return out
+
+
+_TAGS = _Tags()
+
+
 class Page:
     """The elements of a page as a tree; inline elements that declare nothing belong to the text around them.
 
@@ -111,49 +149,60 @@ class Page:
     def __init__(self, source: str):
         self.tag, self.name, self.said, self.parent, self.parts = ["#page"], ["#page"], [""], [-1], [[]]
         # an open block: its tag, its node, what is open inline in it, and how often; open blocks are counted up to the next bound of scope
-        self._open, self._scopes = [["#page", 0, [], Counter()]], [Counter()]
+        self._open, self._scopes = [["#page", 0, [], {}]], [{}]
         self._articles = 0
         self.refs: dict[int, list[tuple[int, str]]] = {}
         self._read(source)
         self._runs()
 
     def _read(self, source: str) -> None:
-        at, n = 0, len(source)
+        at, n, bracket, find = 0, len(source), 0, source.find
         while at < n:
-            i = source.find("<", at)
+            i = find("<", at)
             if i < 0:
                 self._text(source[at:])
                 return
             if i > at:
                 self._text(source[at:i])
-            then = source[i + 1 : i + 2]
-            if source.startswith("<!--", i):
-                end = source.find("-->", i + 4)
-                at = n if end < 0 else end + 3
-            elif then in ("!", "?") or then == "/" and not source[i + 2 : i + 3].isalpha():
-                end = source.find(">", i)
-                at = n if end < 0 else end + 1
-            elif then != "/" and not (then.isascii() and then.isalpha()):
-                self._text("<")
-                at = i + 1
-            elif not (m := _TAG.match(source, i)):
-                return  # a tag without an end swallows the rest
+            if bracket < i:
+                bracket = find(">", i)
+                if bracket < 0:
+                    bracket = n + TAG_LENGTH
+            # most tags end at the next bracket, and were met before
+            if bracket - i <= TAG_LENGTH and (it := _TAGS[source[i + 1 : bracket]]):
+                at = bracket + 1
             else:
-                at, tag = m.end(), m[2].lower()
-                if m[1]:
-                    self._end(tag)
+                then = source[i + 1 : i + 2]
+                if source.startswith("<!--", i):
+                    end = find("-->", i + 4)
+                    at = n if end < 0 else end + 3
+                    continue
+                if then in ("!", "?") or then == "/" and not ((letter := source[i + 2 : i + 3]).isascii() and letter.isalpha()):
+                    end = find(">", i)
+                    at = n if end < 0 else end + 1
                     continue
-                self._start(tag, m[3])
-                if tag in RAW:
-                    close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(source, at)
-                    at = close.start() if close else n
+                if then != "/" and not (then.isascii() and then.isalpha()):
+                    self._text("<")
+                    at = i + 1
+                    continue
+                if not (m := _TAG.match(source, i)):
+                    return  # a tag without an end swallows the rest
+                at, it = m.end(), _Tag(*m.groups())
+            if it.closes:
+                self._end(it.tag)
+                continue
+            self._start(it)
+            if it.tag in RAW:
+                close = _CLOSES[it.tag].search(source, at)
+                at = close.start() if close else n
 
     def _node(self) -> int:
         top = self._open[-1]
         return top[2][-1][1] if top[2] else top[1]
 
     def _text(self, text: str) -> None:
-        self.parts[self._node()].append(html.unescape(text) if "&" in text else text)
+        top = self._open[-1]
+        self.parts[top[2][-1][1] if top[2] else top[1]].append(html.unescape(text) if "&" in text else text)
 
     def _ref(self, kind: str, to: str) -> None:
         node = self._node()
@@ -162,9 +211,9 @@ class Page:
 
     def _runs(self) -> None:
         """Text beside elements, with its images and links, becomes a node of its own."""
-        for i in range(len(self.tag)):
+        for i in self.around():
             parts, refs = self.parts[i], dict(self.refs.get(i, ()))
-            if all(isinstance(p, str) for p in parts) or not refs and not any(isinstance(p, str) and p.strip() for p in parts):
+            if not refs and not any(isinstance(p, str) and p.strip() for p in parts):
                 continue
             self.refs.pop(i, None)
             self.parts[i], run, found = [], [], []
@@ -182,6 +231,10 @@ class Page:
                 self.parts[i] += [p] if p >= 0 else []
                 run, found = [], []
 
+    def around(self) -> list[int]:
+        """The nodes that have nodes in them, in page order."""
+        return sorted(set(self.parent))[1:]
+
     def _append(self, tag: str, name: str, said: str, parent: int, parts: list) -> int:
         self.tag.append(tag)
         self.name.append(name)
@@ -205,51 +258,56 @@ class Page:
 
     def _close(self, tags: set[str], bounds: set[str] = frozenset()) -> None:
         """End the innermost open block of ``tags``, if no scope or bound lies between."""
-        if any(self._scopes[-1][t] > 0 for t in tags):
-            for block in reversed(self._open):
-                if block[0] in tags:
-                    while self._open[-1] is not block:
-                        self._pop()
+        scope = self._scopes[-1]
+        for t in tags:
+            if scope.get(t):
+                break
+        else:
+            return
+        for block in reversed(self._open):
+            if block[0] in tags:
+                while self._open[-1] is not block:
                     self._pop()
-                    return
-                if block[0] in bounds or block[0] in SCOPES:
-                    return
+                self._pop()
+                return
+            if block[0] in bounds or block[0] in SCOPES:
+                return
 
-    def _start(self, tag: str, rest: str) -> None:
-        if self._scopes[-1]["head"] > 0 and tag not in HEAD:
+    def _start(self, it: _Tag) -> None:
+        tag, scope = it.tag, self._scopes[-1]
+        if scope.get("head") and tag not in HEAD:
             self._close({"head"})
-        if tag in ENDS_P:
+        if tag in ENDS_P and scope.get("p"):
             self._close({"p"})
         if tag in ENDS:
             if tag in ("tr", "thead", "tbody", "tfoot") or tag in ("td", "th"):
                 self._leave_cell(ENDS[tag])
             else:
                 self._close(ENDS[tag], BOUNDS.get(tag, frozenset()))
-        attributes = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(rest)} if rest.strip(" /\n\t\r\f") else {}
-        said = _declared(tag, attributes, self._articles > 0)
         if tag in VOID:
-            if tag == "img" and attributes.get("src"):
-                self._ref("image", attributes["src"])
+            if it.image:
+                self._ref("image", it.image)
             if tag != "wbr" and tag not in INLINE:
                 self._text(" ")
             return
-        name = tag + "".join(f" {k}={' '.join(sorted(set(v.split())))}" for k, v in sorted(attributes.items()) if k in DISPLAY) if attributes else tag
+        said = it.inside if self._articles > 0 else it.outside
         if tag in INLINE:
             top, here = self._open[-1], self._node()
-            top[2].append((tag, self._add(tag, name, said) if said in _OUT and self.said[here] not in _OUT else here))
-            top[3][tag] += 1
-            if tag == "a" and attributes.get("href"):
-                self._ref("link", attributes["href"])
+            top[2].append((tag, self._add(tag, it.name, said) if said in _OUT and self.said[here] not in _OUT else here))
+            top[3][tag] = top[3].get(tag, 0) + 1
+            if it.link:
+                self._ref("link", it.link)
             return
         if len(self._open) >= DEPTH:
             self._text(" ")
             return
         self._articles += said in ("article", "main")
-        node = self._add(tag, name, said)
-        self._open.append([tag, node, [], Counter()])
-        self._scopes[-1][tag] += 1
+        node = self._add(tag, it.name, said)
+        self._open.append([tag, node, [], {}])
+        scope = self._scopes[-1]
+        scope[tag] = scope.get(tag, 0) + 1
         if tag in SCOPES:
-            self._scopes.append(Counter())
+            self._scopes.append({})
 
     def _leave_cell(self, tags: set[str]) -> None:
         """End open cells, rows and groups of the innermost table."""
@@ -263,7 +321,7 @@ class Page:
     def _end(self, tag: str) -> None:
         if tag in INLINE:
             top = self._open[-1]
-            if top[3][tag] > 0:
+            if top[3].get(tag):
                 while True:
                     last = top[2].pop()[0]
                     top[3][last] -= 1
@@ -272,7 +330,7 @@ class Page:
             return
         if tag in ("body", "html"):
             return
-        if tag == "br" or tag == "p" and not self._scopes[-1]["p"] > 0:
+        if tag == "br" or tag == "p" and not self._scopes[-1].get("p"):
             self._text(" ")
             return
         if tag in SCOPES:
@@ -331,12 +389,21 @@ def _joined(a: int, b: int) -> int:
 
 
 class _Styles(dict):
-    """Hashes of sequences of names, as they are met."""
+    """A style of an element, and the elements in it, by the element and the sequence of names in it, as they are met."""
+
+    def __init__(self):
+        self.size = 0
 
-    def __missing__(self, names: tuple[str, ...]) -> int:
-        if len(self) > 1 << 14:
+    def __missing__(self, key: tuple[int, tuple[str, ...]]) -> tuple[int, list[int]]:
+        element, names = key
+        style = _joined(element, _hash(*names) & _MASK)
+        out = style, [_joined(style, place) for place in range(len(names))]
+        if self.size > KEPT_STYLES:
             self.clear()
-        self[names] = out = _hash(*names) & _MASK
+            self.size = 0
+        if len(names) <= KEPT_STYLES:
+            self[key] = out
+            self.size += 1 + len(names)
         return out
 
 
@@ -348,14 +415,13 @@ def _styled(page: Page, root: int, styles: _Styles) -> tuple[list[int], list[int
     of a leaf is 0, the root's element is that of the host.
     """
     n = len(page.tag)
-    ids, within = [0] * n, [0] * n
-    inside = [[p for p in parts if not isinstance(p, str)] for parts in page.parts]
+    ids, within, inside = [0] * n, [0] * n, [()] * n
     ids[0] = root & _MASK
-    for i, kids in enumerate(inside):
-        if kids:
-            within[i] = style = _joined(ids[i], styles[tuple([page.name[k] for k in kids])])
-            for place, k in enumerate(kids):
-                ids[k] = _joined(style, place)
+    for i in page.around():
+        inside[i] = kids = [p for p in page.parts[i] if not isinstance(p, str)]
+        within[i], elements = styles[ids[i], tuple([page.name[k] for k in kids])]
+        for k, element in zip(kids, elements, strict=True):
+            ids[k] = element
     return ids, within, inside
 
 
@@ -447,22 +513,6 @@ def host_of(url: str) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^(?s:.*?)://([^/?#]*)", 1), F.lit("")))
 
 
-class _Codes(dict):
-    """Hashes of features (words, images, links), as they are met."""
-
-    def __missing__(self, feature: str) -> int:
-        if len(self) > 1 << 18:
-            self.clear()
-        self[feature] = out = zlib.crc32(feature.encode("utf-8", "surrogatepass"))
-        return out
-
-
-def _features(page: Page, i: int) -> dict[str, int]:
-    """How often each word, image and link stands in a leaf."""
-    texts = [p for p in page.parts[i] if p]
-    return Counter([*(texts[0] if len(texts) == 1 else "".join(texts)).split(), *(ref for _, ref in page.refs.get(i, ()))])
-
-
 _KINDS = {"leaf": np.uint64, "word": np.uint32, "n": np.float64, "x": np.float64}
 _STYLE = {"element": np.uint64, "style": np.uint64, "under": np.uint64, "root": np.uint64, "kids": np.int32, "k": np.float64}
 _PACKED = "place int, " + ", ".join(f"{c} binary" for c in [*_KINDS, *_STYLE])
@@ -472,37 +522,59 @@ class _Tally:
     """Sums over pages: how often each feature stands in each leaf, and how many pages have each style of each element."""
 
     def __init__(self, places: int):
-        self.places, self.codes, self.styles = places, _Codes(), _Styles()
+        self.places, self.styles = places, _Styles()
         self._begin()
 
     def _begin(self) -> None:
         self.leaves, self.counts, self.size = {}, {}, 0
-        self.of_leaf, self.words, self.times, self.weights = array("i"), array("I"), array("I"), array("d")
+        # of each leaf on each page: its number and its page's weight, its text, and the images and links in it by leaf
+        self.of_leaf, self.weights, self.texts, self.refs, self.of_ref = array("Q"), array("d"), [], [], []
 
     def add(self, root: int, source: str, weight: float) -> None:
         page = Page(source)
         ids, within, inside = _styled(page, root, self.styles)
+        counts, leaves, size = self.counts, self.leaves, len(ids)
         for i, kids in enumerate(inside):
-            seen = self.counts.get((ids[i], within[i]))
-            if seen:
-                seen[-1] += weight
+            key = ids[i], within[i]
+            if key in counts:
+                counts[key][-1] += weight
             else:
-                self.counts[ids[i], within[i]] = [within[page.parent[i]] if i else 0, ids[0], len(kids), weight]
-            if not kids and (found := _features(page, i)):
-                n = len(found)
-                self.of_leaf.extend([self.leaves.setdefault(ids[i], len(self.leaves))] * n)
-                self.words.extend(map(self.codes.__getitem__, found))
-                self.times.extend(found.values())
-                self.weights.extend([weight] * n)
-                self.size += n
-        self.size += len(ids)
+                counts[key] = [within[page.parent[i]] if i else 0, ids[0], len(kids), weight]
+            if not kids:
+                parts, refs = page.parts[i], page.refs.get(i, ())
+                text = parts[0] if len(parts) == 1 else "".join(parts)
+                if refs:
+                    self.refs += [ref for _, ref in refs]
+                    self.of_ref += [len(self.texts)] * len(refs)
+                elif not text or text.isspace():
+                    continue
+                self.of_leaf.append(leaves.setdefault(key[0], len(leaves)))
+                self.weights.append(weight)
+                self.texts.append(text)
+                size += len(refs) + max(text.count(" ") + 1, len(text) // FEATURE_CHARACTERS)
+        self.size += size
+
+    def _features(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(leaf on a page, feature, how often it stands there): words, images and links by their 32-bit hashes."""
+        split = pc.utf8_split_whitespace(pa.array(self.texts, pa.large_string()))
+        met = pa.concat_arrays([split.flatten(), pa.array(self.refs, split.type.value_type)]).dictionary_encode()
+        codes = np.array([zlib.crc32(f) for f in met.dictionary.cast(pa.large_binary()).to_pylist()], np.uint64)
+        on = np.concatenate([pc.list_parent_indices(split).to_numpy(), np.array(self.of_ref, np.int64)]).astype(np.uint64)
+        at = met.indices.to_numpy()
+        empty = pc.index(met.dictionary, "").as_py()
+        if empty >= 0:
+            on, at = on[at != empty], at[at != empty]
+        found = np.sort((on << np.uint64(32)) | codes[at])
+        first = _firsts(found)
+        return (found[first] >> np.uint64(32)).astype(np.int64), found[first].astype(np.uint32), np.diff([*first, len(found)]) if len(first) else first
 
     def taken(self) -> pa.RecordBatch:
         """What was added, a row for each place that it goes to: the features and styles whose hashes say so."""
         leaves = np.fromiter(self.leaves, np.uint64, len(self.leaves))
-        of, word, times, weights = (np.array(v) for v in (self.of_leaf, self.words, self.times, self.weights))
+        on, word, times = self._features()
+        of, weights = np.array(self.of_leaf, np.uint64)[on], np.array(self.weights)[on]
         place = _places(leaves[of] + (word % np.uint32(LEAF_PLACES)), self.places)
-        order = np.lexsort((word, of, place)) if len(leaves) > 1 << 20 or self.places > 1 << 12 else np.argsort((place << np.uint64(52)) | (of.astype(np.uint64) << np.uint64(32)) | word)
+        order = np.lexsort((word, of, place)) if len(leaves) > 1 << 20 or self.places > 1 << 12 else np.argsort((place << np.uint64(52)) | (of << np.uint64(32)) | word)
         of, word, place, times, weights = of[order], word[order], place[order], times[order].astype(np.float64), weights[order]
         first = _firsts(of, word)
         n, x = (np.add.reduceat(v, first) if len(first) else v for v in (times * weights, weights * times * np.log(times)))
@@ -553,7 +625,7 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 part = {c: np.frombuffer(b.column(c)[i].as_py(), kind) for c, kind in kinds.items()}
                 held[t].append(part)
                 waiting[t] += len(part[t])
-                if waiting[t] > max(TALLY, whole[t]):
+                if waiting[t] > max(TALLY // 2, whole[t]):
                     held[t] = [_merged(held[t], keys, sums)]
                     whole[t], waiting[t] = len(held[t][0][t]), 0
     f, s = (_merged(held[t], keys, sums) for t, (_, keys, sums) in tables.items())
