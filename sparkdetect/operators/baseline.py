@@ -6,6 +6,7 @@ import math
 from bisect import bisect_left, insort
 from collections import deque
 from collections.abc import Iterator, Mapping
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -194,9 +195,12 @@ def observe(features: DataFrame, min_samples: int = 5, threshold: float = 3.5, r
 
 
 def calibration_split(events: DataFrame, by: str = "user", share: float = 0.7, least: int = 5) -> DataFrame:
-    """Add split: the first max(``least``, int(``share`` * n)) benign rows of each ``by`` calibrate; the others and all malicious rows evaluate."""
+    """Add split: the first max(``least``, ``share`` * n, rounded down) benign rows of each ``by`` calibrate; the others and all malicious rows evaluate.
+
+    The share is taken as it is written: 0.7 of 360 rows are 252, where binary fractions give 251.99999999999997.
+    """
     rows = numbered(events.withColumn("_benign", F.col("technique_id").isNull()), [by, "_benign"], [F.col("ts"), F.col("event_id")], "_at", "_of")
-    cut = F.greatest(F.lit(least), F.floor(F.col("_of") * share).cast("int"))
+    cut = F.greatest(F.lit(least), F.floor(F.col("_of") * F.lit(Decimal(str(share)))).cast("long"))
     return rows.withColumn("split", F.when(F.col("_benign") & (F.col("_at") <= cut), "calibrate").otherwise("evaluate")).drop("_benign", "_at", "_of")
 
 

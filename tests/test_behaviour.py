@@ -11,6 +11,7 @@ from sparkdetect.functions import order
 from sparkdetect.operators import baseline, exposure, incidents
 from sparkdetect.operators.graph import components
 from sparkdetect.operators.rules import errors_table, rule_listing, rules_table
+from sparkdetect.plans import behaviour
 from sparkdetect.sources import events as sources
 from sparkdetect.sources import rule_files
 from test_rules import T0, events
@@ -44,6 +45,28 @@ def test_observe_learns_after_scoring(spark):
     assert [(r["event_id"], r["score"], r["sample_count"]) for r in out] == [("x0003", math.inf, 3)]
 
 
+@pytest.mark.parametrize(("rows", "calibrate"), [(5, 5), (6, 5), (10, 7), (90, 63), (170, 119), (180, 126), (360, 252)])
+def test_the_share_of_a_split_is_exact(spark, rows, calibrate):
+    """0.7 of 90, 170, 180 or 360 rows is a whole number, which binary fractions miss."""
+    df = spark.range(rows + 3).select(F.format_string("e%04d", "id").alias("event_id"), F.timestamp_seconds("id").alias("ts"), F.lit("u").alias("user"), F.when(F.col("id") >= rows, "T1").alias("technique_id"))
+    got = {r["event_id"] for r in baseline.calibration_split(df).where("split = 'calibrate'").collect()}
+    assert got == {f"e{i:04}" for i in range(calibrate)}
+
+
+def split_tables(spark, path):
+    """A user with 90 benign events, of which the last is far off, and one attack."""
+    kinds = [("view", 10.0 + i % 5, i % 3 + 1) for i in range(89)] + [("view", 900.0, 1), ("error", 12.0, 2)]
+    rows = [(i, T0.replace(tzinfo=None) + dt.timedelta(seconds=i), 7, k, v, json.dumps({"k": n})) for i, (k, v, n) in enumerate(kinds)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{path}/events.parquet")
+    return str(path)
+
+
+def test_evaluated_events_of_a_split(spark, tmp_path):
+    row = behaviour.baseline_eval(spark, split_tables(spark, tmp_path)).first()
+    # 63 of 90 calibrate; 27 and the attack are left
+    assert (row["evaluation_events"], row["malicious_events"]) == (28, 1)
+
+
 def test_new_feature_counts_once_and_when_mature(spark):
     old = baseline.fit(feats(spark, [1, 2, 3]))
     new = feats(spark, [5, 6], feature="other", start=50)
