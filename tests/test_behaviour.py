@@ -67,6 +67,11 @@ def test_evaluated_events_of_a_split(spark, tmp_path):
     assert (row["evaluation_events"], row["malicious_events"]) == (28, 1)
 
 
+def test_scores_of_a_split(spark, tmp_path):
+    found = {(r["event_id"], r["feature"]): (r["method"], r["sample_count"]) for r in behaviour.baseline_score(spark, split_tables(spark, tmp_path)).collect()}
+    assert found["89", "value"] == ("median_mad", 63)
+
+
 def test_new_feature_counts_once_and_when_mature(spark):
     old = baseline.fit(feats(spark, [1, 2, 3]))
     new = feats(spark, [5, 6], feature="other", start=50)
