@@ -110,7 +110,7 @@ def sequence_chains(events: Iterable[Seen], stages: int, window: int) -> Iterato
     into a queue, so time grows with the events, however many wait in one window.
     """
     source, queues, used, at = iter(events), _Queues(stages), {}, 0
-    ended = False
+    ended, most = False, 10_000
     while True:
         while at - queues.first >= len(queues.events):
             if (e := next(source, None)) is None:
@@ -134,8 +134,9 @@ def sequence_chains(events: Iterable[Seen], stages: int, window: int) -> Iterato
             chain.append(found)
             taken.add(queues[found].id)
         if len(chain) == stages:
-            if len(used) > 10_000:  # rows of one id lie near each other
+            if len(used) > most:  # rows of one id lie near each other; as many again come before the next look, so that all looks together cost as much as what was added
                 used = {i: t for i, t in used.items() if first.t - t <= window}
+                most = max(10_000, 2 * len(used))
             used.update((queues[c].id, queues[c].t) for c in chain)
             hit = [queues[c] for c in chain]
             for name in taken:

@@ -2,6 +2,7 @@
 
 import random
 import time
+from collections import deque
 
 import pytest
 from pyspark.sql import functions as F
@@ -145,6 +146,38 @@ def test_time_grows_with_the_events():
     assert took(200_000) < 12 * took(50_000) and took(200_000) < 20
 
 
+def test_time_grows_with_the_chains():
+    """Very many chains that are complete within one window: the events that they used are not all looked through at each."""
+    from sparkdetect.operators.correlate import Seen, sequence_chains
+
+    def took(n):
+        began = time.perf_counter()
+        found = [(a.at, b.at) for a, b in sequence_chains((Seen(i, f"e{i}", 1 + i % 2, i) for i in range(n)), 2, 10**12)]
+        assert found == [(i, i + 1) for i in range(0, n, 2)]
+        return time.perf_counter() - began
+
+    took(8_000)
+    assert took(24_000) < 15 * took(8_000)
+
+
+def test_used_events_are_forgotten_after_a_window():
+    """Chains of a plain pass where a window holds more used events than are kept without a look, and where far more come in all."""
+    from sparkdetect.operators.correlate import Seen, sequence_chains
+
+    rng = random.Random(8)
+    rows = [(i // 4, rng.choice("abc"), f"e{i}") for i in range(60_000)]
+    window, want = 5000, []
+    # one kind is one stage, so the first second event ahead that is left is the first of a queue
+    seconds = deque(i for i, r in enumerate(rows) if r[1] == "b")
+    for i, (t, kind, name) in enumerate(rows):
+        while seconds and seconds[0] < i:
+            seconds.popleft()
+        if kind == "a" and seconds and rows[seconds[0]][0] - t <= window:
+            want.append([name, rows[seconds.popleft()][2]])
+    got = [[e.id for e in c] for c in sequence_chains((Seen(s, i, "ab".find(k) + 1, i) for s, k, i in rows), 2, window)]
+    assert got == want and len(want) > 15_000
+
+
 def test_errors_are_isolated_and_text_is_built(spark):
     df = events(spark, [(0, "h", "u", "a", {}, "T1059"), (5, "h", "u", "b", {}, None)])
     out, errors = correlate(df, [SEQ, Correlation("bad", "threshold", 5, select=A)], MapFields())
