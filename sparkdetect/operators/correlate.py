@@ -306,10 +306,9 @@ def _folded(rows: DataFrame, rules: list[Correlation], by: tuple[str, ...]) -> D
 
 def _relevant(base: DataFrame, entries: list[Column]) -> DataFrame:
     """A row for each event and rule that looks at it: scope, rule, key, t, id, hits, value, event, and a tie for events of one time and id. Events without a time take no part."""
-    met = F.filter(F.array(*entries), lambda x: x.isNotNull())
     t = F.unix_micros(F.col("ts").cast("timestamp"))
-    rows = base.where(F.col("ts").isNotNull()).select(*[F.col(c).cast("string").alias(c) for c in SCOPE], t.alias("t"), event_struct(base).alias("event"), F.explode(met).alias("x"))
-    return rows.select(*SCOPE, "x.*", "t", F.col("event.event_id").alias("id"), "event").withColumn("tie", F.xxhash64("event"))
+    rows = base.where(F.col("ts").isNotNull()).select(*[F.col(c).cast("string").alias(c) for c in SCOPE], t.alias("t"), event_struct(base).alias("event"), F.explode(F.array(*entries)).alias("x"))
+    return rows.where(F.col("x").isNotNull()).select(*SCOPE, "x.*", "t", F.col("event.event_id").alias("id"), "event").withColumn("tie", F.xxhash64("event"))
 
 
 def _hot(rows: DataFrame, rules: list[Correlation]) -> list[tuple]:
